@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nosoflow.functions.numbers import BIG, product, subsets
 from nosoflow.functions.text import https, last_segment
 from nosoflow.operators.relational import first_per_key
-from nosoflow.operators.scaling import concat_all, cut_lineage, lookup_join, ordinals
+from nosoflow.operators.scaling import concat_all, cut_lineage, lookup_join, ordinals, repeat_lookup, salt_facts
 
 # Node visits of a climb, values above which an axis is too large, axes never counted.
 MAX_VISITS = 15
@@ -21,6 +21,9 @@ MAX_AXIS_VALUES = 5000
 ALTERNATIVE_AXIS = "hasAlternative"
 UNKNOWN_CHAPTER = "Chapitre inconnu"
 
+# Frontiers up to this many rows (two short columns, a few MB) are broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def leaf_codes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Coded nodes without children."""
@@ -47,6 +50,27 @@ def axes_of_nodes(nodes: DataFrame) -> DataFrame:
     )
 
 
+class _Links:
+    """Edges (``id`` → ``child``) kept ready for repeated joins with a frontier.
+
+    A frontier of few rows, counted on its checkpoint, is broadcast. A larger one is joined on the
+    salted key; the edges' heavy parents are found and salted once, not in every round.
+    """
+
+    def __init__(self, links: DataFrame):
+        self.links = cut_lineage(links)
+        self.salted = None
+
+    def step(self, frontier: DataFrame, rows: int) -> DataFrame:
+        if rows <= BROADCAST_ROWS:
+            return self.links.join(F.broadcast(frontier), "id")
+        if self.salted is None:
+            salted, hot = salt_facts(self.links, ["id"], ["child"])
+            self.hot = cut_lineage(hot)
+            self.salted = cut_lineage(salted)
+        return self.salted.join(repeat_lookup(frontier, ["id"], self.hot), ["id", "_salt"]).drop("_salt")
+
+
 def descendants(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """All nodes reachable from each distinct start, the start included, each once.
 
@@ -54,18 +78,14 @@ def descendants(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     reached is never expanded again.
     """
     present = nodes.select("id")
-    frontier = starts.select(F.col("start_id").alias("id")).distinct().join(present, "id", "left_semi")
-    frontier = cut_lineage(frontier.select(F.col("id").alias("start_id"), "id"))
-    links = edges.select(F.col("parent").alias("id"), "child").distinct().join(
-        present.withColumnRenamed("id", "child"), "child", "left_semi")
-    links = cut_lineage(links)
+    first = starts.select(F.col("start_id").alias("id")).distinct().join(present, "id", "left_semi")
+    known_child = present.withColumnRenamed("id", "child")
+    links = _Links(edges.select(F.col("parent").alias("id"), "child").distinct().join(known_child, "child", "left_semi"))
+    frontier = cut_lineage(first.select(F.col("id").alias("start_id"), "id"))
     reached = [frontier]
-    while True:
-        step = lookup_join(links, frontier, "id", "inner", spread=["child"])
-        step = step.select("start_id", F.col("child").alias("id")).distinct()
+    while rows := frontier.count():
+        step = links.step(frontier, rows).select("start_id", F.col("child").alias("id")).distinct()
         frontier = cut_lineage(step.join(concat_all(reached), ["start_id", "id"], "left_anti"))
-        if frontier.isEmpty():
-            break
         reached.append(frontier)
     return lookup_join(concat_all(reached), nodes.select("id", "code"), "id", "left", spread=["start_id"])
 
@@ -86,17 +106,15 @@ def chapters(nodes: DataFrame, first_parents: DataFrame, labels: DataFrame, max_
     labels walk down: each node is reached once, over ``max_visits - 1`` levels at most.
     ``first_parents`` has ``child`` (unique) and ``parent``.
     """
-    links = cut_lineage(
-        first_parents.select("child", F.col("parent").alias("id"))
-        .join(labels.select(F.col("id").alias("child")), "child", "left_anti")
-    )
+    below = first_parents.select("child", F.col("parent").alias("id"))
+    links = _Links(below.join(labels.select(F.col("id").alias("child")), "child", "left_anti"))
     level = cut_lineage(labels.select("id", "chapitre"))
     levels = [level]
     for _ in range(max_visits - 1):
-        step = lookup_join(links, level, "id", "inner", spread=["child"])
-        level = cut_lineage(step.select(F.col("child").alias("id"), "chapitre"))
-        if level.isEmpty():
+        rows = level.count()
+        if rows == 0:
             break
+        level = cut_lineage(links.step(level, rows).select(F.col("child").alias("id"), "chapitre"))
         levels.append(level)
     known = nodes.select("id").join(concat_all(levels), "id", "left")
     return known.select("id", F.coalesce("chapitre", F.lit(UNKNOWN_CHAPTER)).alias("chapitre"))

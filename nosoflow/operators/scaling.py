@@ -52,19 +52,31 @@ def lookup_join(
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(lookup):
         return facts.join(F.broadcast(lookup), keys, how)
-    salts = min(SALTS, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    hot = F.broadcast(heavy_keys(facts, keys).withColumn("_hot", F.lit(True)))
+    salted, hot = salt_facts(facts, keys, spread)
+    return salted.join(repeat_lookup(lookup, keys, hot), [*keys, "_salt"], how).drop("_salt")
+
+
+def _salts(spark: SparkSession) -> int:
+    return min(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def salt_facts(facts: DataFrame, keys: Sequence[str], spread: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``facts`` with ``_salt``, spread over many values for heavy and null keys, and the heavy keys (few rows)."""
+    hot = heavy_keys(facts, keys).withColumn("_hot", F.lit(True))
     spread = list(spread or [c for c in facts.columns if c not in keys] or keys)
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salted = facts.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | null_key, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
-    )
-    repeated = lookup.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-                  .otherwise(F.array(F.lit(0).cast("bigint")))),
-    )
-    return salted.drop("_hot").join(repeated.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
+    salt = F.pmod(F.xxhash64(*spread), F.lit(_salts(facts.sparkSession)))
+    salted = facts.join(F.broadcast(hot), list(keys), "left").withColumn(
+        "_salt", F.when(F.col("_hot") | null_key, salt).otherwise(F.lit(0)))
+    return salted.drop("_hot"), hot
+
+
+def repeat_lookup(lookup: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """``lookup`` with ``_salt``: heavy keys once per salt, all others once."""
+    last = F.lit(_salts(lookup.sparkSession) - 1).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    values = F.when(F.col("_hot"), F.sequence(zero, last)).otherwise(F.array(zero))
+    return lookup.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.explode(values)).drop("_hot")
 
 
 def _running_total(counts: DataFrame, by: Sequence[str]) -> DataFrame:

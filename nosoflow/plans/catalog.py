@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from nosoflow.plans import hierarchy, reports, sampling, terminology, translation  # noqa: F401
+from nosoflow.plans import hierarchy, quality, reports, sampling, terminology, translation, verification  # noqa: F401
 from nosoflow.plans.registry import ORACLES, QUERIES  # noqa: F401
