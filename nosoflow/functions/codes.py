@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from nosoflow.functions.text import strip
 
-# Grammar of a code part, of a full code, of "label (code)", and of codes in free text.
+# Grammar of a code part and of a full code, endings of residual codes.
 CODE_PART = r"[A-Z0-9]{2,10}(?:\.[A-Z0-9]+)?"
 CODE = CODE_PART + "(?:&" + CODE_PART + ")*"
-LABELLED_CODE = r"([^(]+?)\s*\((" + CODE + r")\)"
-FREE_TEXT_CODE = r"[A-Za-z0-9][A-Za-z0-9.]*(?:&[A-Za-z0-9=.]+)+"
 RESIDUAL_ENDINGS = ("Y", "Z")
 
+# "label (code)": a label runs from the last match, or the last open bracket, to the bracket of its code.
+# Starting only there, and never giving characters back, keeps the scan linear on long texts.
+LABELLED_CODE = r"(?:\G|(?<=\())([^(]++)\((" + CODE + r")\)"
+
+# A post-coordinated code in free text; it never starts inside a word, so words are read once.
+FREE_TEXT_CODE = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9.]*+(?:&[A-Za-z0-9=.]++)++"
+
 
 def root_code(code: Column) -> Column:
     """Part before the first ``&``, trimmed, upper case; empty for null."""

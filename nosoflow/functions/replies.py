@@ -66,9 +66,9 @@ def message_of(messages: Column, role: str) -> Column:
     return F.get(F.filter(messages, lambda m: m["role"] == role), F.lit(0))["content"]
 
 
-def answer_content(line: Column) -> Column:
-    """Text of a batch response held as VARIANT, null when the path is missing."""
-    return F.try_variant_get(line, "$.response.body.choices[0].message.content", "string")
+def answer_content(response: Column) -> Column:
+    """Text of the first choice of a response object, null when the path is missing."""
+    return F.get_json_object(response, "$.body.choices[0].message.content")
 
 
 def answer_document(content: Column) -> Column:

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nosoflow.operators.relational import first_per_key
-from nosoflow.operators.scaling import lookup_join, ordinals
+from nosoflow.operators.scaling import heavy_keys, lookup_join, ordinals
+
+# Roots with many items are numbered in slices of the hash range; at most this many roots are.
+LARGE_ROOT_ITEMS = 100_000
+LARGE_ROOTS = 4096
 
 
 def hash_number(seed: int, *keys: str) -> Column:
@@ -50,7 +54,10 @@ def draw_for_rows(
     a row meets ``k`` items, never all items of its root. Columns ``key``, ``root``, ``item``.
     """
     hashed = candidates.select(root, item).distinct().withColumn("_h", hash_number(seed, root, item))
-    numbered = ordinals(hashed, ["_h", item], F.floor(F.col("_h") / 4096), by=[root], name="_pos").drop("_h")
+    large = heavy_keys(hashed, [root], LARGE_ROOTS, LARGE_ROOT_ITEMS).withColumn("_large", F.lit(True))
+    hashed = hashed.join(F.broadcast(large), root, "left")
+    slices = F.when(F.col("_large"), F.floor(F.col("_h") / 2**18)).otherwise(F.lit(0))
+    numbered = ordinals(hashed, ["_h", item], slices, by=[root], name="_pos").select(root, item, "_pos")
     sizes = numbered.groupBy(root).agg(F.max("_pos").alias("_n"))
     sized = lookup_join(rows.select(key, root), sizes, root, "inner", spread=[key])
     step = F.greatest(F.floor(F.col("_n") / k), F.lit(1))

@@ -28,13 +28,13 @@ def fits_broadcast(df: DataFrame) -> bool:
     return 0 <= estimate <= limit
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], top: int = HEAVY_KEYS) -> DataFrame:
-    """The ``top`` most frequent key combinations: never more than ``top`` rows.
+def heavy_keys(df: DataFrame, keys: Sequence[str], top: int = HEAVY_KEYS, min_rows: int = 1) -> DataFrame:
+    """The ``top`` most frequent key combinations of at least ``min_rows`` rows: never more than ``top`` rows.
 
     Counts are combined on the map side, so the key that owns most rows costs no more than others.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.orderBy(F.desc("_rows"), *keys).limit(top).select(*keys)
+    return counts.where(F.col("_rows") >= min_rows).orderBy(F.desc("_rows"), *keys).limit(top).select(*keys)
 
 
 def lookup_join(
@@ -140,6 +140,15 @@ def rolling_rows(
     )
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give an input of fewer partitions than cores one partition per core, before heavy work per row.
+
+    A large input already has more partitions than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor reaches: the cluster's checkpoint folder.
 

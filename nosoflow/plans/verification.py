@@ -33,7 +33,7 @@ def extensions(i: Inputs) -> DataFrame:
 
 
 def responses(i: Inputs) -> DataFrame:
-    return verify.read_responses(i("v_resp"))
+    return verify.read_responses(i.spread("v_resp"))
 
 
 def checked(i: Inputs) -> DataFrame:
@@ -92,9 +92,9 @@ def postcoord_labels(i: Inputs) -> DataFrame:
     return labels(i)
 
 
-# Verdicts on drawn codes: some refuse, some accept in other words, some are missing.
+# Verdicts on codes: some refuse, some accept in other words, some are empty or missing.
 KEYED = "keyed AS (SELECT id_crh AS id, min(code_cim11) AS code_racine FROM v_diag GROUP BY 1)"
-VERDICT = "CASE (id + length(code_postcoord)) % 5 WHEN 0 THEN 'NON' WHEN 1 THEN ' oui ' WHEN 2 THEN 'OUI' WHEN 3 THEN NULL ELSE 'PEUT-ETRE' END"
+VERDICT = """CASE right(code_postcoord, 1) WHEN '0' THEN 'NON' WHEN '1' THEN ' oui ' WHEN '2' THEN 'OUI' WHEN '4' THEN 'PEUT-ETRE' END"""
 KEPT = f"""{KEYED}, {DRAWN}, kept AS (SELECT * FROM drawn WHERE coalesce(upper(trim({VERDICT})), 'OUI') = 'OUI')"""
 
 
@@ -104,9 +104,8 @@ def drawn(i: Inputs) -> DataFrame:
 
 
 def kept(i: Inputs) -> DataFrame:
-    rows = drawn(i)
-    verdicts = rows.select("id", "code_postcoord", F.expr(VERDICT).alias("verdict"))
-    return lookup.apply_verdicts(rows, verdicts, ["id", "code_postcoord"])
+    verdicts = i("v_pc").where("right(code_postcoord, 1) < '8'").select("code_postcoord", F.expr(VERDICT).alias("verdict"))
+    return lookup.apply_verdicts(drawn(i), verdicts, ["code_postcoord"])
 
 
 @query(f"WITH {KEPT} SELECT id, code_postcoord FROM kept")

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nosoflow.operators.scaling import spread_small
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -162,4 +164,8 @@ class Inputs:
         text = text.replace("{", "{{").replace("}", "}}").replace("<<", "{").replace(">>", "}")
         return self.spark.sql(text, **frames)
 
+    def spread(self, name: str) -> DataFrame:
+        """A view for heavy work per row: a small file is spread over all cores."""
+        return spread_small(self.view(name))
+
     __call__ = view
