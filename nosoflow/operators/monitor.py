@@ -32,7 +32,7 @@ def request_counters(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def exact_latency(latency: Column) -> Column:
-    """Milliseconds as decimal, so that sums do not depend on the order of rows."""
+    """Milliseconds as decimal: sums do not depend on the order of rows, and halves round up."""
     return latency.cast("decimal(18,4)")
 
 
@@ -46,11 +46,11 @@ def rolling_metrics() -> dict[str, Column]:
 
 
 def finish_rolling(df: DataFrame) -> DataFrame:
-    mean = F.col("_sum").cast("double") / F.col("_n")
+    mean = F.col("_sum") / F.col("_n").cast("decimal(10,0)")
     return df.withColumns({
         "fenetre_glissante": F.col("_n"),
-        "latence_moyenne_ms": F.round(mean, 1),
-        "latence_p95_ms": F.round(nearest_rank(F.col("_values"), P95, P95_MIN).cast("double"), 1),
+        "latence_moyenne_ms": F.round(mean, 1).cast("double"),
+        "latence_p95_ms": F.round(nearest_rank(F.col("_values"), P95, P95_MIN), 1).cast("double"),
     }).drop("_n", "_sum", "_values", "_ms")
 
 

@@ -168,4 +168,7 @@ class Inputs:
         """A view for heavy work per row: a small file is spread over all cores."""
         return spread_small(self.view(name))
 
+    def spread_table(self, name: str) -> DataFrame:
+        return spread_small(self.table(name))
+
     __call__ = view
