@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nosoflow.functions.numbers import nearest_rank
 from nosoflow.functions.text import fingerprint
@@ -54,8 +55,12 @@ def finish_rolling(df: DataFrame) -> DataFrame:
     }).drop("_n", "_sum", "_values", "_ms")
 
 
-def time_bucket(ts: str, seconds: int = 60) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
+def minutes(df: DataFrame, ts: str) -> Column:
+    """Minute number of a timestamp, increasing with it whatever the session's time zone."""
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        day = F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+        return day * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return F.floor(F.unix_micros(F.col(ts)) / 60_000_000)
 
 
 def rolling_latency(
@@ -67,7 +72,7 @@ def rolling_latency(
     with a third of the traffic is spread over many tasks.
     """
     answered = predictions.where(~F.col("is_error")).withColumn("_ms", exact_latency(F.col(latency)))
-    numbered = ordinals(answered, [ts, event], time_bucket(ts), by=by, name="position")
+    numbered = ordinals(answered, [ts, event], minutes(answered, ts), by=by, name="position")
     return finish_rolling(rolling_rows(numbered, by, "position", rows, rolling_metrics()))
 
 

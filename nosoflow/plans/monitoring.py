@@ -29,7 +29,9 @@ def monitor_counters(i: Inputs) -> DataFrame:
 
 @query(HOURS)
 def hourly_counters(i: Inputs) -> DataFrame:
-    return monitor.request_counters(i("v_pred").withColumn("heure", F.date_trunc("hour", "ts").cast("timestamp_ntz")), ["heure", "model_id"])
+    zero = F.lit(0)
+    hour = F.make_timestamp_ntz(F.year("ts"), F.month("ts"), F.day("ts"), F.hour("ts"), zero, zero)
+    return monitor.request_counters(i("v_pred").withColumn("heure", hour), ["heure", "model_id"])
 
 
 @query(ROLLING)

@@ -36,10 +36,9 @@ def stream_counters(i: Inputs) -> DataFrame:
     out, state = jobs.work_folder(i.spark, "compteurs"), jobs.work_folder(i.spark, "etat")
     jobs.count_windows(predictions(i), out, state, "ts", ["model_id"], "1 hour", "10 minutes")
     windows = jobs.latest_windows(i.spark, out, ["model_id"])
-    start = F.timestamp_micros(F.unix_micros("debut"))
-    return windows.select(
-        F.to_timestamp_ntz(F.date_format(start, "yyyy-MM-dd HH:mm:ss")).alias("heure"), "model_id", "nb_requetes", "nb_erreurs",
-        "nb_anomalies_dp_manquant")
+    # the event times carry no zone and were read as UTC
+    hour = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_seconds(debut))")
+    return windows.select(hour.alias("heure"), "model_id", "nb_requetes", "nb_erreurs", "nb_anomalies_dp_manquant")
 
 
 @query(ROLLING)

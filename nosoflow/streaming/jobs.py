@@ -97,7 +97,7 @@ def roll_latency(
             both = fresh.unionByName(spark.read.parquet(batch_folder(tails, number - 1)).withColumn("_new", F.lit(False)))
         # a late row counts when it arrives, after the rows of earlier batches
         order = ["_new", ts, event]
-        slices = F.when(F.col("_new"), monitor.time_bucket(ts)).otherwise(F.lit(-(2**62)))
+        slices = F.when(F.col("_new"), monitor.minutes(both, ts)).otherwise(F.lit(-(2**62)))
         numbered = ordinals(both, order, slices, by=by, name="position")
         rolled = rolling_rows(numbered, by, "position", rows, monitor.rolling_metrics()).where("_new")
         monitor.finish_rolling(rolled).drop("_new", "position").write.mode("overwrite").parquet(batch_folder(out, number))
