@@ -10,7 +10,7 @@ from nosoflow.operators import terminology as t
 from nosoflow.plans.registry import query
 from nosoflow.plans.views import Inputs
 
-ORD = ["ord1", "ord2", "ord3", "ord4"]
+ORD = ["ord1", "ord2", "ord3", "ord4", "ord5"]
 
 # First row per code, shared by the oracles below.
 CODES = """codes AS (SELECT code, texte AS libelle, type, ord FROM (
@@ -34,7 +34,7 @@ def synonyms(i: Inputs, limit: int = 0) -> DataFrame:
     WITH codes AS (SELECT code, min(texte) AS libelle FROM (
         SELECT code, first_value(texte) OVER (PARTITION BY code ORDER BY ord) AS texte FROM v_term) GROUP BY code),
       icd AS (SELECT icd10, max_by(icd11, ord) AS icd11 FROM v_map10 GROUP BY icd10),
-      syn AS (SELECT m.icd11 AS code_cim11, ord1 || '-' || ord2 || '-' || ord3 || '-' || ord4 AS id_synonyme
+      syn AS (SELECT m.icd11 AS code_cim11, ord1 || '-' || ord2 || '-' || ord3 || '-' || ord4 || '-' || ord5 AS id_synonyme
         FROM v_syn s JOIN icd m ON m.icd10 = s.code WHERE s.ord4 % 25 = 3),
       diag AS (SELECT DISTINCT code_cim11, id_crh FROM v_diag WHERE type_diag = 'DP')
     SELECT c.code AS code_cim11, c.libelle, COUNT(DISTINCT s.id_synonyme) AS nb_synonymes,
@@ -114,7 +114,7 @@ def load_synonyms(i: Inputs) -> DataFrame:
 @query(f"""
     WITH {CODES}, {HALF}, {MAP}, {SYN},
       seq AS (SELECT code_cim11 IS NOT NULL AS ok, row_number() OVER w AS n,
-        count(code_cim11) OVER w AS kept FROM syn WINDOW w AS (ORDER BY ord1, ord2, ord3, ord4 ROWS UNBOUNDED PRECEDING)),
+        count(code_cim11) OVER w AS kept FROM syn WINDOW w AS (ORDER BY ord1, ord2, ord3, ord4, ord5 ROWS UNBOUNDED PRECEDING)),
       stop AS (SELECT min(n) AS n FROM seq WHERE kept = 1000)
     SELECT count(*) FILTER (ok) AS n_charges, count(*) FILTER (NOT ok) AS n_non_mappes
     FROM seq WHERE n <= (SELECT coalesce(n, 9223372036854775807) FROM stop)""")
@@ -125,7 +125,7 @@ def synonym_load_counts(i: Inputs) -> DataFrame:
 @query(f"""
     WITH {CODES}, {HALF}
     SELECT code_postcoord, code_racine, libelles_extensions FROM (
-      SELECT *, row_number() OVER (PARTITION BY code_postcoord ORDER BY ord1, ord2, ord3, ord4) AS rn
+      SELECT *, row_number() OVER (PARTITION BY code_postcoord ORDER BY ord1, ord2, ord3, ord4, ord5) AS rn
       FROM v_pc WHERE code_racine IN (SELECT code FROM half)) WHERE rn = 1""")
 def load_postcoord(i: Inputs) -> DataFrame:
     return t.load_postcoord(i("v_pc"), codes(i, 700), ORD)
@@ -143,7 +143,7 @@ def load_axes(i: Inputs) -> DataFrame:
 DICTIONARY = """dico AS (
   SELECT synonyme, min_by(code, k) AS code, string_agg(source, ' / ' ORDER BY k) AS source FROM (
     SELECT synonyme, source, min(k) AS k, min_by(code, k) AS code FROM (
-      SELECT *, row_number() OVER (ORDER BY ord1, ord2, ord3, ord4) AS k FROM v_syn WHERE code IS NOT NULL)
+      SELECT *, row_number() OVER (ORDER BY ord1, ord2, ord3, ord4, ord5) AS k FROM v_syn WHERE code IS NOT NULL)
     GROUP BY synonyme, source) GROUP BY synonyme)"""
 
 

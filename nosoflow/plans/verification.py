@@ -56,7 +56,7 @@ def rejected_codes(i: Inputs) -> DataFrame:
 
 
 @query(f"""WITH {EXTENSIONS}, {CHECKED}, t AS (SELECT {K}, count(*) AS n, count(*) FILTER (inconnus IS NULL) AS ok FROM checked GROUP BY ALL)
-    SELECT r.ord1, r.ord2, r.ord3, r.ord4, r.root AS code_racine, CASE WHEN r.c IS NULL THEN 'réponse vide ou malformée'
+    SELECT r.ord1, r.ord2, r.ord3, r.ord4, r.ord5, r.root AS code_racine, CASE WHEN r.c IS NULL THEN 'réponse vide ou malformée'
       WHEN t.n IS NULL THEN 'aucun code extrait' ELSE 'tous les codes hallucinés' END AS erreur
     FROM resp r LEFT JOIN t USING ({K}) WHERE r.c IS NULL OR coalesce(t.ok, 0) = 0""")
 def response_errors(i: Inputs) -> DataFrame:
@@ -79,7 +79,7 @@ def rejection_rate(i: Inputs) -> DataFrame:
 
 LABELS = """labels AS (SELECT code_postcoord, CASE WHEN trim(coalesce(e, '')) <> '' THEN texte || ' - ' || e ELSE texte END AS libelle FROM (
     SELECT v.code_postcoord, v.libelles_extensions AS e, t.texte, row_number() OVER (PARTITION BY v.code_postcoord
-      ORDER BY ord1, ord2, ord3, ord4) AS rn FROM v_pc v JOIN v_term t ON t.ord = v.ord3) WHERE rn = 1)"""
+      ORDER BY ord1, ord2, ord3, ord4, ord5) AS rn FROM v_pc v JOIN v_term t ON t.ord = v.ord3) WHERE rn = 1)"""
 
 
 def labels(i: Inputs) -> DataFrame:

@@ -38,7 +38,7 @@ _EXTENSIONS = (
     "'&X' || lpad(CAST(l_suppkey % 100 AS STRING), 2, '0') || CASE WHEN l_linenumber % 2 = 0"
     " THEN '&X' || lpad(CAST(CAST(l_quantity AS INT) AS STRING), 2, '0') ELSE '' END"
 )
-_ORD = "l_orderkey AS ord1, l_linenumber AS ord2, l_partkey AS ord3, l_suppkey AS ord4"
+_ORD = "l_orderkey AS ord1, l_linenumber AS ord2, l_partkey AS ord3, l_suppkey AS ord4, l_extendedprice AS ord5"
 _QUOTE = "chr(92) || chr(34)"
 
 VIEWS = {
@@ -92,7 +92,7 @@ VIEWS = {
           (event_type = 'view' AND value < 10) AS dp_missing, 'texte ' || props AS texte FROM events""",
     "v_message": "SELECT conv_id, turn, role, text AS content FROM conversations",
     "v_resp": f"""
-        SELECT ord1, ord2, ord3, ord4, CASE
+        SELECT ord1, ord2, ord3, ord4, ord5, CASE
           WHEN k % 97 = 0 THEN '{{"custom_id": "' || root || '", coupé'
           WHEN k % 89 = 0 THEN '{{"custom_id": "' || root || '", "response": {{"body": {{"choices": []}}}}}}'
           WHEN k % 83 = 0 THEN '{{"custom_id": "' || root || '", "response": {{"body": {{"choices": [{{"message": {{"content": "rien à proposer"}}}}]}}}}}}'

@@ -88,21 +88,23 @@ def roll_latency(
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        keep = [*by, ts, event, "_ms"]
-        fresh = batch.where(~F.col("is_error")).withColumn("_ms", monitor.exact_latency(F.col(latency))).select(*keep)
-        fresh = fresh.withColumn("_new", F.lit(True))
-        both = fresh
+        keep = [*by, ts, event, "_ms", "_arrival"]
+        fresh = batch.where(~F.col("is_error")).withColumns({
+            "_ms": monitor.exact_latency(F.col(latency)), "_arrival": F.lit(0).cast("bigint")})
+        both = fresh.select(*keep).withColumn("_new", F.lit(True))
         if number > 0:
-            both = fresh.unionByName(spark.read.parquet(batch_folder(tails, number - 1)).withColumn("_new", F.lit(False)))
-        # a late row counts when it arrives, after the rows of earlier batches
-        order = ["_new", ts, event]
+            tail = batch.sparkSession.read.parquet(batch_folder(tails, number - 1))
+            both = both.unionByName(tail.select(*keep).withColumn("_new", F.lit(False)))
+        # the tail comes first, in the order in which it was counted; a late row counts when it arrives
         slices = F.when(F.col("_new"), monitor.minutes(both, ts)).otherwise(F.lit(-(2**62)))
-        numbered = ordinals(both, order, slices, by=by, name="position")
+        order = ["_new", "_arrival", ts, event]
+        numbered = ordinals(both, order, slices, by=by, name="position").persist()
         rolled = rolling_rows(numbered, by, "position", rows, monitor.rolling_metrics()).where("_new")
-        monitor.finish_rolling(rolled).drop("_new", "position").write.mode("overwrite").parquet(batch_folder(out, number))
-        newest = [F.desc("_new"), F.desc(ts), F.desc(event)]
-        first_per_key(both, by, newest, rows - 1).select(*keep).write.mode("overwrite").parquet(batch_folder(tails, number))
+        result = monitor.finish_rolling(rolled).drop("_new", "_arrival", "position")
+        result.write.mode("overwrite").parquet(batch_folder(out, number))
+        last = first_per_key(numbered, by, [F.desc("position")], rows - 1)
+        last.withColumn("_arrival", F.col("position")).select(*keep).write.mode("overwrite").parquet(batch_folder(tails, number))
+        numbered.unpersist()
 
     return run_batches(predictions, checkpoint, step)
 
