@@ -58,11 +58,13 @@ def draw_for_rows(
     hashed = hashed.join(F.broadcast(large), root, "left")
     slices = F.when(F.col("_large"), F.floor(F.col("_h") / 2**18)).otherwise(F.lit(0))
     numbered = ordinals(hashed, ["_h", item], slices, by=[root], name="_pos").select(root, item, "_pos")
-    sizes = numbered.groupBy(root).agg(F.max("_pos").alias("_n"))
+    sizes = candidates.select(root, item).distinct().groupBy(root).agg(F.count(F.lit(1)).alias("_n"))
     sized = lookup_join(rows.select(key, root), sizes, root, "inner", spread=[key])
     step = F.greatest(F.floor(F.col("_n") / k), F.lit(1))
     start = F.pmod(hash_number(seed, key), F.col("_n"))
     last = F.least(F.lit(k).cast("bigint"), F.col("_n")) - 1
     spots = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: F.pmod(start + i * step, F.col("_n")) + 1)
     placed = sized.select(key, root, F.explode(spots).alias("_pos"))
-    return lookup_join(placed, numbered, [root, "_pos"], "inner", spread=[key]).select(key, root, item)
+    # a spot is frequent only where a frequent root has few items: the first spots of the frequent roots
+    first_spots = rows.select(root, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(k).cast("bigint"))).alias("_pos"))
+    return lookup_join(placed, numbered, [root, "_pos"], "inner", spread=[key], keys_from=first_spots).select(key, root, item)

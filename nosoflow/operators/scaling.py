@@ -38,7 +38,8 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], top: int = HEAVY_KEYS, min_ro
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left", spread: Sequence[str] | None = None
+    facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left", spread: Sequence[str] | None = None,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join of a large, possibly skewed side with a lookup side.
 
@@ -47,12 +48,13 @@ def lookup_join(
     ``HEAVY_KEYS`` most frequent keys of ``facts`` (and null keys, which match nothing) are
     spread over several salts, and only their lookup rows are repeated, so the repeated
     volume is bounded whatever the data size. Salts come from the row's own values
-    (``spread``, by default all columns off the key), so a retried task salts alike.
+    (``spread``, by default all columns off the key), so a retried task salts alike. Heavy keys
+    are counted on ``keys_from``, a cheaper table with the same keys, where ``facts`` is costly to read twice.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(lookup):
         return facts.join(F.broadcast(lookup), keys, how)
-    salted, hot = salt_facts(facts, keys, spread)
+    salted, hot = salt_facts(facts, keys, spread, keys_from)
     return salted.join(repeat_lookup(lookup, keys, hot), [*keys, "_salt"], how).drop("_salt")
 
 
@@ -60,9 +62,11 @@ def _salts(spark: SparkSession) -> int:
     return min(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def salt_facts(facts: DataFrame, keys: Sequence[str], spread: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def salt_facts(
+    facts: DataFrame, keys: Sequence[str], spread: Sequence[str] | None = None, keys_from: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``facts`` with ``_salt``, spread over many values for heavy and null keys, and the heavy keys (few rows)."""
-    hot = heavy_keys(facts, keys).withColumn("_hot", F.lit(True))
+    hot = heavy_keys(facts if keys_from is None else keys_from, keys).withColumn("_hot", F.lit(True))
     spread = list(spread or [c for c in facts.columns if c not in keys] or keys)
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salt = F.pmod(F.xxhash64(*spread), F.lit(_salts(facts.sparkSession)))

@@ -100,8 +100,8 @@ def well_documented_codes(
     """Codes that are a main diagnosis and have synonyms and post-coordinated codes.
 
     Every side is reduced to one row per code before joining, so synonyms are never
-    multiplied by post-coordinated codes and reports. Report texts are read only for
-    the rows of the final ranking.
+    multiplied by post-coordinated codes and reports. Texts are joined last, to the reports
+    of the ranked codes only.
     """
     n_syn = synonyms.groupBy("code_cim11").agg(F.count(F.lit(1)).alias("nb_synonymes"))
     n_pc = postcoord.groupBy(F.col("code_racine").alias("code_cim11")).agg(

@@ -30,13 +30,15 @@ def read_responses(lines: DataFrame) -> DataFrame:
         *rest, F.coalesce("custom_id", F.lit("")).alias("custom_id"), answer_content(F.col("_response")).alias("contenu"))
 
 
-def check_codes(responses: DataFrame, key: Sequence[str], roots: DataFrame, extensions: DataFrame) -> DataFrame:
-    """One row per code written in a response, with its unknown segments.
+def check_codes(
+    responses: DataFrame, key: Sequence[str], roots: DataFrame, extensions: DataFrame, with_labels: bool = False
+) -> DataFrame:
+    """One row per code written in a response, with its unknown segments and, if asked, its extension labels.
 
     The first segment must be a root; later ones an extension or a root. ``roots`` and
     ``extensions`` have ``code``. Columns: key, ``custom_id``, ``rang``, ``code_postcoord``,
-    ``inconnus`` (array, empty when valid). The segments of a code are regrouped by the code's own
-    row, so a list never exceeds the code's length.
+    ``inconnus`` (array, empty when valid), ``libelles_extensions``. Responses are read once; the segments of
+    a code are regrouped by the code's own row, so a list never exceeds the code's length.
     """
     codes = responses.select(*key, "custom_id", F.posexplode(scan_codes(F.col("contenu"))).alias("rang", "code_postcoord"))
     parts = codes.select(*key, "custom_id", "rang", "code_postcoord", F.posexplode(segments(F.col("code_postcoord"))).alias("_pos", "segment"))
@@ -46,8 +48,24 @@ def check_codes(responses: DataFrame, key: Sequence[str], roots: DataFrame, exte
     looked = lookup_join(parts, known, "segment", "left")
     valid = F.when(F.col("_pos") == 0, F.coalesce(F.col("_root"), F.lit(False))).otherwise(F.col("_root").isNotNull())
     unknown = F.when(~valid, F.struct("_pos", "segment"))
-    return looked.groupBy(*key, "custom_id", "rang", "code_postcoord").agg(
-        F.transform(F.array_sort(F.collect_list(unknown)), lambda s: s["segment"]).alias("inconnus"))
+    lists = [F.transform(F.array_sort(F.collect_list(unknown)), lambda s: s["segment"]).alias("inconnus")]
+    if with_labels:
+        looked = _with_segment_label(looked, "segment", extensions)
+        lists.append(_label_list("segment").alias("libelles_extensions"))
+    return looked.groupBy(*key, "custom_id", "rang", "code_postcoord").agg(*lists)
+
+
+def _with_segment_label(parts: DataFrame, segment: str, labels: DataFrame) -> DataFrame:
+    """Label of a segment, looked up on the part before ``=``."""
+    keyed = parts.withColumn("_code", F.substring_index(segment, "=", 1))
+    return lookup_join(keyed, labels.select(F.col("code").alias("_code"), F.col("libelle").alias("_label")), "_code", "left")
+
+
+def _label_list(segment: str) -> Column:
+    """``ext : label`` of the segments after the first, joined by `` | ``; the bare extension when unlabelled."""
+    shown = F.when(F.coalesce("_label", F.lit("")) == "", F.col(segment)).otherwise(F.concat_ws(" : ", segment, "_label"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("_pos") > 0, F.struct("_pos", shown.alias("_shown")))))
+    return F.array_join(F.transform(ordered, lambda s: s["_shown"]), " | ")
 
 
 def accepted_codes(checked: DataFrame) -> DataFrame:
@@ -74,26 +92,18 @@ def response_errors(responses: DataFrame, checked: DataFrame, key: Sequence[str]
 
 
 def extension_labels(codes: DataFrame, key: Sequence[str], labels: DataFrame) -> DataFrame:
-    """Add ``libelles_extensions``: ``ext : label`` joined by `` | ``, the bare extension when unlabelled.
+    """Add ``libelles_extensions`` to codes that are already accepted; ``key`` identifies the row."""
+    parts = codes.select(*codes.columns, F.posexplode(F.split("code_postcoord", "&")).alias("_pos", "_segment"))
+    named = _with_segment_label(parts, "_segment", labels)
+    kept = [c for c in codes.columns if c not in key]
+    return named.groupBy(*key).agg(
+        *[F.any_value(c).alias(c) for c in kept], _label_list("_segment").alias("libelles_extensions"))
 
-    The label is looked up on the part before ``=``.
-    """
-    parts = codes.select(*key, F.posexplode(F.split("code_postcoord", "&")).alias("_pos", "_ext")).where(F.col("_pos") > 0)
-    keyed = parts.withColumn("_code", F.substring_index("_ext", "=", 1))
-    named = lookup_join(keyed, labels.select(F.col("code").alias("_code"), F.col("libelle").alias("_label")), "_code", "left")
-    shown = F.when(F.coalesce("_label", F.lit("")) == "", F.col("_ext")).otherwise(F.concat_ws(" : ", "_ext", "_label"))
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", shown.alias("_shown"))))
-    joined = named.groupBy(*key).agg(
-        F.array_join(F.transform(ordered, lambda s: s["_shown"]), " | ").alias("libelles_extensions"))
-    return codes.join(joined, list(key), "left").withColumn(
-        "libelles_extensions", F.coalesce("libelles_extensions", F.lit("")))
-
-
-def labelled_codes(codes: DataFrame, key: Sequence[str], roots: DataFrame, extensions: DataFrame) -> DataFrame:
-    """Accepted codes with root and extension labels; ``custom_id`` is the root."""
-    with_ext = extension_labels(codes, key, extensions)
+
+def labelled_codes(accepted: DataFrame, roots: DataFrame) -> DataFrame:
+    """Accepted codes, checked with their labels, and the label of their root; ``custom_id`` is the root."""
     root_labels = roots.select(F.col("code").alias("custom_id"), F.col("libelle").alias("libelle_racine"))
-    named = lookup_join(with_ext, root_labels, "custom_id", "left")
+    named = lookup_join(accepted, root_labels, "custom_id", "left")
     return named.select(
         F.col("custom_id").alias("code_racine"), F.coalesce("libelle_racine", F.lit("")).alias("libelle_racine"),
         "code_postcoord", "libelles_extensions")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nosoflow.operators import quality, relational
 from nosoflow.operators import terminology as t
+from nosoflow.operators.scaling import lookup_join
 from nosoflow.plans.registry import query
 from nosoflow.plans.views import Inputs
 
@@ -92,8 +93,15 @@ def code_page(i: Inputs) -> DataFrame:
 def code_detail(i: Inputs) -> DataFrame:
     wanted = i("v_term").where(F.col("ord") == 12).select("code")
     unknown = wanted.select(F.lit("INCONNU").alias("code"))
-    postcoord = t.load_postcoord(i("v_pc"), codes(i), ORD)
-    return t.code_detail(wanted.unionByName(unknown), codes(i), synonyms(i), postcoord)
+    wanted = wanted.unionByName(unknown)
+
+    def only_wanted(table: DataFrame) -> DataFrame:
+        return lookup_join(table, wanted, "code", "left_semi")
+
+    # child tables are read for the wanted codes only
+    syn = t.load_synonyms(i("v_syn"), t.icd_map(i("v_map10"), ["ord"]), only_wanted(codes(i, 700)), ORD)
+    postcoord = t.load_postcoord(i("v_pc"), only_wanted(codes(i)), ORD)
+    return t.code_detail(wanted, codes(i), syn, postcoord)
 
 
 @query(f"WITH {CODES} SELECT code, libelle, type FROM codes")

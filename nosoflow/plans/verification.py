@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nosoflow.operators import lookup, prompts, relational, sampling, verify
+from nosoflow.operators.scaling import cut_lineage
 from nosoflow.plans.registry import query
 from nosoflow.plans.sampling import DRAWN
 from nosoflow.plans.terminology import CODES, ORD, codes
@@ -46,7 +47,8 @@ def checked(i: Inputs) -> DataFrame:
     SELECT k.root AS code_racine, coalesce(c.libelle, '') AS libelle_racine, k.code AS code_postcoord, coalesce(lab.l, '') AS libelles_extensions
     FROM checked k LEFT JOIN lab USING ({K}, rang) LEFT JOIN codes c ON c.code = k.root WHERE k.inconnus IS NULL""")
 def verify_codes(i: Inputs) -> DataFrame:
-    return verify.labelled_codes(verify.accepted_codes(checked(i)), [*ORD, "rang"], codes(i), extensions(i))
+    labelled = verify.check_codes(responses(i), ORD, codes(i), extensions(i), with_labels=True)
+    return verify.labelled_codes(verify.accepted_codes(labelled), codes(i))
 
 
 @query(f"""WITH {EXTENSIONS}, {CHECKED} SELECT root AS code_racine, code AS code_postcoord, inconnus AS codes_inconnus
@@ -94,17 +96,19 @@ def postcoord_labels(i: Inputs) -> DataFrame:
 
 # Verdicts on codes: some refuse, some accept in other words, some are empty or missing.
 KEYED = "keyed AS (SELECT id_crh AS id, min(code_cim11) AS code_racine FROM v_diag GROUP BY 1)"
-VERDICT = """CASE right(code_postcoord, 1) WHEN '0' THEN 'NON' WHEN '1' THEN ' oui ' WHEN '2' THEN 'OUI' WHEN '4' THEN 'PEUT-ETRE' END"""
-KEPT = f"""{KEYED}, {DRAWN}, kept AS (SELECT * FROM drawn WHERE coalesce(upper(trim({VERDICT})), 'OUI') = 'OUI')"""
+VERDICT = "CASE ord4 % 50 WHEN 0 THEN 'NON' WHEN 1 THEN ' oui ' WHEN 2 THEN 'OUI' WHEN 4 THEN 'PEUT-ETRE' END"
+KEPT = f"""{KEYED}, {DRAWN}, kept AS (SELECT * FROM drawn WHERE code_postcoord NOT IN (
+    SELECT code_postcoord FROM v_pc WHERE upper(trim({VERDICT})) <> 'OUI'))"""
 
 
 def drawn(i: Inputs) -> DataFrame:
+    """Drawn codes, kept as a table of their own: verdicts on them come back later."""
     keyed = i("v_diag").groupBy("id_crh").agg(F.min("code_cim11")).toDF("id", "code_racine")
-    return sampling.draw_for_rows(keyed, "id", "code_racine", i("v_pc"), "code_postcoord", 5, 5)
+    return cut_lineage(sampling.draw_for_rows(keyed, "id", "code_racine", i("v_pc"), "code_postcoord", 5, 5))
 
 
 def kept(i: Inputs) -> DataFrame:
-    verdicts = i("v_pc").where("right(code_postcoord, 1) < '8'").select("code_postcoord", F.expr(VERDICT).alias("verdict"))
+    verdicts = i("v_pc").where("ord4 % 50 < 8").select("code_postcoord", F.expr(VERDICT).alias("verdict"))
     return lookup.apply_verdicts(drawn(i), verdicts, ["code_postcoord"])
 
 

@@ -66,9 +66,13 @@ def number_lines(lines: DataFrame, start: int = 0) -> DataFrame:
     keyed = lines.select("brut", F.col("ord.fichier").alias("fichier"), F.col("ord.debut").alias("debut"),
                          F.col("ord.ligne").alias("ligne"))
     blocks = keyed.groupBy("fichier", "debut").agg(F.min("ligne").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("fichier", "debut").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("fichier", "debut", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # one row per file block, the same rows as the scan has blocks
+    files = blocks.groupBy("fichier").agg(F.sum("_n").alias("_file_n"))
+    earlier_files = Window.orderBy("fichier").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = files.select("fichier", F.coalesce(F.sum("_file_n").over(earlier_files), F.lit(0)).alias("_before_file"))
+    earlier_blocks = Window.partitionBy("fichier").orderBy("debut").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.join(files, "fichier").select(
+        "fichier", "debut", "_first",
+        (F.col("_before_file") + F.coalesce(F.sum("_n").over(earlier_blocks), F.lit(0))).alias("_before"))
     return keyed.join(offsets, ["fichier", "debut"]).select(
         (F.col("_before") + F.col("ligne") - F.col("_first") + start).alias("num"), "brut")
 

@@ -27,7 +27,8 @@ def test_checks(spark):
     assert rejected == {"A1&XA13Z": "XA13Z", "ZZ&X1&Q9": "ZZ|Q9", "A1&X1=3": "X1=3"}
     errors = {r.num: r.erreur for r in verify.response_errors(responses, checked, ["num"]).collect()}
     assert errors == {1: verify.ALL_REJECTED, 2: verify.NO_CODE, 3: verify.EMPTY_RESPONSE, 5: verify.EMPTY_RESPONSE, 6: verify.ALL_REJECTED}
-    named = verify.labelled_codes(verify.accepted_codes(checked), ["num", "rang"], roots, ext)
+    labelled = verify.check_codes(responses, ["num"], roots, ext, with_labels=True)
+    named = verify.labelled_codes(verify.accepted_codes(labelled), roots)
     assert sorted(tuple(r) for r in named.collect()) == [("A1", "un", "A1&B2", "B2"), ("A1", "un", "A1&X1", "X1 : gauche")]
     assert tuple(verify.rejection_rate(checked).first()) == (2, 3, 1, 60.0, 2.0)
     assert [tuple(r) for r in verify.top_unknown(verify.rejected_codes(checked), 2).collect()] == [("Q9", 1), ("X1=3", 1)]
