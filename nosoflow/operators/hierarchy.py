@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nosoflow.functions.numbers import BIG, product, subsets
 from nosoflow.functions.text import https, last_segment
 from nosoflow.operators.relational import first_per_key
-from nosoflow.operators.scaling import concat_all, cut_lineage, lookup_join, ordinals, repeat_lookup, salt_facts
+from nosoflow.operators.scaling import concat_all, cut_lineage, lookup_join, repeat_lookup, salt_facts
 
 # Node visits of a climb, values above which an axis is too large, axes never counted.
 MAX_VISITS = 15
@@ -90,11 +90,9 @@ def descendants(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     return lookup_join(concat_all(reached), nodes.select("id", "code"), "id", "left", spread=["start_id"])
 
 
-def chapter_labels(nodes: DataFrame, edges: DataFrame, root) -> DataFrame:
-    """Children of the root in order of ``child``, labelled ``NN - title``."""
-    children = edges.where(F.col("parent") == F.lit(root)).select(F.col("child").alias("id"))
-    numbered = ordinals(children, ["id"], F.floor(F.col("id") / 1_000_000))
-    titled = numbered.join(nodes.select("id", "title"), "id", "left")
+def chapter_labels(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Label ``NN - title`` of the root's children. ``ranked`` has ``id`` and its rank ``pos`` from one."""
+    titled = ranked.join(nodes.select("id", "title"), "id", "left")
     default = F.concat(F.lit("Chapitre "), F.col("pos").cast("string"))
     return titled.select("id", F.format_string("%02d - %s", "pos", F.coalesce("title", default)).alias("chapitre"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nosoflow.operators import hierarchy as h
 from nosoflow.operators import prompts
+from nosoflow.operators.scaling import ordinals
 from nosoflow.plans.registry import query
 from nosoflow.plans.views import Inputs
 
@@ -40,7 +41,8 @@ def sizes(i: Inputs) -> DataFrame:
 
 
 def chapter(i: Inputs, visits: int = h.MAX_VISITS) -> DataFrame:
-    labels = h.chapter_labels(i("v_node"), edges(i), 0)
+    children = edges(i).where("parent = 0").select(F.col("child").alias("id"))
+    labels = h.chapter_labels(ordinals(children, ["id"], F.floor(F.col("id") / 1_000_000)), i("v_node"))
     return h.chapters(i("v_node"), edges(i), labels, visits)
 
 

@@ -120,3 +120,10 @@ def first_parents(nodes: DataFrame) -> DataFrame:
     """``child``, ``parent``: the first parent of each node that has one."""
     return nodes.where(F.size("parent") > 0).select(
         https(F.col("uri")).alias("child"), https(F.col("parent")[0]).alias("parent"))
+
+
+def ranked_children(nodes: DataFrame, root: str) -> DataFrame:
+    """``id``, ``pos`` (from one): children of one node in the order of its document."""
+    node = nodes.where(https(F.col("uri")) == F.lit(root).cast("string"))
+    return node.select(F.posexplode("child").alias("_p", "child")).select(
+        https(F.col("child")).alias("id"), (F.col("_p") + 1).cast("bigint").alias("pos"))
