@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nosoflow.functions.replies import main_diagnosis
 from nosoflow.functions.text import strip
-from nosoflow.operators.scaling import lookup_join
+from nosoflow.operators.scaling import cut_lineage, lookup_join
 
 # Roles of an example in order, shortest report, gate thresholds.
 EXPECTED_ROLES = ("system", "user", "assistant")
@@ -38,21 +38,22 @@ def corpus_errors(examples: DataFrame, min_examples: int = 0) -> DataFrame:
     ``examples`` comes from ``parse_examples``: ``num``, ``json_ok``, ``messages_ok``, ``messages``. A line that
     breaks R1 or R2 is not tested further. Copies are found by the smallest line number per
     report hash, then joined back on the line number, which is unique: a report copied into a
-    third of the corpus never meets in one task.
+    third of the corpus never meets in one task. The outcome of the tests, a few flags and a hash per
+    line, is checkpointed: the corpus itself is read and parsed once.
     """
     # a key that is present but is no list of messages has the wrong roles
     messages = F.coalesce("messages", F.array())
     roles = F.transform(messages, lambda m: m["role"])
     expected = F.array(*[F.lit(r) for r in EXPECTED_ROLES])
     report = strip(_last(messages, "user"))
-    checked = examples.select(
+    checked = cut_lineage(examples.select(
         "num",
         (F.col("json_ok") & F.col("messages_ok")).alias("r1"),
         F.coalesce(roles == expected, F.lit(False)).alias("r2"),
         (F.length(report) >= MIN_REPORT).alias("r3"),
         main_diagnosis(_last(messages, "assistant")).isNotNull().alias("r4"),
         F.sha2(report, 256).alias("empreinte"),
-    )
+    ))
     passed = checked.where(F.col("r1") & F.col("r2"))
     firsts = passed.groupBy("empreinte").agg(F.min("num").alias("num")).select("num", F.lit(True).alias("premier"))
     rows = checked.drop("empreinte").join(firsts, "num", "left")
@@ -60,7 +61,7 @@ def corpus_errors(examples: DataFrame, min_examples: int = 0) -> DataFrame:
     content = F.array_compact(F.array(
         F.when(~F.col("r3"), F.lit("R3")), F.when(~F.col("r4"), F.lit("R4")), F.when(F.col("premier").isNull(), F.lit("R5"))))
     errors = rows.select("num", F.explode(F.coalesce(structure, content)).alias("regle"))
-    small = examples.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < min_examples)
+    small = checked.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < min_examples)
     errors = errors.unionByName(small.select(F.lit(None).cast("bigint").alias("num"), F.lit("MIN").alias("regle")))
     names = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])
     return errors.withColumn("message", names[F.col("regle")])
