@@ -7,13 +7,15 @@ stays short and a lost executor costs one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nosoflow.functions.numbers import BIG, product, subsets
 from nosoflow.functions.text import https, last_segment
 from nosoflow.operators.relational import first_per_key
-from nosoflow.operators.scaling import concat_all, cut_lineage, lookup_join, repeat_lookup, salt_facts
+from nosoflow.operators.scaling import concat_all, cut_lineage, lookup_join, rows_fit_broadcast
 
 # Node visits of a climb, values above which an axis is too large, axes never counted.
 MAX_VISITS = 15
@@ -21,9 +23,6 @@ MAX_AXIS_VALUES = 5000
 ALTERNATIVE_AXIS = "hasAlternative"
 UNKNOWN_CHAPTER = "Chapitre inconnu"
 
-# Frontiers up to this many rows (two short columns, a few MB) are broadcast.
-BROADCAST_ROWS = 100_000
-
 
 def leaf_codes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Coded nodes without children."""
@@ -53,41 +52,79 @@ def axes_of_nodes(nodes: DataFrame) -> DataFrame:
 class _Links:
     """Edges (``id`` → ``child``) kept ready for repeated joins with a frontier.
 
-    A frontier of few rows, counted on its checkpoint, is broadcast. A larger one is joined on the
-    salted key; the edges' heavy parents are found and salted once, not in every round.
+    A frontier within the broadcast limit, counted on its checkpoint, is broadcast. A larger one is shuffled; adaptive execution cuts frequent parents.
     """
 
     def __init__(self, links: DataFrame):
         self.links = cut_lineage(links)
-        self.salted = None
 
     def step(self, frontier: DataFrame, rows: int) -> DataFrame:
-        if rows <= BROADCAST_ROWS:
-            return self.links.join(F.broadcast(frontier), "id")
-        if self.salted is None:
-            salted, hot = salt_facts(self.links, ["id"], ["child"])
-            self.hot = cut_lineage(hot)
-            self.salted = cut_lineage(salted)
-        return self.salted.join(repeat_lookup(frontier, ["id"], self.hot), ["id", "_salt"]).drop("_salt")
+        small = rows_fit_broadcast(self.links.sparkSession, rows)
+        return self.links.join(F.broadcast(frontier) if small else frontier, "id")
 
 
-def descendants(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """All nodes reachable from each distinct start, the start included, each once.
+def reach(starts: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All nodes reachable from each distinct start, the start included, each once; and the starts given up.
 
-    Columns ``start_id``, ``id``, ``code``. Loops in the data are harmless: a pair already
-    reached is never expanded again.
+    The first table has ``start_id``, ``id``, ``code``. Loops in the data are harmless: a pair already reached is never expanded again. A start with more
+    than ``limit`` coded nodes is not expanded further: it is in the second table (``start_id``) and not in the first.
     """
     present = nodes.select("id")
     first = starts.select(F.col("start_id").alias("id")).distinct().join(present, "id", "left_semi")
     known_child = present.withColumnRenamed("id", "child")
     links = _Links(edges.select(F.col("parent").alias("id"), "child").distinct().join(known_child, "child", "left_semi"))
-    frontier = cut_lineage(first.select(F.col("id").alias("start_id"), "id"))
-    reached = [frontier]
+    coded = nodes.select("id", "code")
+    frontier = cut_lineage(lookup_join(first.select(F.col("id").alias("start_id"), "id"), coded, "id", "left"))
+    reached, given_up = frontier, None
     while rows := frontier.count():
-        step = links.step(frontier, rows).select("start_id", F.col("child").alias("id")).distinct()
-        frontier = cut_lineage(step.join(concat_all(reached), ["start_id", "id"], "left_anti"))
-        reached.append(frontier)
-    return lookup_join(concat_all(reached), nodes.select("id", "code"), "id", "left", spread=["start_id"])
+        if limit is not None:
+            counts = reached.groupBy("start_id").agg(F.count("code").alias("n"))
+            given_up = cut_lineage(counts.where(F.col("n") > limit).select("start_id"))
+            frontier = lookup_join(frontier, given_up, "start_id", "left_anti")
+        step = links.step(frontier.select("start_id", "id"), rows).select("start_id", F.col("child").alias("id")).distinct()
+        new = step.join(reached.select("start_id", "id"), ["start_id", "id"], "left_anti")
+        frontier = cut_lineage(lookup_join(new, coded, "id", "left"))
+        reached = reached.unionByName(frontier)
+    if given_up is None:
+        return reached.select("start_id", "id", "code"), first.select(F.col("id").alias("start_id")).limit(0)
+    return lookup_join(reached, given_up, "start_id", "left_anti").select("start_id", "id", "code"), given_up
+
+
+def descendants(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """All nodes reachable from each distinct start, of any number: ``start_id``, ``id``, ``code``."""
+    return reach(starts, nodes, edges)[0]
+
+
+@dataclass(frozen=True)
+class Countable:
+    """Axes of the roots that can be counted, the sizes of these axes, the values reached, and the roots that cannot."""
+
+    axes: DataFrame
+    sizes: DataFrame
+    reached: DataFrame
+    impossible: DataFrame
+
+
+def countable_axes(axes: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = MAX_AXIS_VALUES) -> Countable:
+    """Drop the roots with an axis above ``limit`` before any value, pair or product of theirs is built.
+
+    Starts are resolved once for all axes that share them. An axis of one start has its start's size; only those of several starts
+    are counted by their distinct values, of which each start has ``limit`` at most.
+    """
+    reached, given_up = reach(axes, nodes, edges, limit)
+    doomed = lookup_join(axes.select("root", "start_id"), given_up, "start_id", "left_semi").select("root").distinct()
+    left = lookup_join(axes.select("root", "axe", "allow_multiple", "start_id").distinct(), doomed, "root", "left_anti")
+    starts = left.groupBy("root", "axe").agg(F.count_distinct("start_id").alias("_starts"))
+    left = cut_lineage(left.join(starts, ["root", "axe"]))
+    per_start = reached.groupBy("start_id").agg(F.count("code").alias("n"))
+    single = lookup_join(left.where("_starts <= 1"), per_start, "start_id", "left").select(
+        "root", "axe", "allow_multiple", F.coalesce("n", F.lit(0)).alias("n"))
+    several = left.where("_starts > 1").drop("_starts")
+    sizes = cut_lineage(single.unionByName(axis_sizes(several, axis_values(several, reached))))
+    oversize = oversize_roots(sizes, limit).select("root")
+    return Countable(
+        lookup_join(left.drop("_starts"), oversize, "root", "left_anti"), lookup_join(sizes, oversize, "root", "left_anti"), reached,
+        doomed.union(oversize).distinct())
 
 
 def chapter_labels(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -127,7 +164,7 @@ def axis_values(axes: DataFrame, reached: DataFrame, prefix: str | None = None)
     values = reached.where(F.col("code").isNotNull())
     if prefix:
         values = values.where(F.startswith(F.col("code"), F.lit(prefix)))
-    pairs = lookup_join(values, axes.select("root", "axe", "allow_multiple", "start_id"), "start_id", "inner", spread=["id"])
+    pairs = lookup_join(values, axes.select("root", "axe", "allow_multiple", "start_id"), "start_id", "inner")
     return pairs.select("root", "axe", "allow_multiple", "id", "code").distinct()
 
 
@@ -178,7 +215,7 @@ def root_summary(roots: DataFrame, pairs: DataFrame, combos: DataFrame, chapter:
     n_pairs = pairs.groupBy("root").agg(F.count(F.lit(1)).alias("nb_couples"))
     return (
         roots.join(chapter.withColumnRenamed("id", "root"), "root", "left")
-        .join(combos.drop("log10_combinaisons"), "root", "left")
+        .join(combos, "root", "left")
         .join(n_pairs, "root", "left")
         .select(
             "root",
@@ -186,25 +223,41 @@ def root_summary(roots: DataFrame, pairs: DataFrame, combos: DataFrame, chapter:
             F.coalesce("nb_axes", F.lit(0)).alias("nb_axes"),
             F.coalesce("nb_couples", F.lit(0)).alias("nb_couples"),
             F.when(F.col("nb_axes").isNull(), F.lit(0).cast(BIG)).otherwise(F.col("nb_combinaisons")).alias("nb_combinaisons"),
+            F.coalesce("log10_combinaisons", F.lit(0.0)).alias("log10_combinaisons"),
         )
     )
 
 
+def _total(column: str) -> Column:
+    """Sum, null where a term or the sum exceeds decimal(38,0)."""
+    return F.when(F.count_if(F.col(column).isNull()) == 0, F.try_sum(column)).cast(BIG)
+
+
 def chapter_rollup(summary: DataFrame) -> DataFrame:
-    """Roots, pairs and summed combinations per chapter; a pair belongs to one root, hence one chapter."""
+    """Roots, pairs and summed combinations per chapter; a pair belongs to one root, hence one chapter.
+
+    ``n_overflow`` counts the roots whose combinations exceed decimal(38,0); where there is one the sum is null. ``log10_max`` is that of the largest root.
+    """
     return summary.groupBy("chapitre").agg(
         F.count(F.lit(1)).alias("nb_racines"),
         F.sum("nb_couples").alias("nb_couples"),
-        F.sum("nb_combinaisons").cast(BIG).alias("nb_combinaisons"),
+        _total("nb_combinaisons").alias("nb_combinaisons"),
+        F.count_if(F.col("nb_combinaisons").isNull()).alias("n_overflow"),
+        F.max("log10_combinaisons").alias("log10_max"),
     )
 
 
 def combination_statistics(summary: DataFrame, threshold: int = 200) -> DataFrame:
-    """Roots without combination, above the threshold, maximum and total."""
+    """Roots without combination, above the threshold, maximum and total.
+
+    A root whose combinations exceed decimal(38,0) counts as above the threshold; maximum and total are then null, ``log10_max`` still tells the size.
+    """
     n = F.col("nb_combinaisons")
+    overflow = n.isNull()
     return summary.agg(
-        F.count_if(n == 0).alias("n_zero"), F.count_if(n > threshold).alias("n_above"),
-        F.max(n).alias("maximum"), F.sum(n).cast(BIG).alias("total"))
+        F.count_if(n == 0).alias("n_zero"), F.count_if(overflow | (n > threshold)).alias("n_above"),
+        F.when(F.count_if(overflow) == 0, F.max(n)).alias("maximum"), _total("nb_combinaisons").alias("total"),
+        F.count_if(overflow).alias("n_overflow"), F.max("log10_combinaisons").alias("log10_max"))
 
 
 def without_label(roots: DataFrame, titles: DataFrame) -> DataFrame:
@@ -226,7 +279,7 @@ def nested_axes(values: DataFrame, sizes: DataFrame, labels: DataFrame, max_valu
     """
     usable = sizes.join(oversize_roots(sizes, max_values), "root", "left_anti").select("root", "axe")
     kept = values.join(usable, ["root", "axe"], "left_semi")
-    labelled = lookup_join(kept, labels.select("code", "libelle"), "code", "left", spread=["root", "id"])
+    labelled = lookup_join(kept, labels.select("code", "libelle"), "code", "left")
     value = F.struct("id", "code", F.coalesce("libelle", F.lit("")).alias("libelle"))
     per_axis = labelled.groupBy("root", "axe", "allow_multiple").agg(F.array_sort(F.collect_list(value)).alias("valeurs"))
     return per_axis.groupBy("root").agg(

@@ -20,12 +20,12 @@ def translation_map(mapping: DataFrame, order: Sequence[str]) -> DataFrame:
     return kept.select(F.col("key").alias("icd10_norm"), F.col("value").alias("icd11"))
 
 
-def translate(df: DataFrame, code: str, mapping: DataFrame, result: str = "icd11") -> DataFrame:
-    """Translate an ICD-10 column with back-off; null when no candidate maps.
+def translate(df: DataFrame, code: str, mapping: DataFrame, result: str = "icd11", exact: str | None = None) -> DataFrame:
+    """Translate an ICD-10 column with back-off; null when no candidate maps. ``exact`` names a flag for rows found without back-off.
 
     With a small map three broadcast lookups run on the rows themselves, without
     shuffle. With a large one the distinct codes are resolved first, then attached
-    to the rows by one salted join, so each row is shuffled once.
+    to the rows by one join, so each row is shuffled once.
     """
     names = ("_k1", "_k2", "_k3")
 
@@ -33,7 +33,8 @@ def translate(df: DataFrame, code: str, mapping: DataFrame, result: str = "icd11
         for i, (name, candidate) in enumerate(zip(names, backoff_candidates(F.col(code)))):
             keyed = mapping.select(F.col("icd10_norm").alias(name), F.col("icd11").alias(f"_v{i}"))
             rows = lookup_join(rows.withColumn(name, candidate), keyed, name, "left")
-        return rows.withColumn(result, F.coalesce("_v0", "_v1", "_v2")).drop(*names, "_v0", "_v1", "_v2")
+        found = rows.withColumn(result, F.coalesce("_v0", "_v1", "_v2"))
+        return (found.withColumn(exact, F.col("_v0").isNotNull()) if exact else found).drop(*names, "_v0", "_v1", "_v2")
 
     if fits_broadcast(mapping):
         return resolve(df)
@@ -61,9 +62,7 @@ def specific_profiles(profiles: DataFrame, code: str, mapping: DataFrame) -> Dat
 
 def conversion_rates(profiles: DataFrame, code: str, mapping: DataFrame) -> DataFrame:
     """Rows, rows translated exactly, with back-off, and kept after the residual filter, as counts and shares."""
-    keyed = profiles.withColumn("_exact", normalize_icd10(F.col(code)))
-    exact = mapping.select(F.col("icd10_norm").alias("_exact"), F.lit(True).alias("_hit"))
-    rows = translate(lookup_join(keyed, exact, "_exact", "left"), code, mapping)
+    rows = translate(profiles, code, mapping, exact="_hit")
     counts = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("_hit")).alias("n_exact"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,6 @@ from nosoflow.functions.text import absolute_link, html_text
 # Fixed value: items read per page.
 MAX_ITEMS = 50
 
-SEPARATOR = "\u0000"
-
 
 @dataclass(frozen=True)
 class ItemPatterns:
@@ -50,20 +49,30 @@ def page_items(
     def group(pattern: str | None) -> Column:
         return F.regexp_extract(block, pattern, 1) if pattern else F.lit("")
 
-    # one Arrow call for the three cleaned fragments of an item
-    fragments = F.concat_ws(SEPARATOR, group(patterns.shown_date), group(patterns.title), group(patterns.lead))
-    cleaned = F.split(html_text(fragments), SEPARATOR)
     return rows.select(
         key,
         (F.col("rang") + 1).cast("bigint").alias("rang"),
         F.substring(group(patterns.iso_date), 1, 10).alias("date_iso"),
-        F.trim(cleaned[0]).alias("date_affichee"),
-        F.trim(cleaned[1]).alias("titre"),
-        F.trim(cleaned[2]).alias("chapo"),
+        html_text(group(patterns.shown_date)).alias("date_affichee"),
+        html_text(group(patterns.title)).alias("titre"),
+        html_text(group(patterns.lead)).alias("chapo"),
         absolute_link(group(patterns.link), base).alias("url"),
     )
 
 
 def items_per_page(pages: DataFrame, key: str, html: str, patterns: ItemPatterns) -> DataFrame:
     """Number of item blocks found on each page; zero tells that its structure changed."""
-    return pages.select(key, F.regexp_count(F.col(html), F.lit(patterns.item)).cast("bigint").alias("n_blocs"))
+    return blocks_per_page(pages, key, html, {"n_blocs": patterns})
+
+
+def blocks_per_page(pages: DataFrame, key: str, html: str, kinds: Mapping[str, ItemPatterns]) -> DataFrame:
+    """Item blocks of several kinds on each page, one column per kind, in one pass."""
+    return pages.select(key, *[F.regexp_count(F.col(html), F.lit(p.item)).cast("bigint").alias(name) for name, p in kinds.items()])
+
+
+def unrecognised_pages(pages: DataFrame, key: str, html: str, patterns: ItemPatterns) -> DataFrame:
+    """Pages without any complete item, with the reason: no block at all, or blocks that lack link or title."""
+    blocks = F.regexp_extract_all(F.col(html), F.lit(patterns.item), F.lit(1))
+    complete = F.exists(blocks, lambda b: b.rlike(patterns.link) & b.rlike(patterns.title))
+    reason = F.when(F.col(html).isNull() | (F.size(blocks) == 0), F.lit("structure de page non reconnue")).otherwise(F.lit("blocs incomplets"))
+    return pages.where(F.col(html).isNull() | ~complete).select(key, reason.alias("erreur"))

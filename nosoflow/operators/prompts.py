@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nosoflow.operators.lookup import apply_group_verdicts, apply_verdicts
 from nosoflow.operators.relational import first_per_key
-from nosoflow.operators.scaling import lookup_join, ordinals
+from nosoflow.operators.sampling import draw_for_rows
+from nosoflow.operators.scaling import cut_lineage, lookup_join, ordinals
 
 # Sizes and wording of the prompts.
 LISTED_VALUES = 100
@@ -81,6 +83,37 @@ def prompt_rows(
         F.coalesce("c.libelle", "_root_title").alias("libelle"))
 
 
+def report_prompts(
+    profiles: DataFrame, postcoord: DataFrame, labels: DataFrame, titles: DataFrame, patient_verdicts: DataFrame,
+    pair_verdicts: DataFrame, judge_group: Callable[[DataFrame], DataFrame], drawn: int = 5, seed: int = 5,
+) -> DataFrame:
+    """One row per prompt of each profile: ``id``, ``prompt_num``, ``code``, ``libelle``, ``texte_das``.
+
+    ``profiles`` has ``id``, the main code ``code_dp`` and the associated codes ``das`` (array). Every associated code draws one post-coordinated code, or
+    stays the root where there is none; it is dropped if the verdict on (``code_dp``, ``code``) refuses it, then if the verdict that ``judge_group`` gives on the
+    rest of the profile's codes (rows of ``id``, ``code``; result ``id``, ``verdict``) lists it. The main code draws up to ``drawn`` codes, less those that the verdict on (``id``, ``code``) refuses; without any left the root serves.
+    A missing verdict keeps the code.
+    """
+    roots = titles.select(F.col("code").alias("racine"), F.col("libelle").alias("_titre"))
+    named = labels.select(F.col("code_postcoord").alias("code"), "libelle")
+    das = profiles.select("id", "code_dp", F.posexplode("das").alias("rang", "racine"))
+    das = das.withColumn("_cle", F.concat_ws("-", "id", "rang"))
+    one = draw_for_rows(das, "_cle", "racine", postcoord.select(F.col("code_racine").alias("racine"), "code_postcoord"), "code_postcoord", 1, seed)
+    das = lookup_join(das, one.select("_cle", "code_postcoord"), "_cle", "left")
+    das = das.select("id", "code_dp", "rang", "racine", F.coalesce("code_postcoord", "racine").alias("code"))
+    das = cut_lineage(apply_verdicts(das, pair_verdicts, ["code_dp", "code"]))
+    das = apply_group_verdicts(das, judge_group(das.select("id", "code")), "id", "code")
+    das = lookup_join(lookup_join(das, named, "code", "left"), roots, "racine", "left")
+    item = F.struct("rang", "code", F.coalesce("libelle", "_titre", F.lit("")).alias("libelle"))
+    lists = das.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("_das"))
+
+    chosen = draw_for_rows(profiles, "id", "code_dp", postcoord.select(F.col("code_racine").alias("code_dp"), "code_postcoord"), "code_postcoord", drawn, seed)
+    kept = apply_verdicts(chosen.select("id", F.col("code_postcoord").alias("code")), patient_verdicts, ["id", "code"])
+    rows = prompt_rows(profiles, "id", "code_dp", kept, labels, titles)
+    text = F.coalesce(diagnosis_text(F.transform("_das", lambda d: F.struct(d["code"].alias("code"), d["libelle"].alias("libelle")))), F.lit(""))
+    return lookup_join(rows, lists, "id", "left").select("id", "prompt_num", "code", "libelle", text.alias("texte_das"))
+
+
 def batches(rows: DataFrame, order: Sequence[str], bucket: Column, size: int = BATCH_ROWS) -> DataFrame:
     """Batch number of each row in order, ``size`` rows per batch."""
     numbered = ordinals(rows, order, bucket, name="_pos")

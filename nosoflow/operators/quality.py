@@ -17,6 +17,10 @@ MIN_REPORT = 10
 MIN_F1 = 0.70
 MIN_EXACT_MATCH = 0.60
 
+# Allowed types of diagnosis and codes of sex.
+DIAGNOSIS_TYPES = ("DP", "DAS")
+SEXES = ("1", "2", "9")
+
 # Rules and their wording.
 RULES = {
     "R1": "JSON invalide ou cle 'messages' absente",
@@ -76,17 +80,22 @@ def corpus_summary(examples: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def metric_gate(metrics: DataFrame, min_f1: float = MIN_F1, min_exact: float = MIN_EXACT_MATCH) -> DataFrame:
-    """Errors per model from the long table (``modele``, ``variante``, ``mode``, ``metrique``, ``valeur``)."""
-    lenient = metrics.where(F.col("mode") == "souple")
+    """Errors per model from the long table (``modele``, ``variante``, ``mode``, ``metrique``, ``valeur``).
+
+    A missing or undefined metric is an error of its own, so the gate never opens for want of numbers.
+    """
 
     def value(variant: str, metric: str) -> Column:
-        wanted = (F.col("variante") == variant) & (F.col("metrique") == metric)
+        wanted = (F.col("mode") == "souple") & (F.col("variante") == variant) & (F.col("metrique") == metric)
         return F.max(F.when(wanted, F.col("valeur")))
 
-    wide = lenient.groupBy("modele").agg(
+    wide = metrics.groupBy("modele").agg(
         value("base", "f1").alias("f1_base"), value("finetuned", "f1").alias("f1"),
         value("finetuned", "exact_match").alias("exact_match"))
+    missing = [
+        F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(f"métrique absente : {c}")) for c in ("f1_base", "f1", "exact_match")]
     errors = F.array_compact(F.array(
+        *missing,
         F.when(F.col("f1") < min_f1, F.lit("F1 souple sous le seuil")),
         F.when(F.col("exact_match") < min_exact, F.lit("exact match souple sous le seuil")),
         F.when(F.col("f1") <= F.col("f1_base"), F.lit("aucun gain sur la base")),
@@ -146,14 +155,21 @@ def erase_patients(
 ) -> dict[str, DataFrame]:
     """Tables without the erased patients and everything that hangs on them."""
     kept_patients = lookup_join(patients, erased.select("id_patient"), "id_patient", "left_anti")
-    gone_stays = lookup_join(stays, erased.select("id_patient"), "id_patient", "left_semi").select("id_sejour")
-    gone_reports = lookup_join(reports, gone_stays, "id_sejour", "left_semi").select("id_crh")
-    return {
-        "patient_fictif": kept_patients,
-        "sejour": lookup_join(stays, erased.select("id_patient"), "id_patient", "left_anti"),
-        "crh": lookup_join(reports, gone_stays, "id_sejour", "left_anti"),
-        "diagnostic": lookup_join(diagnostics, gone_reports, "id_crh", "left_anti"),
-    }
+    gone = lookup_join(stays, erased.select("id_patient"), "id_patient", "left_semi")
+    return {"patient_fictif": kept_patients, **erase_stays(gone, stays, reports, diagnostics)}
+
+
+def erase_stays(erased: DataFrame, stays: DataFrame, reports: DataFrame, diagnostics: DataFrame) -> dict[str, DataFrame]:
+    """Tables without the erased stays and everything that hangs on them."""
+    ids = erased.select("id_sejour").distinct()
+    gone = lookup_join(reports, ids, "id_sejour", "left_semi")
+    return {"sejour": lookup_join(stays, ids, "id_sejour", "left_anti"), **erase_reports(gone, reports, diagnostics)}
+
+
+def erase_reports(erased: DataFrame, reports: DataFrame, diagnostics: DataFrame) -> dict[str, DataFrame]:
+    """Tables without the erased reports and their diagnoses."""
+    ids = erased.select("id_crh").distinct()
+    return {"crh": lookup_join(reports, ids, "id_crh", "left_anti"), "diagnostic": lookup_join(diagnostics, ids, "id_crh", "left_anti")}
 
 
 def erasable_codes(asked: DataFrame, diagnostics: DataFrame) -> DataFrame:

@@ -8,22 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nosoflow.operators.relational import first_per_key
-from nosoflow.operators.scaling import heavy_keys, lookup_join, ordinals
+from nosoflow.operators.scaling import lookup_join, ordinals
 
-# Roots with many items are numbered in slices of the hash range; at most this many roots are.
+# Roots with more items are numbered in slices of the hash range.
 LARGE_ROOT_ITEMS = 100_000
-LARGE_ROOTS = 4096
 
 
-def hash_number(seed: int, *keys: str) -> Column:
-    """32-bit number from MD5 of the seed and the keys."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+def hash_number(seed: int, *keys: str | Column) -> Column:
+    """52-bit number from MD5 of the seed and the keys: ties are rare up to some 10^7 rows, and keys break them."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
 
 
 def uniform(seed: int, *keys: str) -> Column:
     """Number in (0, 1), never 0, so its logarithm exists."""
-    return (hash_number(seed, *keys) + F.lit(0.5)) / F.lit(float(2**32))
+    return (hash_number(seed, *keys) + F.lit(0.5)) / F.lit(float(2**52))
 
 
 def weighted_sample(df: DataFrame, n: int, weight: str, key: str, seed: int) -> DataFrame:
@@ -44,27 +43,35 @@ def draw_per_key(candidates: DataFrame, keys: Sequence[str], item: str, k: int,
     return first_per_key(distinct, keys, ["_h", item], k).drop("_h")
 
 
+def _distinct_positions(seed: int, key: str, n: Column, k: int) -> Column:
+    """``min(k, n)`` distinct numbers from 1 to ``n``, every set equally likely (Floyd's method), from hashes of the row and the slot."""
+
+    def draw(taken: Column, slot: int) -> Column:
+        last = n - k + 1 + slot  # slots with last < 1 are skipped
+        number = F.pmod(hash_number(seed, key, F.lit(slot)), F.greatest(last, F.lit(1))) + 1
+        number = F.when(F.array_contains(taken, number), last).otherwise(number)
+        return F.when(last >= 1, F.concat(taken, F.array(number))).otherwise(taken)
+
+    taken = F.array().cast("array<bigint>")
+    for slot in range(k):
+        taken = draw(taken, slot)
+    return taken
+
+
 def draw_for_rows(
     rows: DataFrame, key: str, root: str, candidates: DataFrame, item: str, k: int, seed: int
 ) -> DataFrame:
     """Up to ``k`` distinct items of its root for every row, each row drawing on its own.
 
-    The items of a root are put in hash order and numbered; a row starts at its own random
-    position and takes ``k`` evenly spaced ones. So each item is as likely as any other, and
-    a row meets ``k`` items, never all items of its root. Columns ``key``, ``root``, ``item``.
+    The items of a root are put in hash order and numbered; a row draws ``k`` distinct positions, independently of all other
+    rows. It meets ``k`` items, never all items of its root. Columns ``key``, ``root``, ``item``. Candidates of roots that no row has are not numbered.
     """
-    hashed = candidates.select(root, item).distinct().withColumn("_h", hash_number(seed, root, item))
-    large = heavy_keys(hashed, [root], LARGE_ROOTS, LARGE_ROOT_ITEMS).withColumn("_large", F.lit(True))
-    hashed = hashed.join(F.broadcast(large), root, "left")
-    slices = F.when(F.col("_large"), F.floor(F.col("_h") / 2**18)).otherwise(F.lit(0))
+    asked = rows.select(root).distinct()
+    distinct = lookup_join(candidates.select(root, item), asked, root, "left_semi").distinct()
+    sizes = distinct.groupBy(root).agg(F.count(F.lit(1)).alias("_n"))
+    hashed = lookup_join(distinct, sizes, root, "inner").withColumn("_h", hash_number(seed, root, item))
+    slices = F.when(F.col("_n") > LARGE_ROOT_ITEMS, F.floor(F.col("_h") / 2**38)).otherwise(F.lit(0))
     numbered = ordinals(hashed, ["_h", item], slices, by=[root], name="_pos").select(root, item, "_pos")
-    sizes = candidates.select(root, item).distinct().groupBy(root).agg(F.count(F.lit(1)).alias("_n"))
-    sized = lookup_join(rows.select(key, root), sizes, root, "inner", spread=[key])
-    step = F.greatest(F.floor(F.col("_n") / k), F.lit(1))
-    start = F.pmod(hash_number(seed, key), F.col("_n"))
-    last = F.least(F.lit(k).cast("bigint"), F.col("_n")) - 1
-    spots = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: F.pmod(start + i * step, F.col("_n")) + 1)
-    placed = sized.select(key, root, F.explode(spots).alias("_pos"))
-    # a spot is frequent only where a frequent root has few items: the first spots of the frequent roots
-    first_spots = rows.select(root, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(k).cast("bigint"))).alias("_pos"))
-    return lookup_join(placed, numbered, [root, "_pos"], "inner", spread=[key], keys_from=first_spots).select(key, root, item)
+    sized = lookup_join(rows.select(key, root), sizes, root, "inner")
+    placed = sized.select(key, root, F.explode(_distinct_positions(seed, key, F.col("_n"), k)).alias("_pos"))
+    return lookup_join(placed, numbered, [root, "_pos"], "inner").select(key, root, item)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HEAVY_KEYS = 64
-SALTS = 256
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 
 
@@ -28,59 +25,19 @@ def fits_broadcast(df: DataFrame) -> bool:
     return 0 <= estimate <= limit
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], top: int = HEAVY_KEYS, min_rows: int = 1) -> DataFrame:
-    """The ``top`` most frequent key combinations of at least ``min_rows`` rows: never more than ``top`` rows.
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join of a large, possibly skewed side with a lookup side. Each side is read once.
 
-    Counts are combined on the map side, so the key that owns most rows costs no more than others.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.where(F.col("_rows") >= min_rows).orderBy(F.desc("_rows"), *keys).limit(top).select(*keys)
-
-
-def lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left", spread: Sequence[str] | None = None,
-    keys_from: DataFrame | None = None,
-) -> DataFrame:
-    """Equi-join of a large, possibly skewed side with a lookup side.
-
-    A lookup whose estimated size is within the broadcast limit is broadcast: no
-    shuffle, so no skew. Beyond it both sides are shuffled on the key plus a salt. Only the
-    ``HEAVY_KEYS`` most frequent keys of ``facts`` (and null keys, which match nothing) are
-    spread over several salts, and only their lookup rows are repeated, so the repeated
-    volume is bounded whatever the data size. Salts come from the row's own values
-    (``spread``, by default all columns off the key), so a retried task salts alike. Heavy keys
-    are counted on ``keys_from``, a cheaper table with the same keys, where ``facts`` is costly to read twice.
+    A lookup whose estimated size is within the broadcast limit is broadcast: no shuffle, so no skew. Beyond it both sides are
+    shuffled, and adaptive execution cuts the partitions of frequent and of null keys (``spark.sql.adaptive.skewJoin``).
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(lookup):
-        return facts.join(F.broadcast(lookup), keys, how)
-    salted, hot = salt_facts(facts, keys, spread, keys_from)
-    return salted.join(repeat_lookup(lookup, keys, hot), [*keys, "_salt"], how).drop("_salt")
-
-
-def _salts(spark: SparkSession) -> int:
-    return min(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def salt_facts(
-    facts: DataFrame, keys: Sequence[str], spread: Sequence[str] | None = None, keys_from: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """``facts`` with ``_salt``, spread over many values for heavy and null keys, and the heavy keys (few rows)."""
-    hot = heavy_keys(facts if keys_from is None else keys_from, keys).withColumn("_hot", F.lit(True))
-    spread = list(spread or [c for c in facts.columns if c not in keys] or keys)
-    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salt = F.pmod(F.xxhash64(*spread), F.lit(_salts(facts.sparkSession)))
-    salted = facts.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot") | null_key, salt).otherwise(F.lit(0)))
-    return salted.drop("_hot"), hot
+    return facts.join(F.broadcast(lookup) if fits_broadcast(lookup) else lookup, keys, how)
 
 
-def repeat_lookup(lookup: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    """``lookup`` with ``_salt``: heavy keys once per salt, all others once."""
-    last = F.lit(_salts(lookup.sparkSession) - 1).cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    values = F.when(F.col("_hot"), F.sequence(zero, last)).otherwise(F.array(zero))
-    return lookup.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.explode(values)).drop("_hot")
+def rows_fit_broadcast(spark: SparkSession, rows: int, row_bytes: int = 100) -> bool:
+    """Whether a counted table of short rows is within the session's broadcast limit."""
+    return rows * row_bytes <= _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
 
 
 def _running_total(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -156,15 +113,15 @@ def spread_small(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor reaches: the cluster's checkpoint folder.
 
-    On a local master with nothing configured a fresh folder is made; a cluster
-    without the setting is an error, as a machine-local folder would not be shared.
+    On a local master with nothing configured it is a folder of the warehouse; a cluster without the setting is an error, as nothing
+    tells which folder is shared. Checkpoint files go when their table is no longer used, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="nosoflow-")
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

@@ -14,13 +14,26 @@ from nosoflow.functions.replies import parse_reply
 Scorer = Callable[[pd.Series], pd.Series]
 
 
+def _one_by_one(scorer: Scorer, texts: pd.Series) -> tuple[list[str | None], list[str | None]]:
+    replies, errors = [], []
+    for i in range(len(texts)):
+        try:
+            replies.append(scorer(texts.iloc[i:i + 1]).iloc[0])
+            errors.append(None)
+        except Exception as error:
+            replies.append(None)
+            errors.append(str(error) or type(error).__name__)
+    return replies, errors
+
+
 def score_reports(reports: DataFrame, key: str, text: str, make_scorer: Callable[[], Scorer], model: str) -> DataFrame:
     """Coded reply of every report with its latency.
 
     ``make_scorer`` runs once per task, so a model is loaded there, not on the driver. Columns:
-    key, ``reponse``, ``dp``, ``das``, ``latence_ms`` (mean of the batch), ``modele``.
+    key, ``reponse``, ``dp``, ``das``, ``latence_ms`` (mean of the batch), ``erreur``, ``modele``. Where a batch fails, its
+    reports are scored one by one: a failing report has an error and no reply, the others go on.
     """
-    schema = f"{reports.select(key).schema[0].name} {reports.select(key).schema[0].dataType.simpleString()}, reponse string, latence_ms double"
+    schema = f"{reports.select(key).schema[0].name} {reports.select(key).schema[0].dataType.simpleString()}, reponse string, latence_ms double, erreur string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
@@ -28,12 +41,16 @@ def score_reports(reports: DataFrame, key: str, text: str, make_scorer: Callable
             if batch.empty:
                 continue
             start = time.perf_counter()
-            replies = scorer(batch[text])
+            errors = [None] * len(batch)
+            try:
+                replies = list(scorer(batch[text]))
+            except Exception:
+                replies, errors = _one_by_one(scorer, batch[text])
             spent = (time.perf_counter() - start) * 1000 / len(batch)
-            yield pd.DataFrame({key: batch[key], "reponse": replies, "latence_ms": round(spent, 1)})
+            yield pd.DataFrame({key: batch[key], "reponse": replies, "latence_ms": round(spent, 1), "erreur": errors})
 
     scored = reports.select(key, text).mapInPandas(run, schema)
     parsed = parse_reply(F.col("reponse"))
     return scored.select(
-        key, "reponse", parsed["dp"].alias("dp"), parsed["das"].alias("das"), "latence_ms", F.lit(model).alias("modele"))
+        key, "reponse", parsed["dp"].alias("dp"), parsed["das"].alias("das"), "latence_ms", "erreur", F.lit(model).alias("modele"))
 

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nosoflow.operators.relational import drop_codes, first_per_key, keep_last_map, load_limit, top_counts
-from nosoflow.operators.scaling import lookup_join
+from nosoflow.operators.scaling import cut_lineage, lookup_join
+
+
+DETAIL = ("code", "libelle", "type", "trouve", "genre", "valeur")
 
 
 def load_codes(terms: DataFrame, order: Sequence[str], limit: int = 0) -> DataFrame:
@@ -116,7 +119,8 @@ def well_documented_codes(
         .orderBy(F.desc("nb_postcoord"), "code_cim11")
         .limit(limit)
     )
-    wanted = with_report.join(F.broadcast(ranked.select("code_cim11")), "code_cim11", "left_semi")
+    ranked = cut_lineage(ranked)  # few rows, counted once; the texts are fetched for them only
+    wanted = lookup_join(with_report, ranked.select("code_cim11"), "code_cim11", "left_semi")
     example = (
         lookup_join(wanted, reports.select("id_crh", "texte_crh"), "id_crh", "inner")
         .groupBy("code_cim11").agg(F.min("texte_crh").alias("exemple_crh"))
@@ -132,13 +136,15 @@ def code_detail(wanted: DataFrame, codes: DataFrame, synonyms: DataFrame, postco
     never multiply; a code without children keeps one row with null child, and an
     unknown code one row with ``trouve`` false.
     """
-    found = wanted.join(codes, "code", "left").withColumn("trouve", F.col("libelle").isNotNull())
+    found = lookup_join(wanted, codes, "code", "left").withColumn("trouve", F.col("libelle").isNotNull())
     syn = synonyms.select(F.col("code_cim11").alias("code"), F.lit("synonyme").alias("genre"), F.col("synonyme").alias("valeur"))
     pc = postcoord.select(
         F.col("code_racine").alias("code"), F.lit("postcoordination").alias("genre"), F.col("code_postcoord").alias("valeur"))
     # the requested codes are the lookup side: a handful of rows, checked before broadcasting
-    children = lookup_join(syn.unionByName(pc), wanted.select("code"), "code", "inner")
-    return found.join(children, "code", "left").select("code", "libelle", "type", "trouve", "genre", "valeur")
+    children = lookup_join(syn.unionByName(pc), found, "code", "inner")
+    alone = found.join(children.select("code").distinct(), "code", "left_anti")
+    none = F.lit(None).cast("string")
+    return children.select(*DETAIL).unionByName(alone.select(*DETAIL[:4], none.alias("genre"), none.alias("valeur")))
 
 
 def reports_page(
@@ -151,7 +157,10 @@ def reports_page(
     """
     if not 0 < limit <= cap:
         raise ValueError(f"limit must be in 1..{cap}")
-    parents = reports.orderBy("id_crh").offset(offset).limit(limit)
-    ids = F.broadcast(parents.select("id_crh"))
-    children = diagnostics.join(ids, "id_crh", "left_semi").select("id_crh", "type_diag", "code_cim11", *order)
-    return parents.join(children, "id_crh", "left")
+    parents = cut_lineage(reports.orderBy("id_crh").offset(offset).limit(limit))
+    columns = ["type_diag", "code_cim11", *order]
+    children = diagnostics.select("id_crh", *columns).join(F.broadcast(parents), "id_crh")
+    alone = parents.join(children.select("id_crh").distinct(), "id_crh", "left_anti")
+    kinds = dict(diagnostics.dtypes)
+    missing = [F.lit(None).cast(kinds[c]).alias(c) for c in columns]
+    return children.select(*parents.columns, *columns).unionByName(alone.select(*parents.columns, *missing))

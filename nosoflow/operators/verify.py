@@ -17,6 +17,9 @@ EMPTY_RESPONSE = "réponse vide ou malformée"
 NO_CODE = "aucun code extrait"
 ALL_REJECTED = "tous les codes hallucinés"
 
+# Fixed value: shortest answer that is kept.
+MIN_ANSWER = 40
+
 
 def read_responses(lines: DataFrame) -> DataFrame:
     """Batch response lines (``brut``) as ``custom_id``, ``contenu``; lines that are not JSON are dropped.
@@ -37,11 +40,11 @@ def check_codes(
 
     The first segment must be a root; later ones an extension or a root. ``roots`` and
     ``extensions`` have ``code``. Columns: key, ``custom_id``, ``rang``, ``code_postcoord``,
-    ``inconnus`` (array, empty when valid), ``libelles_extensions``. Responses are read once; the segments of
-    a code are regrouped by the code's own row, so a list never exceeds the code's length.
+    ``inconnus`` (array, empty when valid), ``libelles_extensions``. Distinct codes are checked once and the outcome is joined
+    back; the segments of a code are regrouped by the code, so a list never exceeds its length.
     """
     codes = responses.select(*key, "custom_id", F.posexplode(scan_codes(F.col("contenu"))).alias("rang", "code_postcoord"))
-    parts = codes.select(*key, "custom_id", "rang", "code_postcoord", F.posexplode(segments(F.col("code_postcoord"))).alias("_pos", "segment"))
+    parts = codes.select("code_postcoord").distinct().select("code_postcoord", F.posexplode(segments(F.col("code_postcoord"))).alias("_pos", "segment"))
     known = roots.select(F.col("code").alias("segment")).withColumn("_root", F.lit(True)).unionByName(
         extensions.select(F.col("code").alias("segment")).withColumn("_root", F.lit(False)))
     known = known.groupBy("segment").agg(F.max("_root").alias("_root"))
@@ -52,7 +55,8 @@ def check_codes(
     if with_labels:
         looked = _with_segment_label(looked, "segment", extensions)
         lists.append(_label_list("segment").alias("libelles_extensions"))
-    return looked.groupBy(*key, "custom_id", "rang", "code_postcoord").agg(*lists)
+    outcomes = looked.groupBy("code_postcoord").agg(*lists)
+    return lookup_join(codes, outcomes, "code_postcoord", "inner")
 
 
 def _with_segment_label(parts: DataFrame, segment: str, labels: DataFrame) -> DataFrame:
@@ -136,7 +140,7 @@ def rejection_rate(checked: DataFrame) -> DataFrame:
     })
 
 
-def long_answers(responses: DataFrame, minimum: int = 40) -> DataFrame:
+def long_answers(responses: DataFrame, minimum: int = MIN_ANSWER) -> DataFrame:
     return responses.where(F.length("contenu") >= minimum)
 
 
@@ -147,7 +151,7 @@ def generated_reports(responses: DataFrame, requests: DataFrame, key: str) -> Da
     """
     doc = answer_document(F.col("contenu"))
     rows = long_answers(responses).select(
-        F.try_to_number("custom_id", F.lit("999999999999999999")).cast("bigint").alias(key), "contenu", doc.alias("_doc"))
+        F.col("custom_id").try_cast("bigint").alias(key), "contenu", doc.alias("_doc"))
     report = F.try_variant_get("_doc", "$.CR", "string")
     forms = F.coalesce(F.to_json(F.try_variant_get("_doc", "$.formulations", "variant")), F.lit("{}"))
     parsed = rows.select(
@@ -155,3 +159,13 @@ def generated_reports(responses: DataFrame, requests: DataFrame, key: str) -> Da
         F.coalesce(report, F.col("contenu")).alias("crh"),
         F.when(report.isNull(), F.lit("{}")).otherwise(forms).alias("formulations"))
     return requests.join(parsed, key, "inner")
+
+
+def unmatched_answers(responses: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """Answers that ``generated_reports`` leaves out, with the reason."""
+    rows = responses.select("custom_id", F.col("custom_id").try_cast("bigint").alias(key), F.length("contenu").alias("_n"))
+    known = requests.select(key).distinct().withColumn("_known", F.lit(True))
+    reason = (
+        F.when(F.col(key).isNull(), F.lit("identifiant illisible")).when(F.col("_known").isNull(), F.lit("demande inconnue"))
+        .when(F.coalesce(F.col("_n"), F.lit(0)) < MIN_ANSWER, F.lit("réponse trop courte")))
+    return lookup_join(rows, known, key, "left").withColumn("motif", reason).where(F.col("motif").isNotNull()).select("custom_id", "motif")

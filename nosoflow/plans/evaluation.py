@@ -18,17 +18,13 @@ CASES = """cases AS (SELECT e.code_dp, e.id_crh, length(c.texte_crh) AS longueur
       SELECT d.code_cim11 AS code_dp, min(d.id_crh) AS id_crh FROM v_diag d JOIN v_crh c ON c.id_crh = d.id_crh
       WHERE d.type_diag = 'DP' AND length(c.texte_crh) BETWEEN 2500 AND 9000 GROUP BY 1) e
     JOIN v_crh c ON c.id_crh = e.id_crh LEFT JOIN codes k ON k.code = e.code_dp
-    ORDER BY longueur, id_crh, code_dp LIMIT {limit})"""
+    {limit})"""
 FOLD = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
 
 
-def case_table(i: Inputs, limit: int) -> DataFrame:
-    return evaluate.evaluation_set(i("v_crh"), i("v_diag"), codes(i), limit)
-
-
-@query(f"WITH {CODES}, {CASES.format(limit=200)} SELECT id_crh, md5(texte_crh) AS texte, code_dp, libelle_dp, longueur FROM cases")
+@query(f"WITH {CODES}, {CASES.format(limit="ORDER BY longueur, id_crh, code_dp LIMIT 200")} SELECT id_crh, md5(texte_crh) AS texte, code_dp, libelle_dp, longueur FROM cases")
 def evaluation_set(i: Inputs) -> DataFrame:
-    cases = case_table(i, 200)
+    cases = evaluate.evaluation_set(i("v_crh"), i("v_diag"), codes(i), 200)
     return cases.select("id_crh", F.md5("texte_crh").alias("texte"), "code_dp", "libelle_dp", F.col("longueur").cast("bigint").alias("longueur"))
 
 
@@ -43,19 +39,19 @@ JUDGED = f"""answer AS (SELECT id_crh, nullif(regexp_extract(t, '{LABELLED}', 2)
 
 
 def judged(i: Inputs) -> DataFrame:
-    cases = case_table(i, 5000).drop("texte_crh")
+    cases = evaluate.case_table(i("v_crh"), i("v_diag"), codes(i))
     main = main_diagnosis(F.col("reply"))
     answers = i("v_answer").select("id_crh", main.alias("m")).select(
         "id_crh", F.col("m.code").alias("code_predit"), F.col("m.libelle").alias("libelle_predit"))
-    return evaluate.agreement(lookup_join(cases, answers, "id_crh", "left", spread=["code_dp"]))
+    return evaluate.agreement(lookup_join(cases, answers, "id_crh", "left"))
 
 
-@query(f"WITH {CODES}, {CASES.format(limit=5000)}, {JUDGED} SELECT id_crh, code_dp, code_predit, repondu, exact, souple, meme_libelle FROM judged")
+@query(f"WITH {CODES}, {CASES.format(limit="")}, {JUDGED} SELECT id_crh, code_dp, code_predit, repondu, exact, souple, meme_libelle FROM judged")
 def judged_cases(i: Inputs) -> DataFrame:
     return judged(i).select("id_crh", "code_dp", "code_predit", "repondu", "exact", "souple", "meme_libelle")
 
 
-@query(f"""WITH {CODES}, {CASES.format(limit=5000)}, {JUDGED} SELECT count(*) AS n, count(*) FILTER (repondu) AS n_repondu, count(*) FILTER (exact) AS n_exact,
+@query(f"""WITH {CODES}, {CASES.format(limit="")}, {JUDGED} SELECT count(*) AS n, count(*) FILTER (repondu) AS n_repondu, count(*) FILTER (exact) AS n_exact,
     count(*) FILTER (souple) AS n_souple, count(*) FILTER (meme_libelle) AS n_meme_libelle FROM judged""")
 def evaluate_codes(i: Inputs) -> DataFrame:
     return evaluate.agreement_counts(judged(i))
@@ -74,11 +70,20 @@ def root_counts(i: Inputs) -> DataFrame:
 
 
 def _stub():
-    """Scorer that names the first word of the report; stands in for a model."""
-    return lambda texts: "DP : " + texts.str.split().str[0].fillna("") + " (AA00)\nDAS : aucun"
+    """Scorer that codes a report by its length and refuses some; stands in for a model."""
+
+    def reply(text: str) -> str:
+        if len(text) % 97 == 5:
+            raise ValueError("texte refusé")
+        second = "aucun" if len(text) % 3 else f"suite (5B{len(text) % 10}Z)"
+        return f"DP : rapport (AA{len(text) % 100:02d})\nDAS : {second}"
+
+    return lambda texts: texts.map(reply)
 
 
-@query()
+@query("""SELECT id_crh, CASE WHEN n % 97 <> 5 THEN 'AA' || lpad(CAST(n % 100 AS VARCHAR), 2, '0') END AS code,
+      CASE WHEN n % 97 <> 5 THEN CAST(n % 3 = 0 AS INTEGER) END AS n_das, CASE WHEN n % 97 = 5 THEN 'texte refusé' END AS erreur, 'stub' AS modele
+    FROM (SELECT id_crh, length(texte_crh) AS n FROM v_crh)""")
 def scored_reports(i: Inputs) -> DataFrame:
     scored = score_reports(i.spread("v_crh"), "id_crh", "texte_crh", _stub, "stub")
-    return scored.select("id_crh", F.col("dp.code").alias("code"), F.size("das").alias("n_das"), "latence_ms", "modele")
+    return scored.select("id_crh", F.col("dp.code").alias("code"), F.when(F.col("erreur").isNull(), F.size("das")).alias("n_das"), "erreur", "modele")

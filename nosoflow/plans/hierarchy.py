@@ -74,8 +74,8 @@ def root_pairs(i: Inputs) -> DataFrame:
 
 
 FACTORS = """f AS (SELECT root, count(*) AS nb_axes,
-    max(CASE WHEN axe = 1 THEN 1 + n END)::HUGEINT * max(CASE WHEN axe = 2 THEN 1 + n END) * max(CASE WHEN axe = 3 THEN 1 + n END) - 1 AS c
-  FROM sizes GROUP BY root)"""
+    max(CASE WHEN axe = 1 THEN 1 + n END)::HUGEINT * max(CASE WHEN axe = 2 THEN 1 + n END) * max(CASE WHEN axe = 3 THEN 1 + n END) - 1 AS c,
+    sum(log10(1.0 + n)) AS lg FROM sizes GROUP BY root)"""
 
 
 @query(f"""WITH RECURSIVE {REACHED}, {FACTORS}
@@ -95,16 +95,14 @@ def combinations(i: Inputs) -> DataFrame:
 @query(f"""WITH RECURSIVE {REACHED}
     SELECT root, round(max(CASE WHEN axe = 1 THEN n * log10(2.0) END) + max(CASE WHEN axe = 2 THEN log10(1.0 + n) END)
       + max(CASE WHEN axe = 3 THEN log10(1.0 + n) END), 6) AS log10_combinaisons,
-      CASE WHEN max(CASE WHEN axe = 1 THEN n END) <= 60 THEN CAST((1::HUGEINT << max(CASE WHEN axe = 1 THEN n END))
-        * max(CASE WHEN axe = 2 THEN 1 + n END) * max(CASE WHEN axe = 3 THEN 1 + n END) - 1 AS VARCHAR) END AS nb_combinaisons
+      (SELECT CASE WHEN p < 100000000000000000000000000000000000000 THEN CAST(p - 1 AS VARCHAR) END FROM (SELECT TRY(
+        TRY(1::HUGEINT << CAST(max(CASE WHEN axe = 1 THEN n END) AS INTEGER)) * max(CASE WHEN axe = 2 THEN 1 + n END) * max(CASE WHEN axe = 3 THEN 1 + n END)) AS p))
+        AS nb_combinaisons
     FROM sizes GROUP BY root""")
 def subset_combinations(i: Inputs) -> DataFrame:
-    axes = sizes(i)
-    combos = h.combinations(axes, allow_multiple_as_subsets=True)
-    small = axes.where("axe = 1 AND n <= 60").select("root", F.lit(True).alias("_small"))
-    return combos.join(small, "root", "left").select(
-        "root", F.round("log10_combinaisons", 6).alias("log10_combinaisons"),
-        F.when(F.col("_small"), F.col("nb_combinaisons").cast("string")).alias("nb_combinaisons"))
+    combos = h.combinations(sizes(i), allow_multiple_as_subsets=True)
+    return combos.select(
+        "root", F.round("log10_combinaisons", 6).alias("log10_combinaisons"), F.col("nb_combinaisons").cast("string").alias("nb_combinaisons"))
 
 
 @query("WITH RECURSIVE " + CHAPTERS.format(visits=15) + " SELECT id, chapitre FROM chapter")
@@ -119,35 +117,35 @@ def chapter_depth(i: Inputs) -> DataFrame:
 
 SUMMARY = f"""{FACTORS}, usable AS (SELECT root FROM sizes GROUP BY root HAVING max(n) <= {LIMIT}),
   np AS (SELECT root, count(DISTINCT code) AS nb_couples FROM val GROUP BY root),
-  summary AS (SELECT u.root, c.chapitre, f.nb_axes, coalesce(np.nb_couples, 0) AS nb_couples, f.c
+  summary AS (SELECT u.root, c.chapitre, f.nb_axes, coalesce(np.nb_couples, 0) AS nb_couples, f.c, f.lg
     FROM usable u JOIN f ON f.root = u.root LEFT JOIN np ON np.root = u.root JOIN chapter c ON c.id = u.root)"""
 
 
 def summary(i: Inputs) -> DataFrame:
-    values = h.axis_values(i("v_axis"), reached(i))
-    axes = h.axis_sizes(i("v_axis"), values)
-    impossible = h.oversize_roots(axes, LIMIT)
-    roots = i("v_axis").select("root").distinct().join(impossible, "root", "left_anti")
-    return h.root_summary(roots, h.root_pairs(values), h.combinations(axes), chapter(i))
+    kept = h.countable_axes(i("v_axis"), i("v_node"), edges(i), LIMIT)
+    roots = kept.axes.select("root").distinct()
+    return h.root_summary(roots, h.root_pairs(h.axis_values(kept.axes, kept.reached)), h.combinations(kept.sizes), chapter(i))
 
 
 @query(f"""WITH RECURSIVE {REACHED}, {CHAPTERS.format(visits=15)}, {SUMMARY}
-    SELECT chapitre, count(*) AS nb_racines, CAST(sum(nb_couples) AS BIGINT) AS nb_couples, CAST(sum(c) AS VARCHAR) AS nb_combinaisons
-    FROM summary GROUP BY 1""")
+    SELECT chapitre, count(*) AS nb_racines, CAST(sum(nb_couples) AS BIGINT) AS nb_couples, CAST(sum(c) AS VARCHAR) AS nb_combinaisons,
+      count(*) FILTER (c IS NULL) AS n_overflow, round(max(lg), 6) AS log10_max FROM summary GROUP BY 1""")
 def chapter_rollup(i: Inputs) -> DataFrame:
-    return h.chapter_rollup(summary(i)).withColumn("nb_combinaisons", F.col("nb_combinaisons").cast("string"))
+    rollup = h.chapter_rollup(summary(i)).withColumn("nb_combinaisons", F.col("nb_combinaisons").cast("string"))
+    return rollup.withColumn("log10_max", F.round("log10_max", 6))
 
 
 @query(f"""WITH RECURSIVE {REACHED}, {CHAPTERS.format(visits=15)}, {SUMMARY}
     SELECT count(*) FILTER (c = 0) AS n_zero, count(*) FILTER (c > 200) AS n_above, CAST(max(c) AS VARCHAR) AS maximum,
-      CAST(sum(c) AS VARCHAR) AS total FROM summary""")
+      CAST(sum(c) AS VARCHAR) AS total, count(*) FILTER (c IS NULL) AS n_overflow, round(max(lg), 6) AS log10_max FROM summary""")
 def combination_statistics(i: Inputs) -> DataFrame:
     stats = h.combination_statistics(summary(i))
-    return stats.withColumns({c: F.col(c).cast("string") for c in ("maximum", "total")})
+    shown = {c: F.col(c).cast("string") for c in ("maximum", "total")}
+    return stats.withColumns({**shown, "log10_max": F.round("log10_max", 6)})
 
 
 def impossible(i: Inputs) -> DataFrame:
-    roots = h.oversize_roots(sizes(i), LIMIT).select("root")
+    roots = h.countable_axes(i("v_axis"), i("v_node"), edges(i), LIMIT).impossible
     coded = i("v_term").select(F.col("ord").alias("root"), "code")
     return roots.join(coded, "root").select("code")
 
@@ -162,9 +160,13 @@ def impossible_roots(i: Inputs) -> DataFrame:
     return h.impossible_roots(impossible(i), i("v_term"), ["ord"]).orderBy("code")
 
 
-@query(f"WITH RECURSIVE {REACHED}, {IMPOSSIBLE} SELECT code FROM imp WHERE code NOT IN (SELECT code FROM v_term WHERE type = 'title' AND ord % 3 = 0)")
+# Titles of two codes in three stand under another code.
+TITLED = "CASE WHEN ord % 3 = 0 THEN code ELSE 'Q' || code END"
+
+
+@query(f"WITH RECURSIVE {REACHED}, {IMPOSSIBLE} SELECT code FROM imp WHERE code NOT IN (SELECT {TITLED} FROM v_term WHERE type = 'title')")
 def roots_without_label(i: Inputs) -> DataFrame:
-    return h.without_label(impossible(i), i("v_term").where("type = 'title' AND ord % 3 = 0"))
+    return h.without_label(impossible(i), i("v_term").where("type = 'title'").select(F.expr(TITLED).alias("code")))
 
 
 @query(f"""WITH RECURSIVE {REACHED}, usable AS (SELECT root FROM sizes GROUP BY root HAVING max(n) <= {LIMIT}),

@@ -31,22 +31,31 @@ def _ordered(spark: SparkSession, path: str, schema, delimiter: str = ",") -> Da
     return readers.with_file_order(readers.read_csv(spark, path, schema, delimiter))
 
 
-def load_tables(spark: SparkSession, files: TerminologyFiles, out: str, limit: int = 20_000) -> None:
+def load_tables(spark: SparkSession, files: TerminologyFiles, out: str, limit: int = 0) -> dict[str, int]:
     """Load the terminology and the training reports as Parquet tables; ``limit`` rows per reference table, 0 for all.
 
-    The code table is written first and read back: the other loads filter on it.
+    The code table is written first and read back: the other loads filter on it. Returns how many rows a limit left out of each table.
     """
+    left_out = {}
+
     terms = _ordered(spark, files.terms, readers.TERMS_CSV)
     terminology.load_codes(terms, ORD, limit).write.mode("overwrite").parquet(f"{out}/code_cim11")
     codes = spark.read.parquet(f"{out}/code_cim11")
+    if limit:
+        left_out["code_cim11"] = terminology.load_codes(terms, ORD).count() - codes.count()
 
     mapping = _ordered(spark, files.icd_map, readers.ICD_MAP_CSV).withColumnsRenamed({"icd10Code": "icd10", "icd11Code": "icd11"})
     synonyms = _ordered(spark, files.synonyms, readers.SYNONYMS_CSV, ";")
-    tables = {
-        "synonyme": terminology.load_synonyms(synonyms, terminology.icd_map(mapping, ORD), codes, ORD, limit).drop("ord"),
-        "code_postcoord": terminology.load_postcoord(_ordered(spark, files.postcoord, readers.POSTCOORD_CSV), codes, ORD, limit),
-        "axe_postcoord": terminology.load_axes(_ordered(spark, files.axes, readers.AXES_CSV), codes, ORD, limit),
-    }
+    postcoord, axes = _ordered(spark, files.postcoord, readers.POSTCOORD_CSV), _ordered(spark, files.axes, readers.AXES_CSV)
+    icd = terminology.icd_map(mapping, ORD)
+
+    def references(rows: int) -> dict[str, DataFrame]:
+        return {
+            "synonyme": terminology.load_synonyms(synonyms, icd, codes, ORD, rows).drop("ord"),
+            "code_postcoord": terminology.load_postcoord(postcoord, codes, ORD, rows),
+            "axe_postcoord": terminology.load_axes(axes, codes, ORD, rows)}
+
+    tables = references(limit)
     if files.examples:
         lines = readers.number_lines(readers.read_lines(spark, files.examples))
         rows = reports.example_reports(reports.parse_examples(lines))
@@ -55,6 +64,9 @@ def load_tables(spark: SparkSession, files: TerminologyFiles, out: str, limit: i
             "crh": reports.report_table(rows), "diagnostic": reports.load_diagnostics(rows, codes)}
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{out}/{name}")
+    if limit:
+        left_out |= {name: table.count() - spark.read.parquet(f"{out}/{name}").count() for name, table in references(0).items()}
+    return left_out
 
 
 def extract_documented_codes(spark: SparkSession, base: str, out: str, limit: int = 50) -> None:
@@ -114,14 +126,12 @@ def count_postcoordination(
 
     axes = hierarchy.axes_of_nodes(documents).join(leaves.select(F.col("id").alias("uri")), "uri", "left_semi").select(
         F.col("uri").alias("root"), F.col("axe_nom").alias("axe"), "allow_multiple", F.col("start_uri").alias("start_id"))
-    reached = hierarchy.descendants(axes, nodes, edges)
-    values = hierarchy.axis_values(axes, reached)
-    sizes = hierarchy.axis_sizes(axes, values)
-    impossible = hierarchy.oversize_roots(sizes, max_values).select("root")
+    kept = hierarchy.countable_axes(axes, nodes, edges, max_values)
+    values, impossible = hierarchy.axis_values(kept.axes, kept.reached), kept.impossible
     labels = hierarchy.chapter_labels(readers.ranked_children(documents, root_uri), nodes)
     chapter = hierarchy.chapters(nodes, readers.first_parents(documents), labels)
     roots = leaves.select(F.col("id").alias("root")).join(impossible, "root", "left_anti")
-    summary = hierarchy.root_summary(roots, hierarchy.root_pairs(values), hierarchy.combinations(sizes), chapter)
+    summary = hierarchy.root_summary(roots, hierarchy.root_pairs(values), hierarchy.combinations(kept.sizes), chapter)
     summary = summary.join(leaves.select(F.col("id").alias("root"), "code"), "root").drop("root")
     summary.write.mode("overwrite").parquet(f"{out}/par_code")
     written = spark.read.parquet(f"{out}/par_code")
@@ -138,7 +148,7 @@ def validate_corpus(spark: SparkSession, path: str, min_examples: int = 10) -> D
 def evaluate_answers(base: Mapping[str, DataFrame], answers: DataFrame, limit: int = 15) -> DataFrame:
     """Agreement counts over the evaluation set; ``answers`` has ``id_crh``, ``code_predit``, ``libelle_predit``."""
     cases = evaluate.evaluation_set(base["crh"], base["diagnostic"], base["code_cim11"], limit)
-    judged = evaluate.agreement(lookup_join(cases.drop("texte_crh"), answers, "id_crh", "left", spread=["code_dp"]))
+    judged = evaluate.agreement(lookup_join(cases.drop("texte_crh"), answers, "id_crh", "left"))
     return evaluate.agreement_counts(judged)
 
 

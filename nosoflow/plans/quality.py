@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nosoflow.operators import evaluate, quality, relational, reports
-from nosoflow.operators.scaling import concat_all
+from nosoflow.operators import evaluate, quality, relational, reports, terminology
+from nosoflow.operators.scaling import concat_all, lookup_join
 from nosoflow.plans.registry import query
 from nosoflow.plans.reports import PARSED
+from nosoflow.plans.terminology import ORD
 from nosoflow.plans.views import Inputs
 
-# Lines of the second half of the corpus are numbered after the conversations.
-SHIFT = 1_000_000_000
-
-
 def corpus(i: Inputs) -> DataFrame:
     """Raw lines: one per conversation, then one per coded reply; some malformed, some blank.
 
-    Four turns are enough to know that a conversation has not exactly three, so no longer list is built.
+    Conversations have even numbers, replies odd ones. Only those of three turns can be examples, so only for them a list is built; the line of any
+    other has one message that tells its number of turns.
     """
-    turns = relational.first_per_key(i("v_message"), ["conv_id"], ["turn"], 4)
+    counts = i("v_message").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    turns = lookup_join(i("v_message"), counts.where("n = 3").select("conv_id"), "conv_id", "left_semi")
     messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))),
                            lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    chats = turns.groupBy(F.col("conv_id").alias("num")).agg(messages.alias("messages"))
+    chats = turns.groupBy("conv_id").agg(messages.alias("messages"))
+    told = F.array(F.struct(F.concat(F.col("n").cast("string"), F.lit(" tours")).alias("role"), F.lit("").alias("content")))
+    chats = chats.unionByName(counts.where("n <> 3").select("conv_id", told.alias("messages")))
+    chats = chats.select((F.col("conv_id") * 2).alias("num"), "messages")
     text = F.when(F.col("id") % 50 == 0, F.lit("  court ")).otherwise(
         F.concat(F.lit("Compte rendu "), (F.col("id") % 400).cast("string")))
 
@@ -31,7 +33,7 @@ def corpus(i: Inputs) -> DataFrame:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
     made = F.array(message("system", F.lit("consigne")), message("user", text), message("assistant", F.col("reply")))
-    samples = i("v_reply").select((F.col("id") + SHIFT).alias("num"), made.alias("messages"))
+    samples = i("v_reply").select((F.col("id") * 2 + 1).alias("num"), made.alias("messages"))
     line = F.to_json(F.struct("messages"))
     broken = (
         F.when(F.col("num") % 17 == 3, F.substring(line, 1, 20))
@@ -40,11 +42,11 @@ def corpus(i: Inputs) -> DataFrame:
     return chats.unionByName(samples).select("num", broken.alias("brut"))
 
 
-CORPUS = f"""{PARSED}, three AS (SELECT conv_id AS num, string_agg(role, ',' ORDER BY turn) AS roles,
+CORPUS = f"""{PARSED}, three AS (SELECT conv_id * 2 AS num, string_agg(role, ',' ORDER BY turn) AS roles,
       max(content) FILTER (role = 'user') AS u, max(content) FILTER (role = 'assistant') AS a FROM v_message GROUP BY conv_id),
   all_lines AS (SELECT num, roles, u, regexp_matches(CASE WHEN contains(a, 'DP :') THEN substr(a, instr(a, 'DP :') + 4) ELSE a END,
       '\\([A-Z0-9]{{2,10}}(\\.[A-Z0-9]+)?(&[A-Z0-9]{{2,10}}(\\.[A-Z0-9]+)?)*\\)') AS dp FROM three
-    UNION ALL SELECT m.id + {SHIFT}, 'system,user,assistant', CASE WHEN m.id % 50 = 0 THEN '  court ' ELSE 'Compte rendu ' || (m.id % 400) END,
+    UNION ALL SELECT m.id * 2 + 1, 'system,user,assistant', CASE WHEN m.id % 50 = 0 THEN '  court ' ELSE 'Compte rendu ' || (m.id % 400) END,
       m.id IN (SELECT id FROM diag WHERE type_diag = 'DP') FROM main m),
   lines AS (SELECT * FROM all_lines WHERE num % 17 IN (3, 4) OR num % 101 <> 5),
   good AS (SELECT num, trim(u, ' ' || chr(10)) AS u, dp FROM lines WHERE num % 17 NOT IN (3, 4) AND roles = 'system,user,assistant'),
@@ -89,13 +91,8 @@ METRICS = ",\n".join(
 
 def metrics(i: Inputs) -> DataFrame:
     expected = i("v_diag").select(F.col("id_crh").alias("id"), F.col("code_cim11").alias("code"))
-    parts = []
-    for variant, view in (("base", "v_codes_base"), ("finetuned", "v_codes_fine")):
-        for mode in ("strict", "souple"):
-            found = evaluate.code_metrics(expected, i(view), mode == "souple")
-            parts.append(found.select(
-                F.lit("essai").alias("modele"), F.lit(variant).alias("variante"), F.lit(mode).alias("mode"), "metrique", "valeur"))
-    return concat_all(parts)
+    found = evaluate.code_metrics(expected, {"base": i("v_codes_base"), "finetuned": i("v_codes_fine")})
+    return found.select(F.lit("essai").alias("modele"), "variante", "mode", "metrique", "valeur")
 
 
 @query(f"WITH {METRICS} SELECT modele, variante, mode, metrique, valeur FROM metrics")
@@ -106,7 +103,7 @@ def prf_metrics(i: Inputs) -> DataFrame:
 @query(f"""WITH {METRICS}, w AS (SELECT modele, max(valeur) FILTER (variante = 'base' AND metrique = 'f1') AS f1_base,
       max(valeur) FILTER (variante = 'finetuned' AND metrique = 'f1') AS f1,
       max(valeur) FILTER (variante = 'finetuned' AND metrique = 'exact_match') AS exact_match FROM metrics WHERE mode = 'souple' GROUP BY 1)
-    SELECT *, f1 >= 0.7 AND exact_match >= 0.6 AND f1 > f1_base AS valide, concat_ws(' ; ', CASE WHEN f1 < 0.7 THEN 'F1 souple sous le seuil' END,
+    SELECT *, f1 IS NOT NULL AND exact_match IS NOT NULL AND f1_base IS NOT NULL AND f1 >= 0.7 AND exact_match >= 0.6 AND f1 > f1_base AS valide, concat_ws(' ; ', CASE WHEN f1 < 0.7 THEN 'F1 souple sous le seuil' END,
       CASE WHEN exact_match < 0.6 THEN 'exact match souple sous le seuil' END, CASE WHEN f1 <= f1_base THEN 'aucun gain sur la base' END) AS erreurs FROM w""")
 def metric_gate(i: Inputs) -> DataFrame:
     return quality.metric_gate(metrics(i))
@@ -114,12 +111,22 @@ def metric_gate(i: Inputs) -> DataFrame:
 
 @query("""SELECT 'orders' AS table_name, 'o_orderstatus' AS column_name, CAST(o_orderkey AS VARCHAR) AS cle, o_orderstatus AS valeur
       FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
-    UNION ALL SELECT 'diagnostic', 'type_diag', CAST(ord1 AS VARCHAR), type_diag FROM v_diag WHERE type_diag NOT IN ('DP')  AND ord2 = 5""")
+    UNION ALL SELECT 'diagnostic', 'type_diag', CAST(ord1 AS VARCHAR), 'XX' FROM v_diag WHERE (ord1 + ord2) % 50 = 0
+    UNION ALL SELECT 'patient_fictif', 'sexe', CAST(c_custkey AS VARCHAR), CAST(c_custkey % 10 AS VARCHAR) FROM customer
+      WHERE c_custkey % 10 NOT IN (1, 2, 9)""")
 def check_violations(i: Inputs) -> DataFrame:
-    diag = i("v_diag").where("ord2 = 5")
+    diag = i("v_diag").withColumn("type_diag", F.expr("CASE WHEN (ord1 + ord2) % 50 = 0 THEN 'XX' ELSE type_diag END"))
+    patients = i.table("customer").withColumn("sexe", (F.col("c_custkey") % 10).cast("string"))
     return concat_all([
         quality.value_violations(i.table("orders"), "o_orderkey", "o_orderstatus", ["F", "O"], "orders"),
-        quality.value_violations(diag, "ord1", "type_diag", ["DP"], "diagnostic")])
+        quality.value_violations(diag, "ord1", "type_diag", quality.DIAGNOSIS_TYPES, "diagnostic"),
+        quality.value_violations(patients, "c_custkey", "sexe", quality.SEXES, "patient_fictif")])
+
+
+def mapped_synonyms(i: Inputs) -> DataFrame:
+    """Synonyms with the code that their ICD-10 code maps to, whether the terminology has it or not."""
+    mapping = terminology.icd_map(i("v_map10"), ["ord"])
+    return terminology.load_synonyms(i("v_syn"), mapping, mapping.select(F.col("icd11").alias("code")).distinct(), ORD)
 
 
 @query("""SELECT 'sejour.id_patient' AS lien, CAST(o_orderkey AS VARCHAR) AS cle, CAST(o_custkey AS VARCHAR) AS reference FROM orders
@@ -129,7 +136,13 @@ def check_violations(i: Inputs) -> DataFrame:
     UNION ALL SELECT 'diagnostic.id_crh', CAST(ord1 AS VARCHAR), CAST(id_crh AS VARCHAR) FROM v_diag
       WHERE id_crh NOT IN (SELECT id_crh FROM v_crh WHERE id_crh % 40 <> 7)
     UNION ALL SELECT 'code_postcoord.code_racine', CAST(ord1 AS VARCHAR), code_racine FROM v_pc
-      WHERE code_racine NOT IN (SELECT code FROM v_term WHERE ord % 10 <> 0)""")
+      WHERE code_racine NOT IN (SELECT code FROM v_term WHERE ord % 10 <> 0)
+    UNION ALL SELECT 'crh.id_sejour', CAST(id_crh AS VARCHAR), CAST(id_sejour AS VARCHAR) FROM v_crh
+      WHERE id_sejour NOT IN (SELECT o_orderkey FROM orders)
+    UNION ALL SELECT 'synonyme.code_cim11', CAST(ord1 AS VARCHAR), m.icd11 FROM v_syn s JOIN (SELECT icd10, max_by(icd11, ord) AS icd11 FROM v_map10 GROUP BY 1) m
+      ON m.icd10 = s.code WHERE m.icd11 NOT IN (SELECT code FROM v_term WHERE ord % 10 <> 0)
+    UNION ALL SELECT 'axe_postcoord.code_cim11', CAST(ord AS VARCHAR), code FROM v_axis_csv
+      WHERE code NOT IN (SELECT code FROM v_term WHERE ord % 10 <> 0)""")
 def fk_violations(i: Inputs) -> DataFrame:
     terms = i("v_term").where("ord % 10 <> 0")
     patients = i.table("customer").where("c_custkey % 11 <> 4")
@@ -138,7 +151,10 @@ def fk_violations(i: Inputs) -> DataFrame:
         quality.reference_violations(i.table("orders"), "o_orderkey", "o_custkey", patients, "c_custkey", "sejour.id_patient"),
         quality.reference_violations(i("v_diag"), "ord1", "code_cim11", terms, "code", "diagnostic.code_cim11"),
         quality.reference_violations(i("v_diag"), "ord1", "id_crh", crh, "id_crh", "diagnostic.id_crh"),
-        quality.reference_violations(i("v_pc"), "ord1", "code_racine", terms, "code", "code_postcoord.code_racine")])
+        quality.reference_violations(i("v_pc"), "ord1", "code_racine", terms, "code", "code_postcoord.code_racine"),
+        quality.reference_violations(i("v_crh"), "id_crh", "id_sejour", i.table("orders"), "o_orderkey", "crh.id_sejour"),
+        quality.reference_violations(mapped_synonyms(i), "ord1", "code_cim11", terms, "code", "synonyme.code_cim11"),
+        quality.reference_violations(i("v_axis_csv"), "ord", "code", terms, "code", "axe_postcoord.code_cim11")])
 
 
 @query("""SELECT 'code_cim11' AS table_name, code AS cle, count(*) AS n FROM v_term GROUP BY code HAVING count(*) > 1
@@ -175,16 +191,41 @@ def cascade_erase(i: Inputs) -> DataFrame:
     return relational.table_counts(kept).withColumnRenamed("n_rows", "n")
 
 
-@query("""WITH asked AS (SELECT DISTINCT code FROM v_term WHERE ord % 4 = 1),
-      used AS (SELECT code_cim11 AS code FROM v_diag WHERE type_diag = 'DP' AND ord1 % 20 = 1),
-      gone AS (SELECT code FROM asked WHERE code NOT IN (SELECT code FROM used))
-    SELECT 'code_cim11' AS table_name, count(DISTINCT code) AS n FROM v_term WHERE code NOT IN (SELECT code FROM gone)
-    UNION ALL SELECT 'code_postcoord', count(*) FROM v_pc WHERE code_racine NOT IN (SELECT code FROM gone)
-    UNION ALL SELECT 'axe_postcoord', count(*) FROM v_axis_csv WHERE code NOT IN (SELECT code FROM gone)""")
+# Codes with a Q in front are in no diagnosis, so they may be erased; one row in twenty of each child table has one.
+PLANTED = "CASE WHEN {n} % 20 = 1 THEN 'Q' || {c} ELSE {c} END"
+
+
+@query(f"""WITH term AS (SELECT DISTINCT code FROM v_term UNION SELECT 'Q' || code FROM v_term),
+      asked AS (SELECT DISTINCT code FROM v_term WHERE ord % 4 = 1 UNION SELECT DISTINCT 'Q' || code FROM v_term WHERE ord % 4 = 1),
+      gone AS (SELECT code FROM asked WHERE code NOT IN (SELECT code_cim11 FROM v_diag))
+    SELECT 'code_cim11' AS table_name, count(*) AS n FROM term WHERE code NOT IN (SELECT code FROM gone)
+    UNION ALL SELECT 'code_postcoord', count(*) FROM v_pc WHERE {PLANTED.format(n='ord4', c='code_racine')} NOT IN (SELECT code FROM gone)
+    UNION ALL SELECT 'axe_postcoord', count(*) FROM v_axis_csv WHERE {PLANTED.format(n='ord', c='code')} NOT IN (SELECT code FROM gone)
+    UNION ALL SELECT 'synonyme', count(*) FROM v_syn s JOIN (SELECT icd10, max_by(icd11, ord) AS icd11 FROM v_map10 GROUP BY 1) m ON m.icd10 = s.code
+      WHERE {PLANTED.format(n='ord4', c='m.icd11')} NOT IN (SELECT code FROM gone)""")
 def code_erase(i: Inputs) -> DataFrame:
-    asked = i("v_term").where("ord % 4 = 1").select("code").distinct()
-    used = i("v_diag").where("type_diag = 'DP' AND ord1 % 20 = 1")
+    def planted(table: DataFrame, number: str, code: str) -> DataFrame:
+        return table.withColumn(code, F.expr(PLANTED.format(n=number, c=code)))
+
+    def with_planted(codes: DataFrame) -> DataFrame:
+        return codes.select("code").union(codes.select(F.concat(F.lit("Q"), "code"))).distinct()
+
     kept = quality.erase_codes(
-        asked, i("v_term").select("code").distinct(), used,
-        {"code_postcoord": (i("v_pc"), "code_racine"), "axe_postcoord": (i("v_axis_csv"), "code")})
+        with_planted(i("v_term").where("ord % 4 = 1")), with_planted(i("v_term")), i("v_diag"), {
+            "code_postcoord": (planted(i("v_pc"), "ord4", "code_racine"), "code_racine"),
+            "axe_postcoord": (planted(i("v_axis_csv"), "ord", "code"), "code"),
+            "synonyme": (planted(mapped_synonyms(i), "ord4", "code_cim11"), "code_cim11")})
     return relational.table_counts(kept).withColumnRenamed("n_rows", "n")
+
+
+@query("""WITH stay AS (SELECT o_orderkey AS id_sejour FROM orders), gone AS (SELECT id_sejour FROM stay WHERE id_sejour % 10 = 1),
+      crh AS (SELECT id_crh, id_crh % 10 = 1 OR id_crh % 10 = 7 AS parti FROM v_crh)
+    SELECT 'sejour' AS table_name, count(*) AS n FROM stay WHERE id_sejour % 10 <> 1
+    UNION ALL SELECT 'crh', count(*) FROM crh WHERE NOT (id_crh % 10 = 7 OR id_crh IN (SELECT id_sejour FROM gone))
+    UNION ALL SELECT 'diagnostic', count(*) FROM v_diag WHERE NOT (id_crh % 10 = 7 OR id_crh IN (SELECT id_sejour FROM gone))""")
+def stay_erase(i: Inputs) -> DataFrame:
+    stays = i.table("orders").select(F.col("o_orderkey").alias("id_sejour"))
+    crh = i("v_crh").select("id_crh", F.col("id_crh").alias("id_sejour"))
+    after_stays = quality.erase_stays(stays.where("id_sejour % 10 = 1"), stays, crh, i("v_diag"))
+    after_reports = quality.erase_reports(crh.where("id_crh % 10 = 7"), after_stays["crh"], after_stays["diagnostic"])
+    return relational.table_counts({"sejour": after_stays["sejour"], **after_reports}).withColumnRenamed("n_rows", "n")

@@ -9,7 +9,7 @@ from nosoflow.functions.replies import diagnosis_rows, parse_reply
 from nosoflow.functions.text import unwrap_report, wrap_report
 from nosoflow.operators import lookup, relational, reports, terminology
 from nosoflow.plans.registry import query
-from nosoflow.plans.terminology import CODES, HALF, codes
+from nosoflow.plans.terminology import CODES, codes
 from nosoflow.plans.views import Inputs
 
 PART = r"[A-Z0-9]{2,10}(?:\.[A-Z0-9]+)?"
@@ -55,10 +55,10 @@ def example_reports(i: Inputs) -> DataFrame:
     return reports.example_reports(reports.parse_examples(example_lines(i)))
 
 
-@query(f"""WITH {PARSED}, {CODES}, {HALF} SELECT id AS id_crh, CAST(rang AS BIGINT) AS rang, type_diag, code AS code_cim11, libelle AS libelle_saisi
-    FROM diag WHERE code IN (SELECT code FROM half)""")
+@query(f"""WITH {PARSED}, {CODES} SELECT id AS id_crh, CAST(rang AS BIGINT) AS rang, type_diag, code AS code_cim11, libelle AS libelle_saisi
+    FROM diag WHERE code IN (SELECT code FROM codes)""")
 def load_reports(i: Inputs) -> DataFrame:
-    return reports.load_diagnostics(example_reports(i), codes(i, 700))
+    return reports.load_diagnostics(example_reports(i), codes(i))
 
 
 @query("""SELECT id AS id_patient, 'Fictif' || id AS nom, 'Synthetique' AS prenom, '9' AS sexe, id AS id_sejour,
@@ -70,10 +70,10 @@ def load_stays(i: Inputs) -> DataFrame:
     return patients.drop("date_naissance").join(stays, "id_patient").join(texts, "id_sejour")
 
 
-@query(f"""WITH {PARSED}, {CODES}, {HALF} SELECT (SELECT count(*) FROM v_reply) AS n_crh,
-    count(*) FILTER (code IN (SELECT code FROM half)) AS n_diag, count(*) FILTER (code NOT IN (SELECT code FROM half)) AS n_skipped FROM diag""")
+@query(f"""WITH {PARSED}, {CODES} SELECT (SELECT count(*) FROM v_reply) AS n_crh,
+    count(*) FILTER (code IN (SELECT code FROM codes)) AS n_diag, count(*) FILTER (code NOT IN (SELECT code FROM codes)) AS n_skipped FROM diag""")
 def skipped_diagnoses(i: Inputs) -> DataFrame:
-    return reports.load_counts(example_reports(i), codes(i, 700))
+    return reports.load_counts(example_reports(i), codes(i))
 
 
 @query("""SELECT p.id_crh, p.id_sejour, length(p.texte_crh) AS longueur, d.type_diag, d.code_cim11, d.ord1, d.ord2, d.ord3, d.ord4
@@ -129,8 +129,10 @@ def unwrap_prompt(i: Inputs) -> DataFrame:
     return i("v_crh").select("id_crh", F.md5(unwrap_report(wrapped)).alias("texte"))
 
 
-@query("SELECT DISTINCT code_racine AS cle FROM v_pc WHERE code_racine NOT IN (SELECT code_cim11 FROM v_diag WHERE ord3 % 50 = 1)")
+@query("""SELECT DISTINCT code AS cle FROM (SELECT CASE WHEN ord4 % 20 = 1 THEN 'Q' || code_racine ELSE code_racine END AS code FROM v_pc)
+    WHERE code NOT IN (SELECT code_cim11 FROM v_diag)""")
 def remaining_keys(i: Inputs) -> DataFrame:
-    units = i("v_pc").select(F.col("code_racine").alias("cle")).distinct()
-    finished = i("v_diag").where("ord3 % 50 = 1").select(F.col("code_cim11").alias("cle"))
+    planted = F.expr("CASE WHEN ord4 % 20 = 1 THEN 'Q' || code_racine ELSE code_racine END")  # units without a result
+    units = i("v_pc").select(planted.alias("cle")).distinct()
+    finished = i("v_diag").select(F.col("code_cim11").alias("cle"))
     return lookup.remaining(units, finished, "cle")

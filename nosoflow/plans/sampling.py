@@ -8,11 +8,11 @@ from nosoflow.operators import sampling
 from nosoflow.plans.registry import query
 from nosoflow.plans.views import Inputs
 
-HASH = "CAST('0x' || left(md5({}), 8) AS BIGINT)"
+HASH = "CAST('0x' || left(md5({}), 13) AS BIGINT)"
 
 
 @query(f"""SELECT id, icd10_raw, nb FROM v_profile
-    ORDER BY -ln(({HASH.format("'7|' || id")} + 0.5) / 4294967296.0) / nb, id LIMIT 500""")
+    ORDER BY -ln(({HASH.format("'7|' || id")} + 0.5) / 4503599627370496.0) / nb, id LIMIT 500""")
 def weighted_sample(i: Inputs) -> DataFrame:
     return sampling.weighted_sample(i("v_profile"), 500, "nb", "id", 7).select("id", "icd10_raw", "nb")
 
@@ -29,14 +29,24 @@ def draw_per_root(i: Inputs) -> DataFrame:
     return sampling.draw_per_key(i("v_pc"), ["code_racine"], "code_postcoord", 5, 3)
 
 
-DRAWN = f"""ranked AS (SELECT code_racine, code_postcoord, row_number() OVER (PARTITION BY code_racine
-      ORDER BY {HASH.format("'5|' || code_racine || '|' || code_postcoord")}, code_postcoord) AS pos,
+def drawn_sql(name: str, keyed: str, k: int, seed: int = 5) -> str:
+    """SQL of ``draw_for_rows`` for the rows (id, code_racine) of ``keyed``: distinct positions slot by slot; a number met before
+    gives way to the last one allowed."""
+    spots = f"SELECT id, code_racine, n, CAST([] AS BIGINT[]) AS taken FROM {keyed} JOIN (SELECT DISTINCT code_racine, n FROM {name}_ranked) USING (code_racine)"
+    for slot in range(k):
+        last = f"(n - {k - 1 - slot})"
+        number = f"({HASH.format(f"'{seed}|' || id || '|{slot}'")} % greatest({last}, 1) + 1)"
+        spots = f"""SELECT id, code_racine, n, CASE WHEN {last} < 1 THEN taken WHEN list_contains(taken, {number}) THEN list_append(taken, {last})
+            ELSE list_append(taken, {number}) END AS taken FROM ({spots})"""
+    return f"""{name}_ranked AS (SELECT code_racine, code_postcoord, row_number() OVER (PARTITION BY code_racine
+      ORDER BY {HASH.format(f"'{seed}|' || code_racine || '|' || code_postcoord")}, code_postcoord) AS pos,
       count(*) OVER (PARTITION BY code_racine) AS n
     FROM (SELECT DISTINCT code_racine, code_postcoord FROM v_pc)),
-  drawn AS (SELECT DISTINCT p.id, p.code_racine, r.code_postcoord FROM keyed p
-    JOIN ranked r ON r.code_racine = p.code_racine
-    JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS k) s ON s.k < r.n
-      AND r.pos = ({HASH.format("'5|' || p.id")} % r.n + s.k * greatest(r.n // 5, 1)) % r.n + 1)"""
+  {name} AS (SELECT s.id, s.code_racine, r.code_postcoord FROM (SELECT id, code_racine, unnest(taken) AS pos FROM ({spots})) s
+    JOIN {name}_ranked r ON r.code_racine = s.code_racine AND r.pos = s.pos)"""
+
+
+DRAWN = drawn_sql("drawn", "keyed", 5)
 
 
 @query(f"""WITH keyed AS (SELECT id_crh AS id, min(code_cim11) AS code_racine FROM v_diag GROUP BY 1), {DRAWN}

@@ -55,10 +55,9 @@ def stream_alerts(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(out)
 
 
-@query("""SELECT o_orderkey AS id_crh, CASE WHEN o_custkey % 10 = 3 THEN 'sejour inconnu' WHEN o_orderkey % 7 = 2 THEN 'code inconnu : ZZ99' END AS motif
-    FROM orders""")
-def stream_intake(i: Inputs) -> DataFrame:
-    accepted, refused, state = (jobs.work_folder(i.spark, n) for n in ("acceptes", "refuses", "etat"))
+def intake(i: Inputs) -> str:
+    """Folder of the tables written from arriving reports."""
+    out, state = (jobs.work_folder(i.spark, n) for n in ("arrivees", "etat"))
     orders = jobs.read_files(stream_session(i.spark), f"{i.folder}/orders*.parquet", i.table("orders").schema)
     known = F.concat(F.lit("C"), F.lpad((F.col("o_orderkey") % 3).cast("string"), 5, "0"))
     code = F.when(F.col("o_orderkey") % 7 == 2, F.lit("ZZ99")).otherwise(known)
@@ -70,7 +69,22 @@ def stream_intake(i: Inputs) -> DataFrame:
     customer = session.read.parquet(f"{i.folder}/customer.parquet")
     stays = customer.where("c_custkey % 10 <> 3").select(F.col("c_custkey").alias("id_sejour"))
     part = session.read.parquet(f"{i.folder}/part.parquet")
-    codes = part.select(F.concat(F.lit("C"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("code"))
-    jobs.take_in(arriving, accepted, refused, state, stays, codes)
-    kept = i.spark.read.parquet(accepted).select("id_crh", F.lit(None).cast("string").alias("motif"))
-    return kept.unionByName(i.spark.read.parquet(refused).select("id_crh", "motif"))
+    codes = part.select(F.concat(F.lit("C"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("code"), F.col("p_name").alias("libelle"))
+    jobs.take_in(arriving, out, state, stays, codes)
+    return out
+
+
+@query("""SELECT o_orderkey AS id_crh, CASE WHEN o_custkey % 10 = 3 THEN 'sejour inconnu' WHEN o_orderkey % 7 = 2 THEN 'code inconnu : ZZ99' END AS motif
+    FROM orders""")
+def stream_intake(i: Inputs) -> DataFrame:
+    out = intake(i)
+    kept = i.spark.read.parquet(f"{out}/crh").select("id_crh", F.lit(None).cast("string").alias("motif"))
+    return kept.unionByName(i.spark.read.parquet(f"{out}/refus").select("id_crh", "motif"))
+
+
+@query("""SELECT d.id_crh, d.type_diag, d.code_cim11, p.p_name AS libelle_saisi FROM (
+      SELECT o_orderkey AS id_crh, 'DP' AS type_diag, o_orderkey % 3 AS k, 'C0000' || (o_orderkey % 3) AS code_cim11 FROM orders WHERE o_custkey % 10 <> 3 AND o_orderkey % 7 <> 2
+      UNION ALL SELECT o_orderkey, 'DAS', 1, 'C00001' FROM orders WHERE o_custkey % 10 <> 3 AND o_orderkey % 7 <> 2) d
+    JOIN part p ON p.p_partkey = d.k""")
+def stream_diagnoses(i: Inputs) -> DataFrame:
+    return i.spark.read.parquet(f"{intake(i)}/diagnostic").select("id_crh", "type_diag", "code_cim11", "libelle_saisi")

@@ -20,7 +20,7 @@ HALF = "half AS (SELECT code, libelle, type FROM codes ORDER BY ord LIMIT 700)"
 MAP = """icd AS (SELECT icd10, icd11 FROM (
   SELECT *, row_number() OVER (PARTITION BY icd10 ORDER BY ord DESC) AS rn FROM v_map10) WHERE rn = 1)"""
 SYN = """syn AS (SELECT s.*, m.icd11 AS code_cim11 FROM v_syn s LEFT JOIN (
-  SELECT * FROM icd WHERE icd11 IN (SELECT code FROM half)) m ON m.icd10 = s.code)"""
+  SELECT * FROM icd WHERE icd11 IN (SELECT code FROM codes)) m ON m.icd10 = s.code)"""
 
 
 def codes(i: Inputs, limit: int = 0) -> DataFrame:
@@ -28,26 +28,21 @@ def codes(i: Inputs, limit: int = 0) -> DataFrame:
 
 
 def synonyms(i: Inputs, limit: int = 0) -> DataFrame:
-    return t.load_synonyms(i("v_syn"), t.icd_map(i("v_map10"), ["ord"]), codes(i, 700), ORD, limit)
+    return t.load_synonyms(i("v_syn"), t.icd_map(i("v_map10"), ["ord"]), codes(i), ORD, limit)
 
 
 @query("""
     WITH codes AS (SELECT code, min(texte) AS libelle FROM (
         SELECT code, first_value(texte) OVER (PARTITION BY code ORDER BY ord) AS texte FROM v_term) GROUP BY code),
       icd AS (SELECT icd10, max_by(icd11, ord) AS icd11 FROM v_map10 GROUP BY icd10),
-      syn AS (SELECT m.icd11 AS code_cim11, ord1 || '-' || ord2 || '-' || ord3 || '-' || ord4 || '-' || ord5 AS id_synonyme
-        FROM v_syn s JOIN icd m ON m.icd10 = s.code WHERE s.ord4 % 25 = 3),
-      diag AS (SELECT DISTINCT code_cim11, id_crh FROM v_diag WHERE type_diag = 'DP')
-    SELECT c.code AS code_cim11, c.libelle, COUNT(DISTINCT s.id_synonyme) AS nb_synonymes,
-      COUNT(DISTINCT p.code_postcoord) AS nb_postcoord, MIN(crh.texte_crh) AS exemple_crh
-    FROM codes c JOIN diag d ON d.code_cim11 = c.code JOIN v_crh crh ON crh.id_crh = d.id_crh
-    LEFT JOIN syn s ON s.code_cim11 = c.code LEFT JOIN (SELECT DISTINCT code_racine, code_postcoord FROM v_pc) p ON p.code_racine = c.code
-    GROUP BY c.code, c.libelle HAVING COUNT(DISTINCT s.id_synonyme) > 0 AND COUNT(DISTINCT p.code_postcoord) > 0
-    ORDER BY nb_postcoord DESC, code_cim11 LIMIT 50""")
+      syn AS (SELECT m.icd11 AS code, count(*) AS n FROM v_syn s JOIN icd m ON m.icd10 = s.code GROUP BY 1),
+      pc AS (SELECT code_racine AS code, count(DISTINCT code_postcoord) AS n FROM v_pc GROUP BY 1),
+      dp AS (SELECT d.code_cim11 AS code, min(r.texte_crh) AS texte FROM v_diag d JOIN v_crh r ON r.id_crh = d.id_crh WHERE type_diag = 'DP' GROUP BY 1)
+    SELECT c.code AS code_cim11, c.libelle, syn.n AS nb_synonymes, pc.n AS nb_postcoord, dp.texte AS exemple_crh
+    FROM codes c JOIN dp USING (code) JOIN syn USING (code) JOIN pc USING (code) ORDER BY nb_postcoord DESC, code_cim11 LIMIT 50""")
 def well_documented_codes(i: Inputs) -> DataFrame:
     loaded = codes(i)
-    kept = i("v_syn").where(F.col("ord4") % 25 == 3)
-    syn = t.load_synonyms(kept, t.icd_map(i("v_map10"), ["ord"]), loaded, ORD)
+    syn = t.load_synonyms(i("v_syn"), t.icd_map(i("v_map10"), ["ord"]), loaded, ORD)
     return t.well_documented_codes(loaded, i("v_diag"), i("v_crh"), syn, i("v_pc"), 50)
 
 
@@ -84,7 +79,7 @@ def code_page(i: Inputs) -> DataFrame:
 
 
 @query(f"""
-    WITH {CODES}, {HALF}, {MAP}, {SYN},
+    WITH {CODES}, {MAP}, {SYN},
       wanted AS (SELECT code FROM v_term WHERE ord = 12 UNION ALL SELECT 'INCONNU'),
       child AS (SELECT code_cim11 AS code, 'synonyme' AS genre, synonyme AS valeur FROM syn WHERE code_cim11 IS NOT NULL
         UNION ALL SELECT code_racine, 'postcoordination', min(code_postcoord) FROM v_pc GROUP BY code_racine, code_postcoord)
@@ -99,7 +94,7 @@ def code_detail(i: Inputs) -> DataFrame:
         return lookup_join(table, wanted, "code", "left_semi")
 
     # child tables are read for the wanted codes only
-    syn = t.load_synonyms(i("v_syn"), t.icd_map(i("v_map10"), ["ord"]), only_wanted(codes(i, 700)), ORD)
+    syn = t.load_synonyms(i("v_syn"), t.icd_map(i("v_map10"), ["ord"]), only_wanted(codes(i)), ORD)
     postcoord = t.load_postcoord(i("v_pc"), only_wanted(codes(i)), ORD)
     return t.code_detail(wanted, codes(i), syn, postcoord)
 
@@ -114,38 +109,38 @@ def load_terms_limited(i: Inputs) -> DataFrame:
     return codes(i, 700)
 
 
-@query(f"WITH {CODES}, {HALF}, {MAP}, {SYN} SELECT {', '.join(ORD)}, code_cim11, synonyme, source FROM syn WHERE code_cim11 IS NOT NULL")
+@query(f"WITH {CODES}, {MAP}, {SYN} SELECT {', '.join(ORD)}, code_cim11, synonyme, source FROM syn WHERE code_cim11 IS NOT NULL")
 def load_synonyms(i: Inputs) -> DataFrame:
     return synonyms(i)
 
 
 @query(f"""
-    WITH {CODES}, {HALF}, {MAP}, {SYN},
+    WITH {CODES}, {MAP}, {SYN},
       seq AS (SELECT code_cim11 IS NOT NULL AS ok, row_number() OVER w AS n,
         count(code_cim11) OVER w AS kept FROM syn WINDOW w AS (ORDER BY ord1, ord2, ord3, ord4, ord5 ROWS UNBOUNDED PRECEDING)),
       stop AS (SELECT min(n) AS n FROM seq WHERE kept = 1000)
     SELECT count(*) FILTER (ok) AS n_charges, count(*) FILTER (NOT ok) AS n_non_mappes
     FROM seq WHERE n <= (SELECT coalesce(n, 9223372036854775807) FROM stop)""")
 def synonym_load_counts(i: Inputs) -> DataFrame:
-    return t.synonym_load_counts(i("v_syn"), t.icd_map(i("v_map10"), ["ord"]), codes(i, 700), ORD, 1000)
+    return t.synonym_load_counts(i("v_syn"), t.icd_map(i("v_map10"), ["ord"]), codes(i), ORD, 1000)
 
 
 @query(f"""
-    WITH {CODES}, {HALF}
+    WITH {CODES}
     SELECT code_postcoord, code_racine, libelles_extensions FROM (
       SELECT *, row_number() OVER (PARTITION BY code_postcoord ORDER BY ord1, ord2, ord3, ord4, ord5) AS rn
-      FROM v_pc WHERE code_racine IN (SELECT code FROM half)) WHERE rn = 1""")
+      FROM v_pc WHERE code_racine IN (SELECT code FROM codes)) WHERE rn = 1""")
 def load_postcoord(i: Inputs) -> DataFrame:
-    return t.load_postcoord(i("v_pc"), codes(i, 700), ORD)
+    return t.load_postcoord(i("v_pc"), codes(i), ORD)
 
 
 @query(f"""
-    WITH {CODES}, {HALF}
+    WITH {CODES}
     SELECT code AS code_cim11, axe_nom, allow_multiple, CAST(nullif(taille_axe, '') AS INTEGER) AS taille_axe,
       nullif(raison_arret, '') AS raison_arret
-    FROM v_axis_csv WHERE code IN (SELECT code FROM half) ORDER BY ord LIMIT 500""")
+    FROM v_axis_csv WHERE code IN (SELECT code FROM codes)""")
 def load_axes(i: Inputs) -> DataFrame:
-    return t.load_axes(i("v_axis_csv"), codes(i, 700), ["ord"], 500)
+    return t.load_axes(i("v_axis_csv"), codes(i), ["ord"])
 
 
 DICTIONARY = """dico AS (

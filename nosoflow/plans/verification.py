@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from nosoflow.operators import lookup, prompts, relational, sampling, verify
 from nosoflow.operators.scaling import cut_lineage
 from nosoflow.plans.registry import query
-from nosoflow.plans.sampling import DRAWN
+from nosoflow.plans.sampling import DRAWN, HASH, drawn_sql
 from nosoflow.plans.terminology import CODES, ORD, codes
-from nosoflow.plans.translation import with_lists
+from nosoflow.plans.translation import LOOKUP, MAP, NORM, mapping, with_lists
 from nosoflow.plans.views import Inputs
 
 K = ", ".join(ORD)
@@ -152,6 +152,53 @@ def prompts_per_stay(i: Inputs) -> DataFrame:
     return relational.group_size_distribution(prompt_table(i), ["id"], "nb_prompts")
 
 
+# Verdicts of the chain: on patients, on pairs of codes, on the group of a profile; some are missing.
+def _chain_sql() -> str:
+    return f"""{MAP}, {CODES}, {LABELS},
+      sample AS (SELECT * FROM v_profile ORDER BY -ln(({HASH.format("'7|' || id")} + 0.5) / 4503599627370496.0) / nb, id LIMIT 500),
+      prof AS (SELECT id, {LOOKUP.format(n='norm')} AS code_dp, icd10_sec FROM (SELECT *, {NORM.format(c='icd10_raw')} AS norm FROM sample)),
+      usable AS (SELECT * FROM prof WHERE code_dp IS NOT NULL AND right(code_dp, 1) NOT IN ('Y', 'Z')),
+      items AS (SELECT id, code_dp, pos, {NORM.format(c='code')} AS norm FROM (SELECT id, code_dp, unnest(string_split(icd10_sec, ',')) AS code,
+        generate_subscripts(string_split(icd10_sec, ','), 1) AS pos FROM usable WHERE icd10_sec IS NOT NULL) WHERE trim(code) <> ''),
+      mapped AS (SELECT id, code_dp, pos, {LOOKUP.format(n='norm')} AS racine FROM items),
+      das0 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS rang FROM mapped WHERE racine IS NOT NULL AND right(racine, 1) NOT IN ('Y', 'Z')),
+      das_key AS (SELECT id || '-' || rang AS id, racine AS code_racine FROM das0), {drawn_sql('das_drawn', 'das_key', 1)},
+      das1 AS (SELECT d.id, d.code_dp, d.rang, d.racine, coalesce(x.code_postcoord, d.racine) AS code FROM das0 d LEFT JOIN das_drawn x ON x.id = d.id || '-' || d.rang),
+      das2 AS (SELECT * FROM das1 WHERE NOT (length(code_dp || code) % 5 = 0)),
+      das3 AS (SELECT *, count(*) OVER (PARTITION BY id) AS several FROM das2),
+      das4 AS (SELECT * FROM das3 WHERE several = 1 OR id % 3 = 0 OR code <> (SELECT min(m.code) FROM das2 m WHERE m.id = das3.id)),
+      texts AS (SELECT d.id, string_agg('- ' || coalesce(l.libelle, c.libelle, '') || ' (CIM-11 : ' || d.code || ')', chr(10) ORDER BY rang) AS texte
+        FROM das4 d LEFT JOIN labels l ON l.code_postcoord = d.code LEFT JOIN codes c ON c.code = d.racine GROUP BY d.id),
+      dp_key AS (SELECT id, code_dp AS code_racine FROM usable), {drawn_sql('dp_drawn', 'dp_key', 5)},
+      dp AS (SELECT id, code_postcoord AS code FROM dp_drawn WHERE NOT ((id + length(code_postcoord)) % 4 = 0)),
+      prompt AS (SELECT k.id, row_number() OVER (PARTITION BY k.id ORDER BY k.code) AS prompt_num, k.code, l.libelle
+        FROM dp k LEFT JOIN labels l ON l.code_postcoord = k.code
+        UNION ALL SELECT u.id, 1, u.code_dp, coalesce(c.libelle, '') FROM usable u LEFT JOIN codes c ON c.code = u.code_dp WHERE u.id NOT IN (SELECT id FROM dp))
+    SELECT p.id, p.prompt_num, p.code, p.libelle, coalesce(t.texte, '') AS texte_das FROM prompt p LEFT JOIN texts t ON t.id = p.id"""
+
+
+def _group_verdicts(das: DataFrame) -> DataFrame:
+    verdict = F.when(F.col("id") % 3 == 0, F.lit("Aucun")).otherwise(F.min("code"))
+    return das.groupBy("id").agg(verdict.alias("verdict"))
+
+
+@query(f"WITH {_chain_sql()}")
+def report_prompts(i: Inputs) -> DataFrame:
+    """The whole chain: weighted sample, translation, draws, three kinds of verdicts, texts, one row per prompt."""
+    sample = cut_lineage(sampling.weighted_sample(i("v_profile"), 500, "nb", "id", 7))
+    lists = lookup.translate_lists(sample.withColumn("codes", F.split("icd10_sec", ",")), "id", "codes", mapping(i), "das")
+    profiles = cut_lineage(lookup.specific_profiles(lists, "icd10_raw", mapping(i)).select("id", F.col("icd11").alias("code_dp"), "das"))
+    candidates = i("v_pc").select("code_racine", "code_postcoord").distinct()
+    pairs = profiles.select("id", "code_dp", F.explode("das").alias("code_racine"))
+    options = candidates.unionByName(pairs.select("code_racine", F.col("code_racine").alias("code_postcoord")))
+    pairs = pairs.select("code_dp", "code_racine").distinct().join(options, "code_racine").select("code_dp", F.col("code_postcoord").alias("code")).distinct()
+    pair_verdicts = pairs.withColumn("verdict", F.when(F.length(F.concat("code_dp", "code")) % 5 == 0, F.lit("non")).when(F.length("code") % 2 == 0, F.lit("OUI")))
+    patients = profiles.select("id", F.col("code_dp").alias("code_racine")).join(candidates, "code_racine").select("id", F.col("code_postcoord").alias("code"))
+    patient_verdicts = patients.withColumn("verdict", F.when((F.col("id") + F.length("code")) % 4 == 0, F.lit("NON")).otherwise(F.lit(" oui ")))
+    return prompts.report_prompts(
+        profiles, candidates, labels(i), codes(i), patient_verdicts, pair_verdicts, _group_verdicts, 5, 5)
+
+
 @query("""SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) // 100 AS BIGINT) AS lot FROM v_profile WHERE los IS NOT NULL""")
 def batch_chunks(i: Inputs) -> DataFrame:
     rows = i("v_profile").where(F.col("los").isNotNull()).select("id")
@@ -161,12 +208,12 @@ def batch_chunks(i: Inputs) -> DataFrame:
 def das_rows(i: Inputs) -> DataFrame:
     """Profiles with the labelled list of their translated secondary codes."""
     rows = with_lists(i).select("id", "icd11_sec")
-    items = rows.select("id", F.posexplode("icd11_sec").alias("p", "code"))
+    items = rows.select("id", F.posexplode_outer("icd11_sec").alias("p", "code"))
     named = lookup.with_fallback(items, "code", codes(i).select("code", "libelle"), "libelle", F.lit(""))
-    lists = named.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("p", "code", "libelle"))).alias("l"))
-    joined = rows.select("id").join(lists, "id", "left")
-    pairs = F.transform(F.coalesce("l", F.array()), lambda x: F.struct(x["code"].alias("code"), x["libelle"].alias("libelle")))
-    return joined.select("id", pairs.alias("das"))
+    item = F.when(F.col("code").isNotNull(), F.struct("p", "code", "libelle"))
+    lists = named.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("l"))
+    pairs = F.transform("l", lambda x: F.struct(x["code"].alias("code"), x["libelle"].alias("libelle")))
+    return lists.select("id", pairs.alias("das"))
 
 
 DAS = """{lists}, das AS (SELECT t.id, string_agg('- ' || coalesce(c.libelle, '') || ' (CIM-11 : ' || t.icd11 || ')', chr(10) ORDER BY pos) AS texte,
@@ -175,8 +222,6 @@ DAS = """{lists}, das AS (SELECT t.id, string_agg('- ' || coalesce(c.libelle, ''
 
 
 def _das_sql() -> str:
-    from nosoflow.plans.translation import LOOKUP, MAP, NORM
-
     lists = f"""{MAP}, items AS (SELECT id, pos, {NORM.format(c='code')} AS norm FROM (
         SELECT id, unnest(string_split(icd10_sec, ',')) AS code, generate_subscripts(string_split(icd10_sec, ','), 1) AS pos
         FROM v_profile WHERE icd10_sec IS NOT NULL) WHERE trim(code) <> ''),

@@ -17,9 +17,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from nosoflow.operators import monitor, reports
 from nosoflow.operators.relational import first_per_key
-from nosoflow.operators.scaling import ordinals, rolling_rows, shared_folder
+from nosoflow.operators.scaling import lookup_join, ordinals, rolling_rows, shared_folder
 
 BATCH = "lot"
+GROUP = "groupe"
+
+#: Models are dealt to so many groups; only the tails of groups that a batch touches are read and rewritten.
+TAIL_GROUPS = 64
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -76,24 +80,48 @@ def latest_windows(spark: SparkSession, out: str, by: Sequence[str]) -> DataFram
     return first_per_key(spark.read.parquet(out), ["debut", *by], [F.desc(BATCH)]).drop(BATCH)
 
 
+def compact_windows(spark: SparkSession, out: str, target: str, by: Sequence[str]) -> None:
+    """Write the newest version of every window to ``target``, as a batch before all others, for ``latest_windows`` to read.
+
+    Run between two runs of ``count_windows``: later batches go to ``target``, and ``out`` may be deleted.
+    """
+    latest_windows(spark, out, by).write.mode("overwrite").parquet(batch_folder(target, -1))
+
+
+def _newest_tails(spark: SparkSession, tails: str, number: int) -> dict[int, int]:
+    """Last batch before ``number`` that wrote the tails of each group; from folder names, no file is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{tails}/{BATCH}=*/{GROUP}=*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    newest: dict[int, int] = {}
+    for status in found:
+        batch, group = (int(x.split("=")[1]) for x in status.getPath().toString().split("/")[-2:])
+        if batch < number:
+            newest[group] = max(newest.get(group, -1), batch)
+    return newest
+
+
 def roll_latency(
     predictions: DataFrame, out: str, tails: str, checkpoint: str, by: Sequence[str], ts: str, event: str, latency: str,
     rows: int = monitor.WINDOW_ROWS,
 ) -> StreamingQuery:
     """Rolling mean and p95 over the last ``rows`` answers of each model, across micro-batches.
 
-    Between batches only the last ``rows - 1`` answers per model are kept, as a small table. A batch is the
-    batch operator over that tail and the new rows, so a busy model is spread over chunks
-    instead of living in one state.
+    Between batches only the last ``rows - 1`` answers per model are kept, as small tables by group of models; a batch reads and writes
+    those of its own groups only. It is the batch operator over these tails and the new rows, so a busy model is spread over chunks
+    instead of living in one state. A tail that a later batch has replaced is no longer read and may be deleted.
     """
+    group = F.pmod(F.xxhash64(*by), F.lit(TAIL_GROUPS)).cast("int")
 
     def step(batch: DataFrame, number: int) -> None:
         keep = [*by, ts, event, "_ms", "_arrival"]
         fresh = batch.where(~F.col("is_error")).withColumns({
             "_ms": monitor.exact_latency(F.col(latency)), "_arrival": F.lit(0).cast("bigint")})
-        both = fresh.select(*keep).withColumn("_new", F.lit(True))
-        if number > 0:
-            tail = batch.sparkSession.read.parquet(batch_folder(tails, number - 1))
+        fresh = fresh.select(*keep).persist()
+        both = fresh.withColumn("_new", F.lit(True))
+        touched = [r.g for r in fresh.select(group.alias("g")).distinct().collect()]
+        newest = _newest_tails(batch.sparkSession, tails, number)
+        if paths := [f"{batch_folder(tails, newest[g])}/{GROUP}={g}" for g in touched if g in newest]:
+            tail = batch.sparkSession.read.parquet(*paths)
             both = both.unionByName(tail.select(*keep).withColumn("_new", F.lit(False)))
         # the tail comes first, in the order in which it was counted; a late row counts when it arrives
         slices = F.when(F.col("_new"), monitor.minutes(both, ts)).otherwise(F.lit(-(2**62)))
@@ -103,8 +131,10 @@ def roll_latency(
         result = monitor.finish_rolling(rolled).drop("_new", "_arrival", "position")
         result.write.mode("overwrite").parquet(batch_folder(out, number))
         last = first_per_key(numbered, by, [F.desc("position")], rows - 1)
-        last.withColumn("_arrival", F.col("position")).select(*keep).write.mode("overwrite").parquet(batch_folder(tails, number))
+        last = last.withColumn("_arrival", F.col("position")).select(*keep, group.alias(GROUP))
+        last.write.mode("overwrite").partitionBy(GROUP).parquet(batch_folder(tails, number))
         numbered.unpersist()
+        fresh.unpersist()
 
     return run_batches(predictions, checkpoint, step)
 
@@ -119,16 +149,24 @@ def alert(predictions: DataFrame, out: str, checkpoint: str, text: str, keep: Se
     return query
 
 
-def take_in(
-    new_reports: DataFrame, accepted: str, refused: str, checkpoint: str, stays: DataFrame, codes: DataFrame
-) -> StreamingQuery:
-    """Check arriving reports (with their ``diagnostics`` array) and append them to accepted or refused."""
+def take_in(new_reports: DataFrame, out: str, checkpoint: str, stays: DataFrame, codes: DataFrame) -> StreamingQuery:
+    """Check arriving reports (with their ``diagnostics`` array) and write them to the tables below ``out``.
+
+    An accepted report gives one row of ``crh`` and a row of ``diagnostic`` for each of its diagnoses, with the code's label; a refused one gives a row of
+    ``refus`` with the reason. The check runs once per batch. ``codes`` has ``code`` and ``libelle``.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         diagnostics = batch.select("id_crh", F.explode("diagnostics").alias("d")).select("id_crh", "d.*")
-        checked = reports.check_intake(batch, diagnostics, stays, codes)
-        checked.where(F.col("motif").isNull()).drop("motif").write.mode("overwrite").parquet(batch_folder(accepted, number))
-        checked.where(F.col("motif").isNotNull()).select("id_crh", "motif").write.mode("overwrite").parquet(
-            batch_folder(refused, number))
+        checked = reports.check_intake(batch, diagnostics, stays, codes).persist()
+        accepted = checked.where(F.col("motif").isNull()).drop("motif")
+        rows = accepted.select("id_crh", F.explode("diagnostics").alias("d")).select("id_crh", "d.*")
+        labels = codes.select(F.col("code").alias("code_cim11"), F.col("libelle").alias("libelle_saisi"))
+        tables = {
+            "crh": accepted.drop("diagnostics"), "diagnostic": lookup_join(rows, labels, "code_cim11", "left"),
+            "refus": checked.where(F.col("motif").isNotNull()).select("id_crh", "motif")}
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(batch_folder(f"{out}/{name}", number))
+        checked.unpersist()
 
     return run_batches(new_reports, checkpoint, step)

@@ -82,7 +82,7 @@ def write(spark, rows, folder, number):
 
 @pytest.fixture
 def folders(tmp_path):
-    return {n: str(tmp_path / n) for n in ("in", "out", "tails", "state", "accepted", "refused")}
+    return {n: str(tmp_path / n) for n in ("in", "out", "tails", "state", "intake")}
 
 
 def source(spark, folders):
@@ -126,7 +126,33 @@ def test_intake_stream(spark, folders):
     for k in range(2):
         spark.createDataFrame(rows[2 * k:2 * k + 2], schema).coalesce(1).write.parquet(f"{folders['in']}/part={k}")
     stream = jobs.read_files(spark, folders["in"], spark.createDataFrame([], schema).schema, 1)
-    stays, codes = spark.createDataFrame([(10,)], "id_sejour int"), spark.createDataFrame([("A",)], "code string")
-    jobs.take_in(stream, folders["accepted"], folders["refused"], folders["state"], stays, codes)
-    assert sorted(r.id_crh for r in spark.read.parquet(folders["accepted"]).collect()) == [1, 4]
-    assert {r.id_crh: r.motif for r in spark.read.parquet(folders["refused"]).collect()} == {2: "code inconnu : Q", 3: "sejour inconnu"}
+    stays, codes = spark.createDataFrame([(10,)], "id_sejour int"), spark.createDataFrame([("A", "Fièvre")], "code string, libelle string")
+    jobs.take_in(stream, folders["intake"], folders["state"], stays, codes)
+    crh, diag, refused = (spark.read.parquet(f"{folders['intake']}/{n}") for n in ("crh", "diagnostic", "refus"))
+    assert sorted(r.id_crh for r in crh.collect()) == [1, 4] and "diagnostics" not in crh.columns
+    assert [(r.id_crh, r.type_diag, r.code_cim11, r.libelle_saisi) for r in diag.collect()] == [(1, "DP", "A", "Fièvre")]
+    assert {r.id_crh: r.motif for r in refused.collect()} == {2: "code inconnu : Q", 3: "sejour inconnu"}
+
+
+def test_the_tail_of_an_idle_model_is_left_alone(spark, folders):
+    def run(k, models):
+        rows = [(1000 * k + n, START + dt.timedelta(hours=k, seconds=n), models[n % len(models)], float(n), False, False, "t") for n in range(40)]
+        write(spark, rows, folders["in"], k)
+        jobs.roll_latency(source(spark, folders), folders["out"], folders["tails"], folders["state"], ["model_id"], "ts", "event_id", "latence_ms", 20)
+        return rows
+
+    batches = [run(0, [1, 2]), run(1, [2]), run(2, [2]), run(3, [1, 2])]
+    written = {r.lot: r.m for r in spark.read.parquet(folders["tails"]).groupBy("lot").agg(F.sort_array(F.collect_set("model_id")).alias("m")).collect()}
+    assert written == {0: [1, 2], 1: [2], 2: [2], 3: [1, 2]}
+    got = spark.read.parquet(folders["out"]).collect()
+    assert {r.event_id: (r.fenetre_glissante, r.latence_moyenne_ms, r.latence_p95_ms) for r in got} == expected_rolling(batches, 20)
+
+
+def test_compacted_windows_are_the_newest(spark, folders):
+    write(spark, [(1, START, 1, 1.0, False, False, "t")], folders["in"], 0)
+    for k in range(1, 3):
+        jobs.count_windows(source(spark, folders), folders["out"], folders["state"], "ts", ["model_id"], "1 hour", "10 minutes")
+        write(spark, [(k + 1, START + dt.timedelta(minutes=k), 1, 1.0, False, False, "t")], folders["in"], k)
+    jobs.compact_windows(spark, folders["out"], folders["intake"], ["model_id"])
+    latest = [jobs.latest_windows(spark, folders[n], ["model_id"]).collect() for n in ("out", "intake")]
+    assert latest[0] == latest[1] and latest[0][0].nb_requetes == 2

@@ -41,3 +41,17 @@ def test_stored_pages(spark, tmp_path):
     assert stored.count() == 1
     got = pages.page_items(stored, "page", "html", pages.NEWS, BASE)
     assert sorted(r.date_iso for r in got.select(F.col("date_iso")).collect()) == ["2025-03-03", "2025-03-04"]
+
+
+def test_a_stray_bracket_or_null_character_stays_in_its_field(spark):
+    page = (
+        '<li class="item-news"><a class="link-news" href="/a"><h4 class="title-news">CRP < 5 mg</h4>\n<p>suite > fin</p></a></li>'
+        '<li class="item-news"><a class="link-news" href="/b"><h4 class="title-news">A\u0000B</h4>\n<p>C</p></a></li>')
+    rows = pages.page_items(spark.createDataFrame([(1, page)], "id int, h string"), "id", "h", pages.NEWS, BASE).orderBy("rang").collect()
+    assert [(r.titre, r.chapo) for r in rows] == [("CRP < 5 mg", "suite > fin"), ("A\u0000B", "C")]
+
+
+def test_pages_without_items_are_named(spark):
+    df = spark.createDataFrame([(1, item(1)), (2, "<p>refondu</p>"), (3, '<li class="item-news"></li>'), (4, None)], "id int, h string")
+    got = {r.id: r.erreur for r in pages.unrecognised_pages(df, "id", "h", pages.NEWS).collect()}
+    assert got == {2: "structure de page non reconnue", 3: "blocs incomplets", 4: "structure de page non reconnue"}

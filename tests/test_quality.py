@@ -53,6 +53,16 @@ def test_metric_gate(spark, f1, em, base, n):
     assert row.valide == (n == 0) and len([e for e in row.erreurs.split(" ; ") if e]) == n
 
 
+@pytest.mark.parametrize("left_out", range(3))
+def test_the_gate_stays_shut_without_a_metric(spark, left_out):
+    rows = [("m", "finetuned", "souple", "f1", 0.9), ("m", "finetuned", "souple", "exact_match", 0.9), ("m", "base", "souple", "f1", 0.1)]
+    schema = "modele string, variante string, mode string, metrique string, valeur double"
+    row = quality.metric_gate(spark.createDataFrame(rows[:left_out] + rows[left_out + 1:], schema)).first()
+    assert not row.valide and "absente" in row.erreurs
+    rows[left_out] = (*rows[left_out][:4], None)
+    assert not quality.metric_gate(spark.createDataFrame(rows, schema)).first().valide
+
+
 def test_constraints(spark):
     df = spark.createDataFrame([(1, "1", "ab"), (2, "3", "abc"), (3, None, None), (3, "9", "a")], "id int, sexe string, nom string")
     assert [r.cle for r in quality.value_violations(df, "id", "sexe", ["1", "2", "9"], "patient").collect()] == ["2"]
@@ -95,9 +105,11 @@ def test_intake(spark):
 def test_metrics(spark):
     expected = spark.createDataFrame([(1, "A"), (1, "B&X"), (2, "C"), (3, "D")], "id int, code string")
     found = spark.createDataFrame([(1, "A"), (1, "B&Y"), (2, "C"), (2, "C")], "id int, code string")
-    strict = {r.metrique: r.valeur for r in evaluate.code_metrics(expected, found, False).collect()}
+    rows = evaluate.code_metrics(expected, {"a": found, "b": expected}).collect()
+    strict = {r.metrique: r.valeur for r in rows if (r.variante, r.mode) == ("a", "strict")}
     assert strict == {"precision": 0.6667, "recall": 0.5, "f1": 0.5714, "exact_match": 0.3333}
-    lenient = {r.metrique: r.valeur for r in evaluate.code_metrics(expected, found, True).collect()}
+    lenient = {r.metrique: r.valeur for r in rows if (r.variante, r.mode) == ("a", "souple")}
+    assert {r.valeur for r in rows if r.variante == "b"} == {1.0}
     assert lenient == {"precision": 1.0, "recall": 0.75, "f1": 0.8571, "exact_match": 0.6667}
 
 

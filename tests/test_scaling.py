@@ -23,12 +23,30 @@ def test_salted_join_equals_plain_join(spark, no_broadcast, skewed, how):
     assert sorted(map(str, joined.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
 
 
-def test_salting_spreads_the_hot_key(spark, no_broadcast, skewed):
-    _, facts = skewed
-    salted, hot = scaling.salt_facts(facts, ["k"])
-    assert hot.count() <= scaling.HEAVY_KEYS
-    assert salted.where("k = 'hot'").select("_salt").distinct().count() == 4
-    assert salted.where("k is null").select("_salt").distinct().count() == 4
+def test_a_hot_key_is_cut_by_adaptive_execution(spark, no_broadcast):
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2.0",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    facts = spark.range(0, 60_000, 1, 8).selectExpr("id", "IF(id % 3 = 0, 'hot', concat('k', id % 997)) AS k")
+    joined = scaling.lookup_join(facts, spark.range(997).selectExpr("concat('k', id) AS k", "id AS v").unionByName(
+        spark.sql("SELECT 'hot' AS k, -1L AS v")), "k")
+    assert joined.where("v = -1").groupBy().sum("id").first()[0] == sum(range(0, 60_000, 3))
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert "skew=true" in plan
+
+
+@pytest.mark.parametrize("name", ["verify_codes", "translate_lists", "das_text", "code_detail", "well_documented_codes", "evaluate_codes", "prf_metrics"])
+def test_large_tables_are_read_few_times_without_broadcasts(spark, no_broadcast, name):
+    from nosoflow.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    for table, most in (("lineitem", 4), ("orders", 3)):
+        assert plan.count(f"{table}.parquet") <= most, (name, table, plan.count(f"{table}.parquet"))
 
 
 def test_broadcast_only_below_the_limit(spark, tmp_path):

@@ -113,3 +113,26 @@ def test_document_and_lists(spark):
     body = prompts.request_lines(spark.createDataFrame([("A", 'dire "é"\n')], "code string, user_prompt string"), F.lit("s"), F.lit("{")).first().value
     assert json.loads(body) == {"custom_id": "A", "body": {"max_tokens": 8000, "messages": [
         {"role": "system", "content": "s"}, {"role": "user", "content": 'dire "é"\n'}, {"role": "assistant", "content": "{", "prefix": True}]}}
+
+
+def test_answers_keep_long_ids_and_name_the_rest(spark):
+    answers = spark.createDataFrame([("1234567890123456789", "x" * 50), ("-3", "y" * 50), ("abc", "z" * 50), ("7", "court"), ("8", "w" * 50)], "custom_id string, contenu string")
+    requests = spark.createDataFrame([(1234567890123456789,), (-3,), (7,)], "id bigint")
+    assert {r.id for r in verify.generated_reports(answers, requests, "id").collect()} == {1234567890123456789, -3}
+    left = {r.custom_id: r.motif for r in verify.unmatched_answers(answers, requests, "id").collect()}
+    assert left == {"abc": "identifiant illisible", "7": "réponse trop courte", "8": "demande inconnue"}
+
+
+def test_a_failing_report_does_not_end_the_scoring(spark):
+    from nosoflow.operators.scoring import score_reports
+
+    def make():
+        def reply(text):
+            if text == "b":
+                raise ValueError("refus")
+            return "DP : x (AA00)"
+        return lambda texts: texts.map(reply)
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, t string")
+    got = {r.id: (r.reponse, r.erreur) for r in score_reports(df, "id", "t", make, "m").collect()}
+    assert got == {1: ("DP : x (AA00)", None), 2: (None, "refus"), 3: ("DP : x (AA00)", None)}
