@@ -1,7 +1,7 @@
 """Exact duplicates by recipes of content-defined chunks, in DataFrame operations only.
 
-A text without white space is cut where its content says so: after at least ``SHORTEST`` characters at the next anchor, a run of three characters
-of given classes or a punctuation mark, at ``LONGEST`` characters at the latest. A text's recipe is the ordered list of its chunks' identifiers. Chunk
+A text without white space is cut where its content says so: after at least ``SHORTEST`` characters at the next anchor, a run of four characters
+of given classes, at ``LONGEST`` characters at the latest. A text's recipe is the ordered list of its chunks' identifiers. Chunk
 bytes are shuffled once, each distinct chunk of a task once, to verify that an identifier stands for one chunk; documents are
 then compared by their recipes alone.
 """
@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 
 from nosoflow.llm.common import stored, texts
 
-SHORTEST, LONGEST = 512, 8192
+SHORTEST, LONGEST = 128, 8192
 HIGHEST = (1 << 63) - 1
 STEP = 10**20  # over all differences of two ids
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _chars(remainder: int) -> str:
-    """Regular expression class of a quarter of the letters and digits below U+0250."""
-    return "[" + "".join(chr(c) for c in range(0x30, 0x250) if chr(c).isalnum() and c * 0x9E37 // 0x100 % 4 == remainder) + "]"
+def _chars(kind: int) -> str:
+    """Regular expression class of a quarter of the letters and digits below U+0250 and of the blocks of 256 characters above."""
+    own = [chr(c) for c in range(0x30, 0x250) if chr(c).isalnum() and (c * 0x9E37 >> 8) % 4 == kind]
+    blocks = [b for b in range(0x03, 0x100) if not 0xD8 <= b < 0xE0 and (b * 0x9E37 >> 8) % 4 == kind]
+    return "[" + "".join(own) + "".join(f"\\u{b:02x}00-\\u{b:02x}ff" for b in blocks) + "]"
 
 
-ANCHOR = f"(?:{_chars(0)}{_chars(1)}{_chars(2)}|\\p{{Po}})"
+ANCHOR = "".join(map(_chars, range(4)))
 CHUNK = f"(?s).{{{SHORTEST},{LONGEST}}}?{ANCHOR}|.{{1,{LONGEST}}}"
 
 
