@@ -57,13 +57,22 @@ def search(df: DataFrame, column: str, query: str | None) -> DataFrame:
     return df if not query else df.where(F.col(column).ilike("%" + query + "%"))
 
 
-def page(df: DataFrame, order: Sequence, limit: int, offset: int = 0, cap: int = 500) -> DataFrame:
-    """One ordered page; the limit may not exceed the page cap."""
-    if not 0 < limit <= cap or offset < 0:
-        raise ValueError(f"limit must be in 1..{cap} and offset not negative")
+def page(df: DataFrame, order: Sequence, limit: int, offset: int = 0, cap: int = 500, deepest: int = 100_000) -> DataFrame:
+    """One ordered page; the limit may not exceed the page cap. Offset and limit together are the rows that one task holds, so the
+    offset is bounded too: beyond ``deepest`` use ``page_after``."""
+    if not 0 < limit <= cap or not 0 <= offset <= deepest:
+        raise ValueError(f"limit must be in 1..{cap} and offset in 0..{deepest}")
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, key: str, last, limit: int, cap: int = 500) -> DataFrame:
+    """The page that follows the row with key ``last`` (None: the first page). Costs the same at any depth."""
+    if not 0 < limit <= cap:
+        raise ValueError(f"limit must be in 1..{cap}")
+    rest = df if last is None else df.where(F.col(key) > F.lit(last))
+    return rest.orderBy(key).limit(limit)
+
+
 def find(df: DataFrame, column: str, value) -> DataFrame:
     """Point lookup; no row means not found."""
     return df.where(F.col(column) == F.lit(value))

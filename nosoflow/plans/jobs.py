@@ -17,7 +17,10 @@ ORD = ["ord"]
 
 @dataclass(frozen=True)
 class TerminologyFiles:
-    """Paths of the input files of a load."""
+    """Paths of the input files of a load.
+
+    ``quoted_newlines`` names those with line breaks inside quotes: they cannot be split, so a task reads each whole.
+    """
 
     terms: str
     synonyms: str
@@ -25,10 +28,12 @@ class TerminologyFiles:
     postcoord: str
     axes: str
     examples: str | None = None
+    quoted_newlines: frozenset[str] = frozenset({"synonyms"})
 
 
-def _ordered(spark: SparkSession, path: str, schema, delimiter: str = ",") -> DataFrame:
-    return readers.with_file_order(readers.read_csv(spark, path, schema, delimiter))
+def _ordered(spark: SparkSession, files: TerminologyFiles, name: str, schema, delimiter: str = ",") -> DataFrame:
+    multiline = name in files.quoted_newlines
+    return readers.with_file_order(readers.read_csv(spark, getattr(files, name), schema, delimiter, multiline))
 
 
 def load_tables(spark: SparkSession, files: TerminologyFiles, out: str, limit: int = 0) -> dict[str, int]:
@@ -38,15 +43,15 @@ def load_tables(spark: SparkSession, files: TerminologyFiles, out: str, limit: i
     """
     left_out = {}
 
-    terms = _ordered(spark, files.terms, readers.TERMS_CSV)
+    terms = _ordered(spark, files, "terms", readers.TERMS_CSV)
     terminology.load_codes(terms, ORD, limit).write.mode("overwrite").parquet(f"{out}/code_cim11")
     codes = spark.read.parquet(f"{out}/code_cim11")
     if limit:
         left_out["code_cim11"] = terminology.load_codes(terms, ORD).count() - codes.count()
 
-    mapping = _ordered(spark, files.icd_map, readers.ICD_MAP_CSV).withColumnsRenamed({"icd10Code": "icd10", "icd11Code": "icd11"})
-    synonyms = _ordered(spark, files.synonyms, readers.SYNONYMS_CSV, ";")
-    postcoord, axes = _ordered(spark, files.postcoord, readers.POSTCOORD_CSV), _ordered(spark, files.axes, readers.AXES_CSV)
+    mapping = _ordered(spark, files, "icd_map", readers.ICD_MAP_CSV).withColumnsRenamed({"icd10Code": "icd10", "icd11Code": "icd11"})
+    synonyms = _ordered(spark, files, "synonyms", readers.SYNONYMS_CSV, ";")
+    postcoord, axes = _ordered(spark, files, "postcoord", readers.POSTCOORD_CSV), _ordered(spark, files, "axes", readers.AXES_CSV)
     icd = terminology.icd_map(mapping, ORD)
 
     def references(rows: int) -> dict[str, DataFrame]:

@@ -104,4 +104,7 @@ def test_keep_last_and_pages(spark):
     assert [r.o for r in relational.page(df, ["o"], 1, 1).collect()] == [2]
     with pytest.raises(ValueError):
         relational.page(df, ["o"], 501)
+    with pytest.raises(ValueError):
+        relational.page(df, ["o"], 5, 10**6)
+    assert [r.o for r in relational.page_after(df, "o", 1, 1).collect()] == [2] and relational.page_after(df, "o", None, 5).count() == 3
     assert relational.search(df, "v", "_").count() == 3 and relational.search(df, "v", "Y").count() == 1
