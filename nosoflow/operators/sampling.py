@@ -46,16 +46,13 @@ def draw_per_key(candidates: DataFrame, keys: Sequence[str], item: str, k: int,
 def _distinct_positions(seed: int, key: str, n: Column, k: int) -> Column:
     """``min(k, n)`` distinct numbers from 1 to ``n``, every set equally likely (Floyd's method), from hashes of the row and the slot."""
 
-    def draw(taken: Column, slot: int) -> Column:
-        last = n - k + 1 + slot  # slots with last < 1 are skipped
-        number = F.pmod(hash_number(seed, key, F.lit(slot)), F.greatest(last, F.lit(1))) + 1
-        number = F.when(F.array_contains(taken, number), last).otherwise(number)
-        return F.when(last >= 1, F.concat(taken, F.array(number))).otherwise(taken)
-
-    taken = F.array().cast("array<bigint>")
-    for slot in range(k):
-        taken = draw(taken, slot)
-    return taken
+    def draw(taken: Column, slot: Column) -> Column:
+        last = n - k + 1 + slot  # the number of a slot is drawn from 1 to this; slots without one are left out
+        number = F.pmod(hash_number(seed, key, slot), last) + 1
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, number), last).otherwise(number)))
+
+    slots = F.sequence(F.greatest(k - n, F.lit(0)).cast("bigint"), F.lit(k - 1).cast("bigint"))
+    return F.aggregate(slots, F.array().cast("array<bigint>"), draw)
 
 
 def draw_for_rows(
