@@ -8,6 +8,8 @@ then compared by their recipes alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,23 @@ STEP = 10**20  # over all differences of two ids
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _chars(kind: int) -> str:
-    """Regular expression class of a quarter of the letters and digits below U+0250 and of the blocks of 256 characters above."""
-    own = [chr(c) for c in range(0x30, 0x250) if chr(c).isalnum() and (c * 0x9E37 >> 8) % 4 == kind]
-    blocks = [b for b in range(0x03, 0x100) if not 0xD8 <= b < 0xE0 and (b * 0x9E37 >> 8) % 4 == kind]
-    return "[" + "".join(own) + "".join(f"\\u{b:02x}00-\\u{b:02x}ff" for b in blocks) + "]"
+def _classes(characters: Iterable[int], shown: Callable[[int], str]) -> str:
+    """Regular expression of an anchor: four classes, of which each holds a quarter of the given units of text."""
+    kinds = ["", "", "", ""]
+    for unit in characters:
+        kinds[(unit * 0x9E37 >> 8) % 4] += shown(unit)
+    return "".join(f"[{k}]" for k in kinds)
+
+
+def _chunk(anchor: str) -> str:
+    return f"(?s).{{{SHORTEST},{LONGEST}}}?{anchor}|.{{1,{LONGEST}}}"
 
 
-ANCHOR = "".join(map(_chars, range(4)))
-CHUNK = f"(?s).{{{SHORTEST},{LONGEST}}}?{ANCHOR}|.{{1,{LONGEST}}}"
+#: Letters and digits below U+0100, which a regular expression tests by one table; of other scripts, which take longer, blocks of 256 characters.
+CHUNK = _chunk(_classes((c for c in range(0x30, 0x100) if chr(c).isalnum()), chr))
+WIDE_CHUNK = _chunk(_classes((b for b in range(0x03, 0x100) if not 0xD8 <= b < 0xE0), lambda b: f"\\u{b:02x}00-\\u{b:02x}ff"))
+#: A text with a letter of another script is cut by WIDE_CHUNK.
+OTHER_SCRIPT = "[\\u0250-\\u1fff\\u2c00-\\ud7ff\\uf900-\\uffef]"
 
 
 def normalised(text: Column) -> Column:
@@ -36,7 +46,8 @@ def normalised(text: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
+    wide = F.regexp_extract_all(text, F.lit(WIDE_CHUNK), F.lit(0))
+    return F.when(text.rlike(OTHER_SCRIPT), wide).otherwise(F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)))
 
 
 def recipes(docs: DataFrame) -> DataFrame:
