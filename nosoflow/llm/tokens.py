@@ -12,6 +12,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,14 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nosoflow.llm.common import part_of, range_bounds, texts
+from nosoflow.llm.common import part_of, pieces_of, range_bounds, texts
 
 SEQUENCE = 2048
 SEQUENCES_A_BATCH = 64
-PART_BYTES = 32 << 20
-#: The pattern by which byte-level BPE cuts a text before it merges, for the characters that _UNUSUAL leaves.
-SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+PART_BYTES = 16 << 20
+#: The pattern by which byte-level BPE cuts a text before it merges, for the characters that _UNUSUAL leaves. Of these, letters are:
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+SPLIT = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 #: Texts with other characters than these go to the tokenizer whole: regular expression libraries may class them differently.
 _UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e]")
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -48,7 +50,7 @@ class Encoder:
     remembered.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,11 +58,12 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model.tokenize
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = np.dtype(self.dtype).char
         self.limit, self.known = limit, {}
 
     def _piece(self, piece: str) -> bytes:
         chars = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return np.array([t.id for t in self.model(chars)], self.dtype).tobytes()
+        return array(self.code, [t.id for t in self.model(chars)]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if _UNUSUAL.search(text):
@@ -144,7 +147,7 @@ def write_token_files(
         store, base = _filesystem(folder)
         encoder = sequences = None
         documents: list[tuple[int | None, int]] = []
-        for batch in batches:
+        for batch in pieces_of(batches, 1024):
             for doc_id, text, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part"))):
                 if sequences is None:
                     encoder = encoder_of(tokenizer_path)
@@ -171,44 +174,52 @@ def write_token_files(
     return sorted(map(tuple, written.collect()))
 
 
-def _file_rows(content: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
-    """The documents of a file: id, and token ids with the end token."""
-    source = pa.BufferReader(content)
-    sequences = pa.ipc.open_stream(source).read_all()
-    documents = pa.ipc.open_stream(source).read_all()
-    flat = {f: sequences.column(f).combine_chunks().flatten().to_numpy(zero_copy_only=False) for f in sequences.schema.names}
-    ids = flat["ids"][:int(flat["valid"].sum())]
-    ends = np.flatnonzero(flat["last"]) + 1
-    starts = np.concatenate(([0], ends[:-1]))
-    for doc_id, a, b in zip(documents.column("doc_id").to_pylist(), starts.tolist(), ends.tolist()):
-        yield doc_id, ids[a:b]
+def _file_rows(source: pa.NativeFile) -> Iterator[tuple[int | None, int, int]]:
+    """Id, number of ids and their crc32 (as little-endian 32-bit numbers) of a file's documents. One batch of sequences is held at a time."""
+    lengths, sums, length, crc = [], [], 0, 0
+    for batch in pa.ipc.open_stream(source):
+        flat = {f: batch.column(f).flatten() for f in batch.schema.names}
+        count = flat["valid"].true_count
+        ids = flat["ids"].to_numpy()[:count].astype("<u4")
+        start = 0
+        for end in (np.flatnonzero(flat["last"].to_numpy(zero_copy_only=False)) + 1).tolist():
+            lengths.append(length + end - start)
+            sums.append(zlib.crc32(ids[start:end], crc))
+            start, length, crc = end, 0, 0
+        length, crc = length + count - start, zlib.crc32(ids[start:], crc)
+    ids = pa.ipc.open_stream(source).read_all().column("doc_id").to_pylist()
+    assert len(ids) == len(lengths) and not length, "a file that was cut off"
+    yield from zip(ids, lengths, sums)
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: list[tuple[str, int, int]]) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32, file.
 
-    ``start`` counts the ids of all documents before it, end tokens included. Each file is read whole by one task, so its size bounds the memory.
+    ``start`` counts the ids of all documents before it, end tokens included. Each file is streamed by one task.
     """
-    starts, total = {}, 0
-    for name, _, tokens in manifest:
-        starts[name], total = total, total + tokens
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, file string"
     if not manifest:
         return spark.createDataFrame([], schema)
+    files, total = [], 0
+    for name, _, tokens in manifest:
+        files.append((name, total))
+        total += tokens
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _filesystem(folder)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        names = ["doc_id", "start", "n_tokens", "ids_crc32", "file"]
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                name = path.rsplit("/", 1)[1]
-                at, rows = starts[name], []
-                for doc_id, ids in _file_rows(content.as_buffer()):
-                    rows.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), name))
-                    at += len(ids)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.arrows").load(folder).select("path", "content")
-    return files.mapInArrow(read, schema)
+            for name, at in zip(batch.column("file").to_pylist(), batch.column("at").to_pylist()):
+                rows = []
+                with store.open_input_stream(f"{base}/{name}") as source:
+                    for doc_id, count, crc in _file_rows(source):
+                        rows.append((doc_id, at, count, crc, name))
+                        at += count
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    listed = spark.createDataFrame(files, "file string, at bigint").repartition(min(len(files), 10_000))
+    return listed.mapInArrow(read, schema)
 
 
 class SequenceFile:
