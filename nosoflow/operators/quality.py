@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,28 @@ MIN_REPORT = 10
 MIN_F1 = 0.70
 MIN_EXACT_MATCH = 0.60
 
+
+@dataclass(frozen=True)
+class TableRules:
+    """Primary key, required columns and longest values of a table."""
+
+    key: str
+    required: tuple[str, ...] = ()
+    lengths: Mapping[str, int] = field(default_factory=dict)
+
+
+# Constraints of the eight tables.
+SCHEMA = {
+    "patient_fictif": TableRules("id_patient", ("nom", "prenom"), {"nom": 100, "prenom": 100, "sexe": 1}),
+    "sejour": TableRules("id_sejour", ("id_patient",), {"mode_entree": 50, "mode_sortie": 50, "mode_hospit": 10, "specialite_medicale": 100}),
+    "code_cim11": TableRules("code", ("libelle",), {"code": 20, "type": 20}),
+    "crh": TableRules("id_crh", ("id_sejour", "texte_crh")),
+    "diagnostic": TableRules("id_diagnostic", ("id_crh", "type_diag", "code_cim11"), {"type_diag": 3, "code_cim11": 20}),
+    "synonyme": TableRules("id_synonyme", ("code_cim11", "synonyme"), {"code_cim11": 20, "source": 200}),
+    "code_postcoord": TableRules("code_postcoord", ("code_racine",), {"code_postcoord": 255, "code_racine": 20}),
+    "axe_postcoord": TableRules("id_axe", ("code_cim11", "axe_nom"), {"code_cim11": 20, "axe_nom": 100, "allow_multiple": 30}),
+}
+
 # Allowed types of diagnosis and codes of sex.
 DIAGNOSIS_TYPES = ("DP", "DAS")
 SEXES = ("1", "2", "9")
@@ -143,6 +166,24 @@ def required_nulls(df: DataFrame, columns: Sequence[str], table: str) -> DataFra
     return counts.select(F.explode(pairs).alias("p")).select(F.lit(table).alias("table_name"), "p.column_name", "p.n")
 
 
+def schema_counts(df: DataFrame, rules: TableRules, table: str) -> DataFrame:
+    """Number of violations of each constraint of a table: ``table_name``, ``regle``, ``column_name``, ``n``.
+
+    ``cle`` counts the keys that are null or occur more than once, ``nul`` the nulls of a required column, ``longueur`` its values that
+    are too long. Nulls and lengths take one pass, keys one aggregate.
+    """
+    counts = {("nul", c): F.count_if(F.col(c).isNull()) for c in rules.required}
+    counts |= {("longueur", c): F.count_if(F.length(c) > n) for c, n in rules.lengths.items()}
+    names = {kind: f"n{k}" for k, kind in enumerate(counts)}
+    keys = df.groupBy(rules.key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(rules.key).isNull())
+    found = keys.agg(F.count(F.lit(1)).alias("n")).select(F.lit("cle").alias("regle"), F.lit(rules.key).alias("column_name"), "n")
+    rows = df.agg(*[c.alias(names[kind]) for kind, c in counts.items()]) if counts else None
+    if rows is not None:
+        cells = F.array(*[F.struct(F.lit(rule).alias("regle"), F.lit(c).alias("column_name"), F.col(names[rule, c]).alias("n")) for rule, c in counts])
+        found = found.unionByName(rows.select(F.explode(cells).alias("c")).select("c.*"))
+    return found.select(F.lit(table).alias("table_name"), "regle", "column_name", "n")
+
+
 def volume_check(codes: DataFrame, reports: DataFrame, min_codes: int = 1000, min_reports: int = 1) -> DataFrame:
     """Counts of codes and reports and whether the base is large enough."""
     n_codes = codes.agg(F.count(F.lit(1)).alias("n_codes"))

@@ -176,6 +176,46 @@ def length_overflow(i: Inputs) -> DataFrame:
     return quality.length_violations(i("v_term"), "ord", {"code": 6, "texte": 10}, "code_cim11")
 
 
+# The eight tables with planted violations: repeated keys, nulls, long values. One projection of one table each, for Spark and DuckDB alike.
+_ID = "CASE WHEN {k} % 100 = 7 THEN {k} - 1 WHEN {k} % 1000 = 11 THEN NULL ELSE {k} END"
+_LONG = "repeat('x', CAST({k} % {n} AS INT))"
+PLANTED_TABLES = {
+    "patient_fictif": f"""SELECT {_ID.format(k='c_custkey')} AS id_patient, CASE WHEN c_custkey % 50 = 3 THEN NULL ELSE c_name END AS nom,
+      {_LONG.format(k='c_custkey', n=120)} AS prenom, CAST(c_custkey % 12 AS STRING) AS sexe FROM customer""",
+    "sejour": f"""SELECT {_ID.format(k='o_orderkey')} AS id_sejour, CASE WHEN o_orderkey % 60 = 5 THEN NULL ELSE o_custkey END AS id_patient,
+      {_LONG.format(k='o_orderkey', n=60)} AS mode_entree, o_orderpriority AS mode_sortie, o_orderpriority AS mode_hospit,
+      {_LONG.format(k='o_custkey', n=110)} AS specialite_medicale FROM orders""",
+    "code_cim11": f"""SELECT CASE WHEN ord % 30 = 2 THEN code || {_LONG.format(k='ord', n=20)} ELSE code END AS code,
+      CASE WHEN ord % 70 = 9 THEN NULL ELSE texte END AS libelle, type || {_LONG.format(k='ord', n=25)} AS type FROM v_term""",
+    "crh": f"""SELECT {_ID.format(k='id_crh')} AS id_crh, CASE WHEN id_crh % 40 = 1 THEN NULL ELSE id_sejour END AS id_sejour,
+      CASE WHEN id_crh % 80 = 2 THEN NULL ELSE texte_crh END AS texte_crh FROM v_crh""",
+    "diagnostic": f"""SELECT {_ID.format(k='(ord1 * 10 + ord2)')} AS id_diagnostic, CASE WHEN ord1 % 90 = 4 THEN NULL ELSE id_crh END AS id_crh,
+      CASE WHEN ord1 % 55 = 3 THEN 'DASX' ELSE type_diag END AS type_diag, code_cim11 || {_LONG.format(k='ord3', n=30)} AS code_cim11 FROM v_diag""",
+    "synonyme": f"""SELECT {_ID.format(k='(ord1 * 10 + ord2)')} AS id_synonyme, code AS code_cim11, CASE WHEN ord4 % 45 = 6 THEN NULL ELSE synonyme END AS synonyme,
+      {_LONG.format(k='ord3', n=220)} AS source FROM v_syn""",
+    "code_postcoord": f"""SELECT code_postcoord || {_LONG.format(k='ord1', n=270)} AS code_postcoord,
+      CASE WHEN ord4 % 35 = 1 THEN NULL ELSE code_racine || {_LONG.format(k='ord3', n=22)} END AS code_racine FROM v_pc""",
+    "axe_postcoord": f"""SELECT {_ID.format(k='ord')} AS id_axe, CASE WHEN ord % 25 = 8 THEN NULL ELSE code END AS code_cim11, axe_nom || {_LONG.format(k='ord', n=105)} AS axe_nom,
+      allow_multiple || {_LONG.format(k='ord', n=33)} AS allow_multiple FROM v_axis_csv""",
+}
+
+
+def _schema_sql() -> str:
+    parts = []
+    for name, rules in quality.SCHEMA.items():
+        counts = [("cle", rules.key, f"(SELECT count(*) FROM (SELECT {rules.key} AS k FROM t_{name} GROUP BY 1 HAVING count(*) > 1 OR {rules.key} IS NULL))")]
+        counts += [("nul", c, f"(SELECT count(*) FROM t_{name} WHERE {c} IS NULL)") for c in rules.required]
+        counts += [("longueur", c, f"(SELECT count(*) FROM t_{name} WHERE length({c}) > {n})") for c, n in rules.lengths.items()]
+        parts += [f"SELECT '{name}' AS table_name, '{rule}' AS regle, '{column}' AS column_name, {n} AS n" for rule, column, n in counts]
+    tables = ", ".join(f"t_{name} AS ({sql})" for name, sql in PLANTED_TABLES.items())
+    return f"WITH {tables} " + " UNION ALL ".join(parts)
+
+
+@query(_schema_sql())
+def schema_violations(i: Inputs) -> DataFrame:
+    return concat_all([quality.schema_counts(i.sql(PLANTED_TABLES[name]), rules, name) for name, rules in quality.SCHEMA.items()])
+
+
 @query("""WITH stay AS (SELECT o_orderkey AS id_sejour, o_custkey AS id_patient FROM orders),
       gone AS (SELECT id_sejour FROM stay WHERE id_patient % 10 = 0),
       crh AS (SELECT id_crh FROM v_crh WHERE id_crh IN (SELECT id_sejour FROM gone))

@@ -8,6 +8,7 @@ separately on each side; only their inputs come from here.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -154,10 +155,13 @@ class Inputs:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
-        text = VIEWS[name].replace("{one_two_three}", "explode(array(1, 2, 3))")
+        return self.sql(VIEWS[name].replace("{one_two_three}", "explode(array(1, 2, 3))"), [n for n in DEPENDS[name] if n != name])
+
+    def sql(self, text: str, views: Iterable[str] = tuple(VIEWS)) -> DataFrame:
+        """A statement over the tables and the views."""
         frames = {}
-        for needed in [*TABLES, *DEPENDS[name]]:
-            if needed != name and re.search(rf"\b{needed}\b", text):
+        for needed in [*TABLES, *views]:
+            if re.search(rf"\b{needed}\b", text):
                 frames[needed] = self.table(needed) if needed in TABLES else self.view(needed)
         for needed in frames:
             text = re.sub(rf"\b(FROM|JOIN) {needed}\b", lambda m, n=needed: f"{m.group(1)} <<{n}>>", text)
