@@ -166,7 +166,12 @@ def write_token_files(
         with pa.ipc.new_stream(sink, _DOCUMENTS) as writer:
             writer.write_batch(pa.record_batch(columns, schema=_DOCUMENTS))
         sink.close()
-        store.move(own, f"{base}/{name}")
+        try:
+            store.move(own, f"{base}/{name}")
+        except OSError:  # some stores don't replace: an earlier attempt of this task has left the same file
+            if store.get_file_info(f"{base}/{name}").type != pyarrow.fs.FileType.File:
+                raise
+            store.delete_file(own)
         total = sum(n for _, n in documents)
         yield pa.record_batch([pa.array([x]) for x in (name, len(documents), total)], names=["file", "n_docs", "n_tokens"])
 
@@ -227,25 +232,21 @@ class SequenceFile:
 
     def __init__(self, path: str):
         self.source = pa.memory_map(path)
-        self.batches = []
-        reader = pa.ipc.open_stream(self.source)
-        self.batches = list(reader)
+        self.batches = list(pa.ipc.open_stream(self.source))
         self.rows = self.batches[0].num_rows if self.batches else 0
 
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def __getitem__(self, index: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file) and the mask of valid tokens of a sequence."""
+    def __getitem__(self, index: int) -> tuple[np.ndarray, pa.BooleanArray, pa.BooleanArray]:
+        """Ids of a sequence, the mask of its valid tokens and that of documents' last tokens, all views of the file."""
         if not 0 <= index < len(self):
             raise IndexError(index)
         batch, row = self.batches[index // self.rows], index % self.rows
-        ids, valid = batch.column("ids"), batch.column("valid")
+        ids, valid, last = (batch.column(c) for c in ("ids", "valid", "last"))
         length = ids.type.list_size
-        return (
-            ids.values.slice(ids.offset * length, len(ids) * length).to_numpy()[row * length:(row + 1) * length],
-            valid.values.to_numpy(zero_copy_only=False)[row * length:(row + 1) * length],
-        )
+        views = [column.values.slice((column.offset + row) * length, length) for column in (ids, valid, last)]
+        return views[0].to_numpy(), views[1], views[2]
 
 
 def stream(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_path: str, **options) -> DataFrame:
