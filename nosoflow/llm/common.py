@@ -98,7 +98,7 @@ def words(text: str) -> list[str]:
 class WordHashes(dict):
     """64-bit hash of a word, remembered. It is emptied when it holds ``limit`` words, which bounds a worker's memory."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
@@ -113,6 +113,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
+#: Of this Python worker, whatever the operator and the task.
+HASHES = WordHashes()
+
+
+def word_hashes(text: str) -> np.ndarray:
+    return HASHES.of(text)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit integers."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

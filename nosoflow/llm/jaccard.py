@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nosoflow.llm.common import WordHashes, mixed, pieces_of, shingles, signed, stored, texts
+from nosoflow.llm.common import mixed, pieces_of, shingles, signed, stored, texts, word_hashes
 from nosoflow.llm.components import components
 
 WORDS = 5
@@ -30,7 +30,6 @@ ROWS = 8
 SKETCH, SLACK = 256, 5.0
 #: Members of a bucket, and of a block, that one task holds at a time, twice.
 BUCKET_TILE, TILE = 1024, 512
-_HASHES = WordHashes()
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -58,10 +57,10 @@ def _features(words: int, bands: int, rows: int):
     salts = mixed(np.arange(bands, dtype=np.uint64) + np.uint64(1 << 20))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, 1024):
             ids, k1, k2, sizes, keys, sketches = [], [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                grams = np.unique(shingles(_HASHES.of(text), words))
+                grams = np.unique(shingles(word_hashes(text), words))
                 ids.append(doc_id)
                 sizes.append(len(grams))
                 if not len(grams):
@@ -260,7 +259,7 @@ def _gram_sets(words: int):
         for batch in pieces_of(batches):
             rows = []
             for row in batch.to_pylist():
-                grams = np.unique(shingles(_HASHES.of(row["text"]), words)).tobytes()
+                grams = np.unique(shingles(word_hashes(row["text"]), words)).tobytes()
                 rows += [(row["block"], u["s1"], u["t1"], u["s2"], u["t2"], row["rep"], row["copies"], u["first"], grams) for u in row["units"]]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 

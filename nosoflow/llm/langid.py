@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nosoflow.llm.common import id_crc
+from nosoflow.llm.common import id_crc, pieces_of
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -124,7 +124,7 @@ def fit(rows: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.nd
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler, sums = _bundler(dimensions), {}
-        for batch in batches:
+        for batch in pieces_of(batches, 1024):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 vector = None if text is None else bundler.vector(text)
                 if vector is not None:

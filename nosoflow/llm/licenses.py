@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nosoflow.llm.common import WordHashes, pieces_of, shingles, texts
+from nosoflow.llm.common import pieces_of, shingles, texts, word_hashes
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -26,7 +26,6 @@ MAX_TEMPLATES = 10_000
 CHUNK = 1 << 13
 _STEP = 2
 _FULL = np.uint32(0xFFFFFFFF)
-_HASHES = WordHashes()
 
 # Public license notices and the opening paragraphs of public licenses.
 TEMPLATES = {
@@ -76,10 +75,10 @@ class Scanner:
         self.words, self.containment = words, containment
         draws = np.random.default_rng(3).integers(0, 1 << 32, (2, bands_for(containment, miss)), np.uint64).astype(np.uint32)
         self.factors, self.terms = draws[0] | np.uint32(1), draws[1]
-        self.names = sorted(n for n, t in templates.items() if len(_HASHES.of(t)))
-        self.sets = [np.unique(shingles(_HASHES.of(templates[n]), words)) for n in self.names]
+        self.names = sorted(n for n, t in templates.items() if len(word_hashes(t)))
+        self.sets = [np.unique(shingles(word_hashes(templates[n]), words)) for n in self.names]
         # A template shorter than a shingle is one shingle of all its words, which no longer text has: it is looked for by its own size.
-        self.short = {i: len(_HASHES.of(templates[n])) for i, n in enumerate(self.names) if len(_HASHES.of(templates[n])) < words}
+        self.short = {i: len(word_hashes(templates[n])) for i, n in enumerate(self.names) if len(word_hashes(templates[n])) < words}
         sizes = [max(2 * _STEP, 1 << (2 * len(s) - 1).bit_length()) for s in self.sets]
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.filters: dict[int, np.ndarray] = {}
@@ -131,7 +130,7 @@ class Scanner:
 
         Texts are searched together, each from a multiple of the largest window's step on, so that the neighbours of a text don't matter.
         """
-        hashes = [_HASHES.of(t) for t in texts_]
+        hashes = [word_hashes(t) for t in texts_]
         best: list[dict[int, tuple[float, int, int]]] = [{} for _ in texts_]
         grams = [shingles(h, self.words) if len(h) >= self.words and self.tables else h[:0] for h in hashes]
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nosoflow.llm.common import WordHashes, id_crc, mixed, pieces_of, signed, stored
+from nosoflow.llm.common import id_crc, mixed, pieces_of, signed, stored, word_hashes
 
 #: Expected number of labelled rows learned from, for each label, drawn by a hash of their ids.
 FIT_ROWS = 20_000
@@ -28,8 +28,7 @@ LEAST = 2e-6
 RATIO, SIGNIFICANT = 2.0, 5.0
 THRESHOLD = 0.3
 _BINS = 2000.0
-_FLUSH = 2_000_000
-_HASHES = WordHashes()
+_FLUSH = 1_000_000
 _FIRST = np.uint64(0x5F3759DF)
 
 
@@ -54,7 +53,7 @@ class Model:
 
     def gap(self, text: str | None) -> float:
         """Log-likelihood as toxic minus that as ordinary text, per word; 0 for a text without words."""
-        words = _HASHES.of(text or "")
+        words = word_hashes(text or "")
         if not len(words):
             return 0.0
         gains = _looked_up(words, self.words, self.word_gain, 0.0)
@@ -106,9 +105,9 @@ def _pair_counts(rows: DataFrame) -> DataFrame:
             arrays = [np.full(len(at), label, np.int32), (before[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), signed(left[at]), signed(right[at])]
             return pa.record_batch([pa.array(a) for a in arrays], names=["toxic", "u", "v", "w"])
 
-        for batch in batches:
+        for batch in pieces_of(batches, 1024):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words = _HASHES.of(text or "")
+                words = word_hashes(text or "")
                 if len(words):
                     held[label].append(words)
                     sizes[label] += len(words)
@@ -136,7 +135,7 @@ def _corpus_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]
         for batch in pieces_of(batches, 1024):
             hits = [np.zeros(0, np.int64)]
             for text in batch.column("text").to_pylist():
-                found = _HASHES.of(text or "")
+                found = word_hashes(text or "")
                 total += len(found)
                 at = np.searchsorted(known.value, found)
                 at[at == len(known.value)] = 0

@@ -3,6 +3,7 @@ import zlib
 import pytest
 
 from nosoflow.llm import toxicity
+from nosoflow.llm.common import HASHES
 
 from .conftest import prose
 
@@ -61,7 +62,7 @@ def test_likelihoods_are_those_of_the_two_models(data, spark):
     total = sum(corpus.values())
     for word in RUDE:
         p = [(1 - weight) * max(types[c].get(word, 0) - cut, 0) / sums[c] + weight * corpus[word] / total for c in (0, 1)]
-        key = toxicity._HASHES[word]
+        key = HASHES[word]
         assert key in model.words.tolist()
         assert abs(model.word_gain[model.words.tolist().index(key)] - math.log(p[1] / p[0])) < 1e-9
     assert len(model.words) < 40
