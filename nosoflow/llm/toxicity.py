@@ -2,9 +2,10 @@
 
 Two bigram models, of toxic and of ordinary texts, are learned from labelled rows. A word's probability in a class is its discounted continuation
 count there (how many different words it follows), backed off to counts of the whole corpus that both classes share; a bigram's comes from its discounted
-continuation count, backed off to the word's. Back-off weights are tied between the classes, so an expression that neither class has seen often enough
-cancels out, and only expressions that tell the classes apart need be kept. A text's score is a logistic function of the difference of
-its two log-likelihoods per word.
+continuation count, backed off to the word's. Every expression of the rows learned from is kept. How far its own counts are believed depends on how
+many there are: a geometric mean, weighted by the probability that the classes differ there at all, leads from the shared back-off to the class's
+own estimate, so what was seen once or twice says little, without a bound. A toxic text is taken as an ordinary one with a share of words from
+the toxic model; its score is a logistic function of the difference of the two log-likelihoods per word.
 """
 
 from __future__ import annotations
@@ -22,12 +23,10 @@ from nosoflow.llm.common import id_crc, mixed, pieces_of, signed, stored, word_h
 
 #: Expected number of labelled rows learned from, for each label, drawn by a hash of their ids.
 FIT_ROWS = 20_000
-#: An expression is kept if its probability in a class is this large at least, so at most 1 / LEAST are kept for a class and order.
-LEAST = 2e-6
-#: And if the classes' probabilities differ by this factor, and by so many standard deviations of chance.
-RATIO, SIGNIFICANT = 2.0, 5.0
+#: Share of a toxic text's words that the toxic model explains.
+MIXED = 0.01
 THRESHOLD = 0.3
-_BINS = 2000.0
+_BINS = 100_000.0
 _FLUSH = 1_000_000
 _FIRST = np.uint64(0x5F3759DF)
 
@@ -42,7 +41,7 @@ def _lefts(words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Log ratios of kept words and bigrams, by sorted 64-bit keys, and the logistic function's two numbers."""
+    """Log ratios of words and bigrams, by sorted 64-bit keys, and the logistic function's two numbers."""
 
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     word_gain: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -57,10 +56,9 @@ class Model:
         if not len(words):
             return 0.0
         gains = _looked_up(words, self.words, self.word_gain, 0.0)
-        if len(self.pairs):
-            paired = _looked_up(_pair_keys(_lefts(words), words), self.pairs, self.pair_gain, np.nan)
-            gains = np.where(np.isnan(paired), gains, paired)
-        return float(gains.sum() / len(words))
+        paired = _looked_up(_pair_keys(_lefts(words), words), self.pairs, self.pair_gain, np.nan)
+        ratios = np.where(np.isnan(paired), gains, paired)
+        return float(np.log1p(MIXED * np.expm1(ratios)).sum() / len(words))
 
     def score(self, gap: float) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.offset + self.slope * gap, -60.0, 60.0))))
@@ -152,13 +150,6 @@ def _corpus_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]
     return sums[:-1], int(sums[-1])
 
 
-def _beyond_chance(count0: str, count1: str, total0: float, total1: float) -> Column:
-    """Whether two shares differ by SIGNIFICANT standard deviations of their difference under one common share."""
-    share = (F.col(count0) + F.col(count1)) / float(total0 + total1)
-    spread = F.sqrt(share * (1 / float(total0) + 1 / float(total1)))
-    return F.abs(F.col(count1) / float(total1) - F.col(count0) / float(total0)) >= SIGNIFICANT * spread
-
-
 def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
@@ -166,8 +157,8 @@ def _discount(once: int, twice: int) -> float:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
-    Shared counts come from all documents. The rows learned from are bounded by ``fit_rows``, so their ids are broadcast; kept
-    expressions are bounded by LEAST, so they reach the driver. Without rows of both labels nothing is learned and every score is 0.
+    Shared counts come from all documents. The rows learned from are bounded by ``fit_rows``, so their ids are broadcast, and their
+    words and bigrams reach the driver. Without rows of both labels nothing is learned and every score is 0.
     """
     sample, shares = labelled_rows(labels, fit_rows)
     if set(shares) != {0, 1}:
@@ -177,10 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     pairs = stored(_pair_counts(rows.where("NOT checks")), "pairs")
 
     words = pairs.withColumn("one", F.lit(1)).groupBy("w").agg(
-        _of_class("one", 0).alias("t0"), _of_class("one", 1).alias("t1"), F.sum("n").alias("n"))
+        _of_class("one", 0).alias("t0"), _of_class("one", 1).alias("t1"))
     words = stored(words, "words")
     sums = words.agg(
-        *(F.sum(c).alias(c) for c in ("t0", "t1", "n")), F.count(F.lit(1)).alias("words"),
+        *(F.sum(c).alias(c) for c in ("t0", "t1")), F.count(F.lit(1)).alias("words"),
         F.sum((F.col("t0") + F.col("t1") == 1).cast("long")).alias("once"), F.sum((F.col("t0") + F.col("t1") == 2).cast("long")).alias("twice"),
     ).first()
     if not sums.t0 or not sums.t1:
@@ -188,44 +179,94 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     cut = _discount(sums.once, sums.twice)
     weight = min(0.95, max(0.05, cut * sums.words / (sums.t0 + sums.t1)))
 
-    def class_part(label: int) -> Column:
-        return (1 - weight) * F.greatest(F.col(f"t{label}") - cut, F.lit(0.0)) / float(sums[f"t{label}"])
-
-    shared = weight * F.col("n") / float(sums.n)
-    candidates = words.withColumns({"p0": class_part(0) + shared, "p1": class_part(1) + shared})
-    differ = (F.abs(F.log(F.col("p1") / F.col("p0"))) >= float(np.log(RATIO))) & _beyond_chance("t0", "t1", sums.t0, sums.t1)
-    likely = F.greatest(class_part(0), class_part(1)) >= LEAST
-    found = candidates.where(differ & likely).select("w", "t0", "t1").toArrow()
+    found = words.select("w", "t0", "t1").toArrow()
     keys = found.column("w").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    keys, kept = keys[order], {c: found.column(c).to_numpy()[order].astype(float) for c in ("t0", "t1")}
-    counts, total = _corpus_counts(docs, keys) if len(keys) else (np.zeros(0), 1)
-    base = weight * counts / max(total, 1)
-    chance = [(1 - weight) * np.maximum(kept[f"t{c}"] - cut, 0.0) / float(sums[f"t{c}"]) + base for c in (0, 1)]
+    keys, seen = keys[order], [found.column(c).to_numpy()[order].astype(float) for c in ("t0", "t1")]
+    counts, total = _corpus_counts(docs, keys)
+    shared = counts / total
+    size = [float(sums.t0), float(sums.t1)]
+    own = [(1 - weight) * np.maximum(seen[c] - cut, 0.0) / size[c] + weight * shared for c in (0, 1)]
+    evidence = _evidence(*seen, np.full(len(keys), size[1] / (size[0] + size[1])))
+    differs = _logistic(evidence + _prior(*np.unique(np.round(evidence, 2), return_counts=True)))
+    chance = [shared ** (1 - differs) * own[c] ** differs for c in (0, 1)]
     model = Model(keys, np.log(chance[1] / chance[0]))
-    model.pairs, model.pair_gain = _kept_pairs(pairs, candidates)
+    model.pairs, model.pair_gain = _bigrams(pairs, keys, chance)
     return _calibrated(model, rows.where("checks"), shares)
 
 
-def _kept_pairs(pairs: DataFrame, words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and log ratios of the bigrams that tell more than their second word does."""
-    both = pairs.groupBy("v", "w").agg(_of_class("n", 0).alias("c0"), _of_class("n", 1).alias("c1"))
-    totals = pairs.groupBy("toxic").agg(F.sum("n").alias("n")).collect()
-    size = {r.toxic: float(r.n) for r in totals}
-    lefts = pairs.groupBy("v").agg(_of_class("n", 0).alias("v0"), _of_class("n", 1).alias("v1"), F.count(F.lit(1)).alias("types"))
-    frequent = both.where(" OR ".join(f"c{c} >= {max(2.0, LEAST * size[c])}" for c in (0, 1)))
-    rows = frequent.where(_beyond_chance("c0", "c1", size[0], size[1])).join(lefts, "v").join(words.select("w", "p0", "p1"), "w")
-    cut = 0.75
-    weight = F.least(F.lit(0.95), F.greatest(F.lit(0.05), cut * F.col("types") / (F.col("v0") + F.col("v1"))))
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x >= 1, by Stirling's series at x + 8."""
+    y = x + 8.0
+    steps = sum(np.log(x + i) for i in range(8))
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - steps
 
-    def chance(c: int) -> Column:
-        own = (1 - weight) * F.greatest(F.col(f"c{c}") - cut, F.lit(0.0)) / F.col(f"v{c}")
-        return F.when(F.col(f"v{c}") > 0, own + weight * F.col(f"p{c}")).otherwise(F.col(f"p{c}"))
 
-    gain = F.log(chance(1) / chance(0))
-    more = F.abs(gain - F.log(F.col("p1") / F.col("p0"))) >= float(np.log(RATIO))
-    found = rows.where(more).select("v", "w", gain.alias("gain")).toArrow()
-    keys = _pair_keys(found.column("v").to_numpy().view(np.uint64), found.column("w").to_numpy().view(np.uint64))
+def _evidence(n0: np.ndarray, n1: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Logarithm of how much likelier counts of an expression are if its toxic share may be any than if it is ``toxic``."""
+    free = _log_gamma(n0 + 1.0) + _log_gamma(n1 + 1.0) - _log_gamma(n0 + n1 + 2.0)
+    return free - n1 * np.log(toxic) - n0 * np.log1p(-toxic)
+
+
+def _prior(evidence: np.ndarray, counts: np.ndarray) -> float:
+    """Log odds that an expression differs between the classes, most likely for these values of the evidence (expectation maximisation)."""
+    share = 0.01
+    for _ in range(500):
+        after = float((_logistic(evidence + np.log(share / (1 - share))) * counts).sum() / counts.sum())
+        after = min(0.5, max(1e-9, after))
+        if abs(after - share) < 1e-9:
+            break
+        share = after
+    return float(np.log(share / (1 - share)))
+
+
+def _bigrams(pairs: DataFrame, words: np.ndarray, chance: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and log ratios of all bigrams. The words' probabilities and the counts of contexts are broadcast; both are parts of the sample."""
+    both = stored(pairs.groupBy("v", "w").agg(_of_class("n", 0).alias("c0"), _of_class("n", 1).alias("c1")), "bigrams")
+    size = {r.toxic: float(r.n) for r in pairs.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    lefts = both.groupBy("v").agg(F.sum("c0").alias("v0"), F.sum("c1").alias("v1"), F.count(F.lit(1)).alias("types")).toArrow()
+    order = np.argsort(lefts.column("v").to_numpy().view(np.uint64))
+    contexts = [lefts.column(c).to_numpy()[order] for c in ("v", "v0", "v1", "types")]
+    known = pairs.sparkSession.sparkContext.broadcast((words, chance, contexts))
+    cut = 0.75
+
+    def values(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Evidence, log ratio of the words alone, and log ratio of the bigrams."""
+        words_, p, (v, *counts) = known.value
+        left, right, c0, c1 = (batch.column(c).to_numpy() for c in ("v", "w", "c0", "c1"))
+        at = np.searchsorted(words_, right.view(np.uint64))
+        p0, p1 = p[0][at], p[1][at]
+        at = np.searchsorted(v.view(np.uint64), left.view(np.uint64))
+        v0, v1, types = (x[at].astype(float) for x in counts)
+        weight = np.clip(cut * types / (v0 + v1), 0.05, 0.95)
+
+        def own(c: np.ndarray, v: np.ndarray, p: np.ndarray) -> np.ndarray:
+            return np.where(v > 0, (1 - weight) * np.maximum(c - cut, 0.0) / np.maximum(v, 1.0) + weight * p, p)
+
+        evidence = _evidence(c0.astype(float), c1.astype(float), size[1] * p1 / (size[0] * p0 + size[1] * p1))
+        return evidence, np.log(p1 / p0), np.log(own(c1, v1, p1) / own(c0, v0, p0))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, n = np.unique(np.round(values(batch)[0] * 20), return_counts=True)
+            yield pa.record_batch([pa.array(places), pa.array(n)], names=["place", "n"])
+
+    told = both.mapInArrow(tell, "place double, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    prior = _prior(told.column("place").to_numpy() / 20, told.column("n").to_numpy())
+
+    def gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            evidence, alone, paired = values(batch)
+            key = _pair_keys(batch.column("v").to_numpy().view(np.uint64), batch.column("w").to_numpy().view(np.uint64))
+            gains = alone + _logistic(evidence + prior) * (paired - alone)
+            yield pa.record_batch([pa.array(signed(key)), pa.array(gains.astype(np.float32))], names=["key", "gain"])
+
+    found = both.mapInArrow(gain, "key bigint, gain float").toArrow()
+    keys = found.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], found.column("gain").to_numpy()[order]
 
@@ -233,7 +274,7 @@ def _kept_pairs(pairs: DataFrame, words: DataFrame) -> tuple[np.ndarray, np.ndar
 def _calibrated(model: Model, rows: DataFrame, shares: dict[int, float]) -> Model:
     """The model with a logistic function fitted on rows that its counts don't hold, weighted back to their share of all labelled rows."""
     gap = gaps(model, rows.sparkSession)("text")
-    place = F.least(F.greatest(F.round(gap * _BINS), F.lit(-_BINS)), F.lit(10 * _BINS))  # at most 11 * _BINS places
+    place = F.least(F.greatest(F.round(gap * _BINS), F.lit(-_BINS)), F.lit(10 * _BINS))  # at most one place for each row that checks
     bins = rows.select("toxic", place.alias("place")).groupBy("toxic", "place").count().collect()
     x = np.array([r.place / _BINS for r in bins])
     y = np.array([float(r.toxic) for r in bins])

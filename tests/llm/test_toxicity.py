@@ -95,3 +95,28 @@ def test_the_sample_is_bounded(data):
     rows, shares = toxicity.labelled_rows(labels, 20)
     counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     assert set(shares) == {0, 1} and all(share < 1 for share in shares.values()) and all(n < 45 for n in counts.values())
+
+
+def test_rare_expressions_are_kept_and_count_by_their_evidence(data, spark):
+    """Words of one, three and twelve toxic texts: none is cut, and what is seen more often says more."""
+    docs, labels = data
+    ids = sorted(r.doc_id for r in labels.where("toxic = 1").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 in (0, 1))
+    more = {i: [w for w, n in (("once", 1), ("thrice", 3), ("often", 12)) if k < n] for k, i in enumerate(ids)}
+    rows = [(r.doc_id, " ".join([r.text, *more.get(r.doc_id, [])])) for r in docs.collect()]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    used = {r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 in (0, 1)}
+    texts = [[HASHES[w] for w in t.split()] for i, t in rows if i in used]
+    assert set(model.words.tolist()) == {w for t in texts for w in t}
+    assert len(model.pairs) == len({p for t in texts for p in zip([None, *t], t)})
+    gain = dict(zip(model.words.tolist(), model.word_gain.tolist()))
+    assert 0 < gain[HASHES["once"]] < gain[HASHES["thrice"]] < gain[HASHES["often"]]
+
+
+def test_evidence_is_that_of_the_beta_function():
+    import math
+
+    import numpy as np
+
+    n0, n1, q = np.array([0.0, 7, 900]), np.array([1.0, 0, 40]), np.array([0.1, 0.5, 0.01])
+    want = [math.lgamma(a + 1) + math.lgamma(b + 1) - math.lgamma(a + b + 2) - b * math.log(s) - a * math.log(1 - s) for a, b, s in zip(n0, n1, q)]
+    assert np.allclose(toxicity._evidence(n0, n1, q), want, rtol=1e-10)
