@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models, of toxic and of ordinary texts, are learned from labelled rows. A word's probability in a class is its discounted continuation
-count there (how many different words it follows), backed off to counts of the whole corpus that both classes share; a bigram's comes from its discounted
+count there (how many different words it follows), backed off to that of all documents, which both classes share; a bigram's comes from its discounted
 continuation count, backed off to the word's. Every expression of the rows learned from is kept. How far its own counts are believed depends on how
 many there are: a geometric mean, weighted by the probability that the classes differ there at all, leads from the shared back-off to the class's
 own estimate, so what was seen once or twice says little, without a bound. A toxic text is taken as an ordinary one with a share of words from
@@ -15,11 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nosoflow.llm.common import id_crc, mixed, pieces_of, signed, stored, word_hashes
+from nosoflow.llm.common import estimated_bytes, id_crc, mixed, pieces_of, signed, stored, word_hashes
 
 #: Expected number of labelled rows learned from, for each label, drawn by a hash of their ids.
 FIT_ROWS = 20_000
@@ -88,7 +88,7 @@ def labelled_rows(labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFram
 
 
 def _pair_counts(rows: DataFrame) -> DataFrame:
-    """toxic, v, w, n: before how many different words the word v is followed by w. Copies of a text so count once."""
+    """v, w, c0, c1: after how many different words v is followed by w, in ordinary and in toxic texts. Copies of a text so count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {0: [], 1: []}
@@ -116,35 +116,83 @@ def _pair_counts(rows: DataFrame) -> DataFrame:
                 yield flush(label)
 
     parts = rows.select("text", "toxic").mapInArrow(count, "toxic int, u int, v bigint, w bigint")
-    parts = parts.repartition("toxic", "v", "w").distinct()  # one shuffle serves both steps; a task sends a triple once
-    return parts.groupBy("toxic", "v", "w").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.repartition("v", "w").distinct()  # one shuffle serves both steps; a task sends a triple once
+    return parts.groupBy("v", "w").agg(*(F.count_if(F.col("toxic") == c).alias(f"c{c}") for c in (0, 1)))
 
 
-def _of_class(value: str, label: int) -> Column:
-    return F.coalesce(F.sum(F.when(F.col("toxic") == label, F.col(value))), F.lit(0))
+def _dealt_bigrams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
+    """bucket, w, n, v: the different bigrams of each task, as bytes: sorted second words, how many first words each has, and these (32 bits each).
 
+    A word's bigrams share a bucket; those of the sorted ``common`` words are dealt over all.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(common)
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        right = np.concatenate(held)
+        keys, at = np.unique(_pair_keys(np.concatenate([_lefts(x) for x in held]) >> np.uint64(32), right), return_index=True)
+        left, right = np.concatenate([_lefts(x) for x in held])[at], right[at]
+        spread = np.isin(right, known.value)
+        bucket = (np.where(spread, keys, mixed(right)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((right, bucket))
+        left, right, bucket = (left[order] >> np.uint64(32)).astype(np.uint32), right[order], bucket[order]
+        start = np.flatnonzero(np.concatenate(([True], (right[1:] != right[:-1]) | (bucket[1:] != bucket[:-1]))))
+        n = np.diff(np.append(start, len(right))).astype(np.uint32)
+        numbers, first = np.unique(bucket[start], return_index=True)
+        edges, cuts = np.append(first, len(start)), np.append(start, len(right))
+        columns = [numbers.astype(np.int32), *([x[a:b].tobytes() for a, b in zip(e, e[1:])] for x, e in ((right[start], edges), (n, edges), (left, cuts[edges])))]
+        return pa.record_batch([pa.array(c) for c in columns], names=["bucket", "w", "n", "v"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in pieces_of(batches, 1024):
+            for text in batch.column("text").to_pylist():
+                found = word_hashes(text or "")
+                if len(found):
+                    held.append(found)
+                    size += len(found)
+                if size > 2 * _FLUSH:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return docs.select("text").mapInArrow(deal, "bucket int, w binary, n binary, v binary")
+
+
+def _corpus_counts(docs: DataFrame, words: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many different words each of the sorted ``words`` follows in all documents, and the number of all different bigrams.
 
-def _corpus_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
-    """How often each of the sorted ``words`` occurs in all documents, and the number of all words."""
+    A task sends a bigram once, however often it occurs; the bigrams of the sorted ``common`` words are counted in many tasks.
+    """
+    buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, estimated_bytes(docs.select("text")) >> 23)
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, total = np.zeros(len(known.value) + 1, np.int64), 0
-        for batch in pieces_of(batches, 1024):
-            hits = [np.zeros(0, np.int64)]
-            for text in batch.column("text").to_pylist():
-                found = word_hashes(text or "")
-                total += len(found)
-                at = np.searchsorted(known.value, found)
-                at[at == len(known.value)] = 0
-                hits.append(at[known.value[at] == found])
-            sums += np.bincount(np.concatenate(hits), minlength=len(sums))
-        sums[-1] = total
-        places = np.flatnonzero(sums)
-        if len(places):
-            yield pa.record_batch([pa.array(places), pa.array(sums[places])], names=["i", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+        keys, seconds, size = [], [], 0
+
+        def merge() -> None:
+            unique, at = np.unique(np.concatenate(keys), return_index=True)
+            keys[:], seconds[:] = [unique], [np.concatenate(seconds)[at]]
+
+        for batch in batches:
+            for w, n, v in zip(*(batch.column(c).to_pylist() for c in ("w", "n", "v"))):
+                second = np.repeat(np.frombuffer(w, np.uint64), np.frombuffer(n, np.uint32))
+                keys.append(_pair_keys(np.frombuffer(v, np.uint32).astype(np.uint64), second))
+                seconds.append(second)
+                size += len(second)
+            if size > 4 * _FLUSH:
+                merge()
+                size = 0
+        if keys:
+            merge()
+            found, n = np.unique(seconds[0], return_counts=True)
+            at = np.searchsorted(known.value, found)
+            at[at == len(known.value)] = 0
+            hit = known.value[at] == found
+            yield pa.record_batch([pa.array(np.append(at[hit], len(known.value))), pa.array(np.append(n[hit], n.sum()))], names=["i", "n"])
+
+    dealt = _dealt_bigrams(docs, common, buckets).repartition(buckets, "bucket")
+    rows = dealt.mapInArrow(count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros(len(words) + 1, np.int64)
     sums[rows.column("i").to_numpy()] = rows.column("n").to_numpy()
     return sums[:-1], int(sums[-1])
@@ -167,9 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     rows = docs.select(ids.alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(stored(sample, "labelled")), "doc_id")
     pairs = stored(_pair_counts(rows.where("NOT checks")), "pairs")
 
-    words = pairs.withColumn("one", F.lit(1)).groupBy("w").agg(
-        _of_class("one", 0).alias("t0"), _of_class("one", 1).alias("t1"))
-    words = stored(words, "words")
+    words = stored(pairs.groupBy("w").agg(*(F.count_if(F.col(f"c{c}") > 0).alias(f"t{c}") for c in (0, 1))), "words")
     sums = words.agg(
         *(F.sum(c).alias(c) for c in ("t0", "t1")), F.count(F.lit(1)).alias("words"),
         F.sum((F.col("t0") + F.col("t1") == 1).cast("long")).alias("once"), F.sum((F.col("t0") + F.col("t1") == 2).cast("long")).alias("twice"),
@@ -183,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     keys = found.column("w").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     keys, seen = keys[order], [found.column(c).to_numpy()[order].astype(float) for c in ("t0", "t1")]
-    counts, total = _corpus_counts(docs, keys)
+    counts, total = _corpus_counts(docs, keys, keys[seen[0] + seen[1] >= 1e-4 * (sums.t0 + sums.t1)])
     shared = counts / total
     size = [float(sums.t0), float(sums.t1)]
     own = [(1 - weight) * np.maximum(seen[c] - cut, 0.0) / size[c] + weight * shared for c in (0, 1)]
@@ -224,14 +270,14 @@ def _prior(evidence: np.ndarray, counts: np.ndarray) -> float:
     return float(np.log(share / (1 - share)))
 
 
-def _bigrams(pairs: DataFrame, words: np.ndarray, chance: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _bigrams(both: DataFrame, words: np.ndarray, chance: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Keys and log ratios of all bigrams. The words' probabilities and the counts of contexts are broadcast; both are parts of the sample."""
-    both = stored(pairs.groupBy("v", "w").agg(_of_class("n", 0).alias("c0"), _of_class("n", 1).alias("c1")), "bigrams")
-    size = {r.toxic: float(r.n) for r in pairs.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    total = both.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).first()
+    size = [float(total.c0), float(total.c1)]
     lefts = both.groupBy("v").agg(F.sum("c0").alias("v0"), F.sum("c1").alias("v1"), F.count(F.lit(1)).alias("types")).toArrow()
     order = np.argsort(lefts.column("v").to_numpy().view(np.uint64))
     contexts = [lefts.column(c).to_numpy()[order] for c in ("v", "v0", "v1", "types")]
-    known = pairs.sparkSession.sparkContext.broadcast((words, chance, contexts))
+    known = both.sparkSession.sparkContext.broadcast((words, chance, contexts))
     cut = 0.75
 
     def values(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:

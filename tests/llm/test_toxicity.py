@@ -120,3 +120,17 @@ def test_evidence_is_that_of_the_beta_function():
     n0, n1, q = np.array([0.0, 7, 900]), np.array([1.0, 0, 40]), np.array([0.1, 0.5, 0.01])
     want = [math.lgamma(a + 1) + math.lgamma(b + 1) - math.lgamma(a + b + 2) - b * math.log(s) - a * math.log(1 - s) for a, b, s in zip(n0, n1, q)]
     assert np.allclose(toxicity._evidence(n0, n1, q), want, rtol=1e-10)
+
+
+def test_shared_counts_are_different_words_before_a_word_in_all_documents(data, spark):
+    """A text copied many times counts once, a document without a label like any other, and bigrams use the same counts."""
+    import numpy as np
+
+    docs, labels = data
+    texts = [r.text for r in docs.collect()]
+    rows = [(i, t) for i, t in enumerate(texts + ["blorf alone", "alone blorf blorf"] + texts[:1] * 50)]
+    both = {p for _, t in rows for p in zip([None, *t.split()], t.split())}
+    words = sorted({w for _, w in both}, key=HASHES.__getitem__)
+    keys = np.array([HASHES[w] for w in words], np.uint64)
+    counts, total = toxicity._corpus_counts(spark.createDataFrame(rows, "doc_id bigint, text string"), keys, keys[::40])
+    assert total == len(both) and counts.tolist() == [sum(b == w for _, b in both) for w in words]
