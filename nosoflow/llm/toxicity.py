@@ -193,6 +193,7 @@ def _corpus_counts(docs: DataFrame, words: np.ndarray, common: np.ndarray) -> tu
 
     dealt = _dealt_bigrams(docs, common, buckets).repartition(buckets, "bucket")
     rows = dealt.mapInArrow(count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    known.destroy()
     sums = np.zeros(len(words) + 1, np.int64)
     sums[rows.column("i").to_numpy()] = rows.column("n").to_numpy()
     return sums[:-1], int(sums[-1])
@@ -312,6 +313,7 @@ def _bigrams(both: DataFrame, words: np.ndarray, chance: list[np.ndarray]) -> tu
             yield pa.record_batch([pa.array(signed(key)), pa.array(gains.astype(np.float32))], names=["key", "gain"])
 
     found = both.mapInArrow(gain, "key bigint, gain float").toArrow()
+    known.destroy()
     keys = found.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], found.column("gain").to_numpy()[order]
@@ -319,9 +321,11 @@ def _bigrams(both: DataFrame, words: np.ndarray, chance: list[np.ndarray]) -> tu
 
 def _calibrated(model: Model, rows: DataFrame, shares: dict[int, float]) -> Model:
     """The model with a logistic function fitted on rows that its counts don't hold, weighted back to their share of all labelled rows."""
-    gap = gaps(model, rows.sparkSession)("text")
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    gap = gaps(shared)("text")
     place = F.least(F.greatest(F.round(gap * _BINS), F.lit(-_BINS)), F.lit(10 * _BINS))  # at most one place for each row that checks
     bins = rows.select("toxic", place.alias("place")).groupBy("toxic", "place").count().collect()
+    shared.destroy()  # its copies on the executors' disks go before the fitted model is sent
     x = np.array([r.place / _BINS for r in bins])
     y = np.array([float(r.toxic) for r in bins])
     n = np.array([r["count"] / shares[r.toxic] for r in bins])
@@ -342,9 +346,8 @@ def _calibrated(model: Model, rows: DataFrame, shares: dict[int, float]) -> Mode
     return model
 
 
-def gaps(model: Model, spark):
-    """Column function: text to the difference of its log-likelihoods per word."""
-    shared = spark.sparkContext.broadcast(model)
+def gaps(shared):
+    """Column function of a broadcast model: text to the difference of its log-likelihoods per word."""
 
     @F.arrow_udf(T.DoubleType())
     def gap(texts: pa.Array) -> pa.Array:
