@@ -20,7 +20,7 @@ from nosoflow.llm.common import id_crc, pieces_of
 
 DIMENSIONS = 1024
 GRAM = 3
-#: Expected number of training texts, drawn by a hash of their ids.
+#: Expected number of training texts of each language at most, drawn by a hash of their ids.
 FIT_ROWS = 40_000
 #: More languages than these are an error: prototypes are held by every task.
 MAX_LANGUAGES = 512
@@ -107,13 +107,18 @@ def _bundler(dimensions: int) -> Bundler:
 
 
 def training_rows(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Texts to learn from: crc32 of the id not divisible by 5, a language given, about ``fit_rows`` of them by a hash of the id."""
+    """Texts to learn from: crc32 of the id not divisible by 5, a language given. Of a language with more than ``fit_rows`` of them about as many are
+    drawn by a hash of the id; any other keeps all."""
     rows = docs.where((id_crc(docs[doc_id], 5) != 0) & docs[lang].isNotNull()).select(
         docs[doc_id].alias("doc_id"), docs["text"].alias("text"), docs[lang].cast("string").alias("lang"))
-    count = rows.select("doc_id").count()
-    if count <= fit_rows:
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    limits = {lang: int((1 << 30) * fit_rows / n) for lang, n in counts.items() if n > fit_rows}
+    if not limits:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / count))
+    limit = F.coalesce(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("lang")], F.lit(1 << 30))
+    return rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < limit)
 
 
 def fit(rows: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:

@@ -72,3 +72,13 @@ def test_the_number_of_languages_is_bounded(make_docs, monkeypatch):
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
     with pytest.raises(ValueError, match="languages"):
         langid.identify(labelled(make_docs))
+
+
+def test_a_rare_language_keeps_all_its_texts(make_docs):
+    """Two languages with many texts and one with four: the bound holds for each language alone."""
+    docs = make_docs([(i, text("cc" if i % 100 == 1 else ("aa", "bb")[i % 2], i), "cc" if i % 100 == 1 else ("aa", "bb")[i % 2], "s") for i in range(400)])
+    used = [r.lang for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    rows = langid.training_rows(docs, fit_rows=20)
+    drawn = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    assert drawn["cc"] == used.count("cc") <= 4 and all(5 < drawn[x] < 45 < used.count(x) for x in ("aa", "bb"))
+    assert langid.fit(rows)[0] == ["aa", "bb", "cc"]
