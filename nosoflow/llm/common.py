@@ -121,6 +121,28 @@ def word_hashes(text: str) -> np.ndarray:
     return HASHES.of(text)
 
 
+def byte_words(text: str | None, lower: bool = False) -> list[bytes]:
+    """UTF-8 words between runs of space and ``\\t\\n\\v\\f\\r``, and of no other blank; ``lower`` changes A to Z only."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return (data.lower() if lower else data).split()
+
+
+class ByteHashes(WordHashes):
+    """64-bit hash of a word's bytes, remembered as ``WordHashes`` does."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+BYTE_HASHES = ByteHashes()
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit integers."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
