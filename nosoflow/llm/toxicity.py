@@ -1,75 +1,162 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary texts, are learned from labelled rows. A word's probability in a class is its discounted continuation
-count there (how many different words it follows), backed off to that of all documents, which both classes share; a bigram's comes from its discounted
-continuation count, backed off to the word's. Every expression of the rows learned from is kept. How far its own counts are believed depends on how
-many there are: a geometric mean, weighted by the probability that the classes differ there at all, leads from the shared back-off to the class's
-own estimate, so what was seen once or twice says little, without a bound. A toxic text is taken as an ordinary one with a share of words from
-the toxic model; its score is a logistic function of the difference of the two log-likelihoods per word.
+Two bigram models, of toxic and of ordinary texts, are learned from labelled rows, with modified discounts for counts of 1, 2 and more. Of a bigram and of a word,
+what is counted are the different words before it, so copies of a text count once. A word's probability in a class backs off to the shared counts, the
+different words before it in all documents, which both classes use; a bigram's backs off to the word's. Every expression of the rows learned from is
+kept. ``plain`` is the difference of the two log-likelihoods per word of these models.
+
+Over all expressions that difference is mostly noise of rare ones, so the score weighs it. How far the classes' own estimates are believed depends on how many
+counts there are: a geometric mean, weighted by the probability that the classes differ there at all, leads from the shared back-off to the class's own
+estimate. A toxic text is taken as an ordinary one with a share of words from the toxic model; the score is a logistic function of the difference of
+the log-likelihoods of that mixture and of the ordinary model per word.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nosoflow.llm.common import estimated_bytes, id_crc, mixed, pieces_of, signed, stored, word_hashes
+from nosoflow.llm.common import estimated_bytes, id_crc, mixed, pieces_of, stored, word_hashes, words
 
-#: Expected number of labelled rows learned from, for each label, drawn by a hash of their ids.
+#: Expected number of labelled rows learned from, for each label, drawn by a hash of their ids, and of the characters that they hold at most.
 FIT_ROWS = 20_000
+FIT_CHARS = 20_000_000
 #: Share of a toxic text's words that the toxic model explains.
 MIXED = 0.01
 THRESHOLD = 0.3
+#: Words taken together by a task before they are sorted, and when texts are scored.
+GATHER, SCORED = 2_000_000, 200_000
 _BINS = 100_000.0
-_FLUSH = 1_000_000
-_FIRST = np.uint64(0x5F3759DF)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.int64(-1)
 
 
-def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mixed(left * np.uint64(0x9E3779B97F4A7C15) + right)
+class Numbers(dict):
+    """Number of each word: its place among the sorted hashes of a vocabulary, or, for any other word, a negative number of 62 bits of its hash.
 
+    Words of the vocabulary are remembered; others, which are many and rare, are not.
+    """
+
+    def __init__(self, vocabulary: np.ndarray):
+        super().__init__()
+        self.known = memoryview(np.ascontiguousarray(vocabulary))
+
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        at = bisect_left(self.known, value)
+        if at < len(self.known) and self.known[at] == value:
+            self[word] = at
+            return at
+        return -2 - (value >> 2)
+
+    def of(self, text: str | None) -> np.ndarray:
+        found = words(text or "")
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+
+
+def _befores(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The number before each one, ``_FIRST`` at the starts of texts."""
+    out = np.empty_like(numbers)
+    out[1:] = numbers[:-1]
+    out[starts] = _FIRST
+    return out
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers of 0 and more in as few bytes as each needs: the lengths in bytes, then the bytes."""
+    data = np.ascontiguousarray(values, np.uint64)
+    lengths = np.ones(len(data), np.uint8)
+    for size in range(1, 8):
+        lengths += data >= np.uint64(1 << 8 * size)
+    planes = data.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return lengths.tobytes() + planes[np.arange(8) < lengths[:, None]].tobytes()
 
-def _lefts(words: np.ndarray) -> np.ndarray:
-    return np.concatenate(([_FIRST], words[:-1])) if len(words) else words
+
+def unpacked(data: bytes, count: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    planes = np.zeros((count, 8), np.uint8)
+    planes[np.arange(8) < raw[:count, None]] = raw[count:]
+    return planes.view("<u8").reshape(-1).astype(np.int64)
+
+
+def _gaps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=0)
 
 
 @dataclass
 class Model:
-    """Log ratios of words and bigrams, by sorted 64-bit keys, and the logistic function's two numbers."""
+    """Sorted hashes of the words, log ratios of words and bigrams, and the logistic function's two numbers.
+
+    ``pairs`` are (number of the first word + 1) * len(words) + number of the second, sorted; the first word of a text follows number -1. ``back`` has
+    the log ratio of the back-off weights after each word, ``unseen`` that of a word outside the vocabulary; ``plain`` values are those of the models
+    alone, ``gain`` values those that the score uses.
+    """
 
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     word_gain: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    pair_gain: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    word_plain: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    back: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    pair_gain: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    pair_plain: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    unseen: float = 0.0
     slope: float = 0.0
     offset: float = -50.0
 
-    def gap(self, text: str | None) -> float:
-        """Log-likelihood as toxic minus that as ordinary text, per word; 0 for a text without words."""
-        words = word_hashes(text or "")
-        if not len(words):
-            return 0.0
-        gains = _looked_up(words, self.words, self.word_gain, 0.0)
-        paired = _looked_up(_pair_keys(_lefts(words), words), self.pairs, self.pair_gain, np.nan)
-        ratios = np.where(np.isnan(paired), gains, paired)
-        return float(np.log1p(MIXED * np.expm1(ratios)).sum() / len(words))
-
-    def score(self, gap: float) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.offset + self.slope * gap, -60.0, 60.0))))
+    @cached_property
+    def numbers(self) -> Numbers:
+        return Numbers(self.words)
+
+    @cached_property
+    def _mixed_words(self) -> np.ndarray:
+        return np.log1p(MIXED * np.expm1(self.word_gain))
+
+    @cached_property
+    def _mixed_pairs(self) -> np.ndarray:
+        return np.log1p(MIXED * np.expm1(self.pair_gain.astype(np.float32)))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "_mixed_words", "_mixed_pairs")}
+
+    def measured(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the mixture's log-likelihood less the ordinary one, and the toxic one less the ordinary one, per word; 0 without words."""
+        parts = [self.numbers.of(t) for t in texts]
+        lengths = np.array([len(p) for p in parts], np.int64)
+        if not len(self.words) or not lengths.sum():
+            return np.zeros(len(texts)), np.zeros(len(texts))
+        numbers = np.concatenate(parts)
+        filled = np.flatnonzero(lengths)
+        starts = (np.cumsum(lengths) - lengths)[filled]
+        left, known = _befores(numbers, starts), numbers >= 0
+        inner = np.where(known, numbers, 0)
+        score = np.where(known, self._mixed_words[inner], 0.0)
+        plain = np.where(known, self.word_plain[inner], self.unseen) + np.where(left >= _FIRST, self.back[np.maximum(left, -1) + 1], 0.0)
+        both = np.flatnonzero(known & (left >= _FIRST))
+        keys, places = np.unique((left[both] + 1) * len(self.words) + numbers[both], return_inverse=True)
+        at = np.searchsorted(self.pairs, keys)
+        at[at == len(self.pairs)] = 0
+        hit = (self.pairs[at] == keys)[places]
+        both, at = both[hit], at[places[hit]]
+        score[both], plain[both] = self._mixed_pairs[at], self.pair_plain[at]
+        out = np.zeros((2, len(texts)))
+        out[0, filled], out[1, filled] = np.add.reduceat(score, starts), np.add.reduceat(plain, starts)
+        out /= np.maximum(lengths, 1)
+        return out[0], out[1]
 
+    def gap(self, text: str | None) -> float:
+        return float(self.measured([text])[0][0])
 
-def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, default: float) -> np.ndarray:
-    if not len(known):
-        return np.full(len(keys), default)
-    at = np.searchsorted(known, keys)
-    at[at == len(known)] = 0
-    return np.where(known[at] == keys, values[at], default)
+    def score(self, gap: np.ndarray | float) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.offset + self.slope * np.asarray(gap), -60.0, 60.0)))
 
 
 def labelled_rows(labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, dict[int, float]]:
@@ -87,159 +174,187 @@ def labelled_rows(labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFram
     return rows.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30)) < limit).withColumn("checks", crc == 3), shares
 
 
-def _pair_counts(rows: DataFrame) -> DataFrame:
-    """v, w, c0, c1: after how many different words v is followed by w, in ordinary and in toxic texts. Copies of a text so count once."""
+def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> tuple[DataFrame, dict[int, float]]:
+    """text, toxic, checks of the rows to learn from, stored, and the share drawn of each label.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
-        sizes = [0, 0]
-
-        def flush(label: int) -> pa.RecordBatch:
-            right = np.concatenate(held[label])
-            left = np.concatenate([_lefts(x) for x in held[label]])
-            before = np.concatenate([_lefts(_lefts(x)) for x in held[label]])
-            _, at = np.unique(_pair_keys(_pair_keys(before, left), right), return_index=True)
-            held[label], sizes[label] = [], 0
-            arrays = [np.full(len(at), label, np.int32), (before[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), signed(left[at]), signed(right[at])]
-            return pa.record_batch([pa.array(a) for a in arrays], names=["toxic", "u", "v", "w"])
-
-        for batch in pieces_of(batches, 1024):
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words = word_hashes(text or "")
-                if len(words):
-                    held[label].append(words)
-                    sizes[label] += len(words)
-                if sizes[label] > _FLUSH:
-                    yield flush(label)
-        for label in held:
-            if held[label]:
-                yield flush(label)
-
-    parts = rows.select("text", "toxic").mapInArrow(count, "toxic int, u int, v bigint, w bigint")
-    parts = parts.repartition("v", "w").distinct()  # one shuffle serves both steps; a task sends a triple once
-    return parts.groupBy("v", "w").agg(*(F.count_if(F.col("toxic") == c).alias(f"c{c}") for c in (0, 1)))
-
-
-def _dealt_bigrams(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """bucket, w, n, v: the different bigrams of each task, as bytes: sorted second words, how many first words each has, and these (32 bits each).
-
-    A word's bigrams share a bucket; those of the sorted ``common`` words are dealt over all.
+    The drawn ids are at most about twice ``fit_rows``, so they are broadcast. If their texts hold more than ``fit_chars`` characters of a label, they are thinned by another hash.
     """
-    known = docs.sparkSession.sparkContext.broadcast(common)
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        right = np.concatenate(held)
-        keys, at = np.unique(_pair_keys(np.concatenate([_lefts(x) for x in held]) >> np.uint64(32), right), return_index=True)
-        left, right = np.concatenate([_lefts(x) for x in held])[at], right[at]
-        spread = np.isin(right, known.value)
-        bucket = (np.where(spread, keys, mixed(right)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((right, bucket))
-        left, right, bucket = (left[order] >> np.uint64(32)).astype(np.uint32), right[order], bucket[order]
-        start = np.flatnonzero(np.concatenate(([True], (right[1:] != right[:-1]) | (bucket[1:] != bucket[:-1]))))
-        n = np.diff(np.append(start, len(right))).astype(np.uint32)
-        numbers, first = np.unique(bucket[start], return_index=True)
-        edges, cuts = np.append(first, len(start)), np.append(start, len(right))
-        columns = [numbers.astype(np.int32), *([x[a:b].tobytes() for a, b in zip(e, e[1:])] for x, e in ((right[start], edges), (n, edges), (left, cuts[edges])))]
-        return pa.record_batch([pa.array(c) for c in columns], names=["bucket", "w", "n", "v"])
+    sample, shares = labelled_rows(labels, fit_rows)
+    ids = docs["doc_id"].cast("bigint")
+    rows = docs.select(ids.alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(stored(sample, "labelled")), "doc_id")
+    rows = stored(rows, "training")
+    sizes = {r.toxic: r.n or 0 for r in rows.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
+    thinned = {c: fit_chars / n for c, n in sizes.items() if n > fit_chars}
+    for label, share in thinned.items():
+        rows = rows.where((F.col("toxic") != label) | (F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    return rows.select("text", "toxic", "checks"), {c: s * thinned.get(c, 1.0) for c, s in shares.items()}
+
+
+def _vocabulary(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of all words of ``rows``."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of([batch], 1024):
+                hashes = [word_hashes(t or "") for t in part.column("text").to_pylist()]
+                yield pa.record_batch([pa.array(np.unique(np.concatenate(hashes)).view(np.int64) if hashes else np.zeros(0, np.int64))], names=["w"])
+
+    found = rows.select("text").mapInArrow(gather, "w bigint").distinct().toArrow()
+    return np.sort(found.column("w").to_numpy().view(np.uint64))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], numbers: Numbers, limit: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Labels, numbers and starts of texts with words, of about ``limit`` words at a time."""
+    labels, parts, size = [], [], 0
+
+    def together() -> tuple[list, np.ndarray, np.ndarray]:
+        lengths = np.array([len(p) for p in parts])
+        return labels, np.concatenate(parts), np.cumsum(lengths) - lengths
+
+    for batch in batches:
+        marks = batch.column("toxic").to_pylist() if "toxic" in batch.schema.names else [None] * batch.num_rows
+        for text, label in zip(batch.column("text"), marks):
+            found = numbers.of(text.as_py())
+            if not len(found):
+                continue
+            if size and size + len(found) > limit:
+                yield together()
+                labels, parts, size = [], [], 0
+            labels.append(label)
+            parts.append(found)
+            size += len(found)
+    if parts:
+        yield together()
+
+
+def _pair_counts(rows: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted bigrams of ``rows`` and, for ordinary and toxic texts, after how many different words each stands. Copies of a text so count once."""
+    size = len(vocabulary)
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    buckets = 2 * rows.sparkSession.sparkContext.defaultParallelism
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in pieces_of(batches, 1024):
-            for text in batch.column("text").to_pylist():
-                found = word_hashes(text or "")
-                if len(found):
-                    held.append(found)
-                    size += len(found)
-                if size > 2 * _FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
-
-    return docs.select("text").mapInArrow(deal, "bucket int, w binary, n binary, v binary")
-
-
-def _corpus_counts(docs: DataFrame, words: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
-    """How many different words each of the sorted ``words`` follows in all documents, and the number of all different bigrams.
-
-    A task sends a bigram once, however often it occurs; the bigrams of the sorted ``common`` words are counted in many tasks.
+        for labels, numbers, starts in _gathered(batches, Numbers(shared.value), GATHER // 2):
+            left = _befores(numbers, starts)
+            before = _befores(left, starts)
+            label = np.repeat(np.array(labels, np.int64), np.diff(np.append(starts, len(numbers))))
+            key = ((left + 1) * size + numbers) * 2 + label
+            order = np.lexsort((before, key))
+            key, before = key[order], before[order] + 1
+            fresh = np.append(True, (key[1:] != key[:-1]) | (before[1:] != before[:-1]))
+            key, before = key[fresh], before[fresh]
+            home = (mixed((key >> 1).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            for b in range(buckets):
+                some = home == b
+                if some.any():
+                    yield pa.record_batch([pa.array([b], pa.int32()), pa.array([int(some.sum())]), pa.array([packed(_gaps(key[some]))]), pa.array([packed(before[some])])], names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, befores = [], []
+        for batch in batches:
+            for n, k, u in zip(*(batch.column(c).to_pylist() for c in names[1:])):
+                keys.append(np.cumsum(unpacked(k, n)))
+                befores.append(unpacked(u, n))
+        if keys:
+            key, before = np.concatenate(keys), np.concatenate(befores)
+            order = np.lexsort((before, key))
+            key, before = key[order], before[order]
+            fresh = np.append(True, (key[1:] != key[:-1]) | (before[1:] != before[:-1]))
+            key = key[fresh]
+            pair, at = np.unique(key >> 1, return_inverse=True)
+            counts = [np.bincount(at[(key & 1) == c], minlength=len(pair)).astype(np.int32) for c in (0, 1)]
+            yield pa.record_batch([pa.array(pair), *map(pa.array, counts)], names=["pair", "c0", "c1"])
+
+    names = ["bucket", "n", "keys", "befores"]
+    dealt = rows.select("text", "toxic").mapInArrow(deal, "bucket int, n bigint, keys binary, befores binary").repartition(buckets, "bucket")
+    found = stored(dealt.mapInArrow(count, "pair bigint, c0 int, c1 int"), "pairs").toArrow()
+    shared.destroy()
+    order = np.argsort(found.column("pair").to_numpy())
+    return tuple(found.column(c).to_numpy()[order] for c in ("pair", "c0", "c1"))
+
+
+def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many different words each of the sorted hashes ``vocabulary`` follows in all documents, and the number of all different bigrams.
+
+    A task sends a bigram once for about ``GATHER`` words. Bigrams of two known words are sorted numbers and cost their gaps, two or three bytes; others have a
+    hash of 64 bits. A word's bigrams share a bucket; those of the sorted ``common`` words are dealt over all.
     """
+    size = len(vocabulary)
     buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, estimated_bytes(docs.select("text")) >> 23)
-    known = docs.sparkSession.sparkContext.broadcast(words)
+    often = np.zeros(size + 1, bool)
+    often[np.searchsorted(vocabulary, common)] = True
+    often[size] = True
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, often))
+
+    def homes(right: np.ndarray, key: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        return np.where(spread[right], (mixed(key) % np.uint64(buckets)).astype(np.int64), right * buckets // (size + 1))
+
+    def sorted_keys(numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys (second word, first word + 1) of bigrams of known words; hashes of the others and their second words, ``size`` if unknown."""
+        left = _befores(numbers, starts)
+        both = (numbers >= 0) & (left >= _FIRST)
+        known = np.unique(numbers[both] * (size + 1) + left[both] + 1)
+        hashed, first = np.unique(mixed(left[~both].view(np.uint64) * _GOLD + numbers[~both].view(np.uint64)), return_index=True)
+        right = numbers[~both][first]
+        return known, hashed, np.where(right >= 0, right, size)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, spread = shared.value
+        for _, numbers, starts in _gathered(batches, Numbers(vocabulary), GATHER):
+            known, hashed, right = sorted_keys(numbers, starts)
+            here, there = homes(known // (size + 1), known.view(np.uint64), spread), homes(right, hashed, spread)
+            here_order, there_order = np.argsort(here, kind="stable"), np.lexsort((hashed, right, there))
+            here_cuts = np.searchsorted(here[here_order], np.arange(buckets + 1))
+            there_cuts = np.searchsorted(there[there_order], np.arange(buckets + 1))
+            for b in range(buckets):
+                mine, other = here_order[here_cuts[b]:here_cuts[b + 1]], there_order[there_cuts[b]:there_cuts[b + 1]]
+                if len(mine) or len(other):
+                    columns = ([b], [len(mine)], [packed(_gaps(known[mine]))], [len(other)], [packed(_gaps(right[other]))], [hashed[other].tobytes()])
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, seconds, size = [], [], 0
+        keys, hashes, rights, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
 
         def merge() -> None:
-            unique, at = np.unique(np.concatenate(keys), return_index=True)
-            keys[:], seconds[:] = [unique], [np.concatenate(seconds)[at]]
+            keys[:] = [np.unique(np.concatenate(keys))]
+            unique, first = np.unique(np.concatenate(hashes), return_index=True)
+            hashes[:], rights[:] = [unique], [np.concatenate(rights)[first]]
 
         for batch in batches:
-            for w, n, v in zip(*(batch.column(c).to_pylist() for c in ("w", "n", "v"))):
-                second = np.repeat(np.frombuffer(w, np.uint64), np.frombuffer(n, np.uint32))
-                keys.append(_pair_keys(np.frombuffer(v, np.uint32).astype(np.uint64), second))
-                seconds.append(second)
-                size += len(second)
-            if size > 4 * _FLUSH:
+            for n, k, m, r, h in zip(*(batch.column(c).to_pylist() for c in names[1:])):
+                keys.append(np.cumsum(unpacked(k, n)))
+                rights.append(np.cumsum(unpacked(r, m)))
+                hashes.append(np.frombuffer(h, np.uint64))
+                waiting += n + m
+            if waiting > 2 * GATHER:
                 merge()
-                size = 0
-        if keys:
-            merge()
-            found, n = np.unique(seconds[0], return_counts=True)
-            at = np.searchsorted(known.value, found)
-            at[at == len(known.value)] = 0
-            hit = known.value[at] == found
-            yield pa.record_batch([pa.array(np.append(at[hit], len(known.value))), pa.array(np.append(n[hit], n.sum()))], names=["i", "n"])
-
-    dealt = _dealt_bigrams(docs, common, buckets).repartition(buckets, "bucket")
+                waiting = 0
+        merge()
+        found, n = np.unique(np.concatenate((keys[0] // (size + 1), rights[0])), return_counts=True)
+        yield pa.record_batch([pa.array(found), pa.array(n)], names=["i", "n"])
+
+    names = ["bucket", "n", "keys", "m", "rights", "hashes"]
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, n bigint, keys binary, m bigint, rights binary, hashes binary").repartition(buckets, "bucket")
     rows = dealt.mapInArrow(count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    known.destroy()
-    sums = np.zeros(len(words) + 1, np.int64)
+    shared.destroy()
+    sums = np.zeros(size + 1, np.int64)
     sums[rows.column("i").to_numpy()] = rows.column("n").to_numpy()
-    return sums[:-1], int(sums[-1])
+    return sums[:-1], int(sums.sum())
 
 
-def _discount(once: int, twice: int) -> float:
-    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts of 0, 1, 2 and more, from how many counts are 1, 2, 3 and 4."""
+    n = [int((counts == k).sum()) for k in range(1, 5)]
+    if not n[0] or not n[1]:
+        return np.array([0.0, 0.5, 0.75, 0.75])
+    y = n[0] / (n[0] + 2 * n[1])
+    own = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.75 for k in (1, 2, 3)]
+    return np.array([0.0, *(min(0.95 * k, max(0.1, d)) for k, d in zip((1, 2, 3), own))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
-
-    Shared counts come from all documents. The rows learned from are bounded by ``fit_rows``, so their ids are broadcast, and their
-    words and bigrams reach the driver. Without rows of both labels nothing is learned and every score is 0.
-    """
-    sample, shares = labelled_rows(labels, fit_rows)
-    if set(shares) != {0, 1}:
-        return Model()
-    ids = docs["doc_id"].cast("bigint")
-    rows = docs.select(ids.alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(stored(sample, "labelled")), "doc_id")
-    pairs = stored(_pair_counts(rows.where("NOT checks")), "pairs")
-
-    words = stored(pairs.groupBy("w").agg(*(F.count_if(F.col(f"c{c}") > 0).alias(f"t{c}") for c in (0, 1))), "words")
-    sums = words.agg(
-        *(F.sum(c).alias(c) for c in ("t0", "t1")), F.count(F.lit(1)).alias("words"),
-        F.sum((F.col("t0") + F.col("t1") == 1).cast("long")).alias("once"), F.sum((F.col("t0") + F.col("t1") == 2).cast("long")).alias("twice"),
-    ).first()
-    if not sums.t0 or not sums.t1:
-        return Model()
-    cut = _discount(sums.once, sums.twice)
-    weight = min(0.95, max(0.05, cut * sums.words / (sums.t0 + sums.t1)))
-
-    found = words.select("w", "t0", "t1").toArrow()
-    keys = found.column("w").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    keys, seen = keys[order], [found.column(c).to_numpy()[order].astype(float) for c in ("t0", "t1")]
-    counts, total = _corpus_counts(docs, keys, keys[seen[0] + seen[1] >= 1e-4 * (sums.t0 + sums.t1)])
-    shared = counts / total
-    size = [float(sums.t0), float(sums.t1)]
-    own = [(1 - weight) * np.maximum(seen[c] - cut, 0.0) / size[c] + weight * shared for c in (0, 1)]
-    evidence = _evidence(*seen, np.full(len(keys), size[1] / (size[0] + size[1])))
-    differs = _logistic(evidence + _prior(*np.unique(np.round(evidence, 2), return_counts=True)))
-    chance = [shared ** (1 - differs) * own[c] ** differs for c in (0, 1)]
-    model = Model(keys, np.log(chance[1] / chance[0]))
-    model.pairs, model.pair_gain = _bigrams(pairs, keys, chance)
-    return _calibrated(model, rows.where("checks"), shares)
+def _cut(counts: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return by[np.minimum(counts, 3)]
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -271,59 +386,69 @@ def _prior(evidence: np.ndarray, counts: np.ndarray) -> float:
     return float(np.log(share / (1 - share)))
 
 
-def _bigrams(both: DataFrame, words: np.ndarray, chance: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and log ratios of all bigrams. The words' probabilities and the counts of contexts are broadcast; both are parts of the sample."""
-    total = both.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).first()
-    size = [float(total.c0), float(total.c1)]
-    lefts = both.groupBy("v").agg(F.sum("c0").alias("v0"), F.sum("c1").alias("v1"), F.count(F.lit(1)).alias("types")).toArrow()
-    order = np.argsort(lefts.column("v").to_numpy().view(np.uint64))
-    contexts = [lefts.column(c).to_numpy()[order] for c in ("v", "v0", "v1", "types")]
-    known = both.sparkSession.sparkContext.broadcast((words, chance, contexts))
-    cut = 0.75
-
-    def values(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        """Evidence, log ratio of the words alone, and log ratio of the bigrams."""
-        words_, p, (v, *counts) = known.value
-        left, right, c0, c1 = (batch.column(c).to_numpy() for c in ("v", "w", "c0", "c1"))
-        at = np.searchsorted(words_, right.view(np.uint64))
-        p0, p1 = p[0][at], p[1][at]
-        at = np.searchsorted(v.view(np.uint64), left.view(np.uint64))
-        v0, v1, types = (x[at].astype(float) for x in counts)
-        weight = np.clip(cut * types / (v0 + v1), 0.05, 0.95)
-
-        def own(c: np.ndarray, v: np.ndarray, p: np.ndarray) -> np.ndarray:
-            return np.where(v > 0, (1 - weight) * np.maximum(c - cut, 0.0) / np.maximum(v, 1.0) + weight * p, p)
-
-        evidence = _evidence(c0.astype(float), c1.astype(float), size[1] * p1 / (size[0] * p0 + size[1] * p1))
-        return evidence, np.log(p1 / p0), np.log(own(c1, v1, p1) / own(c0, v0, p0))
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places, n = np.unique(np.round(values(batch)[0] * 20), return_counts=True)
-            yield pa.record_batch([pa.array(places), pa.array(n)], names=["place", "n"])
+def _differs(evidence: np.ndarray, places: int) -> np.ndarray:
+    """Probability that each expression differs between the classes; for the prior, evidence is rounded to 1 / ``places``."""
+    values, counts = np.unique(np.round(evidence * places), return_counts=True)
+    return _logistic(evidence + _prior(values / places, counts))
 
-    told = both.mapInArrow(tell, "place double, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    prior = _prior(told.column("place").to_numpy() / 20, told.column("n").to_numpy())
 
-    def gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            evidence, alone, paired = values(batch)
-            key = _pair_keys(batch.column("v").to_numpy().view(np.uint64), batch.column("w").to_numpy().view(np.uint64))
-            gains = alone + _logistic(evidence + prior) * (paired - alone)
-            yield pa.record_batch([pa.array(signed(key)), pa.array(gains.astype(np.float32))], names=["key", "gain"])
+def learned(vocabulary: np.ndarray, pair: np.ndarray, c0: np.ndarray, c1: np.ndarray, shared: np.ndarray) -> Model:
+    """The model of bigrams ``pair`` and their counts in both classes. ``shared`` has the words' share of all different bigrams of the corpus."""
+    size = len(vocabulary)
+    left, right = pair // size, pair % size
+    seen = [np.bincount(right[c > 0], minlength=size) for c in (c0, c1)]  # different words before each word
+    by = discounts(seen[0] + seen[1])
+    total = [float(t.sum()) for t in seen]
+    lower = [float(_cut(t, by).sum()) / n for t, n in zip(seen, total)]
+    own = [(t - _cut(t, by)) / n + w * shared for t, n, w in zip(seen, total, lower)]
+
+    evidence = _evidence(*(t.astype(float) for t in seen), np.full(size, total[1] / (total[0] + total[1])))
+    differs = _differs(evidence, 100)
+    chance = [shared ** (1 - differs) * p ** differs for p in own]
 
-    found = both.mapInArrow(gain, "key bigint, gain float").toArrow()
-    known.destroy()
-    keys = found.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], found.column("gain").to_numpy()[order]
+    by = discounts(c0 + c1)
+    contexts = [np.bincount(left, c, size + 1) for c in (c0, c1)]
+    spare = [np.bincount(left, _cut(c, by), size + 1) for c in (c0, c1)]
+    back = [np.where(n > 0, s / np.maximum(n, 1), 1.0) for s, n in zip(spare, contexts)]
+
+    def paired(p: list[np.ndarray]) -> np.ndarray:
+        """Log ratio of the bigrams, backed off to the words' probabilities ``p``."""
+        both = [np.where(n[left] > 0, (c - _cut(c, by)) / np.maximum(n[left], 1), 0.0) + w[left] * q[right] for c, n, w, q in zip((c0, c1), contexts, back, p)]
+        return np.log(both[1] / both[0])
+
+    sums = [float(c.sum()) for c in (c0, c1)]
+    toxic = sums[1] * chance[1][right] / (sums[0] * chance[0][right] + sums[1] * chance[1][right])
+    believed = _differs(_evidence(c0.astype(float), c1.astype(float), toxic), 20)
+    word_gain = np.log(chance[1] / chance[0])
+    pair_gain = word_gain[right] + believed * (paired(chance) - word_gain[right])
+    return Model(
+        vocabulary, word_gain, np.log(own[1] / own[0]), np.log(back[1] / back[0]), pair, pair_gain.astype(np.float32), paired(own).astype(np.float32),
+        float(np.log(lower[1] / lower[0])))
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
+    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
+
+    Shared counts come from all documents. The texts learned from are bounded by ``fit_rows`` and ``fit_chars`` for each label, so their words and bigrams, at most one
+    for two characters, reach the driver and are broadcast. Without rows of both labels nothing is learned and every score is 0.
+    """
+    rows, shares = training_rows(docs, labels, fit_rows, fit_chars)
+    if set(shares) != {0, 1}:
+        return Model()
+    counted = rows.where("NOT checks")
+    vocabulary = _vocabulary(counted)
+    pair, c0, c1 = _pair_counts(counted, vocabulary) if len(vocabulary) else (np.zeros(0, np.int64),) * 3
+    if not c0.any() or not c1.any():
+        return Model()
+    types = np.bincount(pair % len(vocabulary), minlength=len(vocabulary))
+    counts, total = _corpus_counts(docs, vocabulary, vocabulary[types >= 1e-4 * len(pair)])
+    return _calibrated(learned(vocabulary, pair, c0, c1, counts / total), rows.where("checks"), shares)
 
 
 def _calibrated(model: Model, rows: DataFrame, shares: dict[int, float]) -> Model:
     """The model with a logistic function fitted on rows that its counts don't hold, weighted back to their share of all labelled rows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    gap = gaps(shared)("text")
-    place = F.least(F.greatest(F.round(gap * _BINS), F.lit(-_BINS)), F.lit(10 * _BINS))  # at most one place for each row that checks
+    place = F.least(F.greatest(F.round(measures(shared)("text")["gap"] * _BINS), F.lit(-_BINS)), F.lit(10 * _BINS))  # at most one place for each row that checks
     bins = rows.select("toxic", place.alias("place")).groupBy("toxic", "place").count().collect()
     shared.destroy()  # its copies on the executors' disks go before the fitted model is sent
     x = np.array([r.place / _BINS for r in bins])
@@ -346,41 +471,46 @@ def _calibrated(model: Model, rows: DataFrame, shares: dict[int, float]) -> Mode
     return model
 
 
-def gaps(shared):
-    """Column function of a broadcast model: text to the difference of its log-likelihoods per word."""
-
-    @F.arrow_udf(T.DoubleType())
-    def gap(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.gap(t.as_py()) for t in texts], pa.float64())
-
-    return gap
-
-
-def scores(model: Model, spark):
-    """Column function: text to its score from 0 to 1."""
-    shared = spark.sparkContext.broadcast(model)
+def measures(shared):
+    """Column function of a broadcast model: text to struct(score, gap, plain), as ``Model.measured`` gives them."""
 
-    @F.arrow_udf(T.DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.score(shared.value.gap(t.as_py())) for t in texts], pa.float64())
+    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("score", "gap", "plain")]))
+    def measure(texts: pa.Array) -> pa.Array:
+        model, gaps, plains, waiting, size = shared.value, [np.zeros(0)], [np.zeros(0)], [], 0
+        for value in [*texts, None]:
+            text = value.as_py() if value is not None else None
+            if waiting and (value is None or size + len(text or "") > 6 * SCORED):
+                gap, plain = model.measured(waiting)
+                gaps.append(gap)
+                plains.append(plain)
+                waiting, size = [], 0
+            if value is not None:
+                waiting.append(text)
+                size += len(text or "")
+        gap, plain = np.concatenate(gaps), np.concatenate(plains)
+        return pa.StructArray.from_arrays([pa.array(model.score(gap)), pa.array(gap), pa.array(plain)], ["score", "gap", "plain"])
 
-    return score
+    return measure
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted.
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, log_ratio.
 
-    A text without words, null or empty, has equal likelihoods and gets the logistic function's value there. Rows without an id are held out.
+    ``score`` is that of the mixture: how much likelier a text is as one with a share ``MIXED`` of words from the toxic model, the classes' estimates weighed by
+    their evidence. ``log_ratio`` is the plain difference of the two models' log-likelihoods per word, which the score does not use by itself. A text
+    without words, null or empty, has equal likelihoods, a ratio of 0, and gets the logistic function's value there. Rows without an id are held out.
     Repeated rows get equal scores. Only doc_id and text are read; labels serve to learn alone.
     """
     model = model or fit(docs, labels)
     held = F.coalesce(id_crc(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out")
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    scored = rows.withColumn("score", scores(model, docs.sparkSession)("text"))
-    return scored.select("doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    measured = rows.withColumn("answer", measures(docs.sparkSession.sparkContext.broadcast(model))("text"))
+    score = F.col("answer.score")
+    return measured.select("doc_id", held, score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), F.col("answer.plain").alias("log_ratio"))
 
 
 def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows predicted toxic. All columns stay."""
-    name = "_".join(["score", *docs.columns])
-    return docs.withColumn(name, scores(model, docs.sparkSession)(docs["text"])).where(F.col(f"`{name}`") < THRESHOLD).drop(name)
+    name = "_".join(["answer", *docs.columns])
+    answer = measures(docs.sparkSession.sparkContext.broadcast(model))(docs["text"])
+    return docs.withColumn(name, answer).where(F.col(f"`{name}`.score") < THRESHOLD).drop(name)
