@@ -8,6 +8,7 @@ arithmetic and read from a memory map without a copy. The second stream lists th
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -43,19 +44,32 @@ def _filesystem(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
+def cut_by_split(path: str) -> bool:
+    """Whether a tokenizer's file says that a text is cut as SPLIT does, without any change before, and that its pieces are merged as bytes."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    cut, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token", "byte_fallback"))
+    same = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    return bool(same and plain and model.get("type") == "BPE" and not parts.get("normalizer"))
+
+
 class Encoder:
     """Ids of a text, identical to those of the tokenizer for the whole text.
 
-    Merges never cross the pieces that SPLIT makes, so the tokenizer's model is asked once for each piece; at most ``limit`` pieces are
-    remembered.
+    Where the file cuts texts as SPLIT does (``cut_by_split``), merges never cross these pieces, so the tokenizer's model is asked once for each piece; at most
+    ``limit`` pieces are remembered. Any other tokenizer, and texts that hold one of its added tokens, are encoded whole. The string of a special
+    token in a text is that token, as by the library's default, or with ``special_as_text`` ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 400_000, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.whole = re.compile("|".join([_UNUSUAL.pattern, *map(re.escape, added)]) if cut_by_split(path) else "")
         self.model = self.tokenizer.model.tokenize
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = np.dtype(self.dtype).char
@@ -66,7 +80,7 @@ class Encoder:
         return array(self.code, [t.id for t in self.model(chars)]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if _UNUSUAL.search(text):
+        if self.whole.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         if len(self.known) >= self.limit:
             self.known.clear()
@@ -79,14 +93,15 @@ class Encoder:
         return np.frombuffer(b"".join(ids), self.dtype)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder per Python worker, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = (path, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, special_as_text=special_as_text)
+    return _ENCODERS[key]
 
 
 class _Sequences:
@@ -131,6 +146,7 @@ _DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, sequence: int = SEQUENCE, part_bytes: int = PART_BYTES,
+    special_as_text: bool = False,
 ) -> list[tuple[str, int, int]]:
     """Encode every whole text, append ``end_id`` to each document, write files in ascending ``doc_id`` order.
 
@@ -150,7 +166,7 @@ def write_token_files(
         for batch in pieces_of(batches, 1024):
             for doc_id, text, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part"))):
                 if sequences is None:
-                    encoder = encoder_of(tokenizer_path)
+                    encoder = encoder_of(tokenizer_path, special_as_text)
                     store.create_dir(base, recursive=True)
                     name = f"ids-{part:06d}.arrows"
                     own = f"{base}/.{name}-{uuid.uuid4().hex}"

@@ -13,7 +13,6 @@ def expected(rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(((r.doc_id, r.text or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
         ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
@@ -52,10 +51,27 @@ def test_sequences_are_views_of_equal_length(spark, awkward):
     assert total == sum(x[2] for x in expected(awkward.collect()))
 
 
-def test_pieces_equal_the_whole_text():
-    encoder = tokens.Encoder(PATH, limit=5)
-    whole = encoder.tokenizer
-    for text in ["", "I've  done\n\n it's 12½ ²x", "a_b __ c's 'll 're!! '", "  x \x1c y", "żółć 東京 naïve café", "\n \n  \n", "x" * 300, "<|endoftext|> a"]:
+def test_special_tokens_in_texts_are_those_of_the_library(spark, make_docs):
+    from tokenizers import Tokenizer
+
+    docs = make_docs([(1, "a <|endoftext|> b"), (2, "<|endoftext|>")])
+    for option in (False, True):
+        whole = Tokenizer.from_file(PATH)
+        whole.encode_special_tokens = option
+        got = tokens.stream(spark, docs, common.scratch(spark, "t"), PATH, special_as_text=option).orderBy("doc_id").collect()
+        assert [r.n_tokens for r in got] == [len(whole.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect()]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_pieces_equal_the_whole_text(name, special_as_text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    encoder, whole = tokens.Encoder(path, limit=5, special_as_text=special_as_text), Tokenizer.from_file(path)
+    whole.encode_special_tokens = special_as_text
+    assert tokens.cut_by_split(path) == (name == "byte_bpe_50k.json")
+    for text in ["a <|endoftext|> b", "<|endoftext|><|startoftext|>x", "Plain English text, with CAPITALS and it's end.","", "I've  done\n\n it's 12½ ²x", "a_b __ c's 'll 're!! '", "  x \x1c y", "żółć 東京 naïve café", "\n \n  \n", "x" * 300, "<|endoftext|> a"]:
         assert encoder.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
