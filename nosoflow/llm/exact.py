@@ -80,11 +80,11 @@ def duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_hash, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are the same after white space of the ASCII range is deleted; null is the empty text. Of equal texts the row
-    with the most code points stays, then the one with the smallest id, a null id last. Rows that repeat both id and text are one document
-    and appear once; rows that share an id with different texts stay apart. An empty table gives an empty result.
+    with the most code points stays, then the one with the smallest id, a null id last. Every row counts and appears, repeated ones too: rows that
+    repeat both id and text are kept or dropped alike. An empty table gives an empty result.
     """
     rows = stored(recipes(docs), "recipes")
-    rows = _verified(rows, docs).distinct().withColumn("recipe_hash", F.xxhash64("recipe"))
+    rows = _verified(rows, docs).withColumn("recipe_hash", F.xxhash64("recipe"))
     # Order as one number, so that it is combined on the map side: length first, then small ids, a null id last.
     rows = rows.withColumn("order", F.expr(
         f"cast(cast(n_chars as decimal(12,0)) * {STEP}BD + ({HIGHEST}BD - cast(coalesce(doc_id, {HIGHEST}) as decimal(20,0))) as decimal(38,0))"))

@@ -10,7 +10,7 @@ from nosoflow.llm import exact
 
 def brute(rows):
     groups = {}
-    for doc_id, text in {(r.doc_id, r.text or "") for r in rows}:
+    for doc_id, text in [(r.doc_id, r.text or "") for r in rows]:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text), []).append((-len(text), doc_id is None, doc_id or 0, doc_id))
     out = []
     for text, members in groups.items():
@@ -62,6 +62,19 @@ def test_chunks_are_cut_by_content(spark):
         assert [len(c) for c in none] == [8192, 8192, 20_000 - 2 * 8192]
 
 
+def test_repeated_rows_equal_the_sql(make_docs):
+    import duckdb
+
+    from nosoflow.llm import catalog
+
+    docs = make_docs([(1, "a b"), (1, "a b"), (2, "ab"), (3, None), (3, ""), (4, "c"), (6, "c "), (5, "ab ")])
+    db = duckdb.connect()
+    db.register("documents", docs.toArrow())
+    rows = db.execute(catalog.ORACLES["op4_exact_dedup"]).fetchall()
+    assert got(docs) == sorted(rows, key=str) and len(rows) == 8
+    assert sorted(tuple(r) for r in exact.keep_one(docs).select("doc_id", "text").na.fill("").collect()) == [(1, "a b"), (3, ""), (6, "c ")]
+
+
 def test_keep_one(awkward):
     kept = exact.keep_one(awkward)
     assert kept.columns == awkward.columns
