@@ -1,8 +1,9 @@
 """Document fingerprints of closed syncmers.
 
 A k-mer of a text's code points is chosen if the smallest of its inner s-mers, by hash, is its first or its last. Whether it is chosen depends on the k-mer
-alone, so a passage gives the same anchors wherever it stands. A fingerprint holds the ``SIZE`` anchors of smallest hash with their
-positions; likeness counts the anchors in common that follow each other in the same order in both texts.
+alone, so a passage gives the same anchors wherever it stands. A fingerprint holds, with their positions, the anchors whose hash is in the lowest of ``SHARE`` parts
+of its range, so it grows with the text, and at least the ``SIZE`` of smallest hash; likeness counts the anchors in common that follow each
+other in the same order in both texts, below the hash up to which both fingerprints are complete.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from nosoflow.llm.common import LOWEST, mixed, part_of, range_bounds, texts
 
-K, S, SIZE = 16, 6, 64
+K, S, SIZE, SHARE = 16, 6, 64, 8
 PART_BYTES = 16 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,49 +65,56 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return chosen, (value >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprint(text: str, k: int = K, s: int = S, size: int = SIZE) -> str:
-    """Anchors of smallest hash, first position each, as 8 hex digits of hash and 8 of position. Empty for the empty text.
+def fingerprint(text: str, k: int = K, s: int = S, size: int = SIZE, share: int = SHARE) -> str:
+    """Anchors with a hash in the lowest of ``share`` parts, ``size`` at least, first position each, as 8 hex digits of hash and 8 of position.
 
-    A text too short to have an anchor is one anchor of its own.
+    ``share`` 1 keeps all anchors. A text too short to have an anchor is one anchor of its own; the empty text has an empty fingerprint.
     """
     places, values = anchors(text, k, s)
     if not len(values):
         return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).hexdigest() + "0" * 8 if text else ""
-    if len(values) > 8 * size:  # all equal hashes of the smallest remain
-        few = values <= np.partition(values, 4 * size)[4 * size]
-        if len(np.unique(values[few])) >= size:
-            places, values = places[few], values[few]
+    few = values < (1 << 32) // share
+    if share > 1 and len(np.unique(values[few])) >= size:
+        places, values = places[few], values[few]
+        size = len(values)
+    elif share == 1:
+        size = len(values)
     values, first = np.unique(values, return_index=True)
     pairs = np.stack((values[:size], places[first[:size]].astype(np.uint32)), 1)
     return pairs.astype(">u4").tobytes().hex()
 
 
-def _parsed(print_: str) -> tuple[list[int], list[int]]:
-    pairs = np.frombuffer(bytes.fromhex(print_), ">u4").reshape(-1, 2)
-    return pairs[:, 0].tolist(), pairs[:, 1].tolist()
+def _parsed(print_: str) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.frombuffer(bytes.fromhex(print_), ">u4").reshape(-1, 2).astype(np.int64)
+    return pairs[:, 0], pairs[:, 1]
 
 
-def likeness(a: str, b: str, size: int = SIZE) -> float:
-    """Share of anchors in common, from 0 to 1, as twice the common ones over those of both.
+def _complete(hashes: np.ndarray, size: int, share: int) -> int:
+    """Hash up to which a fingerprint holds all anchors of its text."""
+    if len(hashes) < size:
+        return 1 << 32
+    return max(int(hashes[size - 1]), (1 << 32) // share - 1)
 
-    Among the ``size`` smallest hashes of both texts together, those in both count if their positions rise in the same order (the longest
-    such chain). Two empty texts are alike.
+
+def likeness(a: str, b: str, size: int = SIZE, share: int = SHARE) -> float:
+    """Twice the anchors in common over those of both, from 0 to 1, among the hashes up to which both fingerprints are complete.
+
+    Anchors in common count if their positions rise in the same order (the longest such chain). Two empty texts are alike.
     """
     if a == b:
         return 1.0
     (hashes_a, places_a), (hashes_b, places_b) = _parsed(a), _parsed(b)
-    here = dict(zip(hashes_a, places_a))
-    both = [h for h in hashes_b if h in here]
-    if not both:
+    last = min(_complete(hashes_a, size, share), _complete(hashes_b, size, share))
+    within_a, within_b = int((hashes_a <= last).sum()), int((hashes_b <= last).sum())
+    common, at_a, at_b = np.intersect1d(hashes_a[:within_a], hashes_b[:within_b], assume_unique=True, return_indices=True)
+    if not len(common):
         return 0.0
-    union = sorted({*hashes_a, *hashes_b})[:size]
-    there, last = dict(zip(hashes_b, places_b)), union[-1]
+    places_a, places_b = places_a[at_a], places_b[at_b]
     chain: list[int] = []
-    for _, place in sorted((here[h], there[h]) for h in both if h <= last):
+    for place in places_b[np.lexsort((places_b, places_a))].tolist():
         at = bisect_left(chain, place)
         chain[at:at + 1] = [place]
-    share = len(chain) / len(union)
-    return 2 * share / (1 + share)
+    return 2 * len(chain) / (within_a + within_b)
 
 
 def edited(text: str, following: str) -> str:
