@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nosoflow.llm import chat, common, exact, hyperminhash, jaccard, langid, licenses, negatives, packing, periodic, pieces, syncmers, tokens, toxicity
 
@@ -61,7 +62,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    """Tokens are those of op1's tokenizer, clusters the texts that are equal without white space."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, tokens.counter(tokenizer("byte_bpe_50k.json"))(docs["text"]), F.xxhash64(exact.normalised(docs["text"])))
 
 
 @query()

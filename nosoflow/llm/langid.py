@@ -3,6 +3,9 @@
 Every letter has a random vector of +1 and -1. An n-gram's vector binds (multiplies) its letters' vectors, each rotated by its distance to
 the end, so order counts. A text's vector bundles (adds) the vectors of its n-grams; a language's prototype adds the direction vectors of
 its training texts. A text gets the language whose prototype has the largest cosine with its vector.
+
+What counts as a language at all depends on the length of a text, as long texts come closer to their prototype. ``floors`` learns, for each language and
+length, a bound between the cosines of its own texts and those that texts of random letters reach.
 """
 
 from __future__ import annotations
@@ -22,8 +25,12 @@ DIMENSIONS = 1024
 GRAM = 3
 #: Expected number of training texts of each language at most, drawn by a hash of their ids.
 FIT_ROWS = 40_000
-#: More languages than these are an error: prototypes are held by every task.
+#: Prototypes are held by every task, so at most these languages are learned, those with the most texts to learn from.
 MAX_LANGUAGES = 512
+#: Expected number of texts of each language, and of texts of random letters of each length, that bounds of scores come from.
+FLOOR_ROWS, NOISE_TEXTS = 4_000, 64
+#: Lengths of texts are told apart by powers of two up to 2^LONGEST characters, longer ones as these.
+LONGEST = 13
 UNKNOWN = "und"
 _SYMBOLS = 1024
 _SEED = 20_11
@@ -108,12 +115,14 @@ def _bundler(dimensions: int) -> Bundler:
 
 def training_rows(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Texts to learn from: crc32 of the id not divisible by 5, a language given. Of a language with more than ``fit_rows`` of them about as many are
-    drawn by a hash of the id; any other keeps all."""
+    drawn by a hash of the id; any other keeps all. Of more than ``MAX_LANGUAGES`` values of ``lang`` the most frequent are languages, ties in
+    alphabetical order; no text is learned from or recognised as any other."""
     rows = docs.where((id_crc(docs[doc_id], 5) != 0) & docs[lang].isNotNull()).select(
         docs[doc_id].alias("doc_id"), docs["text"].alias("text"), docs[lang].cast("string").alias("lang"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    counts = {r.lang: r["count"] for r in found[:MAX_LANGUAGES]}
+    if len(found) > MAX_LANGUAGES:
+        rows = rows.where(F.col("lang").isin(list(counts)))
     limits = {lang: int((1 << 30) * fit_rows / n) for lang, n in counts.items() if n > fit_rows}
     if not limits:
         return rows
@@ -124,7 +133,8 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", f
 def fit(rows: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes (unit rows), from rows of text and lang.
 
-    Each task adds up its own texts; only one vector per task and language is shuffled, and one per language reaches the driver.
+    Each task adds up its own texts; only one vector per task and language is shuffled, and one per language reaches the driver. More than ``MAX_LANGUAGES``
+    languages in ``rows`` are an error; ``training_rows`` gives no more.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +198,60 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
     return answer.select("doc_id", held, "answer.lang_pred", "answer.score")
 
 
-def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.05) -> DataFrame:
-    """``docs`` without the rows whose language is unknown or whose score is below ``least``. All columns stay."""
+def _length_class(text: str) -> int:
+    return min(len(text).bit_length(), LONGEST)
+
+
+def _random_letters(length: int, number: int) -> str:
+    """Words of random Latin letters; the same ones for the same numbers."""
+    rng = np.random.default_rng((length, number))
+    letters = rng.integers(97, 123, length).astype(np.uint32)
+    letters[rng.random(length) < 0.15] = 32
+    return letters.tobytes().decode("utf-32-le")
+
+
+def floors(model: tuple[list[str], np.ndarray], rows: DataFrame, floor_rows: int = FLOOR_ROWS) -> np.ndarray:
+    """Least score of each language (rows of the result) for each class of lengths, from ``rows`` of doc_id, text and lang.
+
+    It lies a quarter of the way from the highest score of ``NOISE_TEXTS`` random texts of that length to the lowest of the language's own texts that are recognised; where these
+    overlap, as for short texts, it is the lower of both, so no text learned from is rejected. A length without own texts has the bound of
+    the random ones. About ``floor_rows`` texts of each language are scored, drawn by a hash of their ids.
+    """
+    languages, prototypes = model
+    if not languages:
+        return np.zeros((0, LONGEST + 1))
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    limit = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, floor_rows / n) * (1 << 30)))))[F.col("lang")] if counts else F.lit(0)
+    some = rows.where(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 30)) < limit)
+    kind = F.least(F.length(F.bin(F.length("text"))), F.lit(LONGEST)).alias("kind")
+    scored = some.select("lang", kind, predictor(model)("text").alias("answer")).where("answer.lang_pred = lang")
+    own = {(r.lang, r.kind): r.least for r in scored.groupBy("lang", "kind").agg(F.min("answer.score").alias("least")).collect()}
+    bundler, out = _bundler(prototypes.shape[1]), np.zeros((len(languages), LONGEST + 1))
+    for kind in range(1, LONGEST + 1):
+        vectors = [bundler.vector(_random_letters(3 << kind >> 2, i)) for i in range(NOISE_TEXTS)]
+        noise = np.max([prototypes @ v / (np.linalg.norm(v) or 1.0) for v in vectors if v is not None] or [np.zeros(len(languages))], axis=0)
+        for i, lang in enumerate(languages):
+            least = own.get((lang, kind), noise[i])
+            out[i, kind] = noise[i] + (least - noise[i]) / 4 if least > noise[i] else least
+    return out
+
+
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], bounds: np.ndarray | None = None) -> DataFrame:
+    """``docs`` without the rows whose language is unknown or whose score is below that of its language and length. All columns stay.
+
+    ``bounds`` are those of ``floors``, by default learned from the training rows of ``docs``. Texts of random letters, encoded data and languages that were not
+    learned go once they are long enough to tell, from some forty characters on; short texts stay, as their scores tell little.
+    """
+    bounds = floors(model, training_rows(docs)) if bounds is None else bounds
     name = "_".join(["answer", *docs.columns])  # clashes with no column
-    answer = predictor(model)(docs["text"])
-    return docs.withColumn(name, answer).where((F.col(f"`{name}`.lang_pred") != UNKNOWN) & (F.col(f"`{name}`.score") >= least)).drop(name)
+    languages = model[0]
 
+    @F.arrow_udf(T.BooleanType())
+    def enough(answers: pa.Array, texts_: pa.Array) -> pa.Array:
+        places = {lang: i for i, lang in enumerate(languages)}
+        rows = zip(answers.field("lang_pred").to_pylist(), answers.field("score").to_pylist(), texts_)
+        return pa.array([lang in places and score >= bounds[places[lang], _length_class(text.as_py())] for lang, score, text in rows], pa.bool_())
 
+    answered = docs.withColumn(name, predictor(model)(docs["text"]))
+    known = F.col(f"`{name}`.lang_pred") != UNKNOWN
+    return answered.where(known).where(enough(F.col(f"`{name}`"), docs["text"])).drop(name)

@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nosoflow.llm.common import part_of, pieces_of, range_bounds, texts
 
@@ -104,6 +105,17 @@ def encoder_of(path: str, special_as_text: bool = False) -> Encoder:
     return _ENCODERS[key]
 
 
+def counter(path: str, special_as_text: bool = False):
+    """Column function: text to its number of ids and one end id; a null text has the end id alone."""
+
+    @F.arrow_udf(T.LongType())
+    def count(texts_: pa.Array) -> pa.Array:
+        encoder = encoder_of(path, special_as_text)
+        return pa.array([len(encoder.encode(t.as_py() or "")) + 1 for t in texts_], pa.int64())
+
+    return count
+
+
 class _Sequences:
     """Fills equal-length sequences and writes them in equal batches."""
 

@@ -1,4 +1,7 @@
+import base64
+import math
 import random
+import string
 import zlib
 
 import numpy as np
@@ -66,12 +69,51 @@ def test_awkward_rows(make_docs, awkward, empty):
     assert kept.columns == awkward.columns and {11, 1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect())
 
 
-def test_the_number_of_languages_is_bounded(make_docs, monkeypatch):
-    import pytest
-
+def test_the_most_frequent_languages_are_learned(make_docs, monkeypatch):
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
-    with pytest.raises(ValueError, match="languages"):
-        langid.identify(labelled(make_docs))
+    docs = make_docs([(i, text(lang, i), lang, "s") for i, lang in enumerate(["aa"] * 40 + ["bb"] * 30 + ["cc"] * 20)])
+    found = langid.identify(docs).collect()
+    assert {r.lang_pred for r in found if r.doc_id < 70} == {"aa", "bb"} and len(found) == 90
+    assert langid.fit(langid.training_rows(docs))[0] == ["aa", "bb"]
+
+
+def test_predictions_equal_cosines_with_prototypes_by_plain_arithmetic(make_docs):
+    docs = labelled(make_docs, 60)
+    bundler, sums = langid.Bundler(), {}
+    vectors = {r.doc_id: bundler.vector(r.text).astype(float) for r in docs.collect()}
+    for r in docs.collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5:
+            v = vectors[r.doc_id]
+            sums[r.lang] = sums.get(r.lang, 0) + v / math.sqrt(sum(x * x for x in v))
+    for r in langid.identify(docs).collect():
+        v = vectors[r.doc_id]
+        cosines = {lang: sum(x * y for x, y in zip(v, p)) / math.sqrt(sum(x * x for x in v) * sum(y * y for y in p)) for lang, p in sums.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert r.lang_pred == best and abs(r.score - cosines[best]) < 1e-5
+
+
+OTHER_LANGUAGES = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler."]
+
+
+def test_what_is_no_learned_language_goes_and_texts_of_it_stay(spark):
+    """On the tables' documents: gibberish, encoded data and other languages go, held-out texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit(langid.training_rows(docs, fit_rows=400))
+    bounds = langid.floors(model, langid.training_rows(docs))
+    assert bounds.shape == (4, langid.LONGEST + 1)
+    rnd = random.Random(2)
+    junk = [" ".join("".join(rnd.choices(string.ascii_lowercase, k=rnd.randrange(2, 9))) for _ in range(n)) for n in (60, 100, 200, 400) for _ in range(25)]
+    junk += [base64.b64encode(rnd.randbytes(n)).decode() for n in (300, 900) for _ in range(25)]
+    junk += [rnd.randbytes(n).hex() for n in (200, 600) for _ in range(25)] + OTHER_LANGUAGES
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(junk)], docs.schema)
+    kept = [r.text for r in langid.keep_identified(rows, model, bounds).collect()]
+    assert len(kept) <= 0.1 * len(junk) and not set(kept) & set(OTHER_LANGUAGES)
+    held = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 AND lang IS NOT NULL")
+    assert langid.keep_identified(held, model, bounds).count() >= 0.995 * held.count()
+    assert langid.keep_identified(docs, model).columns == docs.columns
 
 
 def test_a_rare_language_keeps_all_its_texts(make_docs):

@@ -77,3 +77,23 @@ def test_own_length_and_empty_table(make_docs, empty):
     docs = make_docs([(1, "a"), (2, "b"), (3, "c")])
     rows = packing.pack_documents(docs, length=F.col("doc_id") * 4 - 4, cluster=F.col("doc_id"), capacity=4).collect()
     assert sorted((r.doc_id, r.piece, r.length) for r in rows) == [(2, 0, 4), (3, 0, 4), (3, 1, 4)]
+
+
+def test_the_query_packs_token_counts_and_parts_copies(spark, tmp_path):
+    """Lengths are those of the tokenizer, and texts that differ in white space alone never share a bin."""
+    import pytest
+    from tokenizers import Tokenizer
+
+    from nosoflow.llm import catalog
+
+    pytest.importorskip("public_tokenizers")
+    whole = Tokenizer.from_file(catalog.tokenizer("byte_bpe_50k.json"))
+    texts = [None, "", *(f"text number {i // 3}" + " " * (i % 3) for i in range(60))]
+    rows = [(i, t, "en", f"s{i}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["op2_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.length for r in found} == {i: len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    bins = {}
+    for r in found:
+        bins.setdefault(r.bin_id, []).append((texts[r.doc_id] or "").replace(" ", ""))
+    assert all(len(b) == len(set(b)) for b in bins.values()) and len(bins) == 3

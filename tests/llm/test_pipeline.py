@@ -3,9 +3,10 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from nosoflow.llm import common
+from nosoflow.llm import catalog, common
 
 from . import test_jaccard
 from .conftest import prose
@@ -41,7 +42,8 @@ def test_stages_drop_what_is_planted(spark, folder):
     assert kept["language_id"] == kept["toxicity"] - {3000, 3001, 3002}
     assert kept["exact_dedup"] == kept["language_id"] - {1000 + i for i in range(10)} and kept["ngram_jaccard"] == kept["exact_dedup"] - {2000 + i for i in range(10)}
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
-    lengths = {r.doc_id: len(r.text.encode()) + 1 for r in docs.collect()}
+    whole = Tokenizer.from_file(catalog.tokenizer("byte_bpe_50k.json"))
+    lengths = {r.doc_id: len(whole.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect()}
     packed = {}
     for r in rows:
         packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
@@ -70,7 +72,7 @@ def test_registered_queries(spark):
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == [*range(1, 11)] and "pipeline" in entry.queries()
+    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == [*range(1, 14)] and "pipeline" in entry.queries()
     assert importlib.util.find_spec("nosoflow.llm")
 
 
@@ -81,7 +83,8 @@ def test_queries_with_sql_equal_it(spark):
     from nosoflow.llm.catalog import ORACLES, QUERIES
 
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     for name, sql in ORACLES.items():
         result = db.execute(sql)
         columns = [d[0] for d in result.description]
