@@ -1,12 +1,10 @@
-"""Number expressions: nearest-rank percentile, combination products, big-number format."""
+"""Number expressions: nearest-rank percentile, big-number format."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BIG = "decimal(38,0)"
-
 
 def nearest_rank(values: Column, share: float, minimum: int) -> Column:
     """Sorted element ``int(n * share)`` counted from one, null below ``minimum`` values."""
@@ -15,29 +13,12 @@ def nearest_rank(values: Column, share: float, minimum: int) -> Column:
     return F.when(n >= minimum, F.element_at(F.array_sort(values), F.greatest(rank, F.lit(1))))
 
 
-def product(factors: Column) -> Column:
-    """Exact product of an array of integers as decimal(38,0), null on overflow."""
-    return F.aggregate(
-        factors, F.lit(1).cast(BIG), lambda acc, factor: F.try_multiply(acc, factor.cast(BIG)).cast(BIG)
-    )
-
-
-def subsets(n: Column) -> Column:
-    """Non-empty subsets of n values, ``2^n - 1``; null when it exceeds decimal(38,0)."""
-    power = F.aggregate(
-        F.when(n < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.least(n, F.lit(127)).cast("int"))),
-        F.lit(1).cast(BIG),
-        lambda acc, _: F.try_multiply(acc, F.lit(2).cast(BIG)).cast(BIG),
-    )
-    return (power - F.lit(1).cast(BIG)).cast(BIG)
-
-
 def format_big(number: Column) -> Column:
-    """Thousands separators below a million, else ``d.ddddd × 10^k (~10^x.x)``."""
-    digits = number.cast(BIG).cast("string")
-    power = F.format_number(F.log10(number.cast("double")), 1)
+    """Thousands separators below a million, else ``d.ddddd × 10^k (~10^x.x)``. ``number`` is a whole number, or its digits as a string."""
+    digits = number.cast("string")
+    power = F.format_number(F.log10(F.substring(digits, 1, 15).cast("double")) + F.greatest(F.length(digits) - 15, F.lit(0)), 1)
     large = F.concat(
         F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5),
         F.lit(" × 10^"), (F.length(digits) - 1).cast("string"), F.lit(" (~10^"), power, F.lit(")"),
     )
-    return F.when(number < 1_000_000, F.format_number(number.cast(BIG), 0)).otherwise(large)
+    return F.when(F.length(digits) <= 6, F.format_number(F.substring(digits, 1, 6).cast("bigint"), 0)).otherwise(large)

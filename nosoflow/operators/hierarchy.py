@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nosoflow.functions.numbers import BIG, product, subsets
+from nosoflow.functions import bignum
 from nosoflow.functions.text import https, last_segment
 from nosoflow.operators.relational import first_per_key
 from nosoflow.operators.scaling import concat_all, cut_lineage, lookup_join, rows_fit_broadcast
@@ -186,28 +186,21 @@ def root_pairs(values: DataFrame) -> DataFrame:
 
 
 def combinations(sizes: DataFrame, allow_multiple_as_subsets: bool = False) -> DataFrame:
-    """Allowed combinations per root: product over axes of ``1 + choices``, minus one.
+    """Allowed combinations per root: product over axes of ``1 + choices``, minus one, as a string of all its digits.
 
-    ``choices`` is the axis size, or all its non-empty subsets for ``AllowAlways`` axes
-    when asked. Null on overflow of decimal(38,0); ``log10_combinaisons`` is always there.
+    ``choices`` is the axis size, or all its non-empty subsets for ``AllowAlways`` axes when asked: such an axis of n values doubles the product n times.
     The list per root holds one number per axis name.
     """
-    choices = F.col("n").cast(BIG)
-    log_factor = F.log10(F.lit(1.0) + F.col("n"))
-    if allow_multiple_as_subsets:
-        multiple = F.col("allow_multiple") == "AllowAlways"
-        choices = F.when(multiple, subsets(F.col("n"))).otherwise(choices)
-        log_factor = F.when(multiple, F.col("n") * F.log10(F.lit(2.0))).otherwise(log_factor)
-    factors = sizes.withColumns({"_factor": choices + F.lit(1).cast(BIG), "_log": log_factor})
-    per_root = factors.groupBy("root").agg(
+    subsets = F.col("allow_multiple") == "AllowAlways" if allow_multiple_as_subsets else F.lit(False)
+    log_factor = F.when(subsets, F.col("n") * F.log10(F.lit(2.0))).otherwise(F.log10(F.lit(1.0) + F.col("n")))
+    per_root = sizes.withColumns({"_subsets": subsets, "_log": log_factor}).groupBy("root").agg(
         F.count(F.lit(1)).alias("nb_axes"),
-        F.collect_list(F.coalesce("_factor", F.lit(-1).cast(BIG))).alias("_factors"),
+        F.collect_list(F.when(~F.col("_subsets"), F.col("n") + 1)).alias("_factors"),
+        F.sum(F.when(F.col("_subsets"), F.col("n")).otherwise(0)).alias("_doublings"),
         F.sum("_log").alias("log10_combinaisons"),
     )
-    overflow = F.array_contains("_factors", F.lit(-1).cast(BIG))
-    total = F.when(~overflow, product(F.col("_factors")))
-    return per_root.select(
-        "root", "nb_axes", (total - F.lit(1).cast(BIG)).cast(BIG).alias("nb_combinaisons"), "log10_combinaisons")
+    total = bignum.doubled(bignum.product(F.col("_factors")), F.col("_doublings"))
+    return per_root.select("root", "nb_axes", bignum.digits(total, -1).alias("nb_combinaisons"), "log10_combinaisons")
 
 
 def root_summary(roots: DataFrame, pairs: DataFrame, combos: DataFrame, chapter: DataFrame) -> DataFrame:
@@ -222,42 +215,31 @@ def root_summary(roots: DataFrame, pairs: DataFrame, combos: DataFrame, chapter:
             F.coalesce("chapitre", F.lit(UNKNOWN_CHAPTER)).alias("chapitre"),
             F.coalesce("nb_axes", F.lit(0)).alias("nb_axes"),
             F.coalesce("nb_couples", F.lit(0)).alias("nb_couples"),
-            F.when(F.col("nb_axes").isNull(), F.lit(0).cast(BIG)).otherwise(F.col("nb_combinaisons")).alias("nb_combinaisons"),
+            F.coalesce("nb_combinaisons", F.lit("0")).alias("nb_combinaisons"),
             F.coalesce("log10_combinaisons", F.lit(0.0)).alias("log10_combinaisons"),
         )
     )
 
 
-def _total(column: str) -> Column:
-    """Sum, null where a term or the sum exceeds decimal(38,0)."""
-    return F.when(F.count_if(F.col(column).isNull()) == 0, F.try_sum(column)).cast(BIG)
-
-
 def chapter_rollup(summary: DataFrame) -> DataFrame:
-    """Roots, pairs and summed combinations per chapter; a pair belongs to one root, hence one chapter.
+    """Roots, pairs and summed combinations per chapter, all digits; a pair belongs to one root, hence one chapter.
 
-    ``n_overflow`` counts the roots whose combinations exceed decimal(38,0); where there is one the sum is null. ``log10_max`` is that of the largest root.
+    ``log10_max`` is that of the largest root.
     """
-    return summary.groupBy("chapitre").agg(
-        F.count(F.lit(1)).alias("nb_racines"),
-        F.sum("nb_couples").alias("nb_couples"),
-        _total("nb_combinaisons").alias("nb_combinaisons"),
-        F.count_if(F.col("nb_combinaisons").isNull()).alias("n_overflow"),
-        F.max("log10_combinaisons").alias("log10_max"),
-    )
+    counts = summary.groupBy("chapitre").agg(
+        F.count(F.lit(1)).alias("nb_racines"), F.sum("nb_couples").alias("nb_couples"), F.max("log10_combinaisons").alias("log10_max"))
+    sums = bignum.totals(summary, ["chapitre"], "nb_combinaisons", "nb_combinaisons")
+    return counts.join(sums, "chapitre", "left").select("chapitre", "nb_racines", "nb_couples", "nb_combinaisons", "log10_max")
 
 
 def combination_statistics(summary: DataFrame, threshold: int = 200) -> DataFrame:
-    """Roots without combination, above the threshold, maximum and total.
-
-    A root whose combinations exceed decimal(38,0) counts as above the threshold; maximum and total are then null, ``log10_max`` still tells the size.
-    """
+    """Roots without combination, above the threshold, maximum and total, these two with all their digits."""
     n = F.col("nb_combinaisons")
-    overflow = n.isNull()
-    return summary.agg(
-        F.count_if(n == 0).alias("n_zero"), F.count_if(overflow | (n > threshold)).alias("n_above"),
-        F.when(F.count_if(overflow) == 0, F.max(n)).alias("maximum"), _total("nb_combinaisons").alias("total"),
-        F.count_if(overflow).alias("n_overflow"), F.max("log10_combinaisons").alias("log10_max"))
+    counts = summary.agg(
+        F.lit(0).alias("_all"), F.count_if(n == "0").alias("n_zero"), F.count_if(bignum.exceeds(n, threshold)).alias("n_above"),
+        F.max(bignum.order(n))["digits"].alias("maximum"), F.max("log10_combinaisons").alias("log10_max"))
+    total = bignum.totals(summary, [], "nb_combinaisons", "total").withColumn("_all", F.lit(0))
+    return counts.join(total, "_all").drop("_all")
 
 
 def without_label(roots: DataFrame, titles: DataFrame) -> DataFrame:

@@ -87,22 +87,38 @@ FACTORS = """f AS (SELECT root, count(*) AS nb_axes,
 def combinations(i: Inputs) -> DataFrame:
     from nosoflow.functions.numbers import format_big
 
-    return h.combinations(sizes(i)).select(
-        "root", "nb_axes", F.col("nb_combinaisons").cast("string").alias("nb_combinaisons"),
-        format_big(F.col("nb_combinaisons")).alias("affichage"))
-
-
-@query(f"""WITH RECURSIVE {REACHED}
-    SELECT root, round(max(CASE WHEN axe = 1 THEN n * log10(2.0) END) + max(CASE WHEN axe = 2 THEN log10(1.0 + n) END)
-      + max(CASE WHEN axe = 3 THEN log10(1.0 + n) END), 6) AS log10_combinaisons,
-      (SELECT CASE WHEN p < 100000000000000000000000000000000000000 THEN CAST(p - 1 AS VARCHAR) END FROM (SELECT TRY(
-        TRY(1::HUGEINT << CAST(max(CASE WHEN axe = 1 THEN n END) AS INTEGER)) * max(CASE WHEN axe = 2 THEN 1 + n END) * max(CASE WHEN axe = 3 THEN 1 + n END)) AS p))
-        AS nb_combinaisons
-    FROM sizes GROUP BY root""")
+    return h.combinations(sizes(i)).select("root", "nb_axes", "nb_combinaisons", format_big(F.col("nb_combinaisons")).alias("affichage"))
+
+
+# Powers of two as lists of 9-digit limbs, doubled step by step, and all digits of a list of limbs, with carries from the lowest limb on.
+POWERS = """pow2(k, limbs) AS (SELECT 0, [1::BIGINT]
+    UNION ALL SELECT k + 1, [(2 * coalesce(limbs[j], 0)) % 1000000000 + CASE WHEN j > 1 AND 2 * limbs[j - 1] >= 1000000000 THEN 1 ELSE 0 END
+      FOR j IN range(1, len(limbs) + 2) IF j <= len(limbs) OR 2 * limbs[j - 1] >= 1000000000] FROM pow2
+    WHERE k < (SELECT max(n) FROM sizes WHERE allow_multiple = 'AllowAlways'))"""
+
+
+def sql_digits(limbs: str, add: int = 0) -> str:
+    """SQL for all digits of a list of limbs, which may be sums or multiples, plus ``add``."""
+    start = f"[{{'t': '', 'c': {add}::BIGINT, 'v': 0::BIGINT}}]"
+    low = "((x.v + a.c) % 1000000000 + 1000000000) % 1000000000"
+    step = f"{{'t': lpad(({low})::VARCHAR, 9, '0') || a.t, 'c': (x.v + a.c - {low}) // 1000000000, 'v': 0::BIGINT}}"
+    last = "{'t': '', 'c': 0::BIGINT, 'v': 0::BIGINT}"
+    reduced = f"list_reduce({start} || [{{'t': '', 'c': 0::BIGINT, 'v': l::BIGINT}} FOR l IN {limbs}] || [{last}, {last}], lambda a, x: {step})"
+    return f"CASE WHEN ltrim({reduced}.t, '0') = '' THEN '0' ELSE ltrim({reduced}.t, '0') END"
+
+
+SUBSETS = f"""{POWERS},
+  parts AS (SELECT root, max(CASE WHEN axe = 1 THEN n END) AS n1, max(CASE WHEN axe = 2 THEN 1 + n END) * max(CASE WHEN axe = 3 THEN 1 + n END) AS f,
+    round(max(CASE WHEN axe = 1 THEN n * log10(2.0) END) + max(CASE WHEN axe = 2 THEN log10(1.0 + n) END) + max(CASE WHEN axe = 3 THEN log10(1.0 + n) END), 6) AS lg
+    FROM sizes GROUP BY root),
+  multiplied AS (SELECT root, lg, [l * f FOR l IN limbs] AS limbs FROM parts JOIN pow2 ON k = n1)"""
+
+
+@query(f"""WITH RECURSIVE {REACHED}, {SUBSETS}
+    SELECT root, lg AS log10_combinaisons, {sql_digits('limbs', -1)} AS nb_combinaisons FROM multiplied""")
 def subset_combinations(i: Inputs) -> DataFrame:
     combos = h.combinations(sizes(i), allow_multiple_as_subsets=True)
-    return combos.select(
-        "root", F.round("log10_combinaisons", 6).alias("log10_combinaisons"), F.col("nb_combinaisons").cast("string").alias("nb_combinaisons"))
+    return combos.select("root", F.round("log10_combinaisons", 6).alias("log10_combinaisons"), "nb_combinaisons")
 
 
 @query("WITH RECURSIVE " + CHAPTERS.format(visits=15) + " SELECT id, chapitre FROM chapter")
@@ -129,19 +145,31 @@ def summary(i: Inputs) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {REACHED}, {CHAPTERS.format(visits=15)}, {SUMMARY}
     SELECT chapitre, count(*) AS nb_racines, CAST(sum(nb_couples) AS BIGINT) AS nb_couples, CAST(sum(c) AS VARCHAR) AS nb_combinaisons,
-      count(*) FILTER (c IS NULL) AS n_overflow, round(max(lg), 6) AS log10_max FROM summary GROUP BY 1""")
+      round(max(lg), 6) AS log10_max FROM summary GROUP BY 1""")
 def chapter_rollup(i: Inputs) -> DataFrame:
-    rollup = h.chapter_rollup(summary(i)).withColumn("nb_combinaisons", F.col("nb_combinaisons").cast("string"))
-    return rollup.withColumn("log10_max", F.round("log10_max", 6))
+    return h.chapter_rollup(summary(i)).withColumn("log10_max", F.round("log10_max", 6))
+
+
+@query(f"""WITH RECURSIVE {REACHED}, {CHAPTERS.format(visits=15)}, {SUBSETS},
+  places AS (SELECT c.chapitre, p.place, sum(m.limbs[p.place]) AS v FROM multiplied m JOIN chapter c ON c.id = m.root
+    JOIN (SELECT unnest(range(1, 1 + (SELECT max(len(limbs)) FROM multiplied))) AS place) p ON p.place <= len(m.limbs) GROUP BY 1, 2),
+  totals AS (SELECT chapitre, list(v ORDER BY place) AS limbs FROM places GROUP BY 1),
+  counted AS (SELECT c.chapitre, count(*) AS nb_racines, round(max(m.lg), 6) AS log10_max FROM multiplied m JOIN chapter c ON c.id = m.root GROUP BY 1)
+    SELECT k.chapitre, k.nb_racines, {sql_digits("([t.limbs[1] - k.nb_racines] || t.limbs[2:])")} AS nb_combinaisons, k.log10_max
+    FROM counted k JOIN totals t ON t.chapitre = k.chapitre""")
+def subset_rollup(i: Inputs) -> DataFrame:
+    """Totals per chapter where several values of an axis go together: numbers of hundreds of digits."""
+    combos = h.combinations(sizes(i), allow_multiple_as_subsets=True)
+    none = combos.select("root").limit(0).withColumn("code", F.lit(""))
+    rollup = h.chapter_rollup(h.root_summary(combos.select("root"), none, combos, chapter(i)))
+    return rollup.select("chapitre", "nb_racines", "nb_combinaisons", F.round("log10_max", 6).alias("log10_max"))
 
 
 @query(f"""WITH RECURSIVE {REACHED}, {CHAPTERS.format(visits=15)}, {SUMMARY}
     SELECT count(*) FILTER (c = 0) AS n_zero, count(*) FILTER (c > 200) AS n_above, CAST(max(c) AS VARCHAR) AS maximum,
-      CAST(sum(c) AS VARCHAR) AS total, count(*) FILTER (c IS NULL) AS n_overflow, round(max(lg), 6) AS log10_max FROM summary""")
+      CAST(sum(c) AS VARCHAR) AS total, round(max(lg), 6) AS log10_max FROM summary""")
 def combination_statistics(i: Inputs) -> DataFrame:
-    stats = h.combination_statistics(summary(i))
-    shown = {c: F.col(c).cast("string") for c in ("maximum", "total")}
-    return stats.withColumns({**shown, "log10_max": F.round("log10_max", 6)})
+    return h.combination_statistics(summary(i)).withColumn("log10_max", F.round("log10_max", 6))
 
 
 def impossible(i: Inputs) -> DataFrame:
