@@ -1,7 +1,7 @@
 """Terminology tree: descent, chapters, axes, pairs and combination counts.
 
 Nodes have ``id`` and ``code`` (null for groupings); edges have ``parent``, ``child``.
-The walks are loops of joins. Each round is written by a reliable checkpoint, so the plan
+Descendants come from interval labels (``intervals``), chapters from a walk down the levels. Each round is written by a reliable checkpoint, so the plan
 stays short and a lost executor costs one round.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from nosoflow.functions import bignum
 from nosoflow.functions.text import https, last_segment
+from nosoflow.operators import intervals
 from nosoflow.operators.relational import first_per_key
 from nosoflow.operators.scaling import concat_all, cut_lineage, lookup_join, rows_fit_broadcast
 
@@ -66,28 +67,20 @@ class _Links:
 def reach(starts: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All nodes reachable from each distinct start, the start included, each once; and the starts given up.
 
-    The first table has ``start_id``, ``id``, ``code``. Loops in the data are harmless: a pair already reached is never expanded again. A start with more
-    than ``limit`` coded nodes is not expanded further: it is in the second table (``start_id``) and not in the first.
+    The first table has ``start_id``, ``id``, ``code``. A start with more than ``limit`` coded nodes is in the second table (``start_id``) and not in the
+    first: it is counted by its ranges (``intervals``) before any row of it is made. Loops and several parents are harmless.
     """
-    present = nodes.select("id")
-    first = starts.select(F.col("start_id").alias("id")).distinct().join(present, "id", "left_semi")
-    known_child = present.withColumnRenamed("id", "child")
-    links = _Links(edges.select(F.col("parent").alias("id"), "child").distinct().join(known_child, "child", "left_semi"))
-    coded = nodes.select("id", "code")
-    frontier = cut_lineage(lookup_join(first.select(F.col("id").alias("start_id"), "id"), coded, "id", "left"))
-    reached, given_up = frontier, None
-    while rows := frontier.count():
-        if limit is not None:
-            counts = reached.groupBy("start_id").agg(F.count("code").alias("n"))
-            given_up = cut_lineage(counts.where(F.col("n") > limit).select("start_id"))
-            frontier = lookup_join(frontier, given_up, "start_id", "left_anti")
-        step = links.step(frontier.select("start_id", "id"), rows).select("start_id", F.col("child").alias("id")).distinct()
-        new = step.join(reached.select("start_id", "id"), ["start_id", "id"], "left_anti")
-        frontier = cut_lineage(lookup_join(new, coded, "id", "left"))
-        reached = reached.unionByName(frontier)
-    if given_up is None:
-        return reached.select("start_id", "id", "code"), first.select(F.col("id").alias("start_id")).limit(0)
-    return lookup_join(reached, given_up, "start_id", "left_anti").select("start_id", "id", "code"), given_up
+    return _reached(starts, intervals.label(nodes, edges), limit)
+
+
+def _reached(starts: DataFrame, tree: intervals.Intervals, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    ranges = intervals.ranges_of(starts, tree)
+    if limit is None:
+        given_up = starts.select("start_id").limit(0)
+    else:
+        given_up = cut_lineage(intervals.sizes(ranges, ["start_id"], tree).where(F.col("n") > limit).select("start_id"))
+        ranges = lookup_join(ranges, given_up, "start_id", "left_anti")
+    return intervals.members(ranges, ["start_id"], tree), given_up
 
 
 def descendants(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -105,26 +98,28 @@ class Countable:
     impossible: DataFrame
 
 
+def _range_sizes(axes: DataFrame, tree: intervals.Intervals) -> DataFrame:
+    ranges = lookup_join(axes.select("root", "axe", "start_id").distinct(), intervals.ranges_of(axes, tree), "start_id", "inner")
+    counted = intervals.sizes(ranges, ["root", "axe"], tree)
+    named = axes.select("root", "axe", "allow_multiple").distinct()
+    return named.join(counted, ["root", "axe"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def tree_axis_sizes(axes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Values per axis, zero included: coded nodes in the ranges of its starts. No row per value is made."""
+    return _range_sizes(axes, intervals.label(nodes, edges))
+
+
 def countable_axes(axes: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = MAX_AXIS_VALUES) -> Countable:
     """Drop the roots with an axis above ``limit`` before any value, pair or product of theirs is built.
 
-    Starts are resolved once for all axes that share them. An axis of one start has its start's size; only those of several starts
-    are counted by their distinct values, of which each start has ``limit`` at most.
+    Axes are counted by the ranges of their starts; only starts of axes that stay are taken apart into values, once for all axes that share them.
     """
-    reached, given_up = reach(axes, nodes, edges, limit)
-    doomed = lookup_join(axes.select("root", "start_id"), given_up, "start_id", "left_semi").select("root").distinct()
-    left = lookup_join(axes.select("root", "axe", "allow_multiple", "start_id").distinct(), doomed, "root", "left_anti")
-    starts = left.groupBy("root", "axe").agg(F.count_distinct("start_id").alias("_starts"))
-    left = cut_lineage(left.join(starts, ["root", "axe"]))
-    per_start = reached.groupBy("start_id").agg(F.count("code").alias("n"))
-    single = lookup_join(left.where("_starts <= 1"), per_start, "start_id", "left").select(
-        "root", "axe", "allow_multiple", F.coalesce("n", F.lit(0)).alias("n"))
-    several = left.where("_starts > 1").drop("_starts")
-    sizes = cut_lineage(single.unionByName(axis_sizes(several, axis_values(several, reached))))
-    oversize = oversize_roots(sizes, limit).select("root")
-    return Countable(
-        lookup_join(left.drop("_starts"), oversize, "root", "left_anti"), lookup_join(sizes, oversize, "root", "left_anti"), reached,
-        doomed.union(oversize).distinct())
+    tree = intervals.label(nodes, edges)
+    sizes = cut_lineage(_range_sizes(axes, tree))
+    impossible = cut_lineage(oversize_roots(sizes, limit).select("root"))
+    left = cut_lineage(lookup_join(axes.select("root", "axe", "allow_multiple", "start_id").distinct(), impossible, "root", "left_anti"))
+    return Countable(left, lookup_join(sizes, impossible, "root", "left_anti"), _reached(left, tree, None)[0], impossible)
 
 
 def chapter_labels(ranked: DataFrame, nodes: DataFrame) -> DataFrame:

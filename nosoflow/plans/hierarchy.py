@@ -37,7 +37,7 @@ def reached(i: Inputs) -> DataFrame:
 
 
 def sizes(i: Inputs) -> DataFrame:
-    return h.axis_sizes(i("v_axis"), h.axis_values(i("v_axis"), reached(i)))
+    return h.tree_axis_sizes(i("v_axis"), i("v_node"), edges(i))
 
 
 def chapter(i: Inputs, visits: int = h.MAX_VISITS) -> DataFrame:
@@ -64,8 +64,8 @@ def axis_sizes(i: Inputs) -> DataFrame:
 @query(f"""WITH RECURSIVE {REACHED} SELECT a.root, a.axe, count(v.id) AS n FROM v_axis a
     LEFT JOIN val v ON v.root = a.root AND v.axe = a.axe AND starts_with(v.code, 'X') GROUP BY 1, 2""")
 def extension_sizes(i: Inputs) -> DataFrame:
-    values = h.axis_values(i("v_axis"), reached(i), prefix="X")
-    return h.axis_sizes(i("v_axis"), values).select("root", "axe", "n")
+    extensions = i("v_node").withColumn("code", F.when(F.startswith("code", F.lit("X")), F.col("code")))
+    return h.tree_axis_sizes(i("v_axis"), extensions, edges(i)).select("root", "axe", "n")
 
 
 @query(f"WITH RECURSIVE {REACHED} SELECT DISTINCT root, code FROM val")
