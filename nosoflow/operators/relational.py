@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nosoflow.operators.scaling import concat_all
+from nosoflow.operators.selection import first_rows
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, k: int = 1) -> DataFrame:
@@ -78,9 +79,9 @@ def find(df: DataFrame, column: str, value) -> DataFrame:
     return df.where(F.col(column) == F.lit(value))
 
 
-def load_limit(df: DataFrame, order: Sequence, limit: int) -> DataFrame:
-    """First ``limit`` accepted rows in file order; zero keeps all."""
-    return df.orderBy(*order).limit(limit) if limit else df
+def load_limit(df: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
+    """First ``limit`` accepted rows in file order; zero keeps all. A large limit is no task of its own (``selection.first_rows``)."""
+    return first_rows(df, order, limit) if limit else df
 
 
 def count_by(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:

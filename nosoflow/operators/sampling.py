@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nosoflow.operators.relational import first_per_key
 from nosoflow.operators.scaling import lookup_join, ordinals
+from nosoflow.operators.selection import first_rows
 
 # Roots with more items are numbered in slices of the hash range.
 LARGE_ROOT_ITEMS = 100_000
@@ -29,12 +30,12 @@ def weighted_sample(df: DataFrame, n: int, weight: str, key: str, seed: int) ->
     """``n`` rows without replacement, with chances proportional to a weight (exponential keys)."""
     arrival = -F.log(uniform(seed, key)) / F.col(weight)
     drawn = df.where(F.col(weight) > 0).withColumn("_arrival", arrival)
-    return drawn.orderBy("_arrival", key).limit(n).drop("_arrival")
+    return first_rows(drawn, ["_arrival", key], n).drop("_arrival")
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """``n`` rows, all equally likely."""
-    return df.withColumn("_h", hash_number(seed, key)).orderBy("_h", key).limit(n).drop("_h")
+    return first_rows(df.withColumn("_h", hash_number(seed, key)), ["_h", key], n).drop("_h")
 
 
 def draw_per_key(candidates: DataFrame, keys: Sequence[str], item: str, k: int, seed: int) -> DataFrame:

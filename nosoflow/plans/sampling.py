@@ -17,6 +17,13 @@ def weighted_sample(i: Inputs) -> DataFrame:
     return sampling.weighted_sample(i("v_profile"), 500, "nb", "id", 7).select("id", "icd10_raw", "nb")
 
 
+@query(f"""SELECT id, icd10_raw, nb FROM v_profile
+    ORDER BY -ln(({HASH.format("'8|' || id")} + 0.5) / 4503599627370496.0) / nb, id LIMIT 12000""")
+def large_weighted_sample(i: Inputs) -> DataFrame:
+    """More rows than one task should sort: chosen by histograms of the keys."""
+    return sampling.weighted_sample(i("v_profile"), 12_000, "nb", "id", 8).select("id", "icd10_raw", "nb")
+
+
 @query(f"SELECT id, icd10_raw FROM v_profile ORDER BY {HASH.format("'42|' || id")}, id LIMIT 5")
 def seeded_sample(i: Inputs) -> DataFrame:
     return sampling.seeded_sample(i("v_profile"), 5, "id", 42).select("id", "icd10_raw")

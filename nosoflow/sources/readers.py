@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from nosoflow.functions.text import https
-from nosoflow.operators.scaling import concat_all
+from nosoflow.operators.scaling import concat_all, cut_lineage
 
 
 def _strings(*names: str) -> T.StructType:
@@ -32,13 +32,48 @@ NODE_JSON = (
 def read_csv(spark: SparkSession, path, schema: T.StructType | str, delimiter: str = ",", multiline: bool = True) -> DataFrame:
     """CSV with header, doubled quotes, and newlines inside quotes.
 
-    Files with quoted newlines cannot be split; pass ``multiline=False`` for large files known
+    Files with quoted newlines are not split: ``read_quoted_csv`` reads large ones of these, ``multiline=False`` large files known
     to have none. A byte-order mark is skipped by Spark.
     """
     return spark.read.csv(
         path, schema=schema, header=True, sep=delimiter, quote='"', escape='"', multiLine=multiline, enforceSchema=True)
 
 
+def read_quoted_csv(spark: SparkSession, path, schema: T.StructType | str, delimiter: str = ",") -> DataFrame:
+    """What ``read_csv`` reads, with its order as column ``ord``, but split over tasks although quotes may hold newlines.
+
+    A line starts a record if the quotes before it in its file are even in number. Quotes are counted per line, then per file block, whose size the reader
+    bounds; the parities of the blocks are summed along the file. Only lines of records of several lines are brought together. As in
+    the other reader the first record of a file is its header and empty lines are skipped. Quotes stand around values only, doubled inside; a file whose last quote is not
+    closed ends in one long record. A line break of two characters inside quotes reads as one, as there.
+    """
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    lines = read_lines(spark, path, "\n").select(
+        "brut", F.col("ord.fichier").alias("fichier"), F.col("ord.debut").alias("debut"), F.col("ord.ligne").alias("ligne"))
+    lines = lines.withColumn("_quotes", F.pmod(F.length("brut") - F.length(F.replace("brut", F.lit('"'), F.lit(""))), F.lit(2)))
+    blocks = lines.groupBy("fichier", "debut").agg(F.sum("_quotes").alias("_sum"))
+    earlier = Window.partitionBy("fichier").orderBy("debut").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("fichier", "debut", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    above = Window.partitionBy("fichier", "debut").orderBy("ligne").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.pmod(F.col("_before") + F.coalesce(F.sum("_quotes").over(above), F.lit(0)), F.lit(2))
+    placed = cut_lineage(lines.join(blocks, ["fichier", "debut"]).withColumn("_starts", (opened == 0).cast("bigint")).drop("_before", "_quotes"))
+
+    counts = placed.groupBy("fichier", "debut").agg(F.sum("_starts").alias("_n"))
+    counts = counts.select("fichier", "debut", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_records"))
+    until = Window.partitionBy("fichier", "debut").orderBy("ligne").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = placed.join(counts, ["fichier", "debut"]).withColumn("_record", F.col("_records") + F.sum("_starts").over(until))
+    follows = F.lead("_starts").over(Window.partitionBy("fichier", "debut").orderBy("ligne"))
+    # The last line of a block may go on in the next one, so it is taken for part of a record of several lines.
+    numbered = numbered.withColumn("_whole", (F.col("_starts") == 1) & F.coalesce(follows == 1, F.lit(False)))
+    one = numbered.where("_whole").select("fichier", "_record", F.col("brut").alias("_text"))
+    several = numbered.where("NOT _whole").groupBy("fichier", "_record").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("debut", "ligne", "brut"))), lambda x: x["brut"]), "\n").alias("_text"))
+    records = one.unionByName(several).where("_record > 1").withColumn("_text", F.regexp_replace(F.replace("_text", F.lit("\r\n"), F.lit("\n")), "\r$", "")).where("_text <> ''")
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true"}
+    order = F.struct("fichier", F.lit(0).cast("bigint").alias("debut"), F.col("_record").alias("ligne")).alias("ord")
+    return records.select(F.from_csv("_text", schema.simpleString()[7:-1].replace(":", " "), options).alias("_row"), order).select("_row.*", "ord")
+
+
 def with_file_order(df: DataFrame, name: str = "ord") -> DataFrame:
     """Add an order that follows the files: file name, offset of the block in the file, row in the block.
 
@@ -53,9 +88,9 @@ def with_file_order(df: DataFrame, name: str = "ord") -> DataFrame:
             F.monotonically_increasing_id().alias("ligne")))
 
 
-def read_lines(spark: SparkSession, path) -> DataFrame:
-    """Text lines with their order: columns ``brut`` and ``ord``."""
-    return with_file_order(spark.read.text(path).withColumnRenamed("value", "brut"))
+def read_lines(spark: SparkSession, path, separator: str | None = None) -> DataFrame:
+    """Text lines with their order: columns ``brut`` and ``ord``. Without a ``separator``, any line break ends a line."""
+    return with_file_order(spark.read.text(path, lineSep=separator).withColumnRenamed("value", "brut"))
 
 
 def number_lines(lines: DataFrame, start: int = 0) -> DataFrame:

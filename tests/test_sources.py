@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,39 @@ def test_csv_quotes_newlines_and_bom(spark, tmp_path):
     assert [tuple(r) for r in readers.read_csv(spark, back, readers.SYNONYMS_CSV, ";").collect()] == [tuple(r) for r in rows]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in blocks of some hundred bytes."""
+    settings = {"spark.sql.files.maxPartitionBytes": "300b", "spark.sql.files.openCostInBytes": "1b"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_quoted_newlines_are_read_by_many_tasks(spark, tmp_path, small_splits, ending):
+    """Rows and order equal the reader that takes a file whole: quoted newlines, separators and quotes, long values over several blocks, blank lines, empty values."""
+    rnd = random.Random(5)
+    folder = tmp_path / "csv"
+    folder.mkdir()
+
+    def value():
+        text = "".join(rnd.choice(["a", "b c", ";", '"', ending, "é", ""]) for _ in range(rnd.randrange(6))) + ("x" * 700 + ending + "y" if rnd.random() < 0.03 else "")
+        return '"' + text.replace('"', '""') + '"' if any(c in text for c in ';"\n') or rnd.random() < 0.2 else text
+
+    for name, rows in (("a", 150), ("b", 40), ("c", 0)):
+        lines = ["code;synonyme;source"] + [f"K{i:04d};{value()};{value()}" + ("" if rnd.random() < 0.9 else ending) for i in range(rows)]
+        (folder / f"{name}.csv").write_bytes(("\ufeff" * (name == "b") + ending.join(lines) + (ending if name != "a" else "")).encode())
+    whole = readers.with_file_order(readers.read_csv(spark, str(folder), readers.SYNONYMS_CSV, ";")).orderBy("ord").drop("ord")
+    split = readers.read_quoted_csv(spark, str(folder), readers.SYNONYMS_CSV, ";")
+    assert readers.read_lines(spark, str(folder), "\n").rdd.getNumPartitions() > 20
+    got = [tuple(r) for r in split.orderBy("ord").drop("ord").collect()]
+    assert got == [tuple(r) for r in whole.collect()] and len(got) == 190
+    assert split.columns == ["code", "synonyme", "source", "ord"]
+
+
 def test_lines_are_numbered_in_file_order(spark, tmp_path):
     path = tmp_path / "lines"
     path.mkdir()
