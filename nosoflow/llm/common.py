@@ -115,6 +115,21 @@ class WordHashes(dict):
 
 #: Of this Python worker, whatever the operator and the task.
 HASHES = WordHashes()
+_REMEMBERED: list = []
+
+
+def remember(cache) -> None:
+    """From now on ``cache`` is emptied by ``make_room``."""
+    _REMEMBERED.append(cache)
+
+
+def make_room() -> None:
+    """Empties what other operators remember in this Python worker. An operator calls it before it fills a cache of its own."""
+    for cache in _REMEMBERED:
+        cache.clear()
+
+
+remember(HASHES)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -141,6 +156,7 @@ class ByteHashes(WordHashes):
 
 
 BYTE_HASHES = ByteHashes()
+remember(BYTE_HASHES)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

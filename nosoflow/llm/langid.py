@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nosoflow.llm.common import id_crc, pieces_of
+from nosoflow.llm.common import id_crc, make_room, pieces_of, remember
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -106,11 +106,15 @@ class Bundler:
         return total
 
 
-_BUNDLERS: dict[tuple, Bundler] = {}
+_BUNDLERS: dict[int, Bundler] = {}
+remember(_BUNDLERS)
 
 
 def _bundler(dimensions: int) -> Bundler:
-    return _BUNDLERS.setdefault((dimensions,), Bundler(dimensions))
+    if dimensions not in _BUNDLERS:
+        make_room()
+        _BUNDLERS[dimensions] = Bundler(dimensions)
+    return _BUNDLERS[dimensions]
 
 
 def training_rows(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nosoflow.llm.common import part_of, pieces_of, range_bounds, texts
+from nosoflow.llm.common import make_room, part_of, pieces_of, range_bounds, remember, texts
 
 SEQUENCE = 2048
 SEQUENCES_A_BATCH = 64
@@ -74,7 +74,7 @@ class Encoder:
         self.model = self.tokenizer.model.tokenize
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = np.dtype(self.dtype).char
-        self.limit, self.known = limit, {}
+        self.limit, self.known, self.counts = limit, {}, {}
 
     def _piece(self, piece: str) -> bytes:
         chars = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
@@ -93,14 +93,31 @@ class Encoder:
                     ids[i] = self.known.get(piece) or self.known.setdefault(piece, self._piece(piece))
         return np.frombuffer(b"".join(ids), self.dtype)
 
+    def count(self, text: str) -> int:
+        """Number of the ids of a text. Pieces are remembered apart, with their number of ids alone."""
+        if self.whole.search(text):
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(self.counts) >= self.limit // 2:
+            self.counts.clear()
+        pieces = SPLIT.findall(text)
+        try:
+            return sum(map(self.counts.__getitem__, pieces))
+        except KeyError:
+            for piece in pieces:
+                if piece not in self.counts:
+                    self.counts[piece] = len(self._piece(piece)) // np.dtype(self.dtype).itemsize
+            return sum(map(self.counts.__getitem__, pieces))
+
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
+remember(_ENCODERS)
 
 
 def encoder_of(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder per Python worker, kept from task to task."""
     key = (path, special_as_text)
     if key not in _ENCODERS:
+        make_room()
         _ENCODERS[key] = Encoder(path, special_as_text=special_as_text)
     return _ENCODERS[key]
 
@@ -111,7 +128,7 @@ def counter(path: str, special_as_text: bool = False):
     @F.arrow_udf(T.LongType())
     def count(texts_: pa.Array) -> pa.Array:
         encoder = encoder_of(path, special_as_text)
-        return pa.array([len(encoder.encode(t.as_py() or "")) + 1 for t in texts_], pa.int64())
+        return pa.array([encoder.count(t.as_py() or "") + 1 for t in texts_], pa.int64())
 
     return count
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nosoflow.llm.common import estimated_bytes, id_crc, mixed, pieces_of, stored, word_hashes, words
+from nosoflow.llm.common import estimated_bytes, id_crc, make_room, mixed, pieces_of, stored, word_hashes, words
 
 #: Expected number of labelled rows learned from, for each label, drawn by a hash of their ids, and of the characters that they hold at most.
 FIT_ROWS = 20_000
@@ -48,6 +48,7 @@ class Numbers(dict):
 
     def __init__(self, vocabulary: np.ndarray):
         super().__init__()
+        make_room()
         self.known = memoryview(np.ascontiguousarray(vocabulary))
 
     def __missing__(self, word: str) -> int:

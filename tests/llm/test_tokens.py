@@ -72,6 +72,7 @@ def test_pieces_equal_the_whole_text(name, special_as_text):
     whole.encode_special_tokens = special_as_text
     assert tokens.cut_by_split(path) == (name == "byte_bpe_50k.json")
     for text in ["a <|endoftext|> b", "<|endoftext|><|startoftext|>x", "Plain English text, with CAPITALS and it's end.","", "I've  done\n\n it's 12½ ²x", "a_b __ c's 'll 're!! '", "  x \x1c y", "żółć 東京 naïve café", "\n \n  \n", "x" * 300, "<|endoftext|> a"]:
+        assert encoder.count(text) == len(encoder.encode(text))
         assert encoder.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
