@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -129,6 +131,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run, in the folder shared by the executors. It is removed when the driver ends; until then results may read it."""
+    base = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # noqa: BLE001  the session has ended
+            pass
+
+    atexit.register(remove)
+    return base
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the plan restarts from files that outlive any executor."""
     context = df.sparkSession.sparkContext

@@ -19,7 +19,7 @@ ORD = ["ord"]
 class TerminologyFiles:
     """Paths of the input files of a load.
 
-    ``quoted_newlines`` names those with line breaks inside quotes: they cannot be split, so a task reads each whole.
+    ``quoted_newlines`` names those with line breaks inside quotes, which are put together from their lines.
     """
 
     terms: str
@@ -32,8 +32,10 @@ class TerminologyFiles:
 
 
 def _ordered(spark: SparkSession, files: TerminologyFiles, name: str, schema, delimiter: str = ",") -> DataFrame:
-    multiline = name in files.quoted_newlines
-    return readers.with_file_order(readers.read_csv(spark, getattr(files, name), schema, delimiter, multiline))
+    path = getattr(files, name)
+    if name in files.quoted_newlines:
+        return readers.read_quoted_csv(spark, path, schema, delimiter)
+    return readers.with_file_order(readers.read_csv(spark, path, schema, delimiter, multiline=False))
 
 
 def load_tables(spark: SparkSession, files: TerminologyFiles, out: str, limit: int = 0) -> dict[str, int]:

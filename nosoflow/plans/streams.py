@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nosoflow.operators.scaling import work_folder
 from nosoflow.plans.monitoring import ALERTS, HOURS, ROLLING
 from nosoflow.plans.registry import query
 from nosoflow.plans.views import Inputs
@@ -33,7 +34,7 @@ def predictions(i: Inputs) -> DataFrame:
 
 @query(HOURS)
 def stream_counters(i: Inputs) -> DataFrame:
-    out, state = jobs.work_folder(i.spark, "compteurs"), jobs.work_folder(i.spark, "etat")
+    out, state = work_folder(i.spark, "compteurs"), work_folder(i.spark, "etat")
     jobs.count_windows(predictions(i), out, state, "ts", ["model_id"], "1 hour", "10 minutes")
     windows = jobs.latest_windows(i.spark, out, ["model_id"])
     # the event times carry no zone and were read as UTC
@@ -43,21 +44,21 @@ def stream_counters(i: Inputs) -> DataFrame:
 
 @query(ROLLING)
 def stream_rolling(i: Inputs) -> DataFrame:
-    out, tails, state = (jobs.work_folder(i.spark, n) for n in ("latence", "queue", "etat"))
+    out, tails, state = (work_folder(i.spark, n) for n in ("latence", "queue", "etat"))
     jobs.roll_latency(predictions(i), out, tails, state, ["model_id"], "ts", "event_id", "latence_ms")
     return i.spark.read.parquet(out).select("event_id", "model_id", "fenetre_glissante", "latence_moyenne_ms", "latence_p95_ms")
 
 
 @query(ALERTS)
 def stream_alerts(i: Inputs) -> DataFrame:
-    out, state = jobs.work_folder(i.spark, "alertes"), jobs.work_folder(i.spark, "etat")
+    out, state = work_folder(i.spark, "alertes"), work_folder(i.spark, "etat")
     jobs.alert(predictions(i), out, state, "texte", ["event_id", "model_id"])
     return i.spark.read.parquet(out)
 
 
 def intake(i: Inputs) -> str:
     """Folder of the tables written from arriving reports."""
-    out, state = (jobs.work_folder(i.spark, n) for n in ("arrivees", "etat"))
+    out, state = (work_folder(i.spark, n) for n in ("arrivees", "etat"))
     orders = jobs.read_files(stream_session(i.spark), f"{i.folder}/orders*.parquet", i.table("orders").schema)
     known = F.concat(F.lit("C"), F.lpad((F.col("o_orderkey") % 3).cast("string"), 5, "0"))
     code = F.when(F.col("o_orderkey") % 7 == 2, F.lit("ZZ99")).otherwise(known)

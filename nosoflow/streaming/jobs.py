@@ -7,7 +7,6 @@ again after a failure replaces its own output.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from nosoflow.operators import monitor, reports
 from nosoflow.operators.relational import first_per_key
-from nosoflow.operators.scaling import lookup_join, ordinals, rolling_rows, shared_folder
+from nosoflow.operators.scaling import lookup_join, ordinals, rolling_rows
 
 BATCH = "lot"
 GROUP = "groupe"
@@ -26,11 +25,6 @@ GROUP = "groupe"
 TAIL_GROUPS = 64
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for one run, in the folder shared by the executors."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
     """Parquet files as a stream, oldest first."""
     reader = spark.readStream.schema(schema)
