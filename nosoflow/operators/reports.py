@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nosoflow.functions.replies import MESSAGES_TYPE, diagnosis_rows, message_of
 from nosoflow.functions.text import strip
@@ -85,18 +86,25 @@ def check_intake(reports: DataFrame, diagnostics: DataFrame, stays: DataFrame, c
 
     An unknown stay or a single unknown code refuses the whole report. ``reports`` has
     ``id_crh``, ``id_sejour``; ``diagnostics`` has ``id_crh``, ``code_cim11``. The codes of a report are
-    reduced to one row by a map-side aggregate, never listed.
+    reduced to one row by a map-side aggregate, never listed. Each report gives one row, however often its stay or a code is repeated in the tables.
     """
     known_codes = codes.select(F.col("code").alias("code_cim11"))
     unknown = lookup_join(diagnostics.select("id_crh", "code_cim11"), known_codes, "code_cim11", "left_anti")
     first_unknown = unknown.groupBy("id_crh").agg(F.min("code_cim11").alias("_code"))
-    known_stays = stays.select("id_sejour", F.lit(True).alias("_stay"))
+    known_stays = stays.select("id_sejour").distinct().withColumn("_stay", F.lit(True))
     checked = lookup_join(reports, known_stays, "id_sejour", "left").join(first_unknown, "id_crh", "left")
     reason = F.when(F.col("_stay").isNull(), F.lit("sejour inconnu")).when(
         F.col("_code").isNotNull(), F.concat(F.lit("code inconnu : "), F.col("_code")))
     return checked.withColumn("motif", reason).drop("_stay", "_code")
 
 
+def one_delivery(reports: DataFrame, key: str = "id_crh") -> tuple[DataFrame, DataFrame]:
+    """One of the rows of each key, and the others. Equal rows are copies; of different ones the first by its hash stays, so a retried task chooses alike."""
+    content = [F.to_json(F.struct(c)) if c != key else F.col(c) for c in reports.columns]
+    ranked = reports.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*content), *content)))
+    return ranked.where("_n = 1").drop("_n"), ranked.where("_n > 1").drop("_n")
+
+
 def accepted_diagnostics(checked: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Diagnoses of accepted reports."""
     accepted = checked.where(F.col("motif").isNull()).select("id_crh")

@@ -103,7 +103,7 @@ MOST = "most AS (SELECT code FROM v_term WHERE ord % 100 <> 57)"
 
 def intake(i: Inputs) -> DataFrame:
     known = i("v_term").where("ord % 100 <> 57").select("code").distinct()
-    stays = i("v_crh").select("id_sejour").distinct().where("id_sejour % 10 <> 3")
+    stays = i("v_crh").select("id_sejour").where("id_sejour % 10 <> 3")  # a stay is listed once for each of its reports
     return reports.check_intake(i("v_crh").select("id_crh", "id_sejour"), i("v_diag"), stays, known)
 
 

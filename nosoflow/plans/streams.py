@@ -42,6 +42,16 @@ def stream_counters(i: Inputs) -> DataFrame:
     return windows.select(hour.alias("heure"), "model_id", "nb_requetes", "nb_erreurs", "nb_anomalies_dp_manquant")
 
 
+@query(HOURS)
+def stream_corrected(i: Inputs) -> DataFrame:
+    """Counters that late rows correct; all rows are in them."""
+    out, state = work_folder(i.spark, "corrections"), work_folder(i.spark, "etat")
+    jobs.count_all_windows(predictions(i), out, state, "ts", ["model_id"], "1 hour", "10 minutes")
+    windows = jobs.corrected_windows(i.spark, out, ["model_id"])
+    hour = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_seconds(debut))")
+    return windows.select(hour.alias("heure"), "model_id", "nb_requetes", "nb_erreurs", "nb_anomalies_dp_manquant")
+
+
 @query(ROLLING)
 def stream_rolling(i: Inputs) -> DataFrame:
     out, tails, state = (work_folder(i.spark, n) for n in ("latence", "queue", "etat"))
@@ -60,6 +70,7 @@ def intake(i: Inputs) -> str:
     """Folder of the tables written from arriving reports."""
     out, state = (work_folder(i.spark, n) for n in ("arrivees", "etat"))
     orders = jobs.read_files(stream_session(i.spark), f"{i.folder}/orders*.parquet", i.table("orders").schema)
+    orders = orders.unionByName(orders.where("o_orderkey % 4 = 0"))  # a fourth of the reports is delivered twice
     known = F.concat(F.lit("C"), F.lpad((F.col("o_orderkey") % 3).cast("string"), 5, "0"))
     code = F.when(F.col("o_orderkey") % 7 == 2, F.lit("ZZ99")).otherwise(known)
     diagnoses = F.array(
@@ -69,6 +80,7 @@ def intake(i: Inputs) -> str:
     session = arriving.sparkSession
     customer = session.read.parquet(f"{i.folder}/customer.parquet")
     stays = customer.where("c_custkey % 10 <> 3").select(F.col("c_custkey").alias("id_sejour"))
+    stays = stays.unionByName(stays.where("id_sejour % 2 = 0"))  # half of the stays are listed twice
     part = session.read.parquet(f"{i.folder}/part.parquet")
     codes = part.select(F.concat(F.lit("C"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("code"), F.col("p_name").alias("libelle"))
     jobs.take_in(arriving, out, state, stays, codes)
@@ -83,6 +95,11 @@ def stream_intake(i: Inputs) -> DataFrame:
     return kept.unionByName(i.spark.read.parquet(f"{out}/refus").select("id_crh", "motif"))
 
 
+@query("SELECT o_orderkey AS id_crh, 'reçu deux fois dans le lot' AS motif FROM orders WHERE o_orderkey % 4 = 0")
+def stream_repeats(i: Inputs) -> DataFrame:
+    return i.spark.read.parquet(f"{intake(i)}/rejoues").select("id_crh", "motif")
+
+
 @query("""SELECT d.id_crh, d.type_diag, d.code_cim11, p.p_name AS libelle_saisi FROM (
       SELECT o_orderkey AS id_crh, 'DP' AS type_diag, o_orderkey % 3 AS k, 'C0000' || (o_orderkey % 3) AS code_cim11 FROM orders WHERE o_custkey % 10 <> 3 AND o_orderkey % 7 <> 2
       UNION ALL SELECT o_orderkey, 'DAS', 1, 'C00001' FROM orders WHERE o_custkey % 10 <> 3 AND o_orderkey % 7 <> 2) d

@@ -143,24 +143,81 @@ def alert(predictions: DataFrame, out: str, checkpoint: str, text: str, keep: Se
     return query
 
 
+def _written_before(spark: SparkSession, path: str, number: int, asked: DataFrame, key: str, *more: str) -> DataFrame:
+    """Keys of the batch ``asked`` that batches before ``number`` have written below ``path``. Only their columns are read, within the range of the keys."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    low, high = asked.agg(F.min(key), F.max(key)).first()
+    if low is None or not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return asked.select(key, *more).limit(0)
+    earlier = spark.read.parquet(path).where((F.col(BATCH) < number) & F.col(key).between(F.lit(low), F.lit(high)))
+    return lookup_join(earlier.select(key, *more), asked.select(key, *more).distinct(), [key, *more], "left_semi").distinct()
+
+
 def take_in(new_reports: DataFrame, out: str, checkpoint: str, stays: DataFrame, codes: DataFrame) -> StreamingQuery:
     """Check arriving reports (with their ``diagnostics`` array) and write them to the tables below ``out``.
 
     An accepted report gives one row of ``crh`` and a row of ``diagnostic`` for each of its diagnoses, with the code's label; a refused one gives a row of
-    ``refus`` with the reason. The check runs once per batch. ``codes`` has ``code`` and ``libelle``.
+    ``refus`` with the reason. A report is taken in once: one whose id comes again, in the same batch or in a later one, however late, gives a row of ``rejoues`` instead. A
+    refused report may come again and is checked again; the same refusal is noted once. The check runs once per batch. ``codes`` has ``code`` and ``libelle``; of several labels of a code the least is taken.
     """
+    labels = codes.groupBy(F.col("code").alias("code_cim11")).agg(F.min("libelle").alias("libelle_saisi"))
 
     def step(batch: DataFrame, number: int) -> None:
-        diagnostics = batch.select("id_crh", F.explode("diagnostics").alias("d")).select("id_crh", "d.*")
-        checked = reports.check_intake(batch, diagnostics, stays, codes).persist()
+        spark = batch.sparkSession
+        first, again = reports.one_delivery(batch)
+        first = first.persist()
+        known = _written_before(spark, f"{out}/crh", number, first, "id_crh").persist()
+        fresh = lookup_join(first, known, "id_crh", "left_anti")
+        diagnostics = fresh.select("id_crh", F.explode("diagnostics").alias("d")).select("id_crh", "d.*")
+        checked = reports.check_intake(fresh, diagnostics, stays, codes).persist()
         accepted = checked.where(F.col("motif").isNull()).drop("motif")
         rows = accepted.select("id_crh", F.explode("diagnostics").alias("d")).select("id_crh", "d.*")
-        labels = codes.select(F.col("code").alias("code_cim11"), F.col("libelle").alias("libelle_saisi"))
+        refused = checked.where(F.col("motif").isNotNull()).select("id_crh", "motif")
+        noted = _written_before(spark, f"{out}/refus", number, refused, "id_crh", "motif")
+        repeated = [again.select("id_crh", F.lit("reçu deux fois dans le lot").alias("motif")), known.select("id_crh", F.lit("déjà enregistré").alias("motif"))]
         tables = {
             "crh": accepted.drop("diagnostics"), "diagnostic": lookup_join(rows, labels, "code_cim11", "left"),
-            "refus": checked.where(F.col("motif").isNotNull()).select("id_crh", "motif")}
+            "refus": lookup_join(refused, noted, ["id_crh", "motif"], "left_anti"), "rejoues": repeated[0].unionByName(repeated[1])}
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(batch_folder(f"{out}/{name}", number))
-        checked.unpersist()
+        for frame in (checked, known, first):
+            frame.unpersist()
 
     return run_batches(new_reports, checkpoint, step)
+
+
+def count_all_windows(
+    predictions: DataFrame, out: str, checkpoint: str, ts: str, by: Sequence[str], width: str, lateness: str
+) -> StreamingQuery:
+    """Counters per time window and model that late rows correct.
+
+    A window is closed once the newest time of earlier batches is ``lateness`` past its end. Each batch writes, below ``out``, what it adds to every window (``ajouts``),
+    with ``apres_cloture`` true for what comes after the window was closed, and these late rows themselves with the reason (``retards``). ``corrected_windows`` adds
+    up. What one batch adds is small, and a batch that is run again replaces its own.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        newest = None
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/reperes")
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            newest = spark.read.parquet(f"{out}/reperes").where(F.col(BATCH) < number).agg(F.max("repere").alias("m")).first().m  # one row per batch
+        window = F.window(ts, width)
+        late = F.lit(False) if newest is None else window["end"] <= F.lit(newest) - F.expr(f"INTERVAL {lateness}")
+        rows = batch.withColumns({"debut": window["start"], "apres_cloture": late}).persist()
+        added = rows.groupBy("debut", *by, "apres_cloture").agg(*monitor.counters())
+        added.write.mode("overwrite").parquet(batch_folder(f"{out}/ajouts", number))
+        reason = F.concat(F.lit("fenêtre close : "), F.col("debut").cast("string")).alias("motif")
+        rows.where("apres_cloture").select(*batch.columns, reason).write.mode("overwrite").parquet(batch_folder(f"{out}/retards", number))
+        rows.agg(F.max(ts).alias("repere")).write.mode("overwrite").parquet(batch_folder(f"{out}/reperes", number))
+        rows.unpersist()
+
+    return run_batches(predictions, checkpoint, step)
+
+
+def corrected_windows(spark: SparkSession, out: str, by: Sequence[str]) -> DataFrame:
+    """``debut``, ``by``, counters of all rows, and how many of the requests came after the window was closed."""
+    added = spark.read.parquet(f"{out}/ajouts")
+    counters = [c for c in added.columns if c.startswith("nb_")]
+    late = F.sum(F.when(F.col("apres_cloture"), F.col("nb_requetes")).otherwise(0)).alias("nb_tardives")
+    return added.groupBy("debut", *by).agg(*(F.sum(c).alias(c) for c in counters), late)

@@ -134,6 +134,50 @@ def test_intake_stream(spark, folders):
     assert {r.id_crh: r.motif for r in refused.collect()} == {2: "code inconnu : Q", 3: "sejour inconnu"}
 
 
+def test_redelivered_reports_are_taken_in_once(spark, folders):
+    """The same file again, a copy within a file, a report that was refused before its stay was known, repeated stays and labels."""
+    schema = "id_crh int, id_sejour int, diagnostics array<struct<type_diag:string,code_cim11:string>>"
+    first = [(1, 10, [("DP", "A")]), (2, 11, [("DP", "A")]), (1, 10, [("DP", "A")]), (3, 10, [("DP", "Q")])]
+    codes = spark.createDataFrame([("A", "Fièvre"), ("A", "Zona")], "code string, libelle string")
+    stays = [(10,), (10,)]
+    for number, rows in enumerate([first, first, [(2, 11, [("DP", "A")]), (4, 10, [])], [*first, (4, 10, [])]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folders['in']}/part={number}")
+        stays += [(11,)] if number == 2 else []
+        stream = jobs.read_files(spark, folders["in"], spark.createDataFrame([], schema).schema, 1)
+        jobs.take_in(stream, folders["intake"], folders["state"], spark.createDataFrame(stays, "id_sejour int"), codes)
+    crh, diag, refused, again = (spark.read.parquet(f"{folders['intake']}/{n}") for n in ("crh", "diagnostic", "refus", "rejoues"))
+    assert sorted((r.id_crh, r.lot) for r in crh.collect()) == [(1, 0), (2, 2), (4, 2)]
+    assert sorted((r.id_crh, r.libelle_saisi) for r in diag.collect()) == [(1, "Fièvre"), (2, "Fièvre")]
+    assert sorted((r.id_crh, r.motif, r.lot) for r in refused.collect()) == [(2, "sejour inconnu", 0), (3, "code inconnu : Q", 0)]
+    twice, known = "reçu deux fois dans le lot", "déjà enregistré"
+    assert sorted((r.lot, r.id_crh, r.motif) for r in again.collect()) == sorted(
+        [(0, 1, twice), (1, 1, twice), (1, 1, known), (3, 1, twice), (3, 1, known), (3, 2, known), (3, 4, known)])
+
+
+def test_a_report_gives_one_row_however_often_its_stay_is_listed(spark):
+    from nosoflow.operators import reports
+
+    rows = spark.createDataFrame([(1, 10), (2, 12)], "id_crh int, id_sejour int")
+    diagnoses = spark.createDataFrame([(1, "A"), (1, "A")], "id_crh int, code_cim11 string")
+    stays, codes = spark.createDataFrame([(10,), (10,), (10,)], "id_sejour int"), spark.createDataFrame([("A",), ("A",)], "code string")
+    got = reports.check_intake(rows, diagnoses, stays, codes)
+    assert sorted((r.id_crh, r.motif) for r in got.collect()) == [(1, None), (2, "sejour inconnu")]
+
+
+def test_late_rows_correct_closed_windows_and_are_listed(spark, folders):
+    def at(event, minute, model=1, error=False):
+        return (event, START + dt.timedelta(minutes=minute), model, 1.0, error, False, "t")
+
+    batches = [[at(1, 0), at(2, 5, error=True)], [at(3, 50), at(4, 180)], [at(5, 1), at(6, 55, 2), at(7, 181), at(8, 2, error=True)], [at(9, 119)]]
+    for k, rows in enumerate(batches):
+        write(spark, rows, folders["in"], k)
+        jobs.count_all_windows(source(spark, folders), folders["out"], folders["state"], "ts", ["model_id"], "1 hour", "10 minutes")
+    got = {(r.debut.hour, r.model_id): (r.nb_requetes, r.nb_erreurs, r.nb_tardives) for r in jobs.corrected_windows(spark, folders["out"], ["model_id"]).collect()}
+    assert got == {(0, 1): (5, 2, 2), (0, 2): (1, 0, 1), (1, 1): (1, 0, 1), (3, 1): (2, 0, 0)}
+    late = {r.event_id: r.motif for r in spark.read.parquet(f"{folders['out']}/retards").collect()}
+    assert set(late) == {5, 6, 8, 9} and all(m.startswith("fenêtre close : 2024-01-01 0") for m in late.values())
+
+
 def test_the_tail_of_an_idle_model_is_left_alone(spark, folders):
     def run(k, models):
         rows = [(1000 * k + n, START + dt.timedelta(hours=k, seconds=n), models[n % len(models)], float(n), False, False, "t") for n in range(40)]
