@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from nosoflow.operators import monitor, reports
 from nosoflow.operators.relational import first_per_key
-from nosoflow.operators.scaling import lookup_join, ordinals, rolling_rows
+from nosoflow.operators.scaling import lookup_join, ordinals
 
 BATCH = "lot"
 GROUP = "groupe"
@@ -121,7 +121,7 @@ def roll_latency(
         slices = F.when(F.col("_new"), monitor.minutes(both, ts)).otherwise(F.lit(-(2**62)))
         order = ["_new", "_arrival", ts, event]
         numbered = ordinals(both, order, slices, by=by, name="position").persist()
-        rolled = rolling_rows(numbered, by, "position", rows, monitor.rolling_metrics()).where("_new")
+        rolled = monitor.sliding(numbered, by, "position", rows).where("_new")
         result = monitor.finish_rolling(rolled).drop("_new", "_arrival", "position")
         result.write.mode("overwrite").parquet(batch_folder(out, number))
         last = first_per_key(numbered, by, [F.desc("position")], rows - 1)

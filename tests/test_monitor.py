@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nosoflow.operators import monitor
-from nosoflow.operators.scaling import ordinals, rolling_rows
+from nosoflow.operators.scaling import ordinals
 from nosoflow.streaming import jobs
 
 SCHEMA = "event_id bigint, ts timestamp, model_id bigint, latence_ms double, is_error boolean, dp_missing boolean, texte string"
@@ -54,10 +54,20 @@ def test_rolling_in_small_chunks(spark):
     rows = events(900, 3)
     df = spark.createDataFrame(rows, SCHEMA).where("NOT is_error").withColumn("_ms", monitor.exact_latency(F.col("latence_ms")))
     numbered = ordinals(df, ["ts", "event_id"], monitor.minutes(df, "ts"), by=["model_id"], name="position")
-    got = monitor.finish_rolling(rolling_rows(numbered, ["model_id"], "position", 30, monitor.rolling_metrics(), chunk=40)).collect()
+    got = monitor.finish_rolling(monitor.sliding(numbered, ["model_id"], "position", 30, chunk=40)).collect()
     assert {r.event_id: (r.fenetre_glissante, r.latence_moyenne_ms, r.latence_p95_ms) for r in got} == expected_rolling([rows], 30)
 
 
+def test_null_latencies_take_a_place_and_no_part(spark):
+    rows = [(k, START + dt.timedelta(seconds=k), 1, None if k % 3 == 0 else float(k), False, False, "t") for k in range(40)]
+    got = monitor.rolling_latency(spark.createDataFrame(rows, SCHEMA), ["model_id"], "ts", "event_id", "latence_ms", 9).collect()
+    for r in got:
+        window = sorted(Decimal(k) for k in range(max(0, r.event_id - 8), r.event_id + 1) if k % 3)
+        assert r.fenetre_glissante == len(window)
+        assert r.latence_moyenne_ms == (one_decimal(sum(window) / len(window)) if window else None)
+        assert r.latence_p95_ms == (one_decimal(window[int(len(window) * 0.95) - 1]) if len(window) >= 5 else None)
+
+
 def test_counters_and_latest(spark):
     rows = events(400, 1)
     df = spark.createDataFrame(rows, SCHEMA)
