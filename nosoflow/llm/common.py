@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -116,6 +118,7 @@ class WordHashes(dict):
 #: Of this Python worker, whatever the operator and the task.
 HASHES = WordHashes()
 _REMEMBERED: list = []
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def remember(cache) -> None:
@@ -124,9 +127,15 @@ def remember(cache) -> None:
 
 
 def make_room() -> None:
-    """Empties what other operators remember in this Python worker. An operator calls it before it fills a cache of its own."""
+    """Empties what other operators remember in this Python worker, and gives freed memory back to the machine.
+
+    An operator calls it before it fills a cache of its own, as workers are used again from task to task.
+    """
     for cache in _REMEMBERED:
         cache.clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 remember(HASHES)

@@ -97,16 +97,15 @@ class Encoder:
         """Number of the ids of a text. Pieces are remembered apart, with their number of ids alone."""
         if self.whole.search(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self.counts) >= self.limit // 2:
+        if len(self.counts) >= self.limit:
             self.counts.clear()
         pieces = SPLIT.findall(text)
-        try:
-            return sum(map(self.counts.__getitem__, pieces))
-        except KeyError:
-            for piece in pieces:
-                if piece not in self.counts:
-                    self.counts[piece] = len(self._piece(piece)) // np.dtype(self.dtype).itemsize
-            return sum(map(self.counts.__getitem__, pieces))
+        counts = list(map(self.counts.get, pieces))
+        if None in counts:
+            for i, piece in enumerate(pieces):
+                if counts[i] is None:
+                    counts[i] = self.counts[piece] = len(self._piece(piece)) // np.dtype(self.dtype).itemsize
+        return sum(counts)
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

@@ -34,7 +34,7 @@ FIT_CHARS = 20_000_000
 MIXED = 0.01
 THRESHOLD = 0.3
 #: Words taken together by a task before they are sorted, and when texts are scored.
-GATHER, SCORED = 2_000_000, 200_000
+GATHER, SCORED = 1_000_000, 200_000
 _BINS = 100_000.0
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _FIRST = np.int64(-1)
@@ -235,7 +235,7 @@ def _pair_counts(rows: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, n
     buckets = 2 * rows.sparkSession.sparkContext.defaultParallelism
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for labels, numbers, starts in _gathered(batches, Numbers(shared.value), GATHER // 2):
+        for labels, numbers, starts in _gathered(batches, Numbers(shared.value), GATHER):
             left = _befores(numbers, starts)
             before = _befores(left, starts)
             label = np.repeat(np.array(labels, np.int64), np.diff(np.append(starts, len(numbers))))
@@ -327,7 +327,7 @@ def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, common: np.ndarray)
                 rights.append(np.cumsum(unpacked(r, m)))
                 hashes.append(np.frombuffer(h, np.uint64))
                 waiting += n + m
-            if waiting > 2 * GATHER:
+            if waiting > 4 * GATHER:
                 merge()
                 waiting = 0
         merge()
