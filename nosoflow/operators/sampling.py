@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nosoflow.operators.relational import first_per_key
-from nosoflow.operators.scaling import lookup_join, ordinals
+from nosoflow.operators.scaling import cut_lineage, lookup_join, ordinals
 from nosoflow.operators.selection import first_rows
 
 # Roots with more items are numbered in slices of the hash range.
@@ -64,12 +64,14 @@ def draw_for_rows(
     The items of a root are put in hash order and numbered; a row draws ``k`` distinct positions, independently of all other
     rows. It meets ``k`` items, never all items of its root. Columns ``key``, ``root``, ``item``. Candidates of roots that no row has are not numbered.
     """
+    rows = cut_lineage(rows.select(key, root))
     asked = rows.select(root).distinct()
     distinct = lookup_join(candidates.select(root, item), asked, root, "left_semi").distinct()
-    sizes = distinct.groupBy(root).agg(F.count(F.lit(1)).alias("_n"))
-    hashed = lookup_join(distinct, sizes, root, "inner").withColumn("_h", hash_number(seed, root, item))
+    distinct = cut_lineage(distinct.withColumn("_h", hash_number(seed, root, item)))  # read for sizes, slices and numbers, made once
+    sizes = cut_lineage(distinct.groupBy(root).agg(F.count(F.lit(1)).alias("_n")))
+    hashed = lookup_join(distinct, sizes, root, "inner")
     slices = F.when(F.col("_n") > LARGE_ROOT_ITEMS, F.floor(F.col("_h") / 2**38)).otherwise(F.lit(0))
     numbered = ordinals(hashed, ["_h", item], slices, by=[root], name="_pos").select(root, item, "_pos")
-    sized = lookup_join(rows.select(key, root), sizes, root, "inner")
+    sized = lookup_join(rows, sizes, root, "inner")
     placed = sized.select(key, root, F.explode(_distinct_positions(seed, key, F.col("_n"), k)).alias("_pos"))
     return lookup_join(placed, numbered, [root, "_pos"], "inner").select(key, root, item)

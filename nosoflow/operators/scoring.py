@@ -26,12 +26,12 @@ def _one_by_one(scorer: Scorer, texts: pd.Series) -> tuple[list[str | None], lis
     return replies, errors
 
 
-def score_reports(reports: DataFrame, key: str, text: str, make_scorer: Callable[[], Scorer], model: str) -> DataFrame:
+def score_reports(reports: DataFrame, key: str, text: str, make_scorer: Callable[[], Scorer], model: str, together: int = 1) -> DataFrame:
     """Coded reply of every report with its latency.
 
     ``make_scorer`` runs once per task, so a model is loaded there, not on the driver. Columns:
-    key, ``reponse``, ``dp``, ``das``, ``latence_ms`` (mean of the batch), ``erreur``, ``modele``. Where a batch fails, its
-    reports are scored one by one: a failing report has an error and no reply, the others go on.
+    key, ``reponse``, ``dp``, ``das``, ``latence_ms``, ``erreur``, ``modele``. The scorer gets ``together`` reports a call, and each has the latency of its
+    call, which with one is its own. Where a call fails, its reports are scored one by one: a failing report has an error and no reply, the others go on.
     """
     schema = f"{reports.select(key).schema[0].name} {reports.select(key).schema[0].dataType.simpleString()}, reponse string, latence_ms double, erreur string"
 
@@ -40,14 +40,18 @@ def score_reports(reports: DataFrame, key: str, text: str, make_scorer: Callable
         for batch in batches:
             if batch.empty:
                 continue
-            start = time.perf_counter()
-            errors = [None] * len(batch)
-            try:
-                replies = list(scorer(batch[text]))
-            except Exception:
-                replies, errors = _one_by_one(scorer, batch[text])
-            spent = (time.perf_counter() - start) * 1000 / len(batch)
-            yield pd.DataFrame({key: batch[key], "reponse": replies, "latence_ms": round(spent, 1), "erreur": errors})
+            replies, errors, spent = [], [], []
+            for at in range(0, len(batch), together):
+                texts = batch[text].iloc[at:at + together]
+                start = time.perf_counter()
+                try:
+                    found, failed = list(scorer(texts)), [None] * len(texts)
+                except Exception:
+                    found, failed = _one_by_one(scorer, texts)
+                replies += found
+                errors += failed
+                spent += [round((time.perf_counter() - start) * 1000, 1)] * len(texts)
+            yield pd.DataFrame({key: batch[key], "reponse": replies, "latence_ms": spent, "erreur": errors})
 
     scored = reports.select(key, text).mapInPandas(run, schema)
     parsed = parse_reply(F.col("reponse"))

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nosoflow.operators.relational import drop_codes, first_per_key, keep_last_map, load_limit, top_counts
+from nosoflow.operators.relational import drop_codes, first_per_key, keep_last_map, load_limit, page, page_after, top_counts
 from nosoflow.operators.scaling import cut_lineage, lookup_join
+from nosoflow.operators.selection import first_rows
 
 
 DETAIL = ("code", "libelle", "type", "trouve", "genre", "valeur")
@@ -26,6 +27,12 @@ def icd_map(mapping: DataFrame, order: Sequence[str]) -> DataFrame:
     return kept.select(F.col("key").alias("icd10"), F.col("value").alias("icd11"))
 
 
+def mapping_of(mapping: DataFrame, codes: DataFrame) -> DataFrame:
+    """All rows of the ICD-10 keys that lead to one of ``codes`` in some row, so that the last row of a key can still be told."""
+    keys = lookup_join(mapping.select("icd10", F.col("icd11").alias("code")), codes.select("code"), "code", "left_semi").select("icd10").distinct()
+    return lookup_join(mapping, keys, "icd10", "left_semi")
+
+
 def _mapped_synonyms(synonyms: DataFrame, mapping: DataFrame, codes: DataFrame) -> DataFrame:
     """Synonym rows with ``code_cim11``, null when unmapped or outside the terminology."""
     valid = lookup_join(mapping, codes.select(F.col("code").alias("icd11")), "icd11", "left_semi")
@@ -48,7 +55,7 @@ def synonym_load_counts(
     rows = _mapped_synonyms(synonyms, mapping, codes).select("code_cim11", F.struct(*order).alias("ord"))
     accepted = F.col("code_cim11").isNotNull()
     if limit:
-        kept = rows.where(accepted).orderBy("ord").limit(limit)
+        kept = first_rows(rows.where(accepted), ["ord"], limit)
         stop = kept.agg(F.when(F.count(F.lit(1)) == limit, F.max("ord")).alias("stop"))
         rows = rows.withColumn("_stop", stop.scalar()).where(F.col("_stop").isNull() | (F.col("ord") <= F.col("_stop")))
     return rows.agg(F.count_if(accepted).alias("n_charges"), F.count_if(~accepted).alias("n_non_mappes"))
@@ -148,16 +155,18 @@ def code_detail(wanted: DataFrame, codes: DataFrame, synonyms: DataFrame, postco
 
 
 def reports_page(
-    reports: DataFrame, diagnostics: DataFrame, order: Sequence[str], limit: int = 20, offset: int = 0, cap: int = 200
+    reports: DataFrame, diagnostics: DataFrame, order: Sequence[str], limit: int = 20, offset: int = 0, cap: int = 200, after=None
 ) -> DataFrame:
     """One page of reports with their diagnoses, one row per diagnosis.
 
     The limit counts reports: it is applied before the join. A report without
-    diagnosis keeps one row. The page (at most ``cap`` rows) is the broadcast side.
+    diagnosis keeps one row. The page (at most ``cap`` rows) is the broadcast side. ``offset`` is bounded as in ``page``; deeper pages start ``after`` the
+    last report of the page before, at the same cost at any depth.
     """
-    if not 0 < limit <= cap:
-        raise ValueError(f"limit must be in 1..{cap}")
-    parents = cut_lineage(reports.orderBy("id_crh").offset(offset).limit(limit))
+    if after is None:
+        parents = cut_lineage(page(reports, ["id_crh"], limit, offset, cap))
+    else:
+        parents = cut_lineage(page_after(reports, "id_crh", after, limit, cap))
     columns = ["type_diag", "code_cim11", *order]
     children = diagnostics.select("id_crh", *columns).join(F.broadcast(parents), "id_crh")
     alone = parents.join(children.select("id_crh").distinct(), "id_crh", "left_anti")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nosoflow.operators import evaluate, hierarchy, pages, quality, relational, reports, terminology, verify
-from nosoflow.operators.scaling import lookup_join
+from nosoflow.operators import evaluate, hierarchy, lookup, pages, prompts, quality, relational, reports, sampling, terminology, verify
+from nosoflow.operators.scaling import cut_lineage, lookup_join
 from nosoflow.sources import readers, writers
 
 ORD = ["ord"]
@@ -92,8 +92,10 @@ def extract_top_roots(spark: SparkSession, csv: str, out: str, top: int = 20) ->
 
 
 def extract_items(spark: SparkSession, stored: str, out: str, base: str, patterns: pages.ItemPatterns = pages.NEWS) -> None:
-    """Items of stored pages as CSV; fails when none is found."""
-    found = pages.page_items(readers.read_pages(spark, stored), "page", "html", patterns, base)
+    """Items of stored pages as CSV; fails when none is found. Pages without a complete item are listed, with the reason, in ``out`` followed by ``_ecarts``."""
+    read = readers.read_pages(spark, stored)
+    writers.write_csv(pages.unrecognised_pages(read, "page", "html", patterns), f"{out.rstrip('/')}_ecarts")
+    found = pages.page_items(read, "page", "html", patterns, base)
     checked = quality.non_empty(found, "structure de page non reconnue")
     writers.write_csv(checked.drop("page", "rang"), out)
 
@@ -146,6 +148,23 @@ def count_postcoordination(
     impossible.join(leaves.withColumnRenamed("id", "root"), "root").select("code").write.mode("overwrite").parquet(f"{out}/impossibles")
 
 
+def generate_prompts(
+    profiles: DataFrame, mapping: DataFrame, postcoord: DataFrame, labels: DataFrame, titles: DataFrame, patient_verdicts: DataFrame,
+    pair_verdicts: DataFrame, judge_group: Callable[[DataFrame], DataFrame], out: str, n: int = 500, drawn: int = 5, batch_rows: int = prompts.BATCH_ROWS, seed: int = 7,
+) -> str:
+    """Prompts of a weighted sample of profiles, numbered in batches, as Parquet in a folder of this run; returns the folder.
+
+    ``profiles`` has ``id``, ``icd10_raw``, ``icd10_sec`` (separated by commas) and the weight ``nb``; ``mapping`` is a translation map (``lookup.translation_map``). Profiles whose main
+    code does not translate to a specific one give no prompt. Verdicts are those of ``prompts.report_prompts``.
+    """
+    sample = cut_lineage(sampling.weighted_sample(profiles, n, "nb", "id", seed))
+    lists = lookup.translate_lists(sample.withColumn("codes", F.split("icd10_sec", ",")), "id", "codes", mapping, "das")
+    usable = cut_lineage(lookup.specific_profiles(lists, "icd10_raw", mapping).select("id", F.col("icd11").alias("code_dp"), "das"))
+    rows = prompts.report_prompts(usable, postcoord, labels, titles, patient_verdicts, pair_verdicts, judge_group, drawn, seed)
+    numbered = prompts.batches(cut_lineage(rows), ["id", "prompt_num"], F.floor(F.col("id") / 1_000_000), batch_rows)
+    return writers.write_run(numbered, out)
+
+
 def validate_corpus(spark: SparkSession, path: str, min_examples: int = 10) -> DataFrame:
     """Broken rules of a JSONL corpus, numbered from line one; no row means valid."""
     lines = readers.number_lines(readers.read_lines(spark, path), 1)

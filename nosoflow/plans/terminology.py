@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nosoflow.operators import quality, relational
 from nosoflow.operators import terminology as t
-from nosoflow.operators.scaling import lookup_join
+from nosoflow.operators.scaling import cut_lineage, lookup_join
 from nosoflow.plans.registry import query
 from nosoflow.plans.views import Inputs
 
@@ -88,15 +88,11 @@ def code_page(i: Inputs) -> DataFrame:
 def code_detail(i: Inputs) -> DataFrame:
     wanted = i("v_term").where(F.col("ord") == 12).select("code")
     unknown = wanted.select(F.lit("INCONNU").alias("code"))
-    wanted = wanted.unionByName(unknown)
-
-    def only_wanted(table: DataFrame) -> DataFrame:
-        return lookup_join(table, wanted, "code", "left_semi")
-
-    # child tables are read for the wanted codes only
-    syn = t.load_synonyms(i("v_syn"), t.icd_map(i("v_map10"), ["ord"]), only_wanted(codes(i)), ORD)
-    postcoord = t.load_postcoord(i("v_pc"), only_wanted(codes(i)), ORD)
-    return t.code_detail(wanted, codes(i), syn, postcoord)
+    wanted = cut_lineage(wanted.unionByName(unknown))
+    # terms, mapping and child tables are cut down to the wanted codes before anything is ordered or joined
+    loaded = cut_lineage(t.load_codes(lookup_join(i("v_term"), wanted, "code", "left_semi"), ["ord"]))
+    mapping = t.icd_map(t.mapping_of(i("v_map10"), loaded), ["ord"])
+    return t.code_detail(wanted, loaded, t.load_synonyms(i("v_syn"), mapping, loaded, ORD), t.load_postcoord(i("v_pc"), loaded, ORD))
 
 
 @query(f"WITH {CODES} SELECT code, libelle, type FROM codes")

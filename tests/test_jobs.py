@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from nosoflow.plans import jobs
 
@@ -41,6 +42,8 @@ def test_items_job_fails_on_drift(spark, tmp_path):
     assert "https://h/a" in written and "date_iso,date_affichee,titre,chapo,url" in written
     with pytest.raises(Exception, match="structure de page"):
         jobs.extract_items(spark, put(tmp_path / "q.html", "<p>refondu</p>"), str(tmp_path / "out2"), "https://h")
+    assert [r.erreur for r in spark.read.csv(str(tmp_path / "out2_ecarts"), header=True).collect()] == ["structure de page non reconnue"]
+    assert spark.read.csv(str(tmp_path / "out_ecarts"), schema="page string, erreur string", header=True).collect() == []
 
 
 def test_dictionary_job(spark, tmp_path):
@@ -78,3 +81,21 @@ def test_count_job(spark, tmp_path):
     assert rows == [("A1", "01 - tc1", 2, 3, 7), ("A2", "01 - tc1", 0, 0, 0)]
     jobs.count_postcoordination(spark, path, titles, "https://h/root", str(tmp_path / "o2"), 2)
     assert [r.code for r in spark.read.parquet(str(tmp_path / "o2" / "impossibles")).collect()] == ["A1"]
+
+
+def test_prompt_job(spark, tmp_path):
+    profiles = spark.createDataFrame([(i, "A00" if i % 2 else "Q99", "B00,A00" if i % 3 else None, 1 + i % 4) for i in range(40)], "id bigint, icd10_raw string, icd10_sec string, nb int")
+    mapping = spark.createDataFrame([("A00", "1A00"), ("B00", "1F00")], "icd10_norm string, icd11 string")
+    postcoord = spark.createDataFrame([("1A00", f"1A00&X{k}") for k in range(4)], "code_racine string, code_postcoord string")
+    labels = spark.createDataFrame([(f"1A00&X{k}", f"forme {k}") for k in range(4)], "code_postcoord string, libelle string")
+    titles = spark.createDataFrame([("1A00", "choléra"), ("1F00", "herpès")], "code string, libelle string")
+    patients = spark.createDataFrame([(1, "1A00&X0", "NON")], "id bigint, code string, verdict string")
+    pairs = spark.createDataFrame([("1A00", "1F00", "NON")], "code_dp string, code string, verdict string")
+    none = lambda das: das.select("id").distinct().withColumn("verdict", F.lit("Aucun"))
+    folder = jobs.generate_prompts(profiles, mapping, postcoord, labels, titles, patients, pairs, none, str(tmp_path / "p"), 40, 3, 10)
+    rows = spark.read.parquet(folder).collect()
+    assert "run_id=" in folder and {r.id for r in rows} == {i for i in range(40) if i % 2}
+    assert all(r.code.startswith("1A00&X") and r.libelle == "forme " + r.code[-1] for r in rows) and not any(r.id == 1 and r.code == "1A00&X0" for r in rows)
+    assert all("herpès" not in r.texte_das and ("1A00" in r.texte_das) == (r.id % 3 > 0) for r in rows)
+    order = sorted((r.id, r.prompt_num, r.lot) for r in rows)
+    assert [x[2] for x in order] == [n // 10 for n in range(len(order))]

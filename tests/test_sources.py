@@ -114,3 +114,20 @@ def test_scorer_runs_per_batch(spark):
 
     got = {r.id: (r.dp.code if r.dp else None, r.das, r.modele) for r in score_reports(df, "id", "t", make, "essai").collect()}
     assert got == {1: ("MD12", [], "essai"), 2: (None, [], "essai")}
+
+
+def test_each_report_has_its_own_latency(spark):
+    def make():
+        import time
+
+        def score(texts):
+            time.sleep(0.2 if "lent" in set(texts) else 0.0)
+            return texts.map(lambda t: "aucun")
+
+        return score
+
+    df = spark.createDataFrame([(i, "lent" if i == 3 else "vite") for i in range(6)], "id int, t string").coalesce(1)
+    alone = {r.id: r.latence_ms for r in score_reports(df, "id", "t", make, "essai").collect()}
+    assert alone[3] >= 200 and all(v < 150 for i, v in alone.items() if i != 3)
+    together = [r.latence_ms for r in score_reports(df, "id", "t", make, "essai", 6).collect()]
+    assert len(set(together)) == 1 and together[0] >= 200
