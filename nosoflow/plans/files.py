@@ -7,11 +7,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nosoflow.operators import relational
 from nosoflow.operators.scaling import work_folder
 from nosoflow.plans import jobs
 from nosoflow.plans.registry import query
 from nosoflow.plans.views import Inputs
-from nosoflow.sources import readers, writers
+from nosoflow.sources import manifests, readers, writers
 from nosoflow.streaming.jobs import batch_folder, read_files, run_batches
 
 # Values with a line break, a separator, doubled quotes, or nothing.
@@ -85,3 +86,23 @@ def resumed_batches(i: Inputs) -> DataFrame:
 def page_dates(i: Inputs) -> DataFrame:
     """The date part of the first timestamp of each page."""
     return i.table("pages").select("page_id", F.substring(F.regexp_extract("html", "[0-9]{4}-[0-9]{2}-[0-9]{2}T?[0-9:]*", 0), 1, 10).alias("date"))
+
+
+@query("""SELECT 'patient_fictif' AS table_name, (SELECT count(*) FROM customer WHERE c_custkey % 50 <> 7) AS n
+    UNION ALL SELECT 'sejour', (SELECT count(*) FROM orders WHERE o_custkey % 50 <> 7)
+    UNION ALL SELECT 'crh', (SELECT count(*) FROM orders WHERE o_custkey % 50 <> 7)
+    UNION ALL SELECT 'diagnostic', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 7))""")
+def file_erase(i: Inputs) -> DataFrame:
+    """Patients erased from tables of files; only the files that hold them or their stays, reports and diagnoses are rewritten."""
+    base = work_folder(i.spark, "base")
+    orders = i.table("orders")
+    tables = {
+        "patient_fictif": i.table("customer").select(F.col("c_custkey").alias("id_patient")),
+        "sejour": orders.select(F.col("o_orderkey").alias("id_sejour"), F.col("o_custkey").alias("id_patient")),
+        "crh": orders.select(F.col("o_orderkey").alias("id_crh"), F.col("o_orderkey").alias("id_sejour")),
+        "diagnostic": i.table("lineitem").select(F.col("l_orderkey").alias("id_crh"), F.col("l_linenumber").alias("rang"))}
+    schemas = {name: table.schema for name, table in tables.items()}
+    manifests.create(tables, base)
+    manifests.erase_patients(i.spark, base, tables["patient_fictif"].where("id_patient % 50 = 7"), schemas)
+    left = {name: manifests.read(i.spark, base, name, schema) for name, schema in schemas.items()}
+    return relational.table_counts(left).withColumnRenamed("n_rows", "n")
