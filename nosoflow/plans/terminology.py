@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nosoflow.operators import quality, relational
+from nosoflow.operators import quality, relational, textindex
 from nosoflow.operators import terminology as t
-from nosoflow.operators.scaling import cut_lineage, lookup_join
+from nosoflow.operators.scaling import cut_lineage, lookup_join, work_folder
 from nosoflow.plans.registry import query
 from nosoflow.plans.views import Inputs
 
@@ -73,6 +73,14 @@ def code_search(i: Inputs) -> DataFrame:
     return relational.page(relational.search(codes(i), "libelle", "R_d"), ["code"], 50, 10)
 
 
+@query(f"WITH {CODES} SELECT code, libelle, type FROM codes WHERE libelle ILIKE '%blu% ro%'")
+def indexed_code_search(i: Inputs) -> DataFrame:
+    """All matches, by the index of the labels' trigrams."""
+    loaded, path = cut_lineage(codes(i)), work_folder(i.spark, "index")
+    textindex.build(loaded, "code", "libelle", path)
+    return textindex.indexed_search(loaded, "code", "libelle", "blu% ro", path)
+
+
 @query(f"WITH {CODES} SELECT code, libelle, type FROM codes ORDER BY code LIMIT 100 OFFSET 20")
 def code_page(i: Inputs) -> DataFrame:
     return relational.page(relational.search(codes(i), "libelle", None), ["code"], 100, 20)

@@ -21,8 +21,8 @@ from nosoflow.operators.scaling import lookup_join, ordinals
 BATCH = "lot"
 GROUP = "groupe"
 
-#: Models are dealt to so many groups; only the tails of groups that a batch touches are read and rewritten.
-TAIL_GROUPS = 64
+#: Models of a batch for each group of tails, of which there are 2^LEAST_LEVEL at least; only the groups that a batch touches are read and rewritten.
+GROUP_MODELS, LEAST_LEVEL = 16, 6
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -82,18 +82,30 @@ def compact_windows(spark: SparkSession, out: str, target: str, by: Sequence[str
     latest_windows(spark, out, by).write.mode("overwrite").parquet(batch_folder(target, -1))
 
 
-def _newest_tails(spark: SparkSession, tails: str, number: int) -> dict[int, int]:
-    """Last batch before ``number`` that wrote the tails of each group; from folder names, no file is read."""
+def _newest_tails(spark: SparkSession, tails: str, number: int) -> dict[tuple[int, int], int]:
+    """Last batch before ``number`` that wrote each group (level, group) of tails; from folder names, no file is read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{tails}/{BATCH}=*/{GROUP}=*")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    newest: dict[int, int] = {}
+    newest: dict[tuple[int, int], int] = {}
     for status in found:
-        batch, group = (int(x.split("=")[1]) for x in status.getPath().toString().split("/")[-2:])
-        if batch < number:
-            newest[group] = max(newest.get(group, -1), batch)
+        batch, group = (x.split("=")[1] for x in status.getPath().toString().split("/")[-2:])
+        level, place = (int(x) for x in group.split("-"))
+        if int(batch) < number:
+            newest[level, place] = max(newest.get((level, place), -1), int(batch))
     return newest
 
 
+def _tail_folders(newest: dict[tuple[int, int], int], tails: str, level: int, touched: list[int]) -> list[str]:
+    """Folder with the newest tails of each touched group. A group that no batch has written at this level is part of one of a lower level, whose file is read instead."""
+    folders = {}
+    for place in touched:
+        known = [(newest[k, place % (1 << k)], k) for k in range(level + 1) if (k, place % (1 << k)) in newest]
+        if known:
+            batch, k = max(known)
+            folders[f"{batch_folder(tails, batch)}/{GROUP}={k}-{place % (1 << k)}"] = None
+    return list(folders)
+
+
 def roll_latency(
     predictions: DataFrame, out: str, tails: str, checkpoint: str, by: Sequence[str], ts: str, event: str, latency: str,
     rows: int = monitor.WINDOW_ROWS,
@@ -101,10 +113,10 @@ def roll_latency(
     """Rolling mean and p95 over the last ``rows`` answers of each model, across micro-batches.
 
     Between batches only the last ``rows - 1`` answers per model are kept, as small tables by group of models; a batch reads and writes
-    those of its own groups only. It is the batch operator over these tails and the new rows, so a busy model is spread over chunks
+    those of its own groups only. The number of groups follows the models: it doubles when a batch has more than ``GROUP_MODELS`` for each, and a group is then split
+    when it is next touched. It is the batch operator over these tails and the new rows, so a busy model is spread over chunks
     instead of living in one state. A tail that a later batch has replaced is no longer read and may be deleted.
     """
-    group = F.pmod(F.xxhash64(*by), F.lit(TAIL_GROUPS)).cast("int")
 
     def step(batch: DataFrame, number: int) -> None:
         keep = [*by, ts, event, "_ms", "_arrival"]
@@ -112,11 +124,15 @@ def roll_latency(
             "_ms": monitor.exact_latency(F.col(latency)), "_arrival": F.lit(0).cast("bigint")})
         fresh = fresh.select(*keep).persist()
         both = fresh.withColumn("_new", F.lit(True))
-        touched = [r.g for r in fresh.select(group.alias("g")).distinct().collect()]
         newest = _newest_tails(batch.sparkSession, tails, number)
-        if paths := [f"{batch_folder(tails, newest[g])}/{GROUP}={g}" for g in touched if g in newest]:
-            tail = batch.sparkSession.read.parquet(*paths)
-            both = both.unionByName(tail.select(*keep).withColumn("_new", F.lit(False)))
+        models = fresh.select(*by).distinct().persist()
+        level = max([k for k, _ in newest] + [LEAST_LEVEL, (max(models.count() - 1, 0) // GROUP_MODELS).bit_length()])
+        group = F.pmod(F.xxhash64(*by), F.lit(1 << level)).cast("int")
+        touched = [r.g for r in models.select(group.alias("g")).distinct().collect()]  # a group for some models, as folder names
+        if paths := _tail_folders(newest, tails, level, touched):
+            tail = batch.sparkSession.read.parquet(*paths).select(*keep).withColumn("_new", F.lit(False))
+            # a folder of a lower level holds models of groups that this batch does not touch: their tails stay there
+            both = both.unionByName(lookup_join(tail.withColumn("_g", group), models.select(group.alias("_g")).distinct(), "_g", "left_semi").drop("_g"))
         # the tail comes first, in the order in which it was counted; a late row counts when it arrives
         slices = F.when(F.col("_new"), monitor.minutes(both, ts)).otherwise(F.lit(-(2**62)))
         order = ["_new", "_arrival", ts, event]
@@ -125,10 +141,10 @@ def roll_latency(
         result = monitor.finish_rolling(rolled).drop("_new", "_arrival", "position")
         result.write.mode("overwrite").parquet(batch_folder(out, number))
         last = first_per_key(numbered, by, [F.desc("position")], rows - 1)
-        last = last.withColumn("_arrival", F.col("position")).select(*keep, group.alias(GROUP))
+        last = last.withColumn("_arrival", F.col("position")).select(*keep, F.concat(F.lit(f"{level}-"), group.cast("string")).alias(GROUP))
         last.write.mode("overwrite").partitionBy(GROUP).parquet(batch_folder(tails, number))
-        numbered.unpersist()
-        fresh.unpersist()
+        for frame in (numbered, models, fresh):
+            frame.unpersist()
 
     return run_batches(predictions, checkpoint, step)
 

@@ -202,6 +202,22 @@ def test_the_tail_of_an_idle_model_is_left_alone(spark, folders):
     assert {r.event_id: (r.fenetre_glissante, r.latence_moyenne_ms, r.latence_p95_ms) for r in got} == expected_rolling(batches, 20)
 
 
+def test_groups_of_tails_follow_the_models(spark, folders, monkeypatch):
+    """More models, more groups: tails written before are still found, and a group is split when it is touched."""
+    monkeypatch.setattr(jobs, "GROUP_MODELS", 2)
+    monkeypatch.setattr(jobs, "LEAST_LEVEL", 0)
+    batches = []
+    for k, models in enumerate([[1, 2], list(range(1, 30)), [3], [1, 2, 29], list(range(20, 40))]):
+        rows = [(1000 * k + n, START + dt.timedelta(hours=k, seconds=n), models[n % len(models)], float(n), False, False, "t") for n in range(120)]
+        batches.append(rows)
+        write(spark, rows, folders["in"], k)
+        jobs.roll_latency(source(spark, folders), folders["out"], folders["tails"], folders["state"], ["model_id"], "ts", "event_id", "latence_ms", 9)
+    got = spark.read.parquet(folders["out"]).collect()
+    assert {r.event_id: (r.fenetre_glissante, r.latence_moyenne_ms, r.latence_p95_ms) for r in got} == expected_rolling(batches, 9)
+    groups = {r.lot: {g.split("-")[0] for g in r.g} for r in spark.read.parquet(folders["tails"]).groupBy("lot").agg(F.collect_set("groupe").alias("g")).collect()}
+    assert groups == {0: {"0"}, 1: {"4"}, 2: {"4"}, 3: {"4"}, 4: {"4"}}
+
+
 def test_compacted_windows_are_the_newest(spark, folders):
     write(spark, [(1, START, 1, 1.0, False, False, "t")], folders["in"], 0)
     for k in range(1, 3):
