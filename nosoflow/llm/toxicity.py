@@ -29,7 +29,7 @@ from nosoflow.llm.common import estimated_bytes, id_crc, make_room, mixed, piece
 
 #: Expected number of labelled rows learned from, for each label, drawn by a hash of their ids, and of the characters that they hold at most.
 FIT_ROWS = 20_000
-FIT_CHARS = 20_000_000
+FIT_CHARS = 12_000_000
 #: Share of a toxic text's words that the toxic model explains.
 MIXED = 0.01
 THRESHOLD = 0.3
@@ -43,19 +43,21 @@ _FIRST = np.int64(-1)
 class Numbers(dict):
     """Number of each word: its place among the sorted hashes of a vocabulary, or, for any other word, a negative number of 62 bits of its hash.
 
-    Words of the vocabulary are remembered; others, which are many and rare, are not.
+    The first ``limit`` words of the vocabulary that come are remembered, so the frequent ones are; others, which are many and rare, are looked up each time.
     """
 
-    def __init__(self, vocabulary: np.ndarray):
+    def __init__(self, vocabulary: np.ndarray, limit: int = 200_000):
         super().__init__()
         make_room()
+        self.limit = limit
         self.known = memoryview(np.ascontiguousarray(vocabulary))
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         at = bisect_left(self.known, value)
         if at < len(self.known) and self.known[at] == value:
-            self[word] = at
+            if len(self) < self.limit:
+                self[word] = at
             return at
         return -2 - (value >> 2)
 
@@ -126,7 +128,9 @@ class Model:
         return np.log1p(MIXED * np.expm1(self.pair_gain.astype(np.float32)))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "_mixed_words", "_mixed_pairs")}
+        """Workers get what texts are measured with, not the log ratios that this comes from."""
+        state = {k: v for k, v in self.__dict__.items() if k != "numbers"}
+        return {**state, "word_gain": None, "pair_gain": None, "_mixed_words": self._mixed_words, "_mixed_pairs": self._mixed_pairs}
 
     def measured(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text the mixture's log-likelihood less the ordinary one, and the toxic one less the ordinary one, per word; 0 without words."""
@@ -267,7 +271,7 @@ def _pair_counts(rows: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, n
             yield pa.record_batch([pa.array(pair), *map(pa.array, counts)], names=["pair", "c0", "c1"])
 
     names = ["bucket", "n", "keys", "befores"]
-    dealt = rows.select("text", "toxic").mapInArrow(deal, "bucket int, n bigint, keys binary, befores binary").repartition(buckets, "bucket")
+    dealt = rows.select("text", "toxic").mapInArrow(deal, "bucket int, n bigint, keys binary, befores binary").repartitionById(buckets, "bucket")
     found = stored(dealt.mapInArrow(count, "pair bigint, c0 int, c1 int"), "pairs").toArrow()
     shared.destroy()
     order = np.argsort(found.column("pair").to_numpy())
@@ -336,7 +340,7 @@ def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, common: np.ndarray)
 
     names = ["bucket", "n", "keys", "m", "rights", "hashes"]
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, n bigint, keys binary, m bigint, rights binary, hashes binary").repartition(buckets, "bucket")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, n bigint, keys binary, m bigint, rights binary, hashes binary").repartitionById(buckets, "bucket")
     rows = dealt.mapInArrow(count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     shared.destroy()
     sums = np.zeros(size + 1, np.int64)
