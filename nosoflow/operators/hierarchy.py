@@ -16,7 +16,7 @@ from nosoflow.functions import bignum
 from nosoflow.functions.text import https, last_segment
 from nosoflow.operators import intervals
 from nosoflow.operators.relational import first_per_key
-from nosoflow.operators.scaling import concat_all, cut_lineage, lookup_join, rows_fit_broadcast
+from nosoflow.operators.scaling import Keep, checkpointed, concat_all, cut_lineage, lookup_join, rows_fit_broadcast
 
 # Node visits of a climb, values above which an axis is too large, axes never counted.
 MAX_VISITS = 15
@@ -110,15 +110,15 @@ def tree_axis_sizes(axes: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
     return _range_sizes(axes, intervals.label(nodes, edges))
 
 
-def countable_axes(axes: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = MAX_AXIS_VALUES) -> Countable:
+def countable_axes(axes: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = MAX_AXIS_VALUES, keep: Keep = checkpointed) -> Countable:
     """Drop the roots with an axis above ``limit`` before any value, pair or product of theirs is built.
 
     Axes are counted by the ranges of their starts; only starts of axes that stay are taken apart into values, once for all axes that share them.
     """
-    tree = intervals.label(nodes, edges)
-    sizes = cut_lineage(_range_sizes(axes, tree))
-    impossible = cut_lineage(oversize_roots(sizes, limit).select("root"))
-    left = cut_lineage(lookup_join(axes.select("root", "axe", "allow_multiple", "start_id").distinct(), impossible, "root", "left_anti"))
+    tree = intervals.label(nodes, edges, keep)
+    sizes = keep(_range_sizes(axes, tree), "tailles")
+    impossible = keep(oversize_roots(sizes, limit).select("root"), "impossibles")
+    left = keep(lookup_join(axes.select("root", "axe", "allow_multiple", "start_id").distinct(), impossible, "root", "left_anti"), "axes")
     return Countable(left, lookup_join(sizes, impossible, "root", "left_anti"), _reached(left, tree, None)[0], impossible)
 
 
@@ -129,22 +129,22 @@ def chapter_labels(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
     return titled.select("id", F.format_string("%02d - %s", "pos", F.coalesce("title", default)).alias("chapitre"))
 
 
-def chapters(nodes: DataFrame, first_parents: DataFrame, labels: DataFrame, max_visits: int = MAX_VISITS) -> DataFrame:
+def chapters(nodes: DataFrame, first_parents: DataFrame, labels: DataFrame, max_visits: int = MAX_VISITS, keep: Keep = checkpointed) -> DataFrame:
     """Chapter of every node: the nearest labelled node up its first parents.
 
     Instead of climbing from every node, which sends all rows to the few top nodes, the
     labels walk down: each node is reached once, over ``max_visits - 1`` levels at most.
-    ``first_parents`` has ``child`` (unique) and ``parent``.
+    ``first_parents`` has ``child`` (unique) and ``parent``. With ``scaling.Rounds`` as ``keep``, finished levels are not walked again.
     """
     below = first_parents.select("child", F.col("parent").alias("id"))
     links = _Links(below.join(labels.select(F.col("id").alias("child")), "child", "left_anti"))
-    level = cut_lineage(labels.select("id", "chapitre"))
+    level = keep(labels.select("id", "chapitre"), "niveau-1")
     levels = [level]
-    for _ in range(max_visits - 1):
+    for visit in range(2, max_visits + 1):
         rows = level.count()
         if rows == 0:
             break
-        level = cut_lineage(links.step(level, rows).select(F.col("child").alias("id"), "chapitre"))
+        level = keep(links.step(level, rows).select(F.col("child").alias("id"), "chapitre"), f"niveau-{visit}")
         levels.append(level)
     known = nodes.select("id").join(concat_all(levels), "id", "left")
     return known.select("id", F.coalesce("chapitre", F.lit(UNKNOWN_CHAPTER)).alias("chapitre"))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nosoflow.operators.scaling import cut_lineage, lookup_join, ordinals
+from nosoflow.operators.scaling import Keep, checkpointed, cut_lineage, lookup_join, ordinals
 
 #: Places of a range that one row is taken apart into at a time.
 CHUNK = 10_000
@@ -35,67 +35,69 @@ def _open(rows: DataFrame) -> int:
     return rows.where("up IS NOT NULL").count()
 
 
-def _paths(parents: DataFrame) -> tuple[DataFrame, bool]:
+def _paths(parents: DataFrame, keep: Keep, name: str) -> tuple[DataFrame, bool]:
     """id, up, path: the nodes from the top to each node; and whether some lead into a loop, which have no top.
 
     Each round doubles the length of the paths, so there are as many as the logarithm of the depth. While nodes are left that have a top, a round completes some.
     """
-    rows = cut_lineage(parents.select("id", "up", F.array("id").alias("path")))
+    rows, number = keep(parents.select("id", "up", F.array("id").alias("path")), f"{name}-0"), 0
     left = _open(rows)
     while left:
+        number += 1
         above = rows.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
         longer = lookup_join(rows.where("up IS NOT NULL"), above, "up", "inner")
         longer = longer.select("id", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"))
-        rows = cut_lineage(rows.where("up IS NULL").unionByName(longer))
+        rows = keep(rows.where("up IS NULL").unionByName(longer), f"{name}-{number}")
         before, left = left, _open(rows)
         if left == before:
             return rows, True
     return rows, False
 
 
-def _loop_heads(parents: DataFrame, stuck: DataFrame) -> DataFrame:
+def _loop_heads(parents: DataFrame, stuck: DataFrame, keep: Keep) -> DataFrame:
     """id: the least node of every loop that the nodes ``stuck`` lead into."""
-    rows = cut_lineage(parents.join(stuck.select("id"), "id", "left_semi").select("id", "up", F.col("id").alias("least")))
+    rows = keep(parents.join(stuck.select("id"), "id", "left_semi").select("id", "up", F.col("id").alias("least")), "boucles-1")
     steps, count = 1, rows.count()
     while steps < count:
         above = rows.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("least").alias("_least"))
-        rows = cut_lineage(lookup_join(rows, above, "up", "inner").select("id", F.col("_up").alias("up"), F.least("least", "_least").alias("least")))
         steps *= 2
+        rows = keep(lookup_join(rows, above, "up", "inner").select("id", F.col("_up").alias("up"), F.least("least", "_least").alias("least")), f"boucles-{steps}")
     inside = rows.select(F.col("up").alias("id")).distinct()
     return rows.join(inside, "id", "left_semi").select(F.col("least").alias("id")).distinct()
 
 
-def label(nodes: DataFrame, edges: DataFrame) -> Intervals:
+def label(nodes: DataFrame, edges: DataFrame, keep: Keep = checkpointed) -> Intervals:
     """Ranges of all nodes (``id`` unique, ``code``) under ``edges`` (``parent, child``).
 
-    Edges with an unknown end, repeated ones and edges from a node to itself change nothing. Paths are as long as the tree is deep; each node has one.
+    Edges with an unknown end, repeated ones and edges from a node to itself change nothing. Paths are as long as the tree is deep; each node has one. With
+    ``scaling.Rounds`` as ``keep``, a start after a failure goes on at the last finished round.
     """
     ids = nodes.select("id")
     links = edges.select("parent", "child").where("parent <> child").distinct()
     for end in ("parent", "child"):
         links = lookup_join(links, ids.withColumnRenamed("id", end), end, "left_semi")
-    links = cut_lineage(links)
+    links = keep(links, "liens")
     first = links.groupBy("child").agg(F.min("parent").alias("up")).withColumnRenamed("child", "id")
-    parents = cut_lineage(ids.join(first, "id", "left"))
-    paths, looped = _paths(parents)
+    parents = keep(ids.join(first, "id", "left"), "parents")
+    paths, looped = _paths(parents, keep, "chemins")
     if looped:
-        cut = _loop_heads(parents, paths.where("up IS NOT NULL")).withColumn("_cut", F.lit(True))
-        parents = cut_lineage(parents.join(cut, "id", "left").select("id", F.when(F.col("_cut").isNull(), F.col("up")).alias("up")))
-        paths, _ = _paths(parents)
+        cut = _loop_heads(parents, paths.where("up IS NOT NULL"), keep).withColumn("_cut", F.lit(True))
+        parents = keep(parents.join(cut, "id", "left").select("id", F.when(F.col("_cut").isNull(), F.col("up")).alias("up")), "arbres")
+        paths, _ = _paths(parents, keep, "chemins-arbres")
 
     named = paths.select("id", "path").join(nodes.select("id", "code"), "id")
-    dealt = cut_lineage(named.repartitionByRange("path").withColumn("_part", F.spark_partition_id()))
-    ordered = cut_lineage(ordinals(dealt, ["path"], F.col("_part"), name="place").drop("_part"))
+    dealt = keep(named.repartitionByRange("path").withColumn("_part", F.spark_partition_id()), "tries")
+    ordered = keep(ordinals(dealt, ["path"], F.col("_part"), name="place").drop("_part"), "rangs")
     ranges = ordered.select("place", "code", F.explode("path").alias("id")).groupBy("id").agg(
         F.min("place").alias("low"), F.count(F.lit(1)).alias("n"), F.count("code").alias("n_coded"))
-    spans = cut_lineage(ranges.join(ordered.select("id", "path"), "id"))
+    spans = keep(ranges.join(ordered.select("id", "path"), "id"), "plages")
 
     kept = parents.where("up IS NOT NULL").select(F.col("id").alias("child"), F.col("up").alias("parent"))
     others = links.join(kept, ["parent", "child"], "left_anti")
     tails = others.join(spans.select(F.col("id").alias("parent"), "path"), "parent").select("child", F.explode("path").alias("id"))
     tops = spans.select(F.col("id").alias("child"), F.col("path").alias("_path"))
     heads = tails.join(tops, "child").where(~F.array_contains("_path", F.col("id"))).select("id", F.col("child").alias("head")).distinct()
-    heads = cut_lineage(heads)
+    heads = keep(heads, "renvois")
     return Intervals(ordered.select("place", "id", "code"), spans, heads, not heads.isEmpty())
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -155,5 +155,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Rounds of a walk kept under a run's name: a second start reads those that were finished and goes on with the next one.
+
+    A round is finished once Spark has marked its folder (``_SUCCESS``); a folder without the mark is written again. The inputs must be the same at every start.
+    ``computed`` names the rounds that this start has made.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.computed: list[str] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark):
+            df.write.mode("overwrite").parquet(path)
+            self.computed.append(name)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """A round that is not kept beyond the application."""
+    return cut_lineage(df)
+
+
 def concat_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

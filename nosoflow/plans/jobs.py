@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nosoflow.operators import evaluate, hierarchy, lookup, pages, prompts, quality, relational, reports, sampling, terminology, verify
-from nosoflow.operators.scaling import cut_lineage, lookup_join
+from nosoflow.operators.scaling import Rounds, checkpointed, cut_lineage, lookup_join
 from nosoflow.sources import readers, writers
 
 ORD = ["ord"]
@@ -119,12 +119,14 @@ def verify_responses(spark: SparkSession, batches: str, roots: DataFrame, extens
 
 
 def count_postcoordination(
-    spark: SparkSession, nodes_path: str, titles: DataFrame, root_uri: str, out: str, max_values: int = hierarchy.MAX_AXIS_VALUES
+    spark: SparkSession, nodes_path: str, titles: DataFrame, root_uri: str, out: str, max_values: int = hierarchy.MAX_AXIS_VALUES, run: str | None = None
 ) -> None:
     """Pairs and combinations of every leaf code, per code and per chapter, and the roots with an oversize axis.
 
-    ``titles`` has ``code``, ``uri`` of the official titles.
+    ``titles`` has ``code``, ``uri`` of the official titles. ``run`` names a folder for the rounds of the walks: started again with it after a failure, the job goes on
+    at the last finished round.
     """
+    keep = Rounds(spark, run) if run else checkpointed
     documents = readers.read_nodes(spark, nodes_path)
     nodes = documents.select(
         readers.https(F.col("uri")).alias("id"), "code", F.col("title").getField("@value").alias("title"))
@@ -135,10 +137,10 @@ def count_postcoordination(
 
     axes = hierarchy.axes_of_nodes(documents).join(leaves.select(F.col("id").alias("uri")), "uri", "left_semi").select(
         F.col("uri").alias("root"), F.col("axe_nom").alias("axe"), "allow_multiple", F.col("start_uri").alias("start_id"))
-    kept = hierarchy.countable_axes(axes, nodes, edges, max_values)
+    kept = hierarchy.countable_axes(axes, nodes, edges, max_values, keep)
     values, impossible = hierarchy.axis_values(kept.axes, kept.reached), kept.impossible
     labels = hierarchy.chapter_labels(readers.ranked_children(documents, root_uri), nodes)
-    chapter = hierarchy.chapters(nodes, readers.first_parents(documents), labels)
+    chapter = hierarchy.chapters(nodes, readers.first_parents(documents), labels, keep=keep)
     roots = leaves.select(F.col("id").alias("root")).join(impossible, "root", "left_anti")
     summary = hierarchy.root_summary(roots, hierarchy.root_pairs(values), hierarchy.combinations(kept.sizes), chapter)
     summary = summary.join(leaves.select(F.col("id").alias("root"), "code"), "root").drop("root")

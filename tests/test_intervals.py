@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from nosoflow.operators import hierarchy, intervals
+from nosoflow.operators import hierarchy, intervals, scaling
 
 
 def brute(start, known, children):
@@ -71,17 +71,58 @@ def test_a_loop_alone_and_two_loops_that_meet(spark):
 def test_long_ranges_are_taken_apart_in_chunks_and_a_chain_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(intervals, "CHUNK", 7)
     rounds = []
-    real = intervals.cut_lineage
-    monkeypatch.setattr(intervals, "cut_lineage", lambda df: rounds.append(1) or real(df))
     names = [f"n{i:03d}" for i in range(120)]
     nodes, edges = frames(spark, {n: n for n in names}, list(zip(names, names[1:])), "string")
-    tree = intervals.label(nodes, edges)
+    tree = intervals.label(nodes, edges, lambda df, name: rounds.append(name) or scaling.cut_lineage(df))
     assert len(rounds) < 16
     starts = spark.createDataFrame([("n000",), ("n100",)], "start_id string")
     rows = intervals.members(intervals.ranges_of(starts, tree), ["start_id"], tree)
     assert sorted((r.start_id, r.id) for r in rows.collect()) == [("n000", n) for n in names] + [("n100", n) for n in names[100:]]
 
 
+def test_a_second_start_goes_on_at_the_last_finished_round(spark, tmp_path):
+    known, links = graph(1)
+    nodes, edges = frames(spark, known, links + [(7, 2), (2, 7)])
+    starts = nodes.select(F.col("id").alias("start_id"))
+    whole = scaling.Rounds(spark, f"file://{tmp_path}/whole")
+    tree = intervals.label(nodes, edges, whole)
+    want = sorted(map(tuple, intervals.members(intervals.ranges_of(starts, tree), ["start_id"], tree).na.fill("").collect()))
+    assert len(whole.computed) > 6
+
+    class Lost(Exception):
+        pass
+
+    done: list[str] = []
+    for finished in range(0, len(whole.computed), 2):  # killed after two more rounds each time
+        rounds = scaling.Rounds(spark, f"file://{tmp_path}/killed")
+
+        def keep(df, name, rounds=rounds):
+            if len(rounds.computed) == 2:
+                raise Lost
+            return rounds(df, name)
+
+        try:
+            tree = intervals.label(nodes, edges, keep)
+        except Lost:
+            pass
+        done += rounds.computed
+    last = scaling.Rounds(spark, f"file://{tmp_path}/killed")
+    tree = intervals.label(nodes, edges, last)
+    assert done == whole.computed and last.computed == []  # no round was made twice
+    assert sorted(map(tuple, intervals.members(intervals.ranges_of(starts, tree), ["start_id"], tree).na.fill("").collect())) == want
+
+
+def test_chapters_go_on_at_the_last_finished_level(spark, tmp_path):
+    nodes = spark.createDataFrame([(i, f"t{i}") for i in range(12)], "id int, title string")
+    parents = spark.createDataFrame([(i, i - 1) for i in range(2, 12)], "child int, parent int")
+    labels = spark.createDataFrame([(1, "01 - t1")], "id int, chapitre string")
+    first, second = (scaling.Rounds(spark, f"file://{tmp_path}/walk") for _ in range(2))
+    hierarchy.chapters(nodes, parents, labels, 4, first)
+    found = {r.id: r.chapitre for r in hierarchy.chapters(nodes, parents, labels, 8, second).collect()}
+    assert first.computed == [f"niveau-{k}" for k in range(1, 5)] and second.computed == [f"niveau-{k}" for k in range(5, 9)]
+    assert found[8] == "01 - t1" and found[9] == found[0] == hierarchy.UNKNOWN_CHAPTER
+
+
 def test_empty_tables(spark):
     nodes, edges = frames(spark, {1: "a"}, [(1, 1)])
     tree = intervals.label(nodes.limit(0), edges)
