@@ -18,6 +18,7 @@ BATCH_ROWS = 100
 SINGLE_RULE = "NotAllowed = une seule valeur autorisée"
 MULTIPLE_RULE = "AllowAlways = plusieurs valeurs autorisées simultanément"
 PROMPT_HEAD = "CODE RACINE À POST-COORDONNER\nCode    : %s\nLibellé : %s\n\nAXES DE POST-COORDINATION DISPONIBLES (%s) :\n\n"
+AXIS_HEAD, AXIS_RULE, AXIS_LIST, AXIS_REST = "AXE ", "\n  Règle : ", "\n  Codes d'extension autorisés (%s) :\n", "    ... (%s autres codes non listés)\n"
 PROMPT_TAIL = (
     "TÂCHE : génère jusqu'à 100 codes post-coordonnés RÉALISTES pour ce code racine.\n"
     "CONTRAINTE : utilise UNIQUEMENT les codes d'extension listés ci-dessus.\n"
@@ -43,11 +44,11 @@ def axis_prompts(values: DataFrame, sizes: DataFrame, labels: DataFrame, listed:
         rule = F.when(axis["allow_multiple"] == "NotAllowed", F.lit(SINGLE_RULE)).otherwise(F.lit(MULTIPLE_RULE))
         rest = F.when(
             axis["n"] > listed,
-            F.concat(F.lit("    ... ("), (axis["n"] - listed).cast("string"), F.lit(" autres codes non listés)\n")),
+            F.format_string(AXIS_REST, (axis["n"] - listed).cast("string")),
         ).otherwise(F.lit(""))
         return F.concat(
-            F.lit("AXE "), (index + 1).cast("string"), F.lit(" — "), axis["axe"], F.lit("\n  Règle : "), rule,
-            F.lit("\n  Codes d'extension autorisés ("), axis["n"].cast("string"), F.lit(") :\n"),
+            F.lit(AXIS_HEAD), (index + 1).cast("string"), F.lit(" — "), axis["axe"], F.lit(AXIS_RULE), rule,
+            F.format_string(AXIS_LIST, axis["n"].cast("string")),
             F.array_join(F.transform(axis["_lines"], lambda v: v["line"]), "\n"), F.lit("\n"), rest, F.lit("\n"))
 
     named = per_root.join(labels, "root")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nosoflow.functions.codes import scan_codes, segments
 from nosoflow.functions.replies import answer_content, answer_document
 from nosoflow.operators.relational import top_counts
-from nosoflow.operators.scaling import lookup_join
+from nosoflow.operators.scaling import cut_lineage, lookup_join
 
 # Reason given for a response that yields nothing.
 EMPTY_RESPONSE = "réponse vide ou malformée"
@@ -40,10 +40,10 @@ def check_codes(
 
     The first segment must be a root; later ones an extension or a root. ``roots`` and
     ``extensions`` have ``code``. Columns: key, ``custom_id``, ``rang``, ``code_postcoord``,
-    ``inconnus`` (array, empty when valid), ``libelles_extensions``. Distinct codes are checked once and the outcome is joined
+    ``inconnus`` (array, empty when valid), ``libelles_extensions``. Responses are read once, their codes are stored; distinct codes are checked once and the outcome is joined
     back; the segments of a code are regrouped by the code, so a list never exceeds its length.
     """
-    codes = responses.select(*key, "custom_id", F.posexplode(scan_codes(F.col("contenu"))).alias("rang", "code_postcoord"))
+    codes = cut_lineage(responses.select(*key, "custom_id", F.posexplode(scan_codes(F.col("contenu"))).alias("rang", "code_postcoord")))
     parts = codes.select("code_postcoord").distinct().select("code_postcoord", F.posexplode(segments(F.col("code_postcoord"))).alias("_pos", "segment"))
     known = roots.select(F.col("code").alias("segment")).withColumn("_root", F.lit(True)).unionByName(
         extensions.select(F.col("code").alias("segment")).withColumn("_root", F.lit(False)))
