@@ -144,7 +144,8 @@ def pack_documents(docs: DataFrame, length: Column | None = None, cluster: Colum
     items = docs.select(
         docs["doc_id"].cast("bigint").alias("doc_id"), length.cast("bigint").alias("length"), F.xxhash64(docs["source"]).alias("hashed"),
         docs["source"].isNull().alias("nowhere"), cluster.cast("bigint").alias("cluster"))
-    items = stored(items.where("length > 0").withColumn("source", F.when(~F.col("nowhere"), F.col("hashed"))).drop("hashed", "nowhere"), "items")
+    items = items.withColumn("source", F.when(~F.col("nowhere"), F.col("hashed"))).drop("hashed", "nowhere")
+    items = stored(items, "items").where("length > 0")  # after the write, so that a length that takes long is not calculated for the filter, too
     shards = max(1, -(-items.count() // SHARD_ITEMS))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length", "cluster"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_pack_shard(capacity), _PACKED)

@@ -84,8 +84,8 @@ def packed(values: np.ndarray) -> bytes:
     return lengths.tobytes() + planes[np.arange(8) < lengths[:, None]].tobytes()
 
 
-def unpacked(data: bytes, count: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
+def unpacked(data: bytes | pa.Buffer, count: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8) if count else np.zeros(0, np.uint8)
     planes = np.zeros((count, 8), np.uint8)
     planes[np.arange(8) < raw[:count, None]] = raw[count:]
     return planes.view("<u8").reshape(-1).astype(np.int64)
@@ -318,24 +318,35 @@ def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, common: np.ndarray)
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         keys, hashes, rights, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
 
         def merge() -> None:
-            keys[:] = [np.unique(np.concatenate(keys))]
+            """Sorts in place, so that a task holds its bigrams twice at most."""
+            both = np.concatenate(keys)
+            keys.clear()
+            both.sort()
+            keys.append(both[np.append(True, both[1:] != both[:-1])] if len(both) else both)
             unique, first = np.unique(np.concatenate(hashes), return_index=True)
             hashes[:], rights[:] = [unique], [np.concatenate(rights)[first]]
 
         for batch in batches:
-            for n, k, m, r, h in zip(*(batch.column(c).to_pylist() for c in names[1:])):
-                keys.append(np.cumsum(unpacked(k, n)))
-                rights.append(np.cumsum(unpacked(r, m)))
-                hashes.append(np.frombuffer(h, np.uint64))
+            columns = [batch.column(c) for c in names[1:]]
+            for row in range(batch.num_rows):
+                n, k, m, r, h = (c[row] for c in columns)
+                n, m = n.as_py(), m.as_py()
+                keys.append(np.cumsum(unpacked(k.as_buffer(), n)))
+                rights.append(np.cumsum(unpacked(r.as_buffer(), m)))
+                hashes.append(np.frombuffer(h.as_buffer(), np.uint64) if m else np.zeros(0, np.uint64))
                 waiting += n + m
-            if waiting > 4 * GATHER:
-                merge()
-                waiting = 0
+                if waiting > 2 * GATHER:
+                    merge()
+                    waiting = 0
         merge()
-        found, n = np.unique(np.concatenate((keys[0] // (size + 1), rights[0])), return_counts=True)
+        seconds = keys.pop() // (size + 1)  # ascending
+        at = np.flatnonzero(np.append(True, seconds[1:] != seconds[:-1])) if len(seconds) else np.zeros(0, np.int64)
+        yield pa.record_batch([pa.array(seconds[at]), pa.array(np.diff(np.append(at, len(seconds))))], names=["i", "n"])
+        found, n = np.unique(rights[0], return_counts=True)
         yield pa.record_batch([pa.array(found), pa.array(n)], names=["i", "n"])
 
     names = ["bucket", "n", "keys", "m", "rights", "hashes"]
