@@ -34,7 +34,7 @@ FIT_CHARS = 12_000_000
 MIXED = 0.01
 THRESHOLD = 0.3
 #: Words taken together by a task before they are sorted, and when texts are scored.
-GATHER, SCORED = 1_000_000, 200_000
+GATHER, SCORED = 500_000, 100_000
 _BINS = 100_000.0
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _FIRST = np.int64(-1)
