@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,9 @@ from nosoflow.functions.text import https
 from nosoflow.operators.scaling import concat_all, cut_lineage
 
 
+_PIECE = ["_block", "ligne", "_text", "_starts", "_ends", "_first"]
+
+
 def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
@@ -42,38 +48,89 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | str, delimiter: s
 def read_quoted_csv(spark: SparkSession, path, schema: T.StructType | str, delimiter: str = ",") -> DataFrame:
     """What ``read_csv`` reads, with its order as column ``ord``, but split over tasks although quotes may hold newlines.
 
-    A line starts a record if the quotes before it in its file are even in number. Quotes are counted per line, then per file block, whose size the reader
-    bounds; the parities of the blocks are summed along the file. Only lines of records of several lines are brought together. As in
+    A line starts a record if the quotes before it in its file are even in number. Quotes are summed per file block, whose size the reader bounds, and the
+    parities of the blocks along the file; this table of one row per block is broadcast. Then the lines of each block are put together where they
+    are read, and only parts of records that cross the border of a block are shuffled. As in
     the other reader the first record of a file is its header and empty lines are skipped. Quotes stand around values only, doubled inside; a file whose last quote is not
     closed ends in one long record. A line break of two characters inside quotes reads as one, as there.
     """
     schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     lines = read_lines(spark, path, "\n").select(
         "brut", F.col("ord.fichier").alias("fichier"), F.col("ord.debut").alias("debut"), F.col("ord.ligne").alias("ligne"))
-    lines = lines.withColumn("_quotes", F.pmod(F.length("brut") - F.length(F.replace("brut", F.lit('"'), F.lit(""))), F.lit(2)))
-    blocks = lines.groupBy("fichier", "debut").agg(F.sum("_quotes").alias("_sum"))
+    quotes = F.length("brut") - F.length(F.replace("brut", F.lit('"'), F.lit("")))
+    blocks = lines.groupBy("fichier", "debut").agg(F.sum(quotes).alias("_sum"))
     earlier = Window.partitionBy("fichier").orderBy("debut").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("fichier", "debut", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    above = Window.partitionBy("fichier", "debut").orderBy("ligne").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.pmod(F.col("_before") + F.coalesce(F.sum("_quotes").over(above), F.lit(0)), F.lit(2))
-    placed = cut_lineage(lines.join(blocks, ["fichier", "debut"]).withColumn("_starts", (opened == 0).cast("bigint")).drop("_before", "_quotes"))
-
-    counts = placed.groupBy("fichier", "debut").agg(F.sum("_starts").alias("_n"))
-    counts = counts.select("fichier", "debut", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_records"))
-    until = Window.partitionBy("fichier", "debut").orderBy("ligne").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = placed.join(counts, ["fichier", "debut"]).withColumn("_record", F.col("_records") + F.sum("_starts").over(until))
-    follows = F.lead("_starts").over(Window.partitionBy("fichier", "debut").orderBy("ligne"))
-    # The last line of a block may go on in the next one, so it is taken for part of a record of several lines.
-    numbered = numbered.withColumn("_whole", (F.col("_starts") == 1) & F.coalesce(follows == 1, F.lit(False)))
-    one = numbered.where("_whole").select("fichier", "_record", F.col("brut").alias("_text"))
-    several = numbered.where("NOT _whole").groupBy("fichier", "_record").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("debut", "ligne", "brut"))), lambda x: x["brut"]), "\n").alias("_text"))
-    records = one.unionByName(several).where("_record > 1").withColumn("_text", F.regexp_replace(F.replace("_text", F.lit("\r\n"), F.lit("\n")), "\r$", "")).where("_text <> ''")
+    opened = F.pmod(F.coalesce(F.sum("_sum").over(earlier), F.lit(0)), F.lit(2))
+    blocks = blocks.select("fichier", "debut", opened.cast("int").alias("_opened"))
+    blocks = F.broadcast(cut_lineage(blocks.withColumn("_block", F.monotonically_increasing_id())))
+
+    # a block that was not counted would lose its lines, so it is an error
+    block = F.coalesce("_block", F.raise_error(F.lit("files changed while they were read")).cast("bigint"))
+    placed = lines.join(blocks, ["fichier", "debut"], "left").select(block.alias("_block"), "_opened", "ligne", "brut")
+    pieces = placed.mapInArrow(_pieces_of_blocks, "_block bigint, ligne bigint, _text string, _starts boolean, _ends boolean, _first boolean").join(blocks, "_block")
+    pieces = pieces.withColumn("_header", F.col("_first") & (F.col("debut") == 0))
+    one = pieces.where("_starts AND _ends").select("fichier", "debut", "ligne", "_text", "_header")
+    until = Window.partitionBy("fichier").orderBy("debut", "ligne").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = pieces.where("NOT (_starts AND _ends)").withColumn("_record", F.sum(F.col("_starts").cast("int")).over(until))
+    several = parts.groupBy("fichier", "_record").agg(
+        F.min(F.struct("debut", "ligne")).alias("_at"), F.max("_header").alias("_header"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("debut", "ligne", "_text"))), lambda x: x["_text"]), "\n").alias("_text"))
+    records = one.unionByName(several.select("fichier", "_at.debut", "_at.ligne", "_text", "_header"))
+    records = records.where("NOT _header")
+    records = records.withColumn("_text", F.regexp_replace(F.replace("_text", F.lit("\r\n"), F.lit("\n")), "\r$", "")).where("_text <> ''")
     options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true"}
-    order = F.struct("fichier", F.lit(0).cast("bigint").alias("debut"), F.col("_record").alias("ligne")).alias("ord")
+    order = F.struct("fichier", "debut", "ligne").alias("ord")
     return records.select(F.from_csv("_text", schema.simpleString()[7:-1].replace(":", " "), options).alias("_row"), order).select("_row.*", "ord")
 
 
+def _pieces_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of file blocks, in order, put together: a row per record, or per part of one that goes on beyond its block.
+
+    ``_starts`` and ``_ends`` tell whether the first and the last line of the record are in the row, ``_first`` whether it is the first row of its block. Only the lines of one unfinished record are kept between batches.
+    """
+    block, quotes, first, held, fresh = None, 0, None, [], True  # of the record that is not finished: its first line and its texts
+
+    def row(ends: bool) -> pa.RecordBatch:
+        number, starts = first
+        return pa.record_batch([pa.array([block], pa.int64()), pa.array([number], pa.int64()), pa.array(["\n".join(held)], pa.string()),
+                                pa.array([starts]), pa.array([ends]), pa.array([fresh])], names=_PIECE)
+
+    for batch in batches:
+        found = batch.column("_block").to_numpy()
+        edges = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist(), len(found)]
+        for low, high in zip(edges, edges[1:]):
+            if low == high:
+                continue
+            part = batch.slice(low, high - low)
+            if part.column("_block")[0].as_py() != block:
+                if held:
+                    yield row(quotes % 2 == 0)
+                block, quotes, first, held, fresh = part.column("_block")[0].as_py(), part.column("_opened")[0].as_py(), None, [], True
+            texts, numbers = part.column("brut"), part.column("ligne").to_numpy()
+            after = quotes + np.cumsum(pc.count_substring(texts, '"').to_numpy(zero_copy_only=False), dtype=np.int64)
+            before = np.concatenate(([quotes], after[:-1]))
+            starts = np.flatnonzero(before % 2 == 0)
+            quotes = int(after[-1])
+            head = int(starts[0]) if len(starts) else len(texts)
+            if head and not held:
+                first = (int(numbers[0]), False)
+            held += texts.slice(0, head).to_pylist()
+            if not len(starts):
+                continue
+            if held:
+                yield row(True)
+                fresh = False
+            whole = texts.slice(head, int(starts[-1]) - head)
+            offsets = pa.array(starts - head, pa.int32())
+            joined = pc.binary_join(pa.ListArray.from_arrays(offsets, whole), "\n")
+            yes, firsts = pa.array(np.ones(len(joined), bool)), np.zeros(len(joined), bool)
+            firsts[:1], fresh = fresh, fresh and not len(joined)
+            yield pa.record_batch([pa.array(np.full(len(joined), block)), pa.array(numbers[starts[:-1]]), joined.cast(pa.string()), yes, yes, pa.array(firsts)], names=_PIECE)
+            first, held = (int(numbers[starts[-1]]), True), texts.slice(int(starts[-1])).to_pylist()
+    if held:
+        yield row(quotes % 2 == 0)
+
+
 def with_file_order(df: DataFrame, name: str = "ord") -> DataFrame:
     """Add an order that follows the files: file name, offset of the block in the file, row in the block.
 

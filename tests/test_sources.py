@@ -53,6 +53,23 @@ def test_quoted_newlines_are_read_by_many_tasks(spark, tmp_path, small_splits, e
     assert split.columns == ["code", "synonyme", "source", "ord"]
 
 
+def test_lines_of_quoted_files_are_not_shuffled(spark, tmp_path, small_splits):
+    """Many records, batches of a few rows: only what crosses the border of a block goes through an exchange, and the rows are whole."""
+    folder = str(tmp_path / "csv")
+    rows = spark.range(0, 3000, 1, 3).selectExpr("concat('K', id) AS code", "IF(id % 3 = 0, NULL, concat('a\n\"', id, '\"; \n\nb')) AS synonyme", "'s' AS source")
+    writers.write_csv(rows, folder, ";", bom=True)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        split = readers.read_quoted_csv(spark, folder, readers.SYNONYMS_CSV, ";").drop("ord")
+        assert sorted(map(str, split.collect())) == sorted(map(str, rows.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    exchanges = [x for x in split._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x and "Broadcast" not in x]
+    assert exchanges and not any("_block" in x or "ligne" in x for x in exchanges)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "MapInArrow" in plan
+
+
 def test_lines_are_numbered_in_file_order(spark, tmp_path):
     path = tmp_path / "lines"
     path.mkdir()
