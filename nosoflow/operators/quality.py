@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nosoflow.functions.replies import main_diagnosis
 from nosoflow.functions.text import strip
-from nosoflow.operators.scaling import cut_lineage, lookup_join
+from nosoflow.operators.scaling import cut_lineage, fits_broadcast, lookup_join
 
 # Roles of an example in order, shortest report, gate thresholds.
 EXPECTED_ROLES = ("system", "user", "assistant")
@@ -145,9 +145,15 @@ def length_violations(df: DataFrame, key: str, lengths: Mapping[str, int], table
 def reference_violations(
     child: DataFrame, child_key: str, reference: str, parent: DataFrame, parent_key: str, link: str
 ) -> DataFrame:
-    """Child rows whose reference is not null and matches no parent."""
-    keys = parent.select(F.col(parent_key).alias(reference)).distinct()
+    """Child rows whose reference is not null and matches no parent.
+
+    If the child is the small side, only the parent keys that it asks for are kept, so a large parent is neither shuffled, sorted nor held.
+    """
+    keys = parent.select(F.col(parent_key).alias(reference))
     rows = child.select(child_key, reference).where(F.col(reference).isNotNull())
+    if fits_broadcast(rows) and not fits_broadcast(keys):
+        keys = lookup_join(keys, rows.select(reference).distinct(), reference, "left_semi")
+    keys = keys.distinct()
     missing = lookup_join(rows, keys, reference, "left_anti")
     return missing.select(
         F.lit(link).alias("lien"), F.col(child_key).cast("string").alias("cle"), F.col(reference).cast("string").alias("reference"))

@@ -137,3 +137,19 @@ def test_report_tables(spark):
     assert tuple(reports.load_counts(rows, codes).first()) == (1, 1, 1)
     assert reports.synthetic_patients(rows).first().nom == "Fictif0"
     assert reports.report_table(rows).where(F.col("date_redaction").isNull()).count() == 0
+
+
+def test_a_large_parent_is_cut_to_the_keys_of_a_small_child(spark, tmp_path):
+    """Only keys that the child asks for are shuffled or sorted; the rows are those of the plain anti join."""
+    spark.range(200_000).selectExpr("id * 2 AS p").write.parquet(str(tmp_path / "parent"))
+    spark.range(300).selectExpr("id AS k", "IF(id % 10 = 0, NULL, id % 50) AS r").write.parquet(str(tmp_path / "child"))
+    parent, child = spark.read.parquet(str(tmp_path / "parent")), spark.read.parquet(str(tmp_path / "child"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100k")
+    missing = quality.reference_violations(child, "k", "r", parent, "p", "child.r")
+    got = sorted(map(tuple, missing.collect()))
+    plan = missing._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(key, before)
+    assert got == sorted(("child.r", str(k), str(k % 50)) for k in range(300) if k % 10 and k % 2)
+    assert "LeftSemi" in plan and plan.index("Exchange") > 0 and "BroadcastHashJoin" in plan
