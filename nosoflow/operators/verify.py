@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nosoflow.functions.codes import scan_codes, segments
 from nosoflow.functions.replies import answer_content, answer_document
 from nosoflow.operators.relational import top_counts
-from nosoflow.operators.scaling import cut_lineage, lookup_join
+from nosoflow.operators.scaling import cut_lineage, lookup_join, rows_fit_broadcast
 
 # Reason given for a response that yields nothing.
 EMPTY_RESPONSE = "réponse vide ou malformée"
@@ -40,23 +40,47 @@ def check_codes(
 
     The first segment must be a root; later ones an extension or a root. ``roots`` and
     ``extensions`` have ``code``. Columns: key, ``custom_id``, ``rang``, ``code_postcoord``,
-    ``inconnus`` (array, empty when valid), ``libelles_extensions``. Responses are read once, their codes are stored; distinct codes are checked once and the outcome is joined
-    back; the segments of a code are regrouped by the code, so a list never exceeds its length.
+    ``inconnus`` (array, empty when valid), ``libelles_extensions``. Responses are read once, their codes are stored. What a code yields depends on its root
+    and, apart from it, on what follows; both recur in many codes, so the distinct ones are checked, and only those with unknown segments or labels are
+    joined back. The segments of a piece are regrouped by the piece, so a list never exceeds its length.
     """
-    codes = cut_lineage(responses.select(*key, "custom_id", F.posexplode(scan_codes(F.col("contenu"))).alias("rang", "code_postcoord")))
-    parts = codes.select("code_postcoord").distinct().select("code_postcoord", F.posexplode(segments(F.col("code_postcoord"))).alias("_pos", "segment"))
+    # the outer form keeps Spark from scanning each text a second time for a filter on the number of its codes
+    scanned = responses.select(*key, "custom_id", F.posexplode_outer(scan_codes(F.col("contenu"))).alias("rang", "code_postcoord"))
+    codes = cut_lineage(scanned.where(F.col("code_postcoord").isNotNull()))
+    root, rest = F.substring_index("code_postcoord", "&", 1), F.expr("substring(code_postcoord, locate('&', code_postcoord) + 1)")
+    later = F.contains(F.col("code_postcoord"), F.lit("&"))
+    found = codes.select(root.alias("_piece"), F.lit(0).alias("_from")).distinct().unionByName(
+        codes.where(later).select(rest.alias("_piece"), F.lit(1).alias("_from")).distinct())
+    parts = found.select("_piece", "_from", F.posexplode(segments(F.col("_piece"))).alias("_p", "segment")).withColumn("_pos", F.col("_p") + F.col("_from"))
     known = roots.select(F.col("code").alias("segment")).withColumn("_root", F.lit(True)).unionByName(
         extensions.select(F.col("code").alias("segment")).withColumn("_root", F.lit(False)))
     known = known.groupBy("segment").agg(F.max("_root").alias("_root"))
     looked = lookup_join(parts, known, "segment", "left")
     valid = F.when(F.col("_pos") == 0, F.coalesce(F.col("_root"), F.lit(False))).otherwise(F.col("_root").isNotNull())
     unknown = F.when(~valid, F.struct("_pos", "segment"))
-    lists = [F.transform(F.array_sort(F.collect_list(unknown)), lambda s: s["segment"]).alias("inconnus")]
+    lists = [F.transform(F.array_sort(F.collect_list(unknown)), lambda s: s["segment"]).alias("_unknown")]
     if with_labels:
         looked = _with_segment_label(looked, "segment", extensions)
-        lists.append(_label_list("segment").alias("libelles_extensions"))
-    outcomes = looked.groupBy("code_postcoord").agg(*lists)
-    return lookup_join(codes, outcomes, "code_postcoord", "inner")
+        lists.append(_label_list("segment").alias("_labels"))
+    told = F.size("_unknown") > 0
+    plain = F.replace(F.col("_piece"), F.lit("&"), F.lit(" | "))
+    if with_labels:
+        told |= (F.col("_from") == 1) & (F.col("_labels") != plain)
+    outcomes = cut_lineage(looked.groupBy("_piece", "_from").agg(*lists).where(told))
+    small = rows_fit_broadcast(codes.sparkSession, outcomes.count())
+
+    def outcome(start: int, *names: str) -> DataFrame:
+        rows = outcomes.where(F.col("_from") == start).select(F.col("_piece").alias(f"_piece{start}"), *[F.col(n).alias(f"{n}{start}") for n in names])
+        return F.broadcast(rows) if small else rows
+
+    rows = codes.withColumns({"_piece0": root, "_piece1": F.when(later, rest)})
+    rows = rows.join(outcome(0, "_unknown"), "_piece0", "left").join(outcome(1, "_unknown", *(["_labels"] if with_labels else [])), "_piece1", "left")
+    none = F.array().cast("array<string>")
+    added = {"inconnus": F.concat(F.coalesce("_unknown0", none), F.coalesce("_unknown1", none))}
+    if with_labels:
+        shown = F.replace(F.col("_piece1"), F.lit("&"), F.lit(" | "))
+        added["libelles_extensions"] = F.coalesce("_labels1", shown, F.lit(""))
+    return rows.select("code_postcoord", *key, "custom_id", "rang", *[c.alias(n) for n, c in added.items()])
 
 
 def _with_segment_label(parts: DataFrame, segment: str, labels: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def checked(i: Inputs) -> DataFrame:
     SELECT k.root AS code_racine, coalesce(c.libelle, '') AS libelle_racine, k.code AS code_postcoord, coalesce(lab.l, '') AS libelles_extensions
     FROM checked k LEFT JOIN lab USING ({K}, rang) LEFT JOIN codes c ON c.code = k.root WHERE k.inconnus IS NULL""")
 def verify_codes(i: Inputs) -> DataFrame:
-    labelled = verify.check_codes(responses(i), ORD, codes(i), extensions(i), with_labels=True)
+    labelled = verify.check_codes(responses(i), [], codes(i), extensions(i), with_labels=True)
     return verify.labelled_codes(verify.accepted_codes(labelled), codes(i))
 
 

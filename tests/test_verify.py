@@ -136,3 +136,17 @@ def test_a_failing_report_does_not_end_the_scoring(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, t string")
     got = {r.id: (r.reponse, r.erreur) for r in score_reports(df, "id", "t", make, "m").collect()}
     assert got == {1: ("DP : x (AA00)", None), 2: (None, "refus"), 3: ("DP : x (AA00)", None)}
+
+
+def test_codes_are_scanned_once_and_pieces_checked_alone(spark):
+    """A text's codes are not counted by a second scan, and no step goes by the whole code: distinct roots and rests are checked."""
+    lines = [line("A1", "A1&X1&X2 A1&Q9&X1=3 ZZ&X2&X1"), line("B2", "B2&A1&B2 A1&X1&X2"), line("A1", "rien")]
+    responses = verify.read_responses(spark.createDataFrame(list(enumerate(lines)), "num int, brut string"))
+    roots = spark.createDataFrame([("A1", "un"), ("B2", "deux")], "code string, libelle string")
+    ext = spark.createDataFrame([("X1", "gauche"), ("X2", "")], "code string, libelle string")
+    checked = verify.check_codes(responses, ["num"], roots, ext, with_labels=True)
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert "code_postcoord" not in "".join(x for x in plan.splitlines() if "Exchange" in x or "Aggregate" in x)
+    got = sorted((r.num, r.rang, r.code_postcoord, r.inconnus, r.libelles_extensions) for r in checked.collect())
+    assert got == [(0, 0, "A1&X1&X2", [], "X1 : gauche | X2"), (0, 1, "A1&Q9&X1=3", ["Q9", "X1=3"], "Q9 | X1=3 : gauche"),
+                   (0, 2, "ZZ&X2&X1", ["ZZ"], "X2 | X1 : gauche"), (1, 0, "B2&A1&B2", [], "A1 | B2"), (1, 1, "A1&X1&X2", [], "X1 : gauche | X2")]
