@@ -23,12 +23,12 @@ from nosoflow.llm.common import id_crc, make_room, pieces_of, remember
 
 DIMENSIONS = 1024
 GRAM = 3
-#: Expected number of training texts of each language at most, drawn by a hash of their ids.
-FIT_ROWS = 40_000
 #: Prototypes are held by every task, so at most these languages are learned, those with the most texts to learn from.
 MAX_LANGUAGES = 512
-#: Expected number of texts of each language, and of texts of random letters of each length, that bounds of scores come from.
-FLOOR_ROWS, NOISE_TEXTS = 4_000, 64
+#: Number of texts of random letters of each length that bounds of scores come from.
+NOISE_TEXTS = 64
+#: Scores further below their mean than so many standard deviations are those of stray texts.
+DEVIATIONS = 3
 #: Lengths of texts are told apart by powers of two up to 2^LONGEST characters, longer ones as these.
 LONGEST = 13
 UNKNOWN = "und"
@@ -117,9 +117,9 @@ def _bundler(dimensions: int) -> Bundler:
     return _BUNDLERS[dimensions]
 
 
-def training_rows(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Texts to learn from: crc32 of the id not divisible by 5, a language given. Of a language with more than ``fit_rows`` of them about as many are
-    drawn by a hash of the id; any other keeps all. Of more than ``MAX_LANGUAGES`` values of ``lang`` the most frequent are languages, ties in
+def training_rows(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", fit_rows: int | None = None) -> DataFrame:
+    """Texts to learn from: crc32 of the id not divisible by 5, a language given. All of them, or, if ``fit_rows`` is given, of a language with
+    more texts about as many, drawn by a hash of the id. Of more than ``MAX_LANGUAGES`` values of ``lang`` the most frequent are languages, ties in
     alphabetical order; no text is learned from or recognised as any other."""
     rows = docs.where((id_crc(docs[doc_id], 5) != 0) & docs[lang].isNotNull()).select(
         docs[doc_id].alias("doc_id"), docs["text"].alias("text"), docs[lang].cast("string").alias("lang"))
@@ -127,7 +127,7 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", f
     counts = {r.lang: r["count"] for r in found[:MAX_LANGUAGES]}
     if len(found) > MAX_LANGUAGES:
         rows = rows.where(F.col("lang").isin(list(counts)))
-    limits = {lang: int((1 << 30) * fit_rows / n) for lang, n in counts.items() if n > fit_rows}
+    limits = {lang: int((1 << 30) * fit_rows / n) for lang, n in counts.items() if n > fit_rows} if fit_rows else {}
     if not limits:
         return rows
     limit = F.coalesce(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("lang")], F.lit(1 << 30))
@@ -214,29 +214,29 @@ def _random_letters(length: int, number: int) -> str:
     return letters.tobytes().decode("utf-32-le")
 
 
-def floors(model: tuple[list[str], np.ndarray], rows: DataFrame, floor_rows: int = FLOOR_ROWS) -> np.ndarray:
+def floors(model: tuple[list[str], np.ndarray], rows: DataFrame) -> np.ndarray:
     """Least score of each language (rows of the result) for each class of lengths, from ``rows`` of doc_id, text and lang.
 
-    It lies a quarter of the way from the highest score of ``NOISE_TEXTS`` random texts of that length to the lowest of the language's own texts that are recognised; where these
-    overlap, as for short texts, it is the lower of both, so no text learned from is rejected. A length without own texts has the bound of
-    the random ones. About ``floor_rows`` texts of each language are scored, drawn by a hash of their ids.
+    It lies a quarter of the way from the highest score of ``NOISE_TEXTS`` random texts of that length to the lowest of the language's own
+    texts that are recognised, but strays: the lowest of very many texts is one, so what lies more than ``DEVIATIONS`` standard deviations below the mean
+    does not count. Where these overlap, as for short texts, it is the lowest of all, so no such text learned from is rejected. A length without own texts
+    has the bound of the random ones. Every row is scored; two numbers for each language and length reach the driver.
     """
     languages, prototypes = model
     if not languages:
         return np.zeros((0, LONGEST + 1))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    limit = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, floor_rows / n) * (1 << 30)))))[F.col("lang")] if counts else F.lit(0)
-    some = rows.where(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 30)) < limit)
     kind = F.least(F.length(F.bin(F.length("text"))), F.lit(LONGEST)).alias("kind")
-    scored = some.select("lang", kind, predictor(model)("text").alias("answer")).where("answer.lang_pred = lang")
-    own = {(r.lang, r.kind): r.least for r in scored.groupBy("lang", "kind").agg(F.min("answer.score").alias("least")).collect()}
+    scored = rows.select("lang", kind, predictor(model)("text").alias("answer")).where("answer.lang_pred = lang")
+    score = F.col("answer.score")
+    low = F.greatest(F.min(score), F.avg(score) - DEVIATIONS * F.stddev_pop(score))
+    own = {(r.lang, r.kind): (r.least, r.low) for r in scored.groupBy("lang", "kind").agg(F.min(score).alias("least"), low.alias("low")).collect()}
     bundler, out = _bundler(prototypes.shape[1]), np.zeros((len(languages), LONGEST + 1))
     for kind in range(1, LONGEST + 1):
         vectors = [bundler.vector(_random_letters(3 << kind >> 2, i)) for i in range(NOISE_TEXTS)]
         noise = np.max([prototypes @ v / (np.linalg.norm(v) or 1.0) for v in vectors if v is not None] or [np.zeros(len(languages))], axis=0)
         for i, lang in enumerate(languages):
-            least = own.get((lang, kind), noise[i])
-            out[i, kind] = noise[i] + (least - noise[i]) / 4 if least > noise[i] else least
+            least, low = own.get((lang, kind), (noise[i], noise[i]))
+            out[i, kind] = noise[i] + (low - noise[i]) / 4 if low > noise[i] else min(least, noise[i])
     return out
 
 

@@ -124,3 +124,21 @@ def test_a_rare_language_keeps_all_its_texts(make_docs):
     drawn = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     assert drawn["cc"] == used.count("cc") <= 4 and all(5 < drawn[x] < 45 < used.count(x) for x in ("aa", "bb"))
     assert langid.fit(rows)[0] == ["aa", "bb", "cc"]
+
+
+def test_prototypes_and_bounds_come_from_all_texts(spark, make_docs):
+    """More texts of a language than any draw ever took: all are learned from, and all count for the bounds."""
+    many = spark.range(60_000).selectExpr("id AS doc_id", "'x' AS text", "'aa' AS lang")
+    assert langid.training_rows(many).count() == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(60_000))
+    model = langid.fit(langid.training_rows(labelled(make_docs)))
+    rows = spark.createDataFrame([(i, text("aa", i, 8 + i % 16), "aa") for i in range(9_000)], "doc_id bigint, text string, lang string")
+    own, bundler, place = {}, langid.Bundler(), model[0].index("aa")
+    for r in rows.withColumn("answer", langid.predictor(model)("text")).where("answer.lang_pred = 'aa'").collect():
+        own.setdefault(langid._length_class(r.text), []).append(r.answer.score)
+    bounds = langid.floors(model, rows)[place]
+    assert sum(map(len, own.values())) > 4_500
+    for kind, scores in own.items():
+        vectors = [bundler.vector(langid._random_letters(3 << kind >> 2, i)) for i in range(langid.NOISE_TEXTS)]
+        noise = max(float(model[1][place] @ v / np.linalg.norm(v)) for v in vectors if v is not None)
+        low = max(min(scores), float(np.mean(scores) - 3 * np.std(scores)))
+        assert abs(bounds[kind] - (noise + (low - noise) / 4 if low > noise else min(*scores, noise))) < 1e-6
