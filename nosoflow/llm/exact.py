@@ -99,7 +99,12 @@ def duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that equal another one that stays. All columns stay; a repeated row stays once."""
     own = "_".join(["key", *docs.columns])
-    kept = duplicates(docs).where("kept").select(F.col("doc_id").alias(f"{own}_id"), F.col("text_hash").alias(f"{own}_hash"))
-    rows = docs.withColumn(own, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    same = rows["doc_id"].cast("bigint").eqNullSafe(kept[f"{own}_id"]) & (rows[own] == kept[f"{own}_hash"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
+    keys = [f"{own}_id", f"{own}_null", f"{own}_hash"]  # those of the join and of the last step alike, so texts are shuffled and sorted once
+
+    def keyed(rows: DataFrame, text_hash: Column) -> DataFrame:
+        doc_id = rows["doc_id"].cast("bigint")
+        return rows.withColumns(dict(zip(keys, (F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), text_hash))))
+
+    kept = keyed(duplicates(docs).where("kept"), F.col("text_hash")).select(*keys)
+    rows = keyed(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)

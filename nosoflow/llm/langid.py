@@ -163,27 +163,32 @@ def fit(rows: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.nd
     return [r.lang for r in found], matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
 
+def _answers(model: tuple[list[str], np.ndarray], texts_: pa.Array) -> Iterator[tuple[str | None, str, float]]:
+    """Each text, its language and score. ``model`` has prototypes of 32 bits."""
+    languages, prototypes = model
+    bundler = _bundler(prototypes.shape[1] if len(languages) else DIMENSIONS)
+    for value in texts_:
+        text = value.as_py()
+        vector = None if text is None or not languages else bundler.vector(text)
+        length = 0.0 if vector is None else float(np.linalg.norm(vector))
+        if not length:
+            yield text, UNKNOWN, 0.0
+            continue
+        cosines = prototypes @ vector / length
+        best = int(np.argmax(cosines))  # of equal cosines the first language in alphabetical order
+        yield text, languages[best], min(1.0, max(0.0, float(cosines[best])))
+
+
 def predictor(model: tuple[list[str], np.ndarray]):
     """Column function: text to struct(lang_pred, score)."""
-    languages, prototypes = model
-    prototypes = prototypes.astype(np.float32)
-    dimensions = prototypes.shape[1] if len(languages) else DIMENSIONS
+    model = model[0], model[1].astype(np.float32)
 
     @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(texts_: pa.Array) -> pa.Array:
-        bundler, names, scores = _bundler(dimensions), [], []
-        for value in texts_:
-            text = value.as_py()
-            vector = None if text is None or not languages else bundler.vector(text)
-            length = 0.0 if vector is None else float(np.linalg.norm(vector))
-            if not length:
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            cosines = prototypes @ vector / length
-            best = int(np.argmax(cosines))  # of equal cosines the first language in alphabetical order
-            names.append(languages[best])
-            scores.append(min(1.0, max(0.0, float(cosines[best]))))
+        names, scores = [], []
+        for _, name, score in _answers(model, texts_):
+            names.append(name)
+            scores.append(score)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predict
@@ -214,6 +219,14 @@ def _random_letters(length: int, number: int) -> str:
     return letters.tobytes().decode("utf-32-le")
 
 
+def _own_scores(model: tuple[list[str], np.ndarray], rows: DataFrame) -> DataFrame:
+    """lang, kind (class of lengths), score of each row, null where another language is recognised. A filter on the answer would score
+    every text twice, in two Python workers of a task."""
+    kind = F.least(F.length(F.bin(F.length("text"))), F.lit(LONGEST)).alias("kind")
+    scored = rows.select("lang", kind, predictor(model)("text").alias("answer"))
+    return scored.select("lang", "kind", F.when(F.col("answer.lang_pred") == F.col("lang"), F.col("answer.score")).alias("score"))
+
+
 def floors(model: tuple[list[str], np.ndarray], rows: DataFrame) -> np.ndarray:
     """Least score of each language (rows of the result) for each class of lengths, from ``rows`` of doc_id, text and lang.
 
@@ -225,11 +238,9 @@ def floors(model: tuple[list[str], np.ndarray], rows: DataFrame) -> np.ndarray:
     languages, prototypes = model
     if not languages:
         return np.zeros((0, LONGEST + 1))
-    kind = F.least(F.length(F.bin(F.length("text"))), F.lit(LONGEST)).alias("kind")
-    scored = rows.select("lang", kind, predictor(model)("text").alias("answer")).where("answer.lang_pred = lang")
-    score = F.col("answer.score")
-    low = F.greatest(F.min(score), F.avg(score) - DEVIATIONS * F.stddev_pop(score))
-    own = {(r.lang, r.kind): (r.least, r.low) for r in scored.groupBy("lang", "kind").agg(F.min(score).alias("least"), low.alias("low")).collect()}
+    low = F.greatest(F.min("score"), F.avg("score") - DEVIATIONS * F.stddev_pop("score"))
+    found = _own_scores(model, rows).groupBy("lang", "kind").agg(F.min("score").alias("least"), low.alias("low")).where("least IS NOT NULL").collect()
+    own = {(r.lang, r.kind): (r.least, r.low) for r in found}
     bundler, out = _bundler(prototypes.shape[1]), np.zeros((len(languages), LONGEST + 1))
     for kind in range(1, LONGEST + 1):
         vectors = [bundler.vector(_random_letters(3 << kind >> 2, i)) for i in range(NOISE_TEXTS)]
@@ -247,15 +258,11 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], bounds
     learned go once they are long enough to tell, from some forty characters on; short texts stay, as their scores tell little.
     """
     bounds = floors(model, training_rows(docs)) if bounds is None else bounds
-    name = "_".join(["answer", *docs.columns])  # clashes with no column
-    languages = model[0]
+    places = {lang: i for i, lang in enumerate(model[0]) if lang != UNKNOWN}
+    model = model[0], model[1].astype(np.float32)
 
     @F.arrow_udf(T.BooleanType())
-    def enough(answers: pa.Array, texts_: pa.Array) -> pa.Array:
-        places = {lang: i for i, lang in enumerate(languages)}
-        rows = zip(answers.field("lang_pred").to_pylist(), answers.field("score").to_pylist(), texts_)
-        return pa.array([lang in places and score >= bounds[places[lang], _length_class(text.as_py())] for lang, score, text in rows], pa.bool_())
-
-    answered = docs.withColumn(name, predictor(model)(docs["text"]))
-    known = F.col(f"`{name}`.lang_pred") != UNKNOWN
-    return answered.where(known).where(enough(F.col(f"`{name}`"), docs["text"])).drop(name)
+    def identified(texts_: pa.Array) -> pa.Array:
+        return pa.array([lang in places and bool(score >= bounds[places[lang], _length_class(text)]) for text, lang, score in _answers(model, texts_)], pa.bool_())
+
+    return docs.where(identified(docs["text"]))

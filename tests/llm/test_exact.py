@@ -87,3 +87,15 @@ def test_keep_one(awkward):
 def test_no_python_runs(awkward, name):
     plan = getattr(exact, name)(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_texts_of_keep_one_are_shuffled_once(spark, awkward, no_broadcast):
+    """The plan's last join and what follows it share their keys: no text is dealt again after the join."""
+    plan = exact.keep_one(awkward)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "Exchange" not in plan[:plan.index("LeftSemi")]
+    zero = awkward.selectExpr("cast(0 AS bigint) AS doc_id", "text").union(awkward.selectExpr("cast(NULL AS bigint)", "text"))
+    kept = sorted(tuple(r) for r in exact.keep_one(zero).na.fill("", ["text"]).collect())
+    texts = {}
+    for r in awkward.collect():
+        texts.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), set()).add(r.text or "")
+    assert [i for i, _ in kept] == [0] * len(kept) and {t for _, t in kept} == {t for same in texts.values() for t in same if len(t) == max(map(len, same))}

@@ -142,3 +142,16 @@ def test_prototypes_and_bounds_come_from_all_texts(spark, make_docs):
         noise = max(float(model[1][place] @ v / np.linalg.norm(v)) for v in vectors if v is not None)
         low = max(min(scores), float(np.mean(scores) - 3 * np.std(scores)))
         assert abs(bounds[kind] - (noise + (low - noise) / 4 if low > noise else min(*scores, noise))) < 1e-6
+
+
+def test_a_text_is_scored_once_by_one_worker_of_a_task(make_docs):
+    """Each pass over the texts has one Python step; a second one would hold another worker, and be sent every text again."""
+    docs = labelled(make_docs)
+    model = langid.fit(langid.training_rows(docs))
+    bounds = langid.floors(model, langid.training_rows(docs))
+    for rows in (lambda: langid.keep_identified(docs, model, bounds), lambda: langid._own_scores(model, docs)):
+        assert rows()._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    answers = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    kept = {r.doc_id for r in langid.keep_identified(docs, model, bounds).collect()}
+    assert kept == {
+        r.doc_id for r in docs.collect() if answers[r.doc_id].score >= bounds[model[0].index(answers[r.doc_id].lang_pred), langid._length_class(r.text)]}
